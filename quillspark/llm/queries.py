@@ -6,7 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import media, packing, pieces, token_files
+from . import media, neardup, packing, pieces, token_files
+
+
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read_table(spark, sf_dir, "documents"), neardup.NearDup(words=3, percent=85)).drop("class_id")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +30,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_near_duplicates": op2_near_duplicates,
     "op5_token_files": op5_token_files,
     "op7_packing": op7_packing,
     "op9_media": op9_media,
