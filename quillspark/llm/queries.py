@@ -6,13 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import media, neardup, packing, pieces, token_files
+from . import forest, media, neardup, packing, pieces, token_files, warc
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"), neardup.NearDup(words=3, percent=85)).drop("class_id")
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(spark, read_table(spark, sf_dir, "pages"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_rows(spark, read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
@@ -31,10 +39,13 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_nearest": op3_nearest,
+    "op4_warc": op4_warc,
     "op5_token_files": op5_token_files,
     "op7_packing": op7_packing,
     "op9_media": op9_media,
     "op10_pieces": op10_pieces,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+}
