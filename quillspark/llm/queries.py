@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import forest, media, neardup, packing, pieces, token_files, warc
+from . import forest, licenses, media, neardup, packing, pieces, quality, token_files, warc
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,10 +25,18 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_rows(spark, read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.documents_as_media(read_table(spark, sf_dir, "documents"))
 
@@ -42,7 +50,9 @@ QUERIES = {
     "op3_nearest": op3_nearest,
     "op4_warc": op4_warc,
     "op5_token_files": op5_token_files,
+    "op6_licenses": op6_licenses,
     "op7_packing": op7_packing,
+    "op8_quality": op8_quality,
     "op9_media": op9_media,
     "op10_pieces": op10_pieces,
 }
