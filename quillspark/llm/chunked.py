@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 
@@ -21,6 +22,12 @@ _BASE = 0x9E3779B97F4A7C15  # odd: it has an inverse modulo 2**64
 _BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 13, 32]] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_POINT = np.zeros(256, bool)  # ASCII punctuation without the apostrophe, which may begin a contraction
+_POINT[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 #: White space that the byte masks don't know: texts that hold any of it go to the encoder whole.
 _RARE_SPACE = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]")
 
@@ -59,7 +66,7 @@ class ChunkEncoder:
 
     encode: ids of each of a list of chunks, as one array and their counts. whole: ids of each of a list of whole texts, used for
     texts that `rare` finds something in. cut: "space" (a chunk begins at white space and holds
-    the one space before a word), "word" (white space is dropped) or "piece" (a chunk begins at a
+    the one space before a word), "word" (white space is dropped and case doesn't count) or "piece" (a chunk begins at a
     run of spaces and each text gets a space in front). slots: places of the cache, a power of
     two; a chunk has one place, by its 64-bit hash, and is known if the hash there is its own.
     """
@@ -82,15 +89,21 @@ class ChunkEncoder:
             start = np.flatnonzero(begins)
             return start, np.append(start[1:], n)
         space = _SPACE[data]
+        # between a letter or digit and punctuation there is always a cut
+        word = _ALNUM[data]
+        word[1:] |= (data[1:] >= 128) & (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        point = np.zeros(n + 1, bool)
+        point[1:n] = _POINT[data[1:]] & word[:-1]
         before = np.zeros(n, bool)
         before[1:] = space[:-1]
         before[first] = False
         if self.cut == "word":
             begins = ~space & before
             begins[first] |= ~space[first]
+            begins |= point[:n]
             # a chunk ends where white space follows or its text ends
-            ends = np.zeros(n + 1, bool)
-            ends[1:n] = space[1:] & ~space[:-1]
+            ends = point
+            ends[1:n] |= space[1:] & ~space[:-1]
             last = offsets[1:][offsets[:-1] < offsets[1:]]
             ends[last] |= ~space[last - 1]
             return np.flatnonzero(begins), np.flatnonzero(ends)
@@ -103,6 +116,7 @@ class ChunkEncoder:
         begins = space & ~before
         begins |= ~space & before & ~blank
         begins |= space & before & after
+        begins |= point[:n]
         begins[first] = True
         start = np.flatnonzero(begins)
         return start, np.append(start[1:], n)
@@ -119,6 +133,8 @@ class ChunkEncoder:
             offsets = offsets + np.concatenate(([0], np.cumsum(offsets[:-1] < offsets[1:])))
         if not len(data):
             return np.empty(0, np.uint32), counts
+        if self.cut == "word":
+            data = _LOWER[data]
         start, end = self._bounds(data, offsets)
         if not len(start):
             return np.empty(0, np.uint32), counts
@@ -171,8 +187,9 @@ class ChunkEncoder:
         return np.concatenate(parts).astype(np.uint32), counts
 
 
+@lru_cache(maxsize=1)
 def library_encoder(path: str, cut: str) -> ChunkEncoder:
-    """A ChunkEncoder over a vocabulary file of the tokenizers library, which encodes each chunk."""
+    """A ChunkEncoder over a vocabulary file of the tokenizers library, which encodes each chunk. A worker keeps the last one from task to task."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
