@@ -59,3 +59,11 @@ def publish(uri: str, write) -> int:
         size = out.tell()
     fs.move(private, path)
     return size
+
+
+def fresh_name(df, name: str) -> str:
+    """`name`, with underscores in front until no column of `df` is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

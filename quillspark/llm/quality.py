@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .batches import text_bytes, text_slices
 from .chunked import _Hash
@@ -183,11 +184,8 @@ def train(docs: DataFrame, labels: DataFrame) -> AttentionModel:
     return AttentionModel.fit([np.frombuffer(b, np.float32).reshape(-1, FEATURES) for _, b, _ in rows], np.array([q for *_, q in rows], np.float64))
 
 
-def score(docs: DataFrame, model: AttentionModel) -> DataFrame:
-    """All columns of `docs` and quality_score (0 to 1); a column of that name is replaced."""
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    name = "quality_score"
+def score(docs: DataFrame, model: AttentionModel, name: str = "quality_score") -> DataFrame:
+    """All columns of `docs` and a column `name` (0 to 1), which replaces one of that name."""
     docs = docs.drop(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

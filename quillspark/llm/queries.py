@@ -6,7 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import forest, licenses, media, neardup, packing, pieces, quality, token_files, warc
+from . import forest, licenses, media, neardup, packing, pieces, pii, quality, token_files, warc
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +50,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_nearest": op3_nearest,
     "op4_warc": op4_warc,
@@ -57,5 +62,4 @@ QUERIES = {
     "op10_pieces": op10_pieces,
 }
 
-ORACLE_SQL: dict[str, str] = {
-}
+ORACLE_SQL: dict[str, str] = {}
