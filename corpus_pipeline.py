@@ -1,3 +1,66 @@
-STAGES=[]
-ORACLE_SQL=None
-def run(spark, sf_dir): raise NotImplementedError
+"""Corpus preparation: bad documents go, one of each group of near duplicates stays, personal data is replaced, the rest is packed."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.llm import neardup, packing, pii, quality
+from quillspark.llm.batches import fresh_name
+from quillspark.plans.shared import materialize
+from quillspark.sources.tables import read_table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score reaches the threshold; those that the classifier rejects go."""
+    name = fresh_name(docs, "quality_score")
+    model = quality.train(docs, read_table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, name).where(F.col(name) >= quality.THRESHOLD).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five words, 0.8): the one with the smallest doc_id.
+
+    Rows are told apart by their place in the written input, so repeated ids don't matter: of rows
+    with the same smallest id one stays, and a null id counts as the largest.
+    """
+    row = fresh_name(docs, "row")
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    ids = materialize(rows.select(F.col(row).alias("doc_id"), F.col("doc_id").alias("own")), "ids")
+    found = neardup.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), neardup.NearDup())
+    groups = found.select("doc_id", "component_id").join(ids, "doc_id")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("own").isNull().alias("none"), "own", "doc_id")).alias("first"))
+    kept = materialize(first.select(F.col("first.doc_id").alias(row)), "kept")
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
+
+
+def private_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with keyed surrogates for personal data in their texts."""
+    count, kinds = fresh_name(docs, "n_entities"), fresh_name(docs, "kinds")
+    return pii.pseudonymize(docs, count=count, kinds=kinds).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents with their places in the training sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("private_data", private_data_stage),
+    ("packing", packing_stage),
+]
+#: No SQL expresses these stages; tests/llm holds them against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table documents; each stage but the last is written and read again."""
+    docs = read_table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs, f"stage-{name}")
+    return docs
