@@ -314,6 +314,7 @@ def pseudonymize(docs: DataFrame, key: bytes = KEY, count: str = "n_entities", k
     each = found.select(F.col(f"`{row}`").alias("row"), F.explode(f"`{entities}`").alias("e")).select("row", "e.kind", "e.value")
     values = materialize(each.select("kind", "value").distinct(), "values")
     surrogates = assign(values, key)
+    own_columns = docs.columns
     lists = each.join(surrogates, ["kind", "value"]).groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias(pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,8 +325,8 @@ def pseudonymize(docs: DataFrame, key: bytes = KEY, count: str = "n_entities", k
                 spans = find_entities(text)
                 numbers.append(len(spans))
                 names.append(",".join(sorted({_plain(k) for _, _, k, _ in spans})))
-            columns = [pa.array(texts, part.schema.field("text").type) if c == "text" else part.column(c) for c in docs.columns]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(numbers, pa.int64()), pa.array(names, pa.string())], names=[*docs.columns, count, kinds])
+            columns = [pa.array(texts, part.schema.field("text").type) if c == "text" else part.column(c) for c in own_columns]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(numbers, pa.int64()), pa.array(names, pa.string())], names=[*own_columns, count, kinds])
 
     joined = found.drop(entities).join(lists, row).drop(row)
     changed = joined.mapInArrow(run, StructType([*docs.schema.fields, StructField(count, LongType()), StructField(kinds, StringType())]))
