@@ -27,3 +27,17 @@ def components(edges: DataFrame) -> DataFrame:
         labels = twice.select("node", "component")
         if twice.where("component <> was").isEmpty():
             return labels
+
+
+def merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """`labels` (node, component; of earlier edges) after more `edges`: only their components are joined, so a call costs what is new."""
+    if labels is None:
+        return components(edges)
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
+    between = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_component", "a").alias("a"), F.coalesce("b_component", "b").alias("b")).where("a <> b").distinct()
+    between = materialize(between, "between")
+    if between.isEmpty():
+        return labels
+    found = components(between)
+    moved = labels.join(found.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return materialize(moved.unionByName(found.join(labels.select("node"), "node", "left_anti")), "labels")

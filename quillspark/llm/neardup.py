@@ -1,13 +1,14 @@
 """Near duplicates by a chosen-path similarity join over minwise tokens.
 
 Each text becomes the set of its distinct word shingles; equal sets are one class. In each of
-several independent trees a class walks down a path of selected minwise tokens (two at first, then one more a level)
-as long as its node is large; classes that are similar choose the same tokens and stay together.
-Small nodes are compared exhaustively by their sketches, and every candidate is confirmed on the
-full sets. Links between texts that other links already join add nothing to the components, so
-candidates are taken in rounds: first a spanning forest of each small node, and the nearest of
-some pivots in each dense one; then only pairs across different components. A node whose
-members are all joined is done, whatever its size; so no round emits all pairs of a large group.
+several independent trees a class walks down a path of selected minwise tokens, four at first and one
+more a level as long as its node is large; classes that are similar choose the same tokens and
+stay together. Small nodes are compared exhaustively by their sketches, and every candidate is
+confirmed on the full sets. Links between texts that other links already join add nothing to
+the components, so a node gives a spanning forest of its candidates first; the pairs left are
+tried only where an edge of that forest wasn't confirmed, and only across components. A large node gives each member's
+nearest of some pivots, then pairs across components while few members are outside the largest one, and
+branches on otherwise. So no round emits all pairs of a large group, and none is left untried that could join two components.
 """
 
 from __future__ import annotations
@@ -21,18 +22,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import delete, materialize, new_path
+from ..plans.shared import materialize
 from .batches import text_slices
 from .chunked import _Hash
-from .components import components
+from .components import merged
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-TOKENS = 128
+TOKENS = 256
 _rng = np.random.default_rng(11)
-_SCALE, _SHIFT = _rng.integers(1, 1 << 63, TOKENS, dtype=np.uint64) | np.uint64(1), _rng.integers(0, 1 << 63, TOKENS, dtype=np.uint64)
+_SCALE, _SHIFT = _rng.integers(1, 1 << 32, TOKENS, dtype=np.uint32) | np.uint32(1), _rng.integers(0, 1 << 32, TOKENS, dtype=np.uint32)
+#: Classes whose sets are wanted, at most, to send their ids to the scan of the texts; beyond, texts are shuffled to them.
+BROADCAST_ROWS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -40,15 +43,15 @@ class NearDup:
     """Parameters: `words` a shingle, link when 100 * intersection >= `percent` * union.
 
     trees and depth give the recall: a pair of similarity s meets in a tree with probability s**depth at
-    least, so 1 - (1 - s**depth)**trees; 0.99999 for 0.85, 20 trees and depth 5, and more for pairs whose nodes are small sooner.
-    small: the largest node that is compared exhaustively. slack: how far below the threshold a sketch estimate
-    may lie; four standard deviations of 128 tokens.
+    least, so 1 - (1 - s**depth)**trees; 0.9999 for 0.85, 20 trees and depth 6, and 0.9999995 for pairs whose nodes are small at the `first` depth.
+    small: the largest node that is compared exhaustively. A sketch estimate may lie four standard deviations of 256 tokens below the threshold.
     """
 
     words: int = 5
     percent: int = 80
     trees: int = 20
-    depth: int = 5
+    first: int = 4
+    depth: int = 6
     small: int = 64
     pivots: int = 16
 
@@ -86,11 +89,17 @@ class Shingler:
 
 
 def _tokens(shingles: np.ndarray) -> np.ndarray:
-    """16 bits of each minwise value."""
+    """8 bits of each minwise value."""
     least = np.full(TOKENS, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(shingles), 256):
-        np.minimum(least, ((shingles[i : i + 256, None] * _SCALE + _SHIFT) >> np.uint64(32)).astype(np.uint32).min(0), out=least)
-    return _mix(least.astype(np.uint64)).astype(np.uint16)
+    short = (shingles >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(short), 256):
+        np.minimum(least, (short[i : i + 256, None] * _SCALE + _SHIFT).min(0), out=least)
+    return _mix(least.astype(np.uint64)).astype(np.uint8)
+
+
+def _alike(equal: np.ndarray) -> np.ndarray:
+    """Similarity from the share of equal tokens: unequal values agree in 8 bits once in 256 times."""
+    return (equal * 256 - 1) / 255
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
@@ -108,7 +117,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, TOKENS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, TOKENS)
 
 
 def _descend(node: np.ndarray, tokens: np.ndarray) -> np.ndarray:
@@ -117,15 +126,16 @@ def _descend(node: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return _mix(node * np.uint64(3) + tokens[np.arange(len(node)), pick].astype(np.uint64))
 
 
-def _roots(classes: DataFrame, trees: int) -> DataFrame:
-    """node (at depth two), class_id for every class and tree."""
+def _roots(classes: DataFrame, p: NearDup) -> DataFrame:
+    """node (at the first depth), class_id for every class and tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens = _matrix(batch.column("tokens"))
-            for tree in range(trees):
+            for tree in range(p.trees):
                 node = _mix(np.full(len(tokens), tree + 1, np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                node = _descend(_descend(node, tokens), tokens)
+                for _ in range(p.first):
+                    node = _descend(node, tokens)
                 yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column("class_id")], names=["node", "class_id"])
 
     return classes.select("class_id", "tokens").mapInArrow(run, "node long, class_id long")
@@ -142,95 +152,132 @@ def _children(members: DataFrame) -> DataFrame:
     return members.select("node", "class_id", "tokens").mapInArrow(run, "node long, class_id long")
 
 
-def _sized(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows of nodes with more than one member, with the node's size and the class's tokens; written."""
-    sizes = materialize(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
-    kept = materialize(rows.join(sizes, "node"), "members")
-    return materialize(kept.join(classes.select("class_id", "tokens"), "class_id"), "members")
+def _sized(rows: DataFrame) -> DataFrame:
+    """Rows of nodes with more than one member, with the node's size; written."""
+    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return materialize(rows.join(sizes, "node"), "members")
+
+
+def _described(members: DataFrame, classes: DataFrame) -> DataFrame:
+    return members.join(classes.select("class_id", "n", "tokens"), "class_id")
 
 
 def _terminal(rows: DataFrame, classes: DataFrame, p: NearDup, levels: int) -> DataFrame:
-    """Members of the nodes where paths end: small ones, and those still large after `levels` more tokens."""
-    done, members = [], _sized(rows, classes)
+    """Members of the nodes where paths end: small ones, and those still large after `levels` more tokens; written with size, n and tokens."""
+    done, members = [], _sized(rows)
     for level in range(levels + 1):
         large = members.where(F.col("size") > p.small)
         if level == levels or large.isEmpty():
             done.append(members)
             break
         done.append(members.where(F.col("size") <= p.small))
-        members = _sized(_children(large), classes)
+        members = _sized(_children(_described(large, classes)))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select("node", "class_id", "size", "tokens")
+    return materialize(_described(out, classes).select("node", "class_id", "size", "n", "tokens"), "nodes")
+
+
+def _candidates(m: list[dict], p: NearDup) -> np.ndarray:
+    """Of all pairs of a small node's members the estimate, or 0 where it or the sizes of the sets rule a link out."""
+    tokens = np.frombuffer(b"".join(x["tokens"] for x in m), np.uint8).reshape(-1, TOKENS)
+    n = np.array([x["n"] for x in m], np.int64)
+    like = _alike((tokens[:, None, :] == tokens[None, :, :]).mean(2, dtype=np.float32))
+    fits = (like >= p.bound) & (100 * np.minimum(n[:, None], n) >= p.percent * np.maximum(n[:, None], n))
+    return np.triu(np.where(fits, like, 0), 1)
+
+
+_PAIRS = ["a", "b"]
+
+
+def _pair_batch(found: list[tuple], names: list[str] = _PAIRS) -> pa.RecordBatch:
+    kinds = {"extra": pa.bool_()}
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kinds.get(c, pa.int64())) for i, c in enumerate(names)], names=names)
 
 
 def _forest(members: DataFrame, p: NearDup) -> DataFrame:
-    """a, b: a spanning forest of each small node over the pairs whose estimate reaches the bound, best first."""
-    bound = p.bound
-    lists = members.where(F.col("size") <= p.small).groupBy("node").agg(F.collect_list(F.struct("class_id", "tokens")).alias("m"))
+    """a, b, node, extra: a spanning forest of each small node's candidates, best first, and whether it has others."""
+    lists = members.where(F.col("size") <= p.small).groupBy("node").agg(F.collect_list(F.struct("class_id", "n", "tokens")).alias("m"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[tuple[int, int]] = []
-            for m in batch.column("m").to_pylist():
-                ids = [x["class_id"] for x in m]
-                tokens = np.frombuffer(b"".join(x["tokens"] for x in m), np.uint16).reshape(-1, TOKENS)
-                like = (tokens[:, None, :] == tokens[None, :, :]).mean(2, dtype=np.float32)
-                i, j = np.nonzero(np.triu(like >= bound, 1))
-                top = list(range(len(ids)))
+            found: list[tuple] = []
+            for node, m in zip(batch.column("node").to_pylist(), batch.column("m").to_pylist(), strict=True):
+                m.sort(key=lambda x: x["class_id"])
+                like = _candidates(m, p)
+                i, j = np.nonzero(like)
+                top = list(range(len(m)))
 
                 def find(x: int, top: list[int] = top) -> int:
                     while top[x] != x:
                         top[x] = x = top[top[x]]
                     return x
 
+                own = []
                 for k in np.argsort(-like[i, j], kind="stable").tolist():
                     a, b = int(i[k]), int(j[k])
                     if (x := find(a)) != (y := find(b)):
                         top[x] = y
-                        found.append((min(ids[a], ids[b]), max(ids[a], ids[b])))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+                        own.append((m[a]["class_id"], m[b]["class_id"]))
+                found += [(a, b, node, len(own) < len(i)) for a, b in own]
+            yield _pair_batch(found, ["a", "b", "node", "extra"])
+
+    return lists.select("node", "m").mapInArrow(run, "a long, b long, node long, extra boolean")
+
+
+def _rest(labelled: DataFrame, p: NearDup) -> DataFrame:
+    """a, b: all candidates of small nodes across components."""
+    lists = labelled.groupBy("node").agg(F.collect_list(F.struct("class_id", "component", "n", "tokens")).alias("m"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple] = []
+            for m in batch.column("m").to_pylist():
+                m.sort(key=lambda x: x["class_id"])
+                found += [(m[a]["class_id"], m[b]["class_id"]) for a, b in zip(*np.nonzero(_candidates(m, p)), strict=True) if m[a]["component"] != m[b]["component"]]
+            yield _pair_batch(found)
 
     return lists.select("m").mapInArrow(run, "a long, b long")
 
 
-def _against(rows: DataFrame, bound: float, upper: float, best: int | None) -> DataFrame:
+def _against(rows: DataFrame, p: NearDup, bound: float, upper: float, best: int | None) -> DataFrame:
     """a, b of a row's class and the classes in its list `m` of another component, with bound <= estimate < upper; of those the `best` at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[tuple[int, int]] = []
-            for c, comp, raw, m in zip(*(batch.column(x).to_pylist() for x in ("class_id", "component", "tokens", "m")), strict=True):
-                own, m = np.frombuffer(raw, np.uint16), [x for x in m if x["component"] != comp]
+            for c, comp, n, raw, m in zip(*(batch.column(x).to_pylist() for x in ("class_id", "component", "n", "tokens", "m")), strict=True):
+                m = [x for x in m if x["component"] != comp and 100 * min(n, x["n"]) >= p.percent * max(n, x["n"])]
                 if not m:
                     continue
-                like = (np.frombuffer(b"".join(x["tokens"] for x in m), np.uint16).reshape(-1, TOKENS) == own).mean(1)
+                like = _alike((np.frombuffer(b"".join(x["tokens"] for x in m), np.uint8).reshape(-1, TOKENS) == np.frombuffer(raw, np.uint8)).mean(1))
                 at = np.flatnonzero((like >= bound) & (like < upper))
                 for k in at[np.argsort(-like[at], kind="stable")][:best].tolist():
                     found.append((min(c, m[k]["class_id"]), max(c, m[k]["class_id"])))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+            yield _pair_batch(found)
 
-    return rows.select("class_id", "component", "tokens", "m").mapInArrow(run, "a long, b long")
+    return rows.select("class_id", "component", "n", "tokens", "m").mapInArrow(run, "a long, b long")
 
 
-def _pivoted(members: DataFrame, p: NearDup) -> DataFrame:
+def _pivoted(dense: DataFrame, p: NearDup) -> DataFrame:
     """a, b: each member of a dense node with the two nearest of the node's pivots."""
-    dense = members.where(F.col("size") > p.small)
     slot = F.pmod(F.xxhash64("class_id", "node"), F.lit(p.pivots))
-    one = dense.groupBy("node", slot.alias("slot")).agg(F.min_by(F.struct("class_id", F.col("class_id").alias("component"), "tokens"), F.xxhash64("class_id")).alias("pivot"))
+    one = dense.groupBy("node", slot.alias("slot")).agg(F.min_by(F.struct("class_id", F.col("class_id").alias("component"), "n", "tokens"), F.xxhash64("class_id")).alias("pivot"))
     lists = materialize(one.groupBy("node").agg(F.collect_list("pivot").alias("m")), "pivots")
-    return _against(dense.withColumn("component", F.col("class_id")).join(lists, "node"), p.bound, 2.0, 2)
+    return _against(dense.withColumn("component", F.col("class_id")).join(lists, "node"), p, p.bound, 2.0, 2)
 
 
-def _across(members: DataFrame, p: NearDup, bound: float, upper: float) -> DataFrame:
-    """a, b across components, in nodes where few members lie outside the largest component: those few with all others."""
-    counts = members.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"))
-    nodes = counts.groupBy("node").agg(F.max_by("component", F.struct("n", "component")).alias("main"), (F.sum("n") - F.max("n")).alias("rest")).where(F.col("rest").between(1, p.small))
-    nodes = materialize(nodes, "nodes")
-    open_ = materialize(members.join(nodes, "node"), "open")
-    lists = materialize(open_.where("component <> main").groupBy("node").agg(F.collect_list(F.struct("class_id", "component", "tokens")).alias("m")), "minority")
-    return _against(open_.select("node", "class_id", "component", "tokens").join(lists, "node"), bound, upper, None)
+def _outside(labelled: DataFrame) -> DataFrame:
+    """node, main, rest: each node's largest component and the number of members outside it, where there are any; written."""
+    counts = labelled.groupBy("node", "component").agg(F.count(F.lit(1)).alias("members"))
+    return materialize(counts.groupBy("node").agg(F.max_by("component", F.struct("members", "component")).alias("main"), (F.sum("members") - F.max("members")).alias("rest")).where("rest > 0"), "outside")
+
+
+def _across(labelled: DataFrame, nodes: DataFrame, p: NearDup, bound: float, upper: float) -> DataFrame:
+    """a, b across components, in nodes with few members outside the largest component: those few with all others."""
+    open_ = labelled.join(nodes, "node")
+    lists = open_.where("component <> main").groupBy("node").agg(F.collect_list(F.struct("class_id", "component", "n", "tokens")).alias("m"))
+    return _against(open_.select("node", "class_id", "component", "n", "tokens").join(lists, "node"), p, bound, upper, None)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -242,7 +289,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             sets = [shingler(x).tobytes() for x in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("class_id"), pa.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in sets], pa.int64()), pa.array(sets, pa.binary())], names=["class_id", "found", "shingles"])
 
-    leads = docs.select("doc_id", "text").join(wanted.select(F.col("lead").alias("doc_id"), "class_id"), "doc_id").select("class_id", "text")
+    ids = wanted.select(F.col("lead").alias("doc_id"), "class_id")
+    if wanted.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    leads = docs.select("doc_id", "text").join(ids, "doc_id").select("class_id", "text")
     # a repeated doc_id may lead to another text
     return leads.mapInArrow(run, "class_id long, found long, shingles binary").where("class_id = found").select("class_id", "shingles")
 
@@ -273,9 +323,8 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     doc_id is repeated; a null doc_id is never smallest, and such a row isn't kept. An empty table gives no rows.
     """
     rows = materialize(sketches(docs, p.words), "sketches")
-    classes = materialize(rows.where("class_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens")), "classes")
-    links = _links(docs, classes, p)
-    joined = components(links)
+    classes = materialize(rows.where("class_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens")), "classes")
+    joined = _joined(docs, classes, p)
     lead = classes.select("class_id", "lead", "copies").join(joined.withColumnRenamed("node", "class_id"), "class_id", "left")
     group = lead.where("component is not null").groupBy("component").agg(F.min("lead").alias("least"))
     group = materialize(group, "groups")
@@ -286,34 +335,71 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "class_id")
 
 
-def _links(docs: DataFrame, classes: DataFrame, p: NearDup) -> DataFrame:
-    """Confirmed links a, b between classes that join all that are linked."""
-    members = materialize(_terminal(_roots(classes, p.trees), classes, p, p.depth - 2), "nodes")
-    # a node's members in a class with null lead can't be read again by id; they keep to themselves
-    wanted = materialize(members.select("class_id").distinct().join(classes.select("class_id", "lead"), "class_id").where("lead is not null"), "wanted")
-    sets = materialize(_sets(docs, wanted, p.words), "sets")
-    first = materialize(_forest(members, p).unionByName(_pivoted(members, p)).distinct(), "pairs")
-    tried, links = first, _confirmed(first, sets, p.percent)
-    extra, labelled = 0, None
-    while True:
-        for bound, upper in ((0.5 + p.bound / 2, 2.0), (p.percent / 100, 0.5 + p.bound / 2), (p.bound, p.percent / 100)):
-            if labelled is None:  # links or members have changed
-                joined = components(links)
-                labelled = members.join(joined.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
-                labelled = materialize(labelled, "labelled")
-            pairs = materialize(_across(labelled, p, bound, upper).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+def _joined(docs: DataFrame, classes: DataFrame, p: NearDup) -> DataFrame:
+    """class_id as node, component: of all classes that confirmed links join to others."""
+    # classes with a null lead can't be read again by id; they keep to themselves
+    known = classes.where("lead is not null")
+    members = _terminal(_roots(known, p), known, p, p.depth - p.first)
+    sets = tried = joined = None
+
+    def confirm(pairs: DataFrame) -> DataFrame | None:
+        """The links among new pairs, which are then tried and joined; None if there are none."""
+        nonlocal tried, joined
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = _confirmed(pairs, sets, p.percent)
+        if joined is not None and links.isEmpty():
+            return None
+        joined = merged(joined, links)
+        return links
+
+    for _ in range(TOKENS):
+        dense = members.where(F.col("size") > p.small)
+        some = not dense.isEmpty()
+        forest = materialize(_forest(members, p), "forest")
+        first = forest.select(*_PAIRS)
+        if some:
+            first = first.unionByName(_pivoted(dense, p))
+        first = first.distinct()
+        first = materialize(first if tried is None else first.join(tried, _PAIRS, "left_anti"), "pairs")
+        if sets is None:
+            # every class with a candidate is in a forest, or in a dense node
+            ids = first.select(F.col("a").alias("class_id")).unionByName(first.select(F.col("b").alias("class_id"))).unionByName(dense.select("class_id")).distinct()
+            sets = materialize(_sets(docs, materialize(ids.join(known.select("class_id", "lead"), "class_id"), "wanted"), p.words), "sets")
+        confirm(first)
+        # an edge that leads to two components isn't a link: the other candidates of its node are tried
+        edges = _component_of(_component_of(forest.where("extra"), joined, "a"), joined, "b")
+        again = materialize(edges.where("a_component <> b_component").select("node").distinct(), "again")
+        if not again.isEmpty():
+            small = members.where(F.col("size") <= p.small).join(again, "node")
+            pairs = materialize(_rest(_labelled(small, joined), p).distinct().join(tried, _PAIRS, "left_anti"), "pairs")
             if not pairs.isEmpty():
-                tried = tried.unionByName(pairs)
-                links, labelled = links.unionByName(_confirmed(pairs, sets, p.percent)), None
-        if labelled is None:
-            labelled = members.join(components(links).withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
-        mixed = labelled.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg((F.sum("n") - F.max("n")).alias("rest")).where(F.col("rest") > p.small)
-        mixed = materialize(mixed.select("node"), "mixed")
-        if mixed.isEmpty() or extra >= TOKENS:
-            return links
+                confirm(pairs)
+        if not some:
+            return joined
+        labelled = None
+        for bound, upper in ((p.percent / 100, 2.0), (p.bound, p.percent / 100)):
+            if labelled is None:
+                labelled = materialize(_labelled(dense, joined), "labelled")
+                outside = _outside(labelled)
+            few = outside.where(F.col("rest") <= p.small)
+            if few.isEmpty():
+                break
+            pairs = materialize(_across(labelled, few, p, bound, upper).distinct().join(tried, _PAIRS, "left_anti"), "pairs")
+            if not pairs.isEmpty() and confirm(pairs) is not None:
+                labelled = None
         # dense nodes with many members outside their largest component branch on
-        extra += 2
-        members = materialize(_terminal(_children(members.join(mixed, "node")), classes, p, 1), "nodes")
-        first = materialize(_forest(members, p).unionByName(_pivoted(members, p)).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.unionByName(first)
-        links, labelled = links.unionByName(_confirmed(first, sets, p.percent)), None
+        many = outside.where(F.col("rest") > p.small)
+        if many.isEmpty():
+            return joined
+        members = _terminal(_children(dense.join(many.select("node"), "node")), known, p, 3)
+    return joined
+
+
+def _component_of(rows: DataFrame, joined: DataFrame, column: str) -> DataFrame:
+    """`rows` with the component of the class in `column`, which is the class itself where nothing joins it."""
+    found = joined.select(F.col("node").alias(column), F.col("component").alias("found"))
+    return rows.join(found, column, "left").withColumn(f"{column}_component", F.coalesce("found", column)).drop("found")
+
+
+def _labelled(members: DataFrame, joined: DataFrame) -> DataFrame:
+    return _component_of(members, joined, "class_id").withColumnRenamed("class_id_component", "component")
