@@ -112,7 +112,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, ascend: float = ASC
             q /= np.abs(q).max(1)[:, None]
             size, own = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
             lead, k1, k2 = (rows[c].to_numpy() for c in ("lead", "k1", "k2"))
-            found = Forest(x / size[:, None]).candidates(q / own[:, None], ascend * len(x))
+            found = Forest(x / size[:, None]).candidates(q / own[:, None], max(ascend * len(x), TREES * (k + 1)))  # that many are k + 1 different rows, or all
             for i, at in enumerate(found):
                 score = np.clip((x[at] * q[i]).sum(1) / (size[at] * own[i]), -1, 1)
                 best = np.lexsort((lead[at], -score))[: k + 1]
