@@ -162,10 +162,15 @@ def _described(members: DataFrame, classes: DataFrame) -> DataFrame:
     return members.join(classes.select("class_id", "n", "tokens"), "class_id")
 
 
-def _terminal(rows: DataFrame, classes: DataFrame, p: NearDup, levels: int) -> DataFrame:
-    """Members of the nodes where paths end: small ones, and those still large after `levels` more tokens; written with size, n and tokens."""
+def _terminal(rows: DataFrame, classes: DataFrame, p: NearDup, levels: int, joined: DataFrame | None = None) -> DataFrame:
+    """Members of the nodes where paths end: small ones, and those still large after `levels` more tokens; written with size, n and tokens.
+
+    With the components `joined` so far, nodes of one component end at once: they have nothing left to join.
+    """
     done, members = [], _sized(rows)
     for level in range(levels + 1):
+        if joined is not None:
+            members = materialize(members.join(_outside(_labelled(members, joined)).select("node"), "node"), "mixed")
         large = members.where(F.col("size") > p.small)
         if level == levels or large.isEmpty():
             done.append(members)
@@ -391,7 +396,7 @@ def _joined(docs: DataFrame, classes: DataFrame, p: NearDup) -> DataFrame:
         many = outside.where(F.col("rest") > p.small)
         if many.isEmpty():
             return joined
-        members = _terminal(_children(dense.join(many.select("node"), "node")), known, p, 3)
+        members = _terminal(_children(dense.join(many.select("node"), "node")), known, p, 8, joined)
     return joined
 
 
