@@ -141,13 +141,16 @@ def _roots(classes: DataFrame, p: NearDup) -> DataFrame:
     return classes.select("class_id", "tokens").mapInArrow(run, "node long, class_id long")
 
 
-def _children(members: DataFrame) -> DataFrame:
+def _children(members: DataFrame, steps: int = 1) -> DataFrame:
+    """node, class_id `steps` tokens further down."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                node = batch.column("node").to_numpy().view(np.uint64)
-                down = _descend(node, _matrix(batch.column("tokens"))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(down), batch.column("class_id")], names=["node", "class_id"])
+                node, tokens = batch.column("node").to_numpy().view(np.uint64), _matrix(batch.column("tokens"))
+                for _ in range(steps):
+                    node = _descend(node, tokens)
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column("class_id")], names=["node", "class_id"])
 
     return members.select("node", "class_id", "tokens").mapInArrow(run, "node long, class_id long")
 
@@ -176,7 +179,7 @@ def _terminal(rows: DataFrame, classes: DataFrame, p: NearDup, levels: int, join
             done.append(members)
             break
         done.append(members.where(F.col("size") <= p.small))
-        members = _sized(_children(_described(large, classes)))
+        members = _sized(materialize(_children(_described(large, classes), 1 if joined is None else 2), "children"))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -396,7 +399,7 @@ def _joined(docs: DataFrame, classes: DataFrame, p: NearDup) -> DataFrame:
         many = outside.where(F.col("rest") > p.small)
         if many.isEmpty():
             return joined
-        members = _terminal(_children(dense.join(many.select("node"), "node")), known, p, 8, joined)
+        members = _terminal(materialize(_children(dense.join(many.select("node"), "node"), 2), "children"), known, p, 3, joined)
     return joined
 
 
