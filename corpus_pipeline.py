@@ -31,8 +31,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = neardup.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), neardup.NearDup())
     groups = found.select("doc_id", "component_id").join(ids, "doc_id")
     first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("own").isNull().alias("none"), "own", "doc_id")).alias("first"))
-    kept = materialize(first.select(F.col("first.doc_id").alias(row)), "kept")
-    return rows.join(kept, row, "left_semi").select(*docs.columns)
+    others = groups.join(first, (groups.component_id == first.component_id) & (F.col("doc_id") == F.col("first.doc_id")), "left_anti")
+    gone = materialize(others.select(F.col("doc_id").alias(row)), "gone")
+    if gone.count() <= neardup.BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def private_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
