@@ -105,3 +105,22 @@ def maximal_terms(terms: DataFrame) -> DataFrame:
     """term: those not contained in a longer one. `terms` is a vocabulary, a table of checked size."""
     b = terms.select(F.col("term").alias("longer"))
     return terms.join(b, (F.length("longer") > F.length("term")) & F.contains("longer", "term"), "left_anti")
+
+
+def next_cells(cells: DataFrame) -> DataFrame:
+    """table, col, right: each cell with the next addressable one to its right."""
+    return cells.select("table", "col", F.lead("text").over(Window.partitionBy("table").orderBy("col")).alias("right"))
+
+
+def vocabulary_differences(left: DataFrame, right: DataFrame) -> DataFrame:
+    """side, words: how many distinct words only the left has, only the right, or both."""
+    words = lambda d: d.select(F.explode(T.tokens(F.col("text"))).alias("word")).distinct()
+    a, b = words(left), words(right)
+    sides = {"both": a.intersect(b), "left": a.subtract(b), "right": b.subtract(a)}
+    counts = [d.agg(F.count(F.lit(1)).alias("words")).select(F.lit(name).alias("side"), "words") for name, d in sides.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+def first_qualifying(rows: DataFrame, least: float) -> DataFrame:
+    """key, line, value: the first row of each key whose value reaches `least`."""
+    return rows.where(F.col("value") >= least).groupBy("key").agg(F.min(F.struct("line", "value")).alias("f")).select("key", "f.line", "f.value")

@@ -63,3 +63,16 @@ def stale(events: DataFrame, seconds: int = 86_400) -> DataFrame:
     silent = (F.unix_micros(F.col("newest").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1_000_000
     # one row, so it may go everywhere
     return last.join(F.broadcast(newest), F.lit(True)).select("user_id", F.floor(silent).cast("long").alias("silent_s")).where(F.col("silent_s") > seconds)
+
+
+def in_effect(events: DataFrame, kind: str) -> DataFrame:
+    """event_id, last_id: the user's last event of a kind at or before each event (an as-of join)."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return events.select("event_id", F.last(F.when(F.col("event_type") == kind, F.col("event_id")), True).over(w).alias("last_id"))
+
+
+def occurrence_ids(events: DataFrame) -> DataFrame:
+    """event_id, ordinal, claim_id: a stable id from the signature and which occurrence of it this is."""
+    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    rows = events.withColumn("ordinal", F.row_number().over(w))
+    return rows.select("event_id", "ordinal", F.sha2(F.concat_ws("|", "user_id", "event_type", "ordinal"), 256).alias("claim_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import privacy, relational, reuse, state, text
+from ..operators import gates, privacy, relational, reuse, state, text
 from ..sources.tables import read_table
 
 TERMS = ["password", "license", "token"]
@@ -100,6 +100,28 @@ def rolled_up(spark, sf_dir):
     return privacy.rollup(docs, privacy.findings(docs, TERMS))
 
 
+GATES = {"k_known": "k >= 0", "k_small": "k < 90", "k_fifty": "k == 50"}
+
+
+def rule_states(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    rules = spark.createDataFrame([("email",), ("denied_term",), ("user_path",)], "rule string")
+    return gates.rule_states(rules, privacy.findings(docs, TERMS))
+
+
+def next_cells(spark, sf_dir):
+    return relational.next_cells(read_table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("table"), F.col("turn").alias("col"), F.col("role").alias("text")))
+
+
+def vocabulary_differences(spark, sf_dir):
+    docs, items = _t(spark, sf_dir, "documents", "benchmark")
+    return relational.vocabulary_differences(docs, items)
+
+
+def first_qualifying(spark, sf_dir):
+    return relational.first_qualifying(read_table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("line")).agg(F.max("l_quantity").alias("value")), 40.0)
+
+
 def _on(table: str, operator, *args):
     return lambda spark, sf_dir: operator(read_table(spark, sf_dir, table), *args)
 
@@ -143,6 +165,13 @@ QUERIES = {
     "event_windows": _on("events", state.windows),
     "event_sessions": _on("events", state.sessions),
     "property_path": _on("events", state.property_path),
+    "in_effect": _on("events", state.in_effect, "purchase"),
+    "occurrence_ids": _on("events", state.occurrence_ids),
+    "gate_results": _on("events", gates.gate_results, "props", GATES),
+    "rule_states": rule_states,
+    "next_cells": next_cells,
+    "vocabulary_differences": vocabulary_differences,
+    "first_qualifying": first_qualifying,
     "stale_users": _on("events", state.stale),
 }
 
@@ -260,6 +289,24 @@ ORACLE_SQL = {
     "property_path": """
         SELECT event_type, count(v) AS n, min(v) AS least, max(v) AS most, count(*) FILTER (v IS NULL) AS missing
         FROM (SELECT event_type, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS v FROM events) GROUP BY 1""",
+    "in_effect": "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last_id FROM events",
+    "occurrence_ids": """
+        SELECT event_id, CAST(o AS INTEGER) AS ordinal, sha256(user_id || '|' || event_type || '|' || o) AS claim_id
+        FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS o FROM events)""",
+    "gate_results": """
+        WITH k AS (SELECT TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events),
+        g AS (SELECT 'k_known' AS gate, count(*) AS rows, count(*) FILTER (k >= 0) AS passed FROM k UNION ALL SELECT 'k_small', count(*), count(*) FILTER (k < 90) FROM k UNION ALL SELECT 'k_fifty', count(*), count(*) FILTER (k = 50) FROM k)
+        SELECT *, rows > 0 AND rows = passed AS all_pass FROM g""",
+    "rule_states": f"""
+        WITH l AS (SELECT unnest({_LINES}) AS t FROM documents),
+        m AS (SELECT regexp_matches(lower(email), '^noreply|(@|\\.)example\\.com$|\\.invalid$|@users\\.noreply\\.github\\.com$') AS exempt FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}')) AS email FROM documents))
+        SELECT 'email' AS rule, CASE WHEN count(*) FILTER (NOT exempt) > 0 THEN 'hard' WHEN count(*) > 0 THEN 'warn' ELSE 'clean' END AS state FROM m
+        UNION ALL SELECT 'denied_term', CASE WHEN count(*) > 0 THEN 'hard' ELSE 'clean' END FROM l WHERE regexp_matches(lower(t), 'password|license|token') UNION ALL SELECT 'user_path', 'clean'""",
+    "next_cells": "SELECT conv_id AS \"table\", turn AS col, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS \"right\" FROM conversations",
+    "vocabulary_differences": f"""
+        WITH a AS (SELECT DISTINCT unnest({_TOKENS.format("text")}) AS w FROM documents), b AS (SELECT DISTINCT unnest({_TOKENS.format("text")}) AS w FROM benchmark)
+        SELECT 'both' AS side, count(*) AS words FROM (FROM a INTERSECT FROM b) UNION ALL SELECT 'left', count(*) FROM (FROM a EXCEPT FROM b) UNION ALL SELECT 'right', count(*) FROM (FROM b EXCEPT FROM a)""",
+    "first_qualifying": "SELECT l_orderkey AS key, min(l_linenumber) AS line, arg_min(q, l_linenumber) AS value FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) AS q FROM lineitem GROUP BY 1, 2) WHERE q >= 40 GROUP BY 1",
     "stale_users": """
         SELECT user_id, CAST(floor(epoch_us(m) / 1e6 - epoch_us(t) / 1e6) AS BIGINT) AS silent_s
         FROM (SELECT user_id, max(ts) AS t, (SELECT max(ts) FROM events) AS m FROM events GROUP BY 1) WHERE silent_s > 86400""",
