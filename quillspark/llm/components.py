@@ -13,9 +13,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each pass takes the least label among a node's neighbours and then that label's own label, so
     the passes needed grow with the logarithm of a component's width. Every pass is a written table; hubs
-    are joined by split partitions, never gathered.
+    are joined by split partitions, never gathered. Repeated edges do no harm.
     """
-    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
+    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b"), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")), "labels")
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("least"))

@@ -1,8 +1,8 @@
 """Near duplicates by a chosen-path similarity join over minwise tokens.
 
 Each text becomes the set of its distinct word shingles; equal sets are one class. In each of
-several independent trees a class walks down a path of selected minwise tokens, four at first and one
-more a level as long as its node is large; classes that are similar choose the same tokens and
+several independent trees a class walks down a path of selected minwise tokens, four at first and two
+more at a time as long as its node is large; classes that are similar choose the same tokens and
 stay together. Small nodes are compared exhaustively by their sketches, and every candidate is
 confirmed on the full sets. Links between texts that other links already join add nothing to
 the components, so a node gives a spanning forest of its candidates first; the pairs left are
@@ -36,6 +36,8 @@ _rng = np.random.default_rng(11)
 _SCALE, _SHIFT = _rng.integers(1, 1 << 32, TOKENS, dtype=np.uint32) | np.uint32(1), _rng.integers(0, 1 << 32, TOKENS, dtype=np.uint32)
 #: Classes whose sets are wanted, at most, to send their ids to the scan of the texts; beyond, texts are shuffled to them.
 BROADCAST_ROWS = 1 << 20
+#: Nodes whose lists of at most 64 members (some 23 KB) are sent to the rows of dense nodes; beyond, both are shuffled by node.
+BROADCAST_NODES = 1 << 10
 
 
 @dataclass(frozen=True)
@@ -155,31 +157,30 @@ def _children(members: DataFrame, steps: int = 1) -> DataFrame:
     return members.select("node", "class_id", "tokens").mapInArrow(run, "node long, class_id long")
 
 
-def _sized(rows: DataFrame) -> DataFrame:
-    """Rows of nodes with more than one member, with the node's size; written."""
-    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return materialize(rows.join(sizes, "node"), "members")
+def _sized(rows: DataFrame, joined: DataFrame | None) -> DataFrame:
+    """Rows of nodes with more than one member, or with more than one component of those `joined` so far, with the node's size; written."""
+    named = rows.withColumn("component", F.col("class_id")) if joined is None else _labelled(rows, joined)
+    sizes = named.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
+    return materialize(rows.join(sizes.select("node", "size"), "node"), "members")
 
 
 def _described(members: DataFrame, classes: DataFrame) -> DataFrame:
     return members.join(classes.select("class_id", "n", "tokens"), "class_id")
 
 
-def _terminal(rows: DataFrame, classes: DataFrame, p: NearDup, levels: int, joined: DataFrame | None = None) -> DataFrame:
-    """Members of the nodes where paths end: small ones, and those still large after `levels` more tokens; written with size, n and tokens.
+def _terminal(rows: DataFrame, classes: DataFrame, p: NearDup, steps: int, levels: int, joined: DataFrame | None = None) -> DataFrame:
+    """Members of the nodes where paths end: small ones, and those still large after `levels` times `steps` more tokens; written with size, n and tokens.
 
     With the components `joined` so far, nodes of one component end at once: they have nothing left to join.
     """
-    done, members = [], _sized(rows)
+    done, members = [], _sized(rows, joined)
     for level in range(levels + 1):
-        if joined is not None:
-            members = materialize(members.join(_outside(_labelled(members, joined)).select("node"), "node"), "mixed")
         large = members.where(F.col("size") > p.small)
         if level == levels or large.isEmpty():
             done.append(members)
             break
         done.append(members.where(F.col("size") <= p.small))
-        members = _sized(materialize(_children(_described(large, classes), 1 if joined is None else 2), "children"))
+        members = _sized(materialize(_children(_described(large, classes), steps), "children"), joined)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -272,6 +273,8 @@ def _pivoted(dense: DataFrame, p: NearDup) -> DataFrame:
     slot = F.pmod(F.xxhash64("class_id", "node"), F.lit(p.pivots))
     one = dense.groupBy("node", slot.alias("slot")).agg(F.min_by(F.struct("class_id", F.col("class_id").alias("component"), "n", "tokens"), F.xxhash64("class_id")).alias("pivot"))
     lists = materialize(one.groupBy("node").agg(F.collect_list("pivot").alias("m")), "pivots")
+    if lists.count() <= BROADCAST_NODES:
+        lists = F.broadcast(lists)
     return _against(dense.withColumn("component", F.col("class_id")).join(lists, "node"), p, p.bound, 2.0, 2)
 
 
@@ -281,10 +284,12 @@ def _outside(labelled: DataFrame) -> DataFrame:
     return materialize(counts.groupBy("node").agg(F.max_by("component", F.struct("members", "component")).alias("main"), (F.sum("members") - F.max("members")).alias("rest")).where("rest > 0"), "outside")
 
 
-def _across(labelled: DataFrame, nodes: DataFrame, p: NearDup, bound: float, upper: float) -> DataFrame:
-    """a, b across components, in nodes with few members outside the largest component: those few with all others."""
+def _across(labelled: DataFrame, nodes: DataFrame, count: int, p: NearDup, bound: float, upper: float) -> DataFrame:
+    """a, b across components, in nodes with few members outside the largest component: those few (p.small at most) with all others; `count` nodes."""
     open_ = labelled.join(nodes, "node")
     lists = open_.where("component <> main").groupBy("node").agg(F.collect_list(F.struct("class_id", "component", "n", "tokens")).alias("m"))
+    if count <= BROADCAST_NODES:
+        lists = F.broadcast(lists)
     return _against(open_.select("node", "class_id", "component", "n", "tokens").join(lists, "node"), p, bound, upper, None)
 
 
@@ -347,7 +352,7 @@ def _joined(docs: DataFrame, classes: DataFrame, p: NearDup) -> DataFrame:
     """class_id as node, component: of all classes that confirmed links join to others."""
     # classes with a null lead can't be read again by id; they keep to themselves
     known = classes.where("lead is not null")
-    members = _terminal(_roots(known, p), known, p, p.depth - p.first)
+    members = _terminal(_roots(known, p), known, p, p.depth - p.first, 1)
     sets = tried = joined = None
 
     def confirm(pairs: DataFrame) -> DataFrame | None:
@@ -376,9 +381,9 @@ def _joined(docs: DataFrame, classes: DataFrame, p: NearDup) -> DataFrame:
         confirm(first)
         # an edge that leads to two components isn't a link: the other candidates of its node are tried
         edges = _component_of(_component_of(forest.where("extra"), joined, "a"), joined, "b")
-        again = materialize(edges.where("a_component <> b_component").select("node").distinct(), "again")
+        again = materialize(edges.where("a_component <> b_component").select("node"), "again")
         if not again.isEmpty():
-            small = members.where(F.col("size") <= p.small).join(again, "node")
+            small = members.where(F.col("size") <= p.small).join(again, "node", "left_semi")
             pairs = materialize(_rest(_labelled(small, joined), p).distinct().join(tried, _PAIRS, "left_anti"), "pairs")
             if not pairs.isEmpty():
                 confirm(pairs)
@@ -390,16 +395,16 @@ def _joined(docs: DataFrame, classes: DataFrame, p: NearDup) -> DataFrame:
                 labelled = materialize(_labelled(dense, joined), "labelled")
                 outside = _outside(labelled)
             few = outside.where(F.col("rest") <= p.small)
-            if few.isEmpty():
+            if not (count := few.count()):
                 break
-            pairs = materialize(_across(labelled, few, p, bound, upper).distinct().join(tried, _PAIRS, "left_anti"), "pairs")
+            pairs = materialize(_across(labelled, few, count, p, bound, upper).distinct().join(tried, _PAIRS, "left_anti"), "pairs")
             if not pairs.isEmpty() and confirm(pairs) is not None:
                 labelled = None
         # dense nodes with many members outside their largest component branch on
         many = outside.where(F.col("rest") > p.small)
         if many.isEmpty():
             return joined
-        members = _terminal(materialize(_children(dense.join(many.select("node"), "node"), 2), "children"), known, p, 3, joined)
+        members = _terminal(materialize(_children(dense.join(many.select("node"), "node"), 2), "children"), known, p, 2, 3, joined)
     return joined
 
 
