@@ -1,8 +1,8 @@
 """Near duplicates by a chosen-path similarity join over minwise tokens.
 
 Each text becomes the set of its distinct word shingles; equal sets are one class. In each of
-several independent trees a class walks down a path of selected minwise tokens, four at first and two
-more at a time as long as its node is large; classes that are similar choose the same tokens and
+several independent trees a class walks down a path of selected minwise tokens, four at first and one
+more a level as long as its node is large; classes that are similar choose the same tokens and
 stay together. Small nodes are compared exhaustively by their sketches, and every candidate is
 confirmed on the full sets. Links between texts that other links already join add nothing to
 the components, so a node gives a spanning forest of its candidates first; the pairs left are
@@ -352,7 +352,7 @@ def _joined(docs: DataFrame, classes: DataFrame, p: NearDup) -> DataFrame:
     """class_id as node, component: of all classes that confirmed links join to others."""
     # classes with a null lead can't be read again by id; they keep to themselves
     known = classes.where("lead is not null")
-    members = _terminal(_roots(known, p), known, p, p.depth - p.first, 1)
+    members = _terminal(_roots(known, p), known, p, 1, p.depth - p.first)
     sets = tried = joined = None
 
     def confirm(pairs: DataFrame) -> DataFrame | None:
