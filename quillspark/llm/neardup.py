@@ -389,17 +389,26 @@ def _joined(docs: DataFrame, classes: DataFrame, p: NearDup) -> DataFrame:
                 confirm(pairs)
         if not some:
             return joined
-        labelled = None
-        for bound, upper in ((p.percent / 100, 2.0), (p.bound, p.percent / 100)):
-            if labelled is None:
-                labelled = materialize(_labelled(dense, joined), "labelled")
-                outside = _outside(labelled)
+        # links of one node can leave few outside in another: each goes through both bands, whenever it comes to have few
+        through = None
+        while True:
+            labelled = materialize(_labelled(dense, joined), "labelled")
+            outside = _outside(labelled)
             few = outside.where(F.col("rest") <= p.small)
-            if not (count := few.count()):
+            if through is not None:
+                few = few.join(through, "node", "left_anti")
+            few = materialize(few, "few")
+            if few.isEmpty():
                 break
-            pairs = materialize(_across(labelled, few, count, p, bound, upper).distinct().join(tried, _PAIRS, "left_anti"), "pairs")
-            if not pairs.isEmpty() and confirm(pairs) is not None:
-                labelled = None
+            nodes = few.select("node")
+            through = nodes if through is None else through.unionByName(nodes)
+            for bound, upper in ((p.percent / 100, 2.0), (p.bound, p.percent / 100)):
+                if not (count := few.count()):
+                    break
+                pairs = materialize(_across(labelled, few, count, p, bound, upper).distinct().join(tried, _PAIRS, "left_anti"), "pairs")
+                if not pairs.isEmpty() and confirm(pairs) is not None:
+                    labelled = materialize(_labelled(dense, joined), "labelled")
+                    few = _outside(labelled).join(nodes, "node", "left_semi")
         # dense nodes with many members outside their largest component branch on
         many = outside.where(F.col("rest") > p.small)
         if many.isEmpty():

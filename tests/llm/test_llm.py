@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.llm import forest, licenses, media, neardup, packing, pieces, pii, quality, queries, token_files, warc
 from quillspark.plans.shared import new_path
@@ -73,6 +74,22 @@ def test_near_duplicates_in_dense_nodes(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, p).collect()) == groups(rows, 3, 85)
 
 
+def test_near_duplicates_where_links_shrink_another_dense_node(spark, monkeypatch):
+    texts = {0: [f"w{i}" for i in range(200)]}
+    # a group about member 0, a chain that starts at its member 1 and another at its member 2
+    for i, (of, slot) in enumerate([*((0, k) for k in range(9)), (1, 9), (10, 10), (11, 11), (2, 9), (13, 10), (14, 11)], 1):
+        texts[i] = list(texts[of])
+        texts[i][slot * 14 : slot * 14 + 14] = [f"n{i}-{j}" for j in range(14)]
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in texts.items()], "doc_id long, text string")
+    p = neardup.NearDup(words=1, percent=80, small=4)
+    classes = neardup.sketches(df, 1).select("class_id", "tokens", F.col("n_shingles").alias("n"), F.col("doc_id").alias("lead")).cache()
+    nodes = {1: range(4), 2: (0, 4, 5, 6), 3: (0, 7, 8, 9), 4: (10, 11), 5: (11, 12), 6: (13, 14), 7: (14, 15), 8: range(13), 9: range(16)}
+    places = spark.createDataFrame([(n, d, len(m)) for n, m in nodes.items() for d in m], "node long, lead long, size long")
+    monkeypatch.setattr(neardup, "_terminal", lambda *a: places.join(classes, "lead").select("node", "class_id", "size", "n", "tokens"))
+    monkeypatch.setattr(neardup, "_pivoted", lambda *a: spark.createDataFrame([], "a long, b long"))
+    assert neardup._joined(df, classes, p).select("component").distinct().count() == 1
+
+
 def test_near_duplicates_of_edge_cases(spark, edge):
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in neardup.near_duplicates(edge).collect())
     assert got == sorted([("1", 0, "1", True), ("2", 0, "2", True), ("3", 0, "3", True), ("4", 1, "4", True), ("4", 1, "4", True), ("None", 1, "None", False), ("5", 1, "5", True), ("6", 1, "6", True), ("7", 1, "4", False)])
