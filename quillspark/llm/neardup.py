@@ -6,9 +6,10 @@ more a level as long as its node is large; classes that are similar choose the s
 stay together. Small nodes are compared exhaustively by their sketches, and every candidate is
 confirmed on the full sets. Links between texts that other links already join add nothing to
 the components, so a node gives a spanning forest of its candidates first; the pairs left are
-tried only where an edge of that forest wasn't confirmed, and only across components. A large node gives each member's
-nearest of some pivots, then pairs across components while few members are outside the largest one, and
-branches on otherwise. So no round emits all pairs of a large group, and none is left untried that could join two components.
+tried only where an edge of that forest wasn't confirmed, and only across components. A large node, at the full
+depth, gives each member's nearest of some pivots; then its members outside the largest component are held against all
+others in blocks, the best of each first and in the end all candidates across components. So no round emits all pairs of a
+group that hangs together, and of the pairs that share a node none is left untried that could join two components.
 """
 
 from __future__ import annotations
@@ -36,8 +37,12 @@ _rng = np.random.default_rng(11)
 _SCALE, _SHIFT = _rng.integers(1, 1 << 32, TOKENS, dtype=np.uint32) | np.uint32(1), _rng.integers(0, 1 << 32, TOKENS, dtype=np.uint32)
 #: Classes whose sets are wanted, at most, to send their ids to the scan of the texts; beyond, texts are shuffled to them.
 BROADCAST_ROWS = 1 << 20
-#: Nodes whose lists of at most 64 members (some 23 KB) are sent to the rows of dense nodes; beyond, both are shuffled by node.
+#: Nodes whose lists of pivots are sent to the rows of dense nodes; beyond, both are shuffled by node.
 BROADCAST_NODES = 1 << 10
+#: Members outside the largest components of their nodes (some 350 bytes each) that are sent to all blocks; beyond, both are shuffled by node and block.
+BROADCAST_MEMBERS = 1 << 15
+#: Members of a dense node in a block, about; blocks are held against each other.
+BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -45,7 +50,7 @@ class NearDup:
     """Parameters: `words` a shingle, link when 100 * intersection >= `percent` * union.
 
     trees and depth give the recall: a pair of similarity s meets in a tree with probability s**depth at
-    least, so 1 - (1 - s**depth)**trees; 0.9999 for 0.85, 20 trees and depth 6, and 0.9999995 for pairs whose nodes are small at the `first` depth.
+    least, so 1 - (1 - s**depth)**trees: with 20 trees at depth 4, 5, 6 it is 0.9999996, 0.999991, 0.99992 for 0.85 and 0.99997, 0.9996, 0.9977 for 0.80; no node goes deeper.
     small: the largest node that is compared exhaustively. A sketch estimate may lie four standard deviations of 256 tokens below the threshold.
     """
 
@@ -143,24 +148,21 @@ def _roots(classes: DataFrame, p: NearDup) -> DataFrame:
     return classes.select("class_id", "tokens").mapInArrow(run, "node long, class_id long")
 
 
-def _children(members: DataFrame, steps: int = 1) -> DataFrame:
-    """node, class_id `steps` tokens further down."""
+def _children(members: DataFrame) -> DataFrame:
+    """node, class_id one token further down."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                node, tokens = batch.column("node").to_numpy().view(np.uint64), _matrix(batch.column("tokens"))
-                for _ in range(steps):
-                    node = _descend(node, tokens)
+                node = _descend(batch.column("node").to_numpy().view(np.uint64), _matrix(batch.column("tokens")))
                 yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column("class_id")], names=["node", "class_id"])
 
     return members.select("node", "class_id", "tokens").mapInArrow(run, "node long, class_id long")
 
 
-def _sized(rows: DataFrame, joined: DataFrame | None) -> DataFrame:
-    """Rows of nodes with more than one member, or with more than one component of those `joined` so far, with the node's size; written."""
-    named = rows.withColumn("component", F.col("class_id")) if joined is None else _labelled(rows, joined)
-    sizes = named.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
+def _sized(rows: DataFrame) -> DataFrame:
+    """Rows of nodes with more than one member, with the node's size; written."""
+    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("class_id").alias("least"), F.max("class_id").alias("most")).where("least <> most")
     return materialize(rows.join(sizes.select("node", "size"), "node"), "members")
 
 
@@ -168,19 +170,16 @@ def _described(members: DataFrame, classes: DataFrame) -> DataFrame:
     return members.join(classes.select("class_id", "n", "tokens"), "class_id")
 
 
-def _terminal(rows: DataFrame, classes: DataFrame, p: NearDup, steps: int, levels: int, joined: DataFrame | None = None) -> DataFrame:
-    """Members of the nodes where paths end: small ones, and those still large after `levels` times `steps` more tokens; written with size, n and tokens.
-
-    With the components `joined` so far, nodes of one component end at once: they have nothing left to join.
-    """
-    done, members = [], _sized(rows, joined)
-    for level in range(levels + 1):
+def _terminal(rows: DataFrame, classes: DataFrame, p: NearDup) -> DataFrame:
+    """Members of the nodes where paths end: small ones, and those still large at the full depth; written with size, n and tokens."""
+    done, members = [], _sized(rows)
+    for level in range(p.first, p.depth + 1):
         large = members.where(F.col("size") > p.small)
-        if level == levels or large.isEmpty():
+        if level == p.depth or large.isEmpty():
             done.append(members)
             break
         done.append(members.where(F.col("size") <= p.small))
-        members = _sized(materialize(_children(_described(large, classes), steps), "children"), joined)
+        members = _sized(materialize(_children(_described(large, classes)), "children"))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -249,8 +248,8 @@ def _rest(labelled: DataFrame, p: NearDup) -> DataFrame:
     return lists.select("m").mapInArrow(run, "a long, b long")
 
 
-def _against(rows: DataFrame, p: NearDup, bound: float, upper: float, best: int | None) -> DataFrame:
-    """a, b of a row's class and the classes in its list `m` of another component, with bound <= estimate < upper; of those the `best` at most."""
+def _against(rows: DataFrame, p: NearDup, best: int) -> DataFrame:
+    """a, b of a row's class and the classes in its list `m` of another component that are candidates; of those the `best` at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,7 +259,7 @@ def _against(rows: DataFrame, p: NearDup, bound: float, upper: float, best: int
                 if not m:
                     continue
                 like = _alike((np.frombuffer(b"".join(x["tokens"] for x in m), np.uint8).reshape(-1, TOKENS) == np.frombuffer(raw, np.uint8)).mean(1))
-                at = np.flatnonzero((like >= bound) & (like < upper))
+                at = np.flatnonzero(like >= p.bound)
                 for k in at[np.argsort(-like[at], kind="stable")][:best].tolist():
                     found.append((min(c, m[k]["class_id"]), max(c, m[k]["class_id"])))
             yield _pair_batch(found)
@@ -275,7 +274,7 @@ def _pivoted(dense: DataFrame, p: NearDup) -> DataFrame:
     lists = materialize(one.groupBy("node").agg(F.collect_list("pivot").alias("m")), "pivots")
     if lists.count() <= BROADCAST_NODES:
         lists = F.broadcast(lists)
-    return _against(dense.withColumn("component", F.col("class_id")).join(lists, "node"), p, p.bound, 2.0, 2)
+    return _against(dense.withColumn("component", F.col("class_id")).join(lists, "node"), p, 2)
 
 
 def _outside(labelled: DataFrame) -> DataFrame:
@@ -284,13 +283,44 @@ def _outside(labelled: DataFrame) -> DataFrame:
     return materialize(counts.groupBy("node").agg(F.max_by("component", F.struct("members", "component")).alias("main"), (F.sum("members") - F.max("members")).alias("rest")).where("rest > 0"), "outside")
 
 
-def _across(labelled: DataFrame, nodes: DataFrame, count: int, p: NearDup, bound: float, upper: float) -> DataFrame:
-    """a, b across components, in nodes with few members outside the largest component: those few (p.small at most) with all others; `count` nodes."""
+def _across(labelled: DataFrame, nodes: DataFrame, p: NearDup, bound: float, upper: float, best: int | None) -> DataFrame:
+    """a, b across components in the `nodes`: those outside the largest component with all others, with bound <= estimate < upper.
+
+    Members are dealt to blocks of some BLOCK rows, and each block of those outside meets each block of all in a row of its own. Of a block's member the `best` at most.
+    """
+    member = F.struct("class_id", "component", "n", "tokens")
+    block = lambda count: F.pmod(F.xxhash64("class_id", "node"), F.ceil(F.col(count) / BLOCK))
     open_ = labelled.join(nodes, "node")
-    lists = open_.where("component <> main").groupBy("node").agg(F.collect_list(F.struct("class_id", "component", "n", "tokens")).alias("m"))
-    if count <= BROADCAST_NODES:
-        lists = F.broadcast(lists)
-    return _against(open_.select("node", "class_id", "component", "n", "tokens").join(lists, "node"), p, bound, upper, None)
+    every = open_.groupBy("node", block("size").alias("block"), "size").agg(F.collect_list(member).alias("m"))
+    few = open_.where("component <> main").groupBy("node", block("rest").alias("part"), "size").agg(F.collect_list(member).alias("few")).drop("part")
+    if nodes.agg(F.sum("rest")).first()[0] <= BROADCAST_MEMBERS:
+        met = every.join(F.broadcast(few.drop("size")), "node")
+    else:
+        # dealt by block, so that no node lands in one task
+        met = every.join(few.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / BLOCK) - 1))).drop("size"), ["node", "block"])
+
+    def members(lists: pa.ListArray) -> Iterator[tuple]:
+        flat, ends = lists.flatten(), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+        ids, comps, n, tokens = *(flat.field(x).to_numpy() for x in ("class_id", "component", "n")), _matrix(flat.field("tokens"))
+        for a, b in zip([0, *ends.tolist()], ends.tolist()):
+            yield ids[a:b], comps[a:b], n[a:b], tokens[a:b]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, (ids, comps, n, tokens) in zip(members(batch.column("few")), members(batch.column("m")), strict=True):
+                found = []
+                for c, comp, size, own in zip(*x, strict=True):
+                    # the bytes of a word sum up by themselves: 32 at most
+                    equal = (tokens == own).view(np.uint64).sum(1).view(np.uint8).reshape(-1, 8).sum(1)
+                    like = _alike(equal / TOKENS)
+                    at = np.flatnonzero((like >= bound) & (like < upper) & (comps != comp) & (100 * np.minimum(n, size) >= p.percent * np.maximum(n, size)))
+                    if len(at):
+                        at = ids[at[np.argsort(-like[at], kind="stable")][:best]]
+                        found.append((np.minimum(at, c), np.maximum(at, c)))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(y)) for y in zip(*found, strict=True)], names=_PAIRS)
+
+    return met.select("few", "m").mapInArrow(run, "a long, b long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -352,8 +382,8 @@ def _joined(docs: DataFrame, classes: DataFrame, p: NearDup) -> DataFrame:
     """class_id as node, component: of all classes that confirmed links join to others."""
     # classes with a null lead can't be read again by id; they keep to themselves
     known = classes.where("lead is not null")
-    members = _terminal(_roots(known, p), known, p, 1, p.depth - p.first)
-    sets = tried = joined = None
+    members = _terminal(_roots(known, p), known, p)
+    tried = joined = None
 
     def confirm(pairs: DataFrame) -> DataFrame | None:
         """The links among new pairs, which are then tried and joined; None if there are none."""
@@ -365,55 +395,38 @@ def _joined(docs: DataFrame, classes: DataFrame, p: NearDup) -> DataFrame:
         joined = merged(joined, links)
         return links
 
-    for _ in range(TOKENS):
-        dense = members.where(F.col("size") > p.small)
-        some = not dense.isEmpty()
-        forest = materialize(_forest(members, p), "forest")
-        first = forest.select(*_PAIRS)
-        if some:
-            first = first.unionByName(_pivoted(dense, p))
-        first = first.distinct()
-        first = materialize(first if tried is None else first.join(tried, _PAIRS, "left_anti"), "pairs")
-        if sets is None:
-            # every class with a candidate is in a forest, or in a dense node
-            ids = first.select(F.col("a").alias("class_id")).unionByName(first.select(F.col("b").alias("class_id"))).unionByName(dense.select("class_id")).distinct()
-            sets = materialize(_sets(docs, materialize(ids.join(known.select("class_id", "lead"), "class_id"), "wanted"), p.words), "sets")
-        confirm(first)
-        # an edge that leads to two components isn't a link: the other candidates of its node are tried
-        edges = _component_of(_component_of(forest.where("extra"), joined, "a"), joined, "b")
-        again = materialize(edges.where("a_component <> b_component").select("node"), "again")
-        if not again.isEmpty():
-            small = members.where(F.col("size") <= p.small).join(again, "node", "left_semi")
-            pairs = materialize(_rest(_labelled(small, joined), p).distinct().join(tried, _PAIRS, "left_anti"), "pairs")
-            if not pairs.isEmpty():
-                confirm(pairs)
-        if not some:
-            return joined
-        # links of one node can leave few outside in another: each goes through both bands, whenever it comes to have few
-        through = None
-        while True:
+    dense = members.where(F.col("size") > p.small)
+    some = not dense.isEmpty()
+    forest = materialize(_forest(members, p), "forest")
+    first = forest.select(*_PAIRS)
+    if some:
+        first = first.unionByName(_pivoted(dense, p))
+    first = materialize(first.distinct(), "pairs")
+    # every class with a candidate is in a forest, or in a dense node
+    ids = first.select(F.col("a").alias("class_id")).unionByName(first.select(F.col("b").alias("class_id"))).unionByName(dense.select("class_id")).distinct()
+    sets = materialize(_sets(docs, materialize(ids.join(known.select("class_id", "lead"), "class_id"), "wanted"), p.words), "sets")
+    confirm(first)
+    # an edge that leads to two components isn't a link: the other candidates of its node are tried
+    edges = _component_of(_component_of(forest.where("extra"), joined, "a"), joined, "b")
+    again = materialize(edges.where("a_component <> b_component").select("node"), "again")
+    if not again.isEmpty():
+        small = members.where(F.col("size") <= p.small).join(again, "node", "left_semi")
+        pairs = materialize(_rest(_labelled(small, joined), p).distinct().join(tried, _PAIRS, "left_anti"), "pairs")
+        if not pairs.isEmpty():
+            confirm(pairs)
+    if not some:
+        return joined
+    # every dense node goes through all its candidates across components: each member's best, which join most groups, then whatever is left
+    labelled = None
+    for bound, upper, best in ((p.percent / 100, 2.0, 2), (p.percent / 100, 2.0, None), (p.bound, p.percent / 100, 2), (p.bound, p.percent / 100, None)):
+        if labelled is None:
             labelled = materialize(_labelled(dense, joined), "labelled")
             outside = _outside(labelled)
-            few = outside.where(F.col("rest") <= p.small)
-            if through is not None:
-                few = few.join(through, "node", "left_anti")
-            few = materialize(few, "few")
-            if few.isEmpty():
-                break
-            nodes = few.select("node")
-            through = nodes if through is None else through.unionByName(nodes)
-            for bound, upper in ((p.percent / 100, 2.0), (p.bound, p.percent / 100)):
-                if not (count := few.count()):
-                    break
-                pairs = materialize(_across(labelled, few, count, p, bound, upper).distinct().join(tried, _PAIRS, "left_anti"), "pairs")
-                if not pairs.isEmpty() and confirm(pairs) is not None:
-                    labelled = materialize(_labelled(dense, joined), "labelled")
-                    few = _outside(labelled).join(nodes, "node", "left_semi")
-        # dense nodes with many members outside their largest component branch on
-        many = outside.where(F.col("rest") > p.small)
-        if many.isEmpty():
-            return joined
-        members = _terminal(materialize(_children(dense.join(many.select("node"), "node"), 2), "children"), known, p, 2, 3, joined)
+        if outside.isEmpty():
+            break
+        pairs = materialize(_across(labelled, outside, p, bound, upper, best).distinct().join(tried, _PAIRS, "left_anti"), "pairs")
+        if not pairs.isEmpty() and confirm(pairs) is not None:
+            labelled = None
     return joined
 
 

@@ -90,6 +90,25 @@ def test_near_duplicates_where_links_shrink_another_dense_node(spark, monkeypatc
     assert neardup._joined(df, classes, p).select("component").distinct().count() == 1
 
 
+def test_near_duplicates_of_large_groups_with_single_links(spark):
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for g in range(9):  # eight groups that only one of their members links with the first one
+        center = base if g == 0 else [f"g{g}-{i}" if i // 23 == g - 1 else w for i, w in enumerate(base)]
+        for i in range(40):
+            w = list(center)
+            if i and (g == 0 or i > 1):
+                w[198], w[199] = f"m{g}-{i}", f"n{g}-{i}"
+            if g and i == 1:
+                w[23 * g - 2 : 23 * g] = base[23 * g - 2 : 23 * g]
+            rows.append((40 * g + i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = groups(rows, 1, 80)
+    assert {c for *_, c in want} == {0}
+    p = neardup.NearDup(words=1, percent=80, small=16)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, p).collect()) == want
+
+
 def test_near_duplicates_of_edge_cases(spark, edge):
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in neardup.near_duplicates(edge).collect())
     assert got == sorted([("1", 0, "1", True), ("2", 0, "2", True), ("3", 0, "3", True), ("4", 1, "4", True), ("4", 1, "4", True), ("None", 1, "None", False), ("5", 1, "5", True), ("6", 1, "6", True), ("7", 1, "4", False)])
