@@ -22,12 +22,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, 0.8): the one with the smallest doc_id.
 
-    Rows are told apart by their place in the written input, so repeated ids don't matter: of rows
+    Rows are told apart by a number that is written with them, so repeated ids don't matter: of rows
     with the same smallest id one stays, and a null id counts as the largest.
     """
     row = fresh_name(docs, "row")
-    rows = docs.withColumn(row, F.monotonically_increasing_id())
-    ids = materialize(rows.select(F.col(row).alias("doc_id"), F.col("doc_id").alias("own")), "ids")
+    # the number depends on how a scan is cut into partitions, so it is written once with its document
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    ids = rows.select(F.col(row).alias("doc_id"), F.col("doc_id").alias("own"))
     found = neardup.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), neardup.NearDup())
     groups = found.select("doc_id", "component_id").join(ids, "doc_id")
     first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("own").isNull().alias("none"), "own", "doc_id")).alias("first"))

@@ -364,3 +364,21 @@ def test_near_duplicate_stage_keeps_rows_without_id(spark):
     df = spark.createDataFrame([(None, "a b c d e f g"), (None, "other words stand here at last"), (3, "a b c d e f g"), (3, "a b c d e f g"), (4, None)], "doc_id long, text string")
     got = sorted(map(str, (r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, df, "").collect())))
     assert got == ["3", "4", "None"]
+
+
+def test_near_duplicate_stage_when_partitions_change(spark, tmp_path, monkeypatch):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(i, f"text number {i % 20} has its own words {i % 20} and ends here {i % 20}") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(40).write.parquet(str(tmp_path / "docs"))
+    key, found = "spark.sql.files.openCostInBytes", neardup.near_duplicates
+
+    def later(*args):
+        spark.conf.set(key, "256m")  # from now on each file is a partition
+        return found(*args)
+
+    monkeypatch.setattr(neardup, "near_duplicates", later)
+    try:
+        got = corpus_pipeline.near_duplicate_stage(spark, spark.read.parquet(str(tmp_path / "docs")), "").collect()
+    finally:
+        spark.conf.unset(key)
+    assert sorted(r.doc_id for r in got) == list(range(20))
