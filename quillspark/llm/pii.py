@@ -32,7 +32,10 @@ KEY = b"set your own key"
 
 _EMAIL = re.compile(r"(?<![\w.+%-])[\w+%-]+(?:\.[\w+%-]+)*@(?:[\w-]+\.)+[^\W\d_]{2,}(?![\w-])")
 _ID = re.compile(r"(?<![\w.+-])\d{3}-\d{2}-\d{4}(?![\w-]|\.\d)")
-_CARD = re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)")
+_CARD = re.compile(r"\d(?:[ -]?\d){12,}")
+_BEFORE, _AFTER = re.compile(r"(?<![\w.+-])"), re.compile(r"(?![\w-]|\.\d)")
+# How card numbers are printed, by the digits of their groups.
+_LAYOUTS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), (16,), (15,), (14,), (19,)}
 _IP = re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)")
 _PHONE = re.compile(
     r"(?<![\w+.-])(?:(?:\+\d{1,3}|00\d{1,3})(?:[ .-]?\(0\))?(?:[ .-]?\(\d{1,4}\)|[ .-]\d{1,5}|\d{4,12})(?:[ .-]?\d{2,5}){0,5}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}([.-])\d{3,4}\1\d{4})(?![\w]|-\d|\.\d)"
@@ -98,6 +101,31 @@ def _names(text: str) -> list[tuple[int, int, str, str]]:
     return found
 
 
+def _cards(text: str, a: int, b: int) -> list[tuple[int, int, str, str]]:
+    """Card numbers among the groups of a run of digits: other numbers may stand before, between and after them.
+
+    Of overlapping ones those in a usual layout win, then the earlier and the longer.
+    """
+    groups = [(m.start(), m.end()) for m in re.finditer(r"\d+", text[a:b])]
+    fit = []
+    for i, (start, _) in enumerate(groups):
+        if i == 0 and not _BEFORE.match(text, a):
+            continue
+        digits, layout = "", ()
+        for j, (x, y) in enumerate(groups[i:], i):
+            digits += text[a + x : a + y]
+            layout += (y - x,)
+            if len(digits) > 19:
+                break
+            if len(digits) >= 13 and (j < len(groups) - 1 or _AFTER.match(text, b)) and int(digits[-1]) == _luhn(digits[:-1]) and digits.strip("0"):
+                fit.append((layout not in _LAYOUTS, a + start, -(a + y), digits))
+    found: list[tuple[int, int, str, str]] = []
+    for _, start, end, digits in sorted(fit):
+        if all(-end <= x or start >= y for x, y, *_ in found):
+            found.append((start, -end, "card", digits))
+    return found
+
+
 def find_entities(text: str | None) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical value) of the personal data in a text, in order, without overlaps; the earlier and then the longer wins."""
     if not text:
@@ -110,9 +138,7 @@ def find_entities(text: str | None) -> list[tuple[int, int, str, str]]:
         for s in _ID.finditer(text, a, b):
             found.append((s.start(), s.end(), "id", re.sub(r"\D", "", s.group())))
         for s in _CARD.finditer(text, a, b):
-            digits = re.sub(r"\D", "", s.group())
-            if int(digits[-1]) == _luhn(digits[:-1]) and digits.strip("0"):
-                found.append((s.start(), s.end(), "card", digits))
+            found += _cards(text, s.start(), s.end())
         for s in _IP.finditer(text, a, b):
             octets = [int(x) for x in s.group().split(".")]
             if max(octets) <= 255:

@@ -382,3 +382,14 @@ def test_near_duplicate_stage_when_partitions_change(spark, tmp_path, monkeypatc
     finally:
         spark.conf.unset(key)
     assert sorted(r.doc_id for r in got) == list(range(20))
+
+
+@pytest.mark.parametrize("text", ["Card 4568 6680 7282 6647 123", "4568 6680 7282 6647 12/27", "4568668072826647 12/27, 123", "No 7 4568 6680 7282 6647", "3 items 12 4568-6680-7282-6647 12 27 123", "4568 6680 7282 6647 12.27", "4568 6680 7282 6647 123abc"])
+def test_card_beside_other_numbers(text):
+    assert [v for *_, kind, v in pii.find_entities(text) if kind == "card"] == ["4568668072826647"]
+    start, end, *_ = next(x for x in pii.find_entities(text) if x[2] == "card")
+    assert re.sub(r"\D", "", text[start:end]) == "4568668072826647"
+
+
+def test_two_cards_in_one_run():
+    assert [x[3] for x in pii.find_entities("4568 6680 7282 6647 12 4111 1111 1111 1111")] == ["4568668072826647", "4111111111111111"]
