@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .text import contains_any, line_rows
 
+USER_PATH = r"C:\\Users\\([^\\/\s\"']+)|(?<![\w.~-])/home/([^\\/\s\"']+)"
+#: Names that examples have in the place of a user's.
+PLACEHOLDERS = ["<user>", "username", "%userprofile%", "example", "me"]
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
 
@@ -29,11 +32,18 @@ def near_numbers(docs: DataFrame, gap: int = 12) -> DataFrame:
     return line_rows(docs).select("doc_id", "line", F.regexp_count("text", F.lit(pattern)).cast("long").alias("pairs")).where("pairs > 0")
 
 
+def user_paths(docs: DataFrame) -> DataFrame:
+    """doc_id, line, name for each path of a user's folder on a line; placeholder names are left out."""
+    names = F.zip_with(F.regexp_extract_all("text", F.lit(USER_PATH), F.lit(1)), F.regexp_extract_all("text", F.lit(USER_PATH), F.lit(2)), lambda x, y: F.concat(F.coalesce(x, F.lit("")), F.coalesce(y, F.lit(""))))
+    return line_rows(docs).select("doc_id", "line", F.explode(names).alias("name")).where(~F.lower("name").isin(PLACEHOLDERS))
+
+
 def findings(docs: DataFrame, terms: list[str]) -> DataFrame:
     """doc_id, code, severity: one row a finding."""
     mail = emails(docs).select("doc_id", F.lit("email").alias("code"), F.when(F.col("exempt"), "WARN").otherwise("HARD").alias("severity"))
     denied = denied_terms(docs, terms).select("doc_id", F.lit("denied_term").alias("code"), F.lit("HARD").alias("severity"))
-    return mail.unionByName(denied)
+    paths = user_paths(docs).select("doc_id", F.lit("user_path").alias("code"), F.lit("HARD").alias("severity"))
+    return mail.unionByName(denied).unionByName(paths)
 
 
 def rollup(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -74,3 +74,14 @@ def test_streams(spark, sf, tmp_path):
     assert {(r.user_id, r.event_id) for r in spark.table("latest").collect()} == want
     q = windowed(stream, "1000 days").writeStream.format("memory").queryName("windows").outputMode("append").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
     q.awaitTermination(120)
+
+
+def test_user_paths_are_found(spark):
+    from quillspark.operators import gates, privacy
+
+    texts = ["see C:\\Users\\anna\\x.txt", "in /home/bert/x and\nC:\\Users\\me", "C:\\Users\\<user> only", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(map(tuple, privacy.user_paths(df).collect())) == [(0, 1, "anna"), (1, 1, "bert")]
+    rules = spark.createDataFrame([("user_path",)], "rule string")
+    assert gates.rule_states(rules, privacy.findings(df, [])).first().state == "hard"
+    assert {r.doc_id: r.exit_code for r in privacy.rollup(df, privacy.findings(df, [])).collect()} == {0: 3, 1: 3, 2: 0, 3: 0}
