@@ -67,9 +67,12 @@ class PassageEncoder:
             inside = np.repeat(np.arange(len(first)), np.diff(at, append=len(data)))
             from_ = at[0]
             part = data[from_:].astype(np.int64)
-            out[: len(first), :KINDS] = np.bincount(inside * KINDS + _KINDS[part], minlength=len(first) * KINDS).reshape(-1, KINDS) / size[:, None]
+            # bytes of the texts that follow aren't the last passage's, nor are pairs that reach into them
+            left = offsets[owner + 1][inside] - np.arange(from_, len(data))
+            own, both = left > 0, left[:-1] > 1
+            out[: len(first), :KINDS] = np.bincount((inside * KINDS + _KINDS[part])[own], minlength=len(first) * KINDS).reshape(-1, KINDS) / size[:, None]
             pair = ((part[:-1] * 31 + part[1:]) * 0x9E3779B1 >> 11) % BIGRAMS
-            out[: len(first), KINDS : KINDS + BIGRAMS] = np.bincount(inside[:-1] * BIGRAMS + pair, minlength=len(first) * BIGRAMS).reshape(-1, BIGRAMS) / size[:, None]
+            out[: len(first), KINDS : KINDS + BIGRAMS] = np.bincount((inside[:-1] * BIGRAMS + pair)[both], minlength=len(first) * BIGRAMS).reshape(-1, BIGRAMS) / size[:, None]
             word = self.hash.ranges(data, start, end)
             length = (end - start).astype(np.float32)
             mean = np.bincount(passage, length, len(first)) / n
@@ -82,8 +85,8 @@ class PassageEncoder:
             same[1:] = (word[1:] == word[:-1]) & (text[1:] == text[:-1])
             out[: len(first), column + 3] = np.bincount(passage, same, len(first)) / n
             triple = word.copy()
-            triple[1:] += word[:-1] * np.uint64(3)
-            triple[2:] += word[:-2] * np.uint64(7)
+            triple[1:] += np.where(text[1:] == text[:-1], word[:-1] * np.uint64(3), np.uint64(0))
+            triple[2:] += np.where(text[2:] == text[:-2], word[:-2] * np.uint64(7), np.uint64(0))
             fresh = np.zeros(len(start))
             fresh[np.unique(triple * np.uint64(0x9E3779B97F4A7C15) + text.astype(np.uint64), return_index=True)[1]] = 1
             out[: len(first), column + 4] = np.bincount(passage, fresh, len(first)) / n

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -393,3 +394,13 @@ def test_card_beside_other_numbers(text):
 
 def test_two_cards_in_one_run():
     assert [x[3] for x in pii.find_entities("4568 6680 7282 6647 12 4111 1111 1111 1111")] == ["4568668072826647", "4111111111111111"]
+
+
+def test_quality_features_of_a_text_are_its_own():
+    encoder = quality.PassageEncoder()
+    own = ["  Some plain words stand here, and they end.", "a b a b a b a b", " " * 100000, "Buy!!! now| " * 80, "", "a b a b a b a b"]
+    alone = [encoder(*quality.text_bytes(pa.array([t])))[0] for t in own]
+    for order in ([0, 1, 2, 3, 4, 5], [5, 3, 2, 0, 4, 1], [1, 5, 0, 2, 4, 3], [2, 0, 2, 1, 5]):
+        x, owner = encoder(*quality.text_bytes(pa.array([own[i] for i in order])))
+        for at, i in enumerate(order):
+            assert np.array_equal(x[owner == at], alone[i])
