@@ -6,17 +6,24 @@ an executor, unlike a cached or locally checkpointed one.
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+_folder: contextvars.ContextVar[str] = contextvars.ContextVar("folder", default="")
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in `spark.checkpoint.dir`; a temporary one is set only where none is configured."""
+    """The folder in `spark.checkpoint.dir`. Where none is configured a temporary one is set on a local master; RuntimeError on any other."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         sc.setCheckpointDir(configured)
     return configured.rstrip("/")
@@ -24,7 +31,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, tag: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/quillspark/{tag}-{uuid.uuid4().hex}"
+    return f"{_folder.get() or f'{shared_dir(spark)}/quillspark'}/{tag}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside without a path of their own are deleted at the end."""
+    path = new_path(spark, "temporary")
+    token = _folder.set(path)
+    try:
+        yield
+    finally:
+        _folder.reset(token)
+        delete(spark, path)
 
 
 def materialize(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
