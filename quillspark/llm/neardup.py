@@ -5,16 +5,16 @@ several independent trees a class walks down a path of selected minwise tokens,
 more a level as long as its node is large; classes that are similar choose the same tokens and
 stay together. Small nodes are compared exhaustively by their sketches, and every candidate is
 confirmed on the full sets. Links between texts that other links already join add nothing to
-the components, so a node gives a spanning forest of its candidates first; the pairs left are
-tried only where an edge of that forest wasn't confirmed, and only across components. A large node, at the full
-depth, gives each member's nearest of some pivots; then its members outside the largest component are held against all
-others in blocks, the best of each first and in the end all candidates across components. So no round emits all pairs of a
-group that hangs together, and of the pairs that share a node none is left untried that could join two components.
+the components, so a node gives a spanning forest of its candidates first, and a large node, at the full
+depth, each member's nearest of some pivots. Where that leaves more than one component in a node, its members outside the largest
+one are held against all others in blocks that carry the full sets: only confirmed links come out, one for each two components that they
+join. So no pairs of a group become rows, and of the pairs that share a node none is left untried that could join two components.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import materialize
+from ..plans.shared import materialize, new_path, temporary
 from .batches import text_slices
 from .chunked import _Hash
-from .components import merged
+from .components import components, merged
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -39,10 +39,12 @@ _SCALE, _SHIFT = _rng.integers(1, 1 << 32, TOKENS, dtype=np.uint32) | np.uint32(
 BROADCAST_ROWS = 1 << 20
 #: Nodes whose lists of pivots are sent to the rows of dense nodes; beyond, both are shuffled by node.
 BROADCAST_NODES = 1 << 10
-#: Members outside the largest components of their nodes (some 350 bytes each) that are sent to all blocks; beyond, both are shuffled by node and block.
-BROADCAST_MEMBERS = 1 << 15
-#: Members of a dense node in a block, about; blocks are held against each other.
-BLOCK = 256
+#: A member's bytes without its set, about.
+MEMBER_BYTES = 320
+#: Members and bytes of a block, about: blocks of a node are held against each other.
+BLOCK, BLOCK_BYTES = 256, 4 << 20
+#: Bytes of the members outside the largest components of nodes of several blocks that are sent to all blocks; beyond, both are shuffled by node and block.
+BROADCAST_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -104,23 +106,53 @@ def _tokens(shingles: np.ndarray) -> np.ndarray:
     return _mix(least.astype(np.uint64)).astype(np.uint8)
 
 
+def _digest(shingles: bytes) -> tuple[int, ...]:
+    """128 bits of a set, as two numbers."""
+    return struct.unpack("<2q", hashlib.blake2b(shingles, digest_size=16).digest())
+
+
+def _similar(x: bytes, y: bytes, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union of two sets."""
+    both = np.concatenate((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
+
+
 def _alike(equal: np.ndarray) -> np.ndarray:
     """Similarity from the share of equal tokens: unequal values agree in 8 bits once in 256 times."""
     return (equal * 256 - 1) / 255
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, class_id (null for an empty set), tokens."""
+    """doc_id, n_shingles, class_id and proof (digest of the set; null for an empty one), tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for part in text_slices(batches):
             sets = [shingler(x) for x in part.column("text").to_pylist()]
-            ids = [int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True) if len(x) else None for x in sets]
-            columns = [part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array([_tokens(x).tobytes() if len(x) else None for x in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "class_id", "tokens"])
+            ids = [_digest(x.tobytes()) if len(x) else (None, None) for x in sets]
+            columns = [part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(x, pa.int64()) for x in (zip(*ids, strict=True) if ids else ((), ()))), pa.array([_tokens(x).tobytes() if len(x) else None for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "class_id", "proof", "tokens"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, class_id long, proof long, tokens binary")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, class_id long, tokens binary")
+def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sketches, and one row per distinct set: class_id, proof, lead, copies, n, tokens; both written.
+
+    Sets are told apart by 128 bits: the few whose first 64 are equal, and whose proofs are not, take another class_id.
+    """
+    while True:
+        every = rows.where("class_id is not null").groupBy("class_id").agg(
+            F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"), F.min("proof").alias("proof"), F.max("proof").alias("other")
+        )
+        classes = materialize(every, "classes")
+        clash = classes.where("proof <> other").select("class_id", F.lit(True).alias("clash"))
+        if clash.isEmpty():
+            return rows, classes.drop("other")
+        moved = rows.join(clash, "class_id", "left").withColumn("class_id", F.when(F.col("clash"), F.xxhash64("class_id", "proof")).otherwise(F.col("class_id"))).drop("clash")
+        rows = materialize(moved, "sketches")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -233,21 +265,6 @@ def _forest(members: DataFrame, p: NearDup) -> DataFrame:
     return lists.select("node", "m").mapInArrow(run, "a long, b long, node long, extra boolean")
 
 
-def _rest(labelled: DataFrame, p: NearDup) -> DataFrame:
-    """a, b: all candidates of small nodes across components."""
-    lists = labelled.groupBy("node").agg(F.collect_list(F.struct("class_id", "component", "n", "tokens")).alias("m"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: list[tuple] = []
-            for m in batch.column("m").to_pylist():
-                m.sort(key=lambda x: x["class_id"])
-                found += [(m[a]["class_id"], m[b]["class_id"]) for a, b in zip(*np.nonzero(_candidates(m, p)), strict=True) if m[a]["component"] != m[b]["component"]]
-            yield _pair_batch(found)
-
-    return lists.select("m").mapInArrow(run, "a long, b long")
-
-
 def _against(rows: DataFrame, p: NearDup, best: int) -> DataFrame:
     """a, b of a row's class and the classes in its list `m` of another component that are candidates; of those the `best` at most."""
 
@@ -278,66 +295,102 @@ def _pivoted(dense: DataFrame, p: NearDup) -> DataFrame:
 
 
 def _outside(labelled: DataFrame) -> DataFrame:
-    """node, main, rest: each node's largest component and the number of members outside it, where there are any; written."""
-    counts = labelled.groupBy("node", "component").agg(F.count(F.lit(1)).alias("members"))
-    return materialize(counts.groupBy("node").agg(F.max_by("component", F.struct("members", "component")).alias("main"), (F.sum("members") - F.max("members")).alias("rest")).where("rest > 0"), "outside")
-
-
-def _across(labelled: DataFrame, nodes: DataFrame, p: NearDup, bound: float, upper: float, best: int | None) -> DataFrame:
-    """a, b across components in the `nodes`: those outside the largest component with all others, with bound <= estimate < upper.
-
-    Members are dealt to blocks of some BLOCK rows, and each block of those outside meets each block of all in a row of its own. Of a block's member the `best` at most.
+    """node, main, blocks, parts, rest_bytes: each node with more than one component, its largest component, and the blocks that all members and those outside it fill; written."""
+    counts = labelled.groupBy("node", "component").agg(F.count(F.lit(1)).alias("members"), F.sum(F.col("n") * 8 + MEMBER_BYTES).alias("bytes"))
+    largest = F.struct("members", "component")
+    nodes = counts.groupBy("node").agg(
+        F.max_by("component", largest).alias("main"), F.sum("members").alias("members"), F.sum("bytes").alias("bytes"), (F.sum("members") - F.max("members")).alias("rest"), (F.sum("bytes") - F.max_by("bytes", largest)).alias("rest_bytes")
+    )
+    blocks = lambda members, bytes_: F.ceil(F.greatest(F.col(members) / BLOCK, F.col(bytes_) / BLOCK_BYTES)).cast("int")
+    return materialize(nodes.where("rest > 0").select("node", "main", blocks("members", "bytes").alias("blocks"), blocks("rest", "rest_bytes").alias("parts"), "rest_bytes"), "outside")
+
+
+def _links_across(labelled: DataFrame, nodes: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
+    """a, b: links across the components of each node that full sets confirm, as many as join them.
+
+    Members come with their sets, so that pairs never become rows: a node of one block is a row; in a larger one each block of
+    those outside the largest component meets each block of all in a row of its own. Within a row the best candidates are tried first, and none
+    between components that the links found there have joined; every other candidate is tried.
     """
-    member = F.struct("class_id", "component", "n", "tokens")
-    block = lambda count: F.pmod(F.xxhash64("class_id", "node"), F.ceil(F.col(count) / BLOCK))
-    open_ = labelled.join(nodes, "node")
-    every = open_.groupBy("node", block("size").alias("block"), "size").agg(F.collect_list(member).alias("m"))
-    few = open_.where("component <> main").groupBy("node", block("rest").alias("part"), "size").agg(F.collect_list(member).alias("few")).drop("part")
-    if nodes.agg(F.sum("rest")).first()[0] <= BROADCAST_MEMBERS:
-        met = every.join(F.broadcast(few.drop("size")), "node")
+    member = F.struct("class_id", "component", "n", "tokens", "shingles")
+    block = lambda count: F.pmod(F.xxhash64("class_id", "node"), F.col(count)).cast("int")
+    open_ = labelled.join(nodes, "node").join(sets, "class_id")
+    every = open_.groupBy("node", block("blocks").alias("block"), "main", "blocks").agg(F.collect_list(member).alias("m"))
+    single = every.where("blocks = 1").select(F.lit(None).cast(every.schema["m"].dataType).alias("few"), "m", "main")
+    few = open_.where("blocks > 1 AND component <> main").groupBy("node", block("parts").alias("part"), "blocks").agg(F.collect_list(member).alias("few"))
+    if (nodes.where("blocks > 1").agg(F.sum("rest_bytes")).first()[0] or 0) <= BROADCAST_BYTES:
+        met = every.join(F.broadcast(few.select("node", "few")), "node")
     else:
         # dealt by block, so that no node lands in one task
-        met = every.join(few.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / BLOCK) - 1))).drop("size"), ["node", "block"])
+        met = every.join(few.select("node", "few", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")), ["node", "block"])
 
-    def members(lists: pa.ListArray) -> Iterator[tuple]:
-        flat, ends = lists.flatten(), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+    def members(lists: pa.ListArray) -> list[tuple]:
+        flat, sizes = lists.flatten(), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         ids, comps, n, tokens = *(flat.field(x).to_numpy() for x in ("class_id", "component", "n")), _matrix(flat.field("tokens"))
-        for a, b in zip([0, *ends.tolist()], ends.tolist()):
-            yield ids[a:b], comps[a:b], n[a:b], tokens[a:b]
+        raw, ends = flat.field("shingles"), np.cumsum(sizes).tolist()
+        return [(ids[a:b], comps[a:b], n[a:b], tokens[a:b], raw[a:b]) for a, b in zip([0, *ends], ends)]
+
+    def joins(x: tuple, y: tuple) -> Iterator[tuple[int, int]]:
+        (ids, comps, n, tokens, raw), (ids2, comps2, n2, tokens2, raw2) = x, y
+        rows, columns, likes = [], [], []
+        for i in range(len(ids)):
+            # the bytes of a word sum up by themselves: 32 at most
+            like = _alike((tokens2 == tokens[i]).view(np.uint64).sum(1).view(np.uint8).reshape(-1, 8).sum(1) / TOKENS)
+            at = np.flatnonzero((like >= p.bound) & (comps2 != comps[i]) & (100 * np.minimum(n2, n[i]) >= p.percent * np.maximum(n2, n[i])))
+            rows.append(np.full(len(at), i))
+            columns.append(at)
+            likes.append(like[at])
+        if not sum(map(len, rows)):
+            return
+        row, column, top = np.concatenate(rows), np.concatenate(columns), {}
+
+        def find(c: int) -> int:
+            while (up := top.get(c, c)) != c:
+                top[c] = top.get(up, up)
+                c = up
+            return c
+
+        done = set()
+        for k in np.argsort(-np.concatenate(likes), kind="stable").tolist():
+            i, j = int(row[k]), int(column[k])
+            u, v = find(int(comps[i])), find(int(comps2[j]))
+            pair = (min(ids[i], ids2[j]), max(ids[i], ids2[j]))
+            if u == v or pair in done:
+                continue
+            done.add(pair)
+            if _similar(raw[i].as_py(), raw2[j].as_py(), p.percent):
+                top[u] = v
+                yield pair
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, (ids, comps, n, tokens) in zip(members(batch.column("few")), members(batch.column("m")), strict=True):
-                found = []
-                for c, comp, size, own in zip(*x, strict=True):
-                    # the bytes of a word sum up by themselves: 32 at most
-                    equal = (tokens == own).view(np.uint64).sum(1).view(np.uint8).reshape(-1, 8).sum(1)
-                    like = _alike(equal / TOKENS)
-                    at = np.flatnonzero((like >= bound) & (like < upper) & (comps != comp) & (100 * np.minimum(n, size) >= p.percent * np.maximum(n, size)))
-                    if len(at):
-                        at = ids[at[np.argsort(-like[at], kind="stable")][:best]]
-                        found.append((np.minimum(at, c), np.maximum(at, c)))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(y)) for y in zip(*found, strict=True)], names=_PAIRS)
-
-    return met.select("few", "m").mapInArrow(run, "a long, b long")
+            alone = batch.column("few").is_null().to_pylist()
+            for main, one, x, y in zip(batch.column("main").to_pylist(), alone, members(batch.column("few")), members(batch.column("m")), strict=True):
+                if one:
+                    out = np.flatnonzero(y[1] != main)
+                    x = tuple(c[out] for c in y[:4]) + (y[4].take(pa.array(out)),)
+                if found := list(joins(x, y)):
+                    yield _pair_batch(found)
+
+    return single.unionByName(met.select("few", "m", "main")).mapInArrow(run, "a long, b long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """class_id, shingles (sorted 64-bit hashes) of the wanted classes (class_id, lead)."""
+    """class_id, shingles (sorted 64-bit hashes) of the wanted classes (class_id, proof, lead)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for part in text_slices(batches):
             sets = [shingler(x).tobytes() for x in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("class_id"), pa.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in sets], pa.int64()), pa.array(sets, pa.binary())], names=["class_id", "found", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column("class_id"), part.column("proof"), pa.array([_digest(x)[1] for x in sets], pa.int64()), pa.array(sets, pa.binary())], names=["class_id", "proof", "found", "shingles"])
 
-    ids = wanted.select(F.col("lead").alias("doc_id"), "class_id")
+    ids = wanted.select(F.col("lead").alias("doc_id"), "class_id", "proof")
     if wanted.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
-    leads = docs.select("doc_id", "text").join(ids, "doc_id").select("class_id", "text")
-    # a repeated doc_id may lead to another text
-    return leads.mapInArrow(run, "class_id long, found long, shingles binary").where("class_id = found").select("class_id", "shingles")
+    leads = docs.select("doc_id", "text").join(ids, "doc_id").select("class_id", "proof", "text")
+    # a repeated doc_id may lead to another text, or twice to the same one
+    found = leads.mapInArrow(run, "class_id long, proof long, found long, shingles binary").where("proof = found")
+    return found.groupBy("class_id").agg(F.first("shingles").alias("shingles"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -345,12 +398,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yes = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                both = np.concatenate((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                yes.append(100 * common >= percent * (len(both) - common))
+            yes = [_similar(x.as_py(), y.as_py(), percent) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
     x = sets.select(F.col("class_id").alias("a"), F.col("shingles").alias("x"))
@@ -365,14 +413,17 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     and blank texts have no shingles and are linked with nothing. Rows of equal text belong together even when a
     doc_id is repeated; a null doc_id is never smallest, and such a row isn't kept. An empty table gives no rows.
     """
-    rows = materialize(sketches(docs, p.words), "sketches")
-    classes = materialize(rows.where("class_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens")), "classes")
-    joined = _joined(docs, classes, p)
-    lead = classes.select("class_id", "lead", "copies").join(joined.withColumnRenamed("node", "class_id"), "class_id", "left")
-    group = lead.where("component is not null").groupBy("component").agg(F.min("lead").alias("least"))
-    group = materialize(group, "groups")
-    named = lead.where("component is not null or copies > 1").join(group, "component", "left").select("class_id", F.coalesce("least", "lead").alias("least"))
-    named = materialize(named, "named")
+    spark = docs.sparkSession
+    rows, moved, end = materialize(sketches(docs, p.words), "sketches"), new_path(spark, "sketches"), new_path(spark, "named")
+    with temporary(spark):
+        told, classes = _classes(rows)
+        joined = _joined(docs, classes, p)
+        lead = classes.select("class_id", "lead", "copies").join(joined.withColumnRenamed("node", "class_id"), "class_id", "left")
+        group = materialize(lead.where("component is not null").groupBy("component").agg(F.min("lead").alias("least")), "groups")
+        named = lead.where("component is not null or copies > 1").join(group, "component", "left").select("class_id", F.coalesce("least", "lead").alias("least"))
+        if told is not rows:
+            rows = materialize(told, "sketches", moved)
+        named = materialize(named, "named", end)
     component = F.when(F.col("class_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("least", "doc_id"))
     out = rows.select("doc_id", "n_shingles", "class_id").join(named, "class_id", "left")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "class_id")
@@ -383,51 +434,25 @@ def _joined(docs: DataFrame, classes: DataFrame, p: NearDup) -> DataFrame:
     # classes with a null lead can't be read again by id; they keep to themselves
     known = classes.where("lead is not null")
     members = _terminal(_roots(known, p), known, p)
-    tried = joined = None
-
-    def confirm(pairs: DataFrame) -> DataFrame | None:
-        """The links among new pairs, which are then tried and joined; None if there are none."""
-        nonlocal tried, joined
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = _confirmed(pairs, sets, p.percent)
-        if joined is not None and links.isEmpty():
-            return None
-        joined = merged(joined, links)
-        return links
-
     dense = members.where(F.col("size") > p.small)
-    some = not dense.isEmpty()
     forest = materialize(_forest(members, p), "forest")
     first = forest.select(*_PAIRS)
-    if some:
+    if not dense.isEmpty():
         first = first.unionByName(_pivoted(dense, p))
     first = materialize(first.distinct(), "pairs")
     # every class with a candidate is in a forest, or in a dense node
     ids = first.select(F.col("a").alias("class_id")).unionByName(first.select(F.col("b").alias("class_id"))).unionByName(dense.select("class_id")).distinct()
-    sets = materialize(_sets(docs, materialize(ids.join(known.select("class_id", "lead"), "class_id"), "wanted"), p.words), "sets")
-    confirm(first)
-    # an edge that leads to two components isn't a link: the other candidates of its node are tried
+    sets = materialize(_sets(docs, materialize(ids.join(known.select("class_id", "proof", "lead"), "class_id"), "wanted"), p.words), "sets")
+    joined = components(_confirmed(first, sets, p.percent))
+    # an edge that leads to two components isn't a link: the other candidates of its node are tried; so are all of dense nodes
     edges = _component_of(_component_of(forest.where("extra"), joined, "a"), joined, "b")
-    again = materialize(edges.where("a_component <> b_component").select("node"), "again")
-    if not again.isEmpty():
-        small = members.where(F.col("size") <= p.small).join(again, "node", "left_semi")
-        pairs = materialize(_rest(_labelled(small, joined), p).distinct().join(tried, _PAIRS, "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            confirm(pairs)
-    if not some:
+    again = edges.where("a_component <> b_component").select("node").distinct()
+    small = members.where(F.col("size") <= p.small).join(again, "node", "left_semi")
+    labelled = materialize(_labelled(dense.unionByName(small), joined), "labelled")
+    outside = _outside(labelled)
+    if outside.isEmpty():
         return joined
-    # every dense node goes through all its candidates across components: each member's best, which join most groups, then whatever is left
-    labelled = None
-    for bound, upper, best in ((p.percent / 100, 2.0, 2), (p.percent / 100, 2.0, None), (p.bound, p.percent / 100, 2), (p.bound, p.percent / 100, None)):
-        if labelled is None:
-            labelled = materialize(_labelled(dense, joined), "labelled")
-            outside = _outside(labelled)
-        if outside.isEmpty():
-            break
-        pairs = materialize(_across(labelled, outside, p, bound, upper, best).distinct().join(tried, _PAIRS, "left_anti"), "pairs")
-        if not pairs.isEmpty() and confirm(pairs) is not None:
-            labelled = None
-    return joined
+    return merged(joined, materialize(_links_across(labelled, outside, sets, p), "links"))
 
 
 def _component_of(rows: DataFrame, joined: DataFrame, column: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import forest, licenses, media, neardup, packing, pieces, pii, quality, queries, token_files, warc
-from quillspark.plans.shared import new_path
+from quillspark.plans.shared import materialize, new_path
 
 EDGE = [(1, None, "x"), (2, "", "x"), (3, " \t\n", "x"), (4, "one two", "x"), (4, "one two", "y"), (None, "null id text here", "x"), (5, "é ß \U0001f600 \x00 end", "x"), (6, "word " * 30000, "x"), (7, "One TWO", "x")]
 
@@ -83,7 +83,7 @@ def test_near_duplicates_where_links_shrink_another_dense_node(spark, monkeypatc
         texts[i][slot * 14 : slot * 14 + 14] = [f"n{i}-{j}" for j in range(14)]
     df = spark.createDataFrame([(i, " ".join(x)) for i, x in texts.items()], "doc_id long, text string")
     p = neardup.NearDup(words=1, percent=80, small=4)
-    classes = neardup.sketches(df, 1).select("class_id", "tokens", F.col("n_shingles").alias("n"), F.col("doc_id").alias("lead")).cache()
+    classes = neardup.sketches(df, 1).select("class_id", "proof", "tokens", F.col("n_shingles").alias("n"), F.col("doc_id").alias("lead")).cache()
     nodes = {1: range(4), 2: (0, 4, 5, 6), 3: (0, 7, 8, 9), 4: (10, 11), 5: (11, 12), 6: (13, 14), 7: (14, 15), 8: range(13), 9: range(16)}
     places = spark.createDataFrame([(n, d, len(m)) for n, m in nodes.items() for d in m], "node long, lead long, size long")
     monkeypatch.setattr(neardup, "_terminal", lambda *a: places.join(classes, "lead").select("node", "class_id", "size", "n", "tokens"))
@@ -110,6 +110,25 @@ def test_near_duplicates_of_large_groups_with_single_links(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, p).collect()) == want
 
 
+def test_near_duplicates_of_two_large_neighbouring_groups(spark):
+    rng = np.random.default_rng(8)
+    # all nodes are shared, similarity across the groups is about the bound, and one document links both
+    sets = [[f"w{i}" for i in range(300)], [f"w{i}" for i in range(30, 330)]]
+    rows = [(1000 * g + i, " ".join([*base[: int(rng.integers(292, 300))], f"x{g}-{i}"])) for g, base in enumerate(sets) for i in range(200)]
+    middle = [f"w{i}" for i in range(15, 315)]
+    for more, parts in (([], 2), ([(5000, " ".join(middle))], 1)):
+        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows + more, "doc_id long, text string"), neardup.NearDup(words=1, percent=85)).collect())
+        assert got == groups(rows + more, 1, 85) and len({c for *_, c in got}) == parts
+
+
+def test_near_duplicates_of_sets_with_one_digest(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "materialize", lambda df, tag, *path: materialize(df.withColumn("class_id", F.when(F.col("class_id").isNotNull(), F.lit(7).cast("long"))), tag, *path) if tag == "sketches" and "proof" in df.columns and not clashed.append(1) and len(clashed) == 1 else materialize(df, tag, *path))
+    clashed: list[int] = []
+    df = spark.createDataFrame([(1, "a b c d"), (2, "e f g h"), (3, "a b c d"), (4, None)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(df).collect()) == [(1, 1), (2, 2), (3, 1), (4, 4)]
+    assert len(clashed) > 1
+
+
 def test_near_duplicates_of_edge_cases(spark, edge):
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in neardup.near_duplicates(edge).collect())
     assert got == sorted([("1", 0, "1", True), ("2", 0, "2", True), ("3", 0, "3", True), ("4", 1, "4", True), ("4", 1, "4", True), ("None", 1, "None", False), ("5", 1, "5", True), ("6", 1, "6", True), ("7", 1, "4", False)])
