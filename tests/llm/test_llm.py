@@ -155,6 +155,41 @@ def test_nearest_recall_and_scores(spark, sf):
     assert hits >= 0.9 * total
 
 
+def test_forest_scores_a_smaller_share_of_more_rows():
+    rng, shares = np.random.default_rng(0), {}
+    for kind, n in (("even", 2000), ("even", 16000), ("close", 16000)):
+        x = rng.standard_normal((n, 64))
+        if kind == "close":
+            x = x[np.arange(n) % 400] + 0.3 * rng.standard_normal((n, 64))
+        f = forest.Forest(x, forest.Planes(x.mean(0), forest.TREES * forest.BITS, 5))
+        hits = scored = 0
+        for q, (at, score, m) in zip(x[:60], f.search(x[:60], 6, np.full(60, -1.0)), strict=True):
+            best = np.argsort(-(x @ q) / f.size / np.linalg.norm(q))[:6]
+            hits += len({*best.tolist()} & {*at[np.argsort(-score)[:6]].tolist()}) - 1
+            scored += m / n / 60
+        assert hits >= 0.9 * 5 * 60
+        shares[kind, n] = scored
+    assert shares["close", 16000] < 0.1 < shares["even", 16000] < 0.8 * shares["even", 2000]
+
+
+def test_nearest_over_several_cells(spark, monkeypatch):
+    monkeypatch.setattr(forest, "SHARD_ROWS", 250)
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((20, 16))[np.arange(2000) % 20] + 0.4 * rng.standard_normal((2000, 16))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").withColumn("lead", F.lit("extra")).withColumn("k1", F.lit(1))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    got: dict = {}
+    for r in forest.nearest(df).collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    hits = 0
+    for q in range(0, 2000, 50):
+        like = x @ x[q]
+        like[q] = -2
+        hits += len({*np.argsort(-like)[:5].tolist()} & {*got[q]})
+        assert len(got[q]) == 5 and all(abs(s - like[v]) < 1e-12 for v, s in got[q].items())
+    assert hits >= 0.9 * 200
+
+
 def test_nearest_edge_cases(spark):
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [0.0, 1.0]), (50, [-1.0, 0.0]), (None, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
