@@ -1,9 +1,9 @@
 """Licence scan with a positional index of rare words, in DataFrame functions alone.
 
-The index holds, for each template, its words of highest IDF with their positions. A text is
-looked up by those words only; each hit proposes that the template lies at (position in the
-text - position in the template), hits that agree are counted, and a template is found where
-enough agree and its mandatory key phrase stands in its place. IDF is counted over all texts.
+The index holds each template's words with their positions. A text is read once, and what stays of it are the places of its
+licence words. Of these it looks up its own of highest IDF, counted over all texts; each hit proposes that a template lies at (position in the
+text - position in the template), hits that agree are summed up, and a template is found where
+enough agree and its mandatory key phrase stands in its place.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.shared import materialize
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Texts are cut into words at every ASCII character that is no digit or letter.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -59,8 +61,21 @@ TEMPLATES = (
     Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose", "copy modify and or distribute this software"),
     Template("cc0", "creative commons zero v1 0 universal", "creative commons zero"),
+    Template("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "above copyright notice and this permission notice shall be included"),
+    Template("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind", "unless required by applicable law or agreed to in writing"),
+    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "terms of the gnu general public license as published"),
+    Template("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "gnu lesser general public license"),
+    Template("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", "gnu affero general public license"),
+    Template("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "nor the names of its contributors may be used to endorse"),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable"),
+    Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    Template("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", "any person or organization obtaining a copy"),
+    Template("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", "eclipse public license"),
+    Template("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0 international"),
+    Template("cc-by-sa-4.0", "this work is licensed under a creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike"),
+    Template("cc-by-nc-4.0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial"),
 )
-#: Words of a template that the index holds, and the share of their weight that must agree on a place.
+#: Words of a template that a text looks up, and the share of their weight that must agree on a place.
 RARE = 3
 AGREE = 0.6
 
@@ -70,73 +85,100 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), F.lit(WORD), F.lit(0))
 
 
-def idf(tokens: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> dict[str, float]:
-    """ln((1 + texts) / (1 + texts with the word)) of each template word; one count per word comes to the driver."""
-    vocabulary = sorted({w for t in templates for w in t.words})
-    known = F.array(*map(F.lit, vocabulary))
-    texts = tokens.count()
-    rows = tokens.select(F.explode(F.array_intersect("words", known)).alias("word")).groupBy("word").count().collect()
-    found = {r["word"]: r["count"] for r in rows}
-    return {w: math.log((1 + texts) / (1 + found.get(w, 0))) for w in vocabulary}
+def marks(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """doc_id, n_words, word, at: the places of the licence words of each text, in order."""
+    tokens = docs.select("doc_id", words(F.col("text")).alias("words"))
+    places = F.filter(F.transform("words", lambda w, i: F.when(w.isin(vocabulary), F.struct(w.alias("word"), i.alias("at")))), lambda x: x.isNotNull())
+    rows = tokens.select("doc_id", F.size("words").cast("long").alias("n_words"), places.alias("places"))
+    return rows.select("doc_id", "n_words", F.col("places.word").alias("word"), F.col("places.at").alias("at"))
+
+
+def idf(rows: DataFrame) -> dict[str, float]:
+    """ln((1 + texts) / (1 + texts with the word)) of the licence words, over all texts; one count per word comes to the driver."""
+    texts = rows.count()
+    found = rows.select(F.explode(F.array_distinct("word")).alias("word")).groupBy("word").count().collect()
+    return {r["word"]: math.log((1 + texts) / (1 + r["count"])) for r in found}
 
 
-def rare_words(template: Template, weight: dict[str, float]) -> list[tuple[str, int, float]]:
-    """(word, position, weight) of the template's rarest words, at their first place; ties go to the earlier."""
+def postings(template: Template, weight: dict[str, float]) -> list[tuple[str, int, float]]:
+    """(word, position, share of the weight) of a template, the rarest word of its key phrase first, then by falling IDF; each at its first place, ties to the earlier."""
     first: dict[str, int] = {}
     for i, w in enumerate(template.words):
         first.setdefault(w, i)
-    best = sorted(first, key=lambda w: (-weight[w], first[w]))[: 1 if template.base else RARE]
-    return [(w, first[w], weight[w]) for w in best]
+    rare = lambda w: (-weight.get(w, math.inf), first[w])  # noqa: E731  a word of no text is never looked up
+    lead = min(set(template.key_words), key=rare)
+    order = [lead] if template.base else [lead, *sorted(set(first) - {lead}, key=rare)]
+    # the key phrase may begin after an earlier place of the word
+    first[lead] = template.key_at + template.key_words.index(lead)
+    known = {w: weight.get(w, 0.0) + 1e-9 for w in order}
+    total = known[lead] + sum(sorted((known[w] for w in order[1:]), reverse=True)[: RARE - 1])
+    return [(w, first[w], known[w] / total) for w in order]
 
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row of `docs` (doc_id, text; other columns are ignored).
 
     score is the highest share of a template's rare-word weight that agrees on one place where its key phrase stands (1 for a base phrase), 0
-    without any. Null and empty texts have no words; repeated rows give repeated results; an empty table gives no rows.
+    without any. Null and empty texts have no words; repeated rows give repeated results; an empty table gives no rows. Work on a text
+    grows with its words, and with the sorting of its hits.
     """
-    tokens = docs.select("doc_id", words(F.col("text")).alias("words"))
-    weight = idf(tokens, templates)
-    index: dict[str, list[tuple[int, int, float]]] = {}
-    for i, t in enumerate(templates):
-        rare = rare_words(t, weight)
-        total = sum(x for *_, x in rare)
-        for w, at, x in rare:
-            index.setdefault(w, []).append((i, at, x / total if total > 0 else 1 / len(rare)))
-    # postings of the text: the places of the index's words only
-    keys = F.create_map(*[x for w in sorted(index) for x in (F.lit(w), F.lit(True))])
-    places = F.filter(F.transform("words", lambda w, i: F.when(F.element_at(keys, w), F.struct(w.alias("word"), i.alias("at")))), lambda x: x.isNotNull())
-    rows = tokens.select("doc_id", F.size("words").cast("long").alias("n_words"), "words", places.alias("places"))
-    postings = F.create_map(*[x for w in sorted(index) for x in (F.lit(w), F.array(*[F.struct(F.lit(i).alias("template"), F.lit(at).alias("at"), F.lit(share).alias("share")) for i, at, share in index[w]]))])
-    hits = F.flatten(F.transform("places", lambda p: F.transform(F.element_at(postings, p["word"]), lambda t: F.struct(t["template"].alias("template"), (p["at"] - t["at"]).alias("start"), t["share"].alias("share")))))
+    rows = materialize(marks(docs, sorted({w for t in templates for w in t.words})), "marks")
+    weight = idf(rows)
+    index = F.array(
+        *[
+            F.struct(F.lit(i).alias("template"), F.lit(own[0][0]).alias("lead"), F.array(*[F.struct(F.lit(w).alias("word"), F.lit(at).alias("at"), F.lit(x).alias("share")) for w, at, x in own]).alias("words"))
+            for i, own in ((i, postings(t, weight)) for i, t in enumerate(templates))
+        ]
+    )
     key = F.array(*[F.array(*map(F.lit, t.key_words)) for t in templates])
     key_at = F.array(*[F.lit(t.key_at) for t in templates])
-
-    def stands(h: Column) -> Column:
-        """The template's key phrase is where it must be."""
-        phrase = key[h["template"]]
-        start = h["start"] + key_at[h["template"]]
-        return (start >= 0) & (start + F.size(phrase) <= F.size("words")) & (F.slice("words", F.greatest(start, F.lit(0)) + 1, F.size(phrase)) == phrase)
-
-    spots = F.array_distinct(F.transform("hits", lambda h: F.struct(h["template"].alias("template"), h["start"].alias("start"))))
-    spots = F.filter(spots, stands)
-    share = lambda s: F.aggregate(F.filter("hits", lambda h: (h["template"] == s["template"]) & (h["start"] == s["start"])), F.lit(0.0), lambda a, h: a + h["share"])
-    rows = rows.select("doc_id", "n_words", F.when(F.size("places") > 0, F.col("words")).otherwise(F.array().cast("array<string>")).alias("words"), hits.alias("hits"))
-    rows = rows.select("doc_id", "n_words", "hits", spots.alias("spots"))
-    rows = rows.select("doc_id", "n_words", F.transform("spots", lambda s: F.struct(s["template"].alias("template"), s["start"].alias("start"), F.round(share(s), 6).alias("share"))).alias("spots"))
-    rows = rows.select("doc_id", "n_words", F.filter("spots", lambda s: s["share"] >= AGREE).alias("spots"))
     label = F.array(*[F.lit(t.label) for t in templates])
     is_base = F.array(*[F.lit(t.base) for t in templates])
-    base = F.filter("spots", lambda s: is_base[s["template"]])
+
+    # the text's own rarest licence words of each template whose lead it holds
+    has = F.array_distinct("word")
+    rows = rows.select("*", has.alias("has"))
+    own = lambda t: F.transform(F.slice(F.filter(t["words"], lambda w: F.array_contains("has", w["word"])), 1, RARE), lambda w: F.struct(w["word"].alias("word"), t["template"].alias("template"), w["at"].alias("at"), w["share"].alias("share"), (w["word"] == t["lead"]).alias("leads")))
+    chosen = F.flatten(F.transform(F.filter(index, lambda t: F.array_contains("has", t["lead"])), own))
+    rows = rows.select("doc_id", "n_words", "word", "at", chosen.alias("chosen"))
+    rows = rows.select("*", F.array_distinct(F.col("chosen.word")).alias("looked_up"))
+
+    def stands(c: Column, i: Column) -> Column:
+        """The key phrase stands around place i of a lead: its words are licence words, so their places follow one another."""
+        phrase = key[c["template"]]
+        first = i - (c["at"] - key_at[c["template"]])
+        last = first + F.size(phrase) - 1
+        whole = (first >= 0) & (F.get("at", last) - F.get("at", F.greatest(first, F.lit(0))) == F.size(phrase) - 1) & (F.slice("word", F.greatest(first, F.lit(0)) + 1, F.size(phrase)) == phrase)
+        return c["leads"] & F.coalesce(whole, F.lit(False))
+
+    def hits(w: Column, i: Column) -> Column:
+        at = F.get("at", i)
+        found = F.transform(F.filter("chosen", lambda c: c["word"] == w), lambda c: F.struct(c["template"].alias("template"), (at - c["at"]).alias("start"), c["share"].alias("share"), stands(c, i).alias("stands")))
+        return F.when(F.array_contains("looked_up", w), found)
+
+    found = F.flatten(F.filter(F.transform("word", hits), lambda x: x.isNotNull()))
+    rows = rows.select("doc_id", "n_words", F.array_sort(found).alias("hits"))
+
+    def spot(h: Column, i: Column) -> Column:
+        """A place at the last of its hits, of which there are RARE at most."""
+        other = lambda k: F.get("hits", i + k)
+        same = lambda k: F.coalesce((other(k)["template"] == h["template"]) & (other(k)["start"] == h["start"]), F.lit(False))
+        share, ok = h["share"], h["stands"]
+        for k in range(1, RARE):
+            share = share + F.when(same(-k), other(-k)["share"]).otherwise(0.0)
+            ok = ok | (same(-k) & other(-k)["stands"])
+        return F.when(~same(1) & ok & (share >= AGREE), F.struct(h["template"].alias("template"), h["start"].alias("start"), F.round(F.least(share, F.lit(1.0)), 6).alias("share")))
+
+    rows = rows.select("doc_id", "n_words", F.filter(F.transform("hits", spot), lambda x: x.isNotNull()).alias("spots"))
     names = lambda xs: F.array_join(F.array_sort(F.array_distinct(F.transform(xs, lambda s: label[s["template"]]))), ",")
-    rows = rows.select("doc_id", "n_words", "spots", base.alias("base"))
+    rows = rows.select("doc_id", "n_words", "spots", F.filter("spots", lambda s: is_base[s["template"]]).alias("base"))
     return rows.select(
         "doc_id",
         "n_words",
         F.size("base").cast("long").alias("n_base"),
-        F.array_min(F.transform("base", lambda s: s["start"])).cast("long").alias("first_word"),
-        F.array_max(F.transform("base", lambda s: s["start"])).cast("long").alias("last_word"),
+        F.array_min(F.col("base.start")).cast("long").alias("first_word"),
+        F.array_max(F.col("base.start")).cast("long").alias("last_word"),
         names(F.col("base")).alias("base_labels"),
         names(F.col("spots")).alias("labels"),
-        F.coalesce(F.array_max(F.transform("spots", lambda s: s["share"])), F.lit(0.0)).alias("score"),
+        F.coalesce(F.array_max(F.col("spots.share")), F.lit(0.0)).alias("score"),
     )

@@ -298,6 +298,48 @@ def test_licences(request, table):
     assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in rows)
 
 
+def scan_by_hand(texts):
+    """All columns, from the definition: every start of every template is looked at."""
+    split = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or "")) for t in texts]
+    vocabulary = {w for t in licenses.TEMPLATES for w in t.words}
+    sets = [vocabulary & set(w) for w in split]
+    weight = {w: np.log((1 + len(texts)) / (1 + sum(w in s for s in sets))) for w in set().union(*sets)}
+    for words, has in zip(split, sets, strict=True):
+        spots = []
+        for t in licenses.TEMPLATES:
+            own = licenses.postings(t, weight)
+            looked = [x for x in own if x[0] in has][: licenses.RARE]
+            for start in range(-len(t.words), len(words)):
+                share = sum(x for w, at, x in looked if 0 <= start + at < len(words) and words[start + at] == w)
+                at = start + t.key_at
+                if share >= licenses.AGREE and at >= 0 and words[at : at + len(t.key_words)] == t.key_words:
+                    spots.append((t.base, start, t.label, round(min(share, 1), 6)))
+        base = sorted(s for b, s, *_ in spots if b)
+        names = lambda keep: ",".join(sorted({n for b, _, n, _ in spots if b or keep}))
+        yield len(words), len(base), base[0] if base else None, base[-1] if base else None, names(False), names(True), max((x for *_, x in spots), default=0.0)
+
+
+def test_licences_equal_brute_force(spark, docs, edge):
+    made = ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software.", "licensed under cc by nc 4 0, all rights reserved; CC BY CC-BY", "x gnu affero general public license as published by", "the mit license. released under the MIT license", "general public license version 3: this work is licensed under the GNU General Public License, version 3"]
+    df = docs.select("doc_id", "text").unionByName(edge.select("doc_id", "text")).unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(made)], "doc_id long, text string"))
+    rows = df.collect()
+    want = sorted((str(r.doc_id), *x) for r, x in zip(rows, scan_by_hand([r.text for r in rows]), strict=True))
+    assert sorted(((str(r.doc_id), *r[1:]) for r in licenses.scan(df).collect()), key=repr) == sorted(want, key=repr)
+    labels = {w[6] for w in want}
+    assert {"mit", "cc-by,cc-by-nc,reserved", "gpl,gpl-3.0"} <= labels
+
+
+def test_licences_of_a_long_text_take_linear_time(spark):
+    import time
+
+    text = "all rights reserved cc by general public license released under the mit license " * 12000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    (r,) = licenses.scan(df).collect()
+    assert (r.n_words, r.n_base, r.labels) == (156000, 36000, "cc-by,gpl,mit,reserved") and time.time() - began < 20
+    assert licenses.scan(df.limit(0)).count() == 0
+
+
 def test_licences_at_the_ends_and_twice(spark):
     df = spark.createDataFrame([(1, "CC-BY x cc by"), (2, "all rights all rights reserved"), (3, "general public general public license")], "doc_id long, text string")
     got = {r.doc_id: (r.n_base, r.first_word, r.last_word) for r in licenses.scan(df).collect()}
