@@ -4,8 +4,9 @@ Every detected entity has a kind and a canonical value, so spellings of one thin
 surrogate is drawn from a keyed hash of both: digits stay digits in the same layout, card and
 account numbers keep their check sums, names keep their gender, script and case. The distinct
 values of all texts are drawn in rounds: a surrogate that is itself somebody's value, or that two values
-claim, is drawn again by all but one, until none collide. So equal values get equal surrogates
-in every text, and different values different ones.
+claim, is drawn again by all but one, until none collide. Where a space of numbers is nearly used up, such as that of
+192.168.0.0/16, a keyed permutation of it without fixed points is taken instead. So equal values get equal surrogates
+in every text, and different values different ones. Each text is scanned once.
 """
 
 from __future__ import annotations
@@ -23,12 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from ..plans.shared import materialize
+from ..plans.shared import materialize, new_path, temporary
 from .batches import fresh_name, text_slices
 
-#: Draws of a value before the space of its kind counts as full; in the second half a surrogate may be another's value.
+#: Draws of a value at most; in the second half a surrogate may be another's value.
 ROUNDS = 64
-KEY = b"set your own key"
+#: A space of which more than one in so many numbers is somebody's is permuted instead of drawn from.
+DENSE = 16
 
 _EMAIL = re.compile(r"(?<![\w.+%-])[\w+%-]+(?:\.[\w+%-]+)*@(?:[\w-]+\.)+[^\W\d_]{2,}(?![\w-])")
 _ID = re.compile(r"(?<![\w.+-])\d{3}-\d{2}-\d{4}(?![\w-]|\.\d)")
@@ -37,6 +39,7 @@ _BEFORE, _AFTER = re.compile(r"(?<![\w.+-])"), re.compile(r"(?![\w-]|\.\d)")
 # How card numbers are printed, by the digits of their groups.
 _LAYOUTS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), (16,), (15,), (14,), (19,)}
 _IP = re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)")
+_IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![\w:]|\.\d)")
 _PHONE = re.compile(
     r"(?<![\w+.-])(?:(?:\+\d{1,3}|00\d{1,3})(?:[ .-]?\(0\))?(?:[ .-]?\(\d{1,4}\)|[ .-]\d{1,5}|\d{4,12})(?:[ .-]?\d{2,5}){0,5}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}([.-])\d{3,4}\1\d{4})(?![\w]|-\d|\.\d)"
 )
@@ -51,8 +54,8 @@ _NAME = re.compile(rf"(?<!\w)(?:(?P<m>{_MALE})|(?P<f>{_FEMALE})|(?P<n>{_EITHER})
 _CUE = re.compile(rf"(?<!\w)(?:{_MALE}|{_FEMALE}|{_EITHER}|{_INTRO})")
 # Given names that tell the gender where the address doesn't.
 _GIVEN = {
-    "f": "anna maria emma laura julia sarah jane mary emily alice claire sophie marie camille lucía carmen elena sofía анна мария ольга елена",
-    "m": "john james peter paul thomas michael david robert daniel hans karl jürgen pierre jean louis carlos juan josé miguel иван сергей пётр павел",
+    "f": "anna maria emma laura julia sarah jane mary emily alice claire sophie marie camille lucía carmen elena sofía linda susan karen nancy lisa betty helen sandra donna carol ruth sharon michelle amanda melissa rebecca deborah katharina ursula monika petra sabine heike nicole isabelle chantal nathalie pilar dolores rosa paula giulia chiara francesca анна мария ольга елена наталья татьяна ирина светлана",
+    "m": "john james peter paul thomas michael david robert daniel hans karl jürgen pierre jean louis carlos juan josé miguel william richard joseph charles christopher matthew anthony mark steven andrew kenneth george edward brian kevin ronald klaus wolfgang stefan andreas uwe dieter jacques michel philippe nicolas antonio francisco manuel javier luca marco giovanni иван сергей пётр павел александр дмитрий андрей николай",
 }
 _GENDER = {w: g for g, names in _GIVEN.items() for w in names.split()}
 # Syllables and endings that names of a script are made of.
@@ -153,6 +156,11 @@ def find_entities(text: str | None) -> list[tuple[int, int, str, str]]:
             account = s.group().replace(" ", "")
             if 15 <= len(account) <= 34 and _mod97(account[4:] + account[:4]) == 1:
                 found.append((s.start(), s.end(), "iban", account))
+    if "::" in text or text.count(":") > 6:
+        for s in _IPV6.finditer(text):
+            # two words around a double colon are no address
+            if len(s.group().replace("::", ":").strip(":").split(":")) > 2 and any(c.isdigit() for c in s.group()):
+                found.append((s.start(), s.end(), "inet", ipaddress.IPv6Address(s.group()).exploded))
     if _CUE.search(text):
         found += _names(text)
     found.sort(key=lambda x: (x[0], -x[1], x[2]))
@@ -227,6 +235,9 @@ def draw_surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
         while ipaddress.IPv4Address(got := f"{1 + draw.below(223)}.{draw.below(256)}.{draw.below(256)}.{1 + draw.below(254)}").is_private:
             pass
         return got
+    if kind == "inet":
+        # fixed value: the prefix for documentation
+        return ipaddress.IPv6Address((0x20010DB8 << 96) + (draw.below(1 << 48) << 48) + draw.below(1 << 48)).exploded
     if kind == "iban":
         body = "".join(draw.alike(c) for c in value[4:])
         return f"{value[:2]}{98 - _mod97(body + value[:2] + '00'):02d}{body}"
@@ -248,41 +259,123 @@ def render(kind: str, mention: str, surrogate: str) -> str:
     if kind.startswith(("card", "phone", "id", "iban")):
         rest = iter(surrogate)
         return "".join(next(rest) if c.isalnum() else c for c in mention)
-    if kind in ("ip",):
+    if kind == "ip":
         return surrogate
+    if kind == "inet":
+        own = ipaddress.IPv6Address(surrogate)
+        text = own.compressed if "::" in mention else ":".join(format(int(x, 16), "x") for x in own.exploded.split(":"))
+        return text.upper() if mention.upper() == mention and mention.lower() != mention else text
     return surrogate.upper() if len(mention) > 1 and mention.isupper() else surrogate.title() if mention[:1].isupper() and kind != "email" else surrogate
 
 
-def replace_entities(text: str, surrogates: dict[tuple[str, str], str]) -> str:
+def space(kind: str, value: str) -> tuple[str, int, int]:
+    """The space of numbers that a value's surrogates come from, its size, and the value's index; size 0 where there is no bound."""
+    if kind == "ip":
+        own = ipaddress.IPv4Address(value)
+        if own.is_private:
+            kept = 1 if value.startswith("10.") else 2
+            return "ip " + ".".join(value.split(".")[:kept]), 256 ** (4 - kept), int(own) % 256 ** (4 - kept)
+    if kind == "id":
+        return kind, 10**9, int(value)
+    if kind == "card":
+        return f"card {len(value)} {value[0]}", 10 ** (len(value) - 2), int(value[1:-1])
+    if kind.startswith("phone"):
+        keep = len(kind) - len("phone+") if "+" in kind else 0
+        rest = value[keep:]
+        low = rest[:1] < "2"
+        lead = value[: keep + 1] if low else value[:keep]
+        size = 10 ** (len(rest) - 1) if low else 8 * 10 ** (len(rest) - 1)
+        return f"{kind} {len(value)} {lead}", size, int(rest[1:] or "0") if low else int(rest) - 2 * 10 ** (len(rest) - 1)
+    return "", 0, 0
+
+
+def _at(kind: str, value: str, index: int) -> str:
+    """The number with that index in the space of `value`."""
+    if kind == "ip":
+        kept = 1 if value.startswith("10.") else 2
+        return str(ipaddress.IPv4Address(int(ipaddress.IPv4Address(value)) // 256 ** (4 - kept) * 256 ** (4 - kept) + index))
+    if kind == "id":
+        return f"{index:09d}"
+    if kind == "card":
+        body = value[0] + str(index).zfill(len(value) - 2)
+        return body + str(_luhn(body))
+    keep = len(kind) - len("phone+") if "+" in kind else 0
+    rest = value[keep:]
+    return value[: keep + 1] + (str(index).zfill(len(rest) - 1) if len(rest) > 1 else "") if rest[:1] < "2" else value[:keep] + str(index + 2 * 10 ** (len(rest) - 1))
+
+
+class _Permutation:
+    """A keyed permutation of 0 ... n-1: a Feistel network over the next even number of bits, walked on until it is back in range."""
+
+    def __init__(self, key: bytes, name: str, n: int) -> None:
+        self.key, self.name, self.n = key, name.encode(), n
+        self.half = max(1, -(-(n - 1).bit_length() // 2))
+        self.mask = (1 << self.half) - 1
+
+    def _round(self, i: int, x: int) -> int:
+        got = hmac.new(self.key, b"%s\x1f%d\x1f%d" % (self.name, i, x), hashlib.sha256).digest()
+        return int.from_bytes(got[:8], "big") & self.mask
+
+    def _walk(self, x: int, rounds: range) -> int:
+        while True:
+            left, right = x >> self.half, x & self.mask
+            for i in rounds:
+                if rounds.step > 0:
+                    left, right = right, left ^ self._round(i, right)
+                else:
+                    left, right = right ^ self._round(i, left), left
+            x = left << self.half | right
+            if x < self.n:
+                return x
+
+    def next(self, x: int) -> int:
+        """The number after x on one cycle through all n: never x itself if n > 1, and different for different x."""
+        return self._walk((self._walk(x, range(8)) + 1) % self.n, range(7, -1, -1))
+
+
+def replace_entities(text: str, spans: list[tuple[int, int, str, str]], surrogates: dict[tuple[str, str], str]) -> str:
     """The text with every entity rendered as its surrogate."""
     out, at = [], 0
-    for start, end, kind, value in find_entities(text):
+    for start, end, kind, value in spans:
         out += [text[at:start], render(kind, text[start:end], surrogates[kind, value])]
         at = end
     return "".join([*out, text[at:]])
 
 
+def _mapped(values: DataFrame, name: str, kind: str, make) -> DataFrame:
+    """`values` (kind, value) with a column made from both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [make(k, v) for k, v in zip(batch.column("kind").to_pylist(), batch.column("value").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("value"), pa.array(made, {"string": pa.string()}.get(kind) or pa.struct([("space", pa.string()), ("size", pa.int64())]))], names=["kind", "value", name])
+
+    return values.select("kind", "value").mapInArrow(run, f"kind string, value string, {name} {kind}")
+
+
 def assign(values: DataFrame, key: bytes, rounds: int = ROUNDS) -> DataFrame:
     """kind, value, surrogate for every row of `values` (kind, value; distinct, from a written table).
 
     Of the values that claim one surrogate the smallest keeps it. Kinds that differ in gender or
-    script alone share one space. ValueError if a space is full, for then two values couldn't stay distinct.
+    script alone share one space. A space of numbers of which more than one in DENSE is a value is permuted as a whole.
     """
     family = lambda c: F.regexp_extract(c, r"^[a-z]+", 0)
+    spaces = _mapped(values, "own", "struct<space:string,size:bigint>", lambda k, v: dict(zip(("space", "size"), (x := space(k, v))[:1] + (min(x[1], 1 << 62),), strict=True))).select("kind", "value", "own.space", "own.size").where("size > 0")
+    dense = materialize(spaces.groupBy("space", "size").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * DENSE > F.col("size")), "dense")
+    done: DataFrame | None = None
+    pending = values
+    if not dense.isEmpty():
+        full = materialize(spaces.join(dense.select("space", "size"), ["space", "size"]).select("kind", "value"), "dense-values")
 
-    def drawn(pending: DataFrame, attempt: int) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                kinds, own = batch.column("kind").to_pylist(), batch.column("value").to_pylist()
-                yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("value"), pa.array([draw_surrogate(key, k, v, attempt) for k, v in zip(kinds, own, strict=True)], pa.string())], names=["kind", "value", "surrogate"])
-
-        return pending.select("kind", "value").mapInArrow(run, "kind string, value string, surrogate string").withColumn("family", family(F.col("kind")))
+        def permuted(kind: str, value: str) -> str:
+            name, size, index = space(kind, value)
+            return _at(kind, value, _Permutation(key, name, size).next(index))
 
+        done = materialize(_mapped(full, "surrogate", "string", permuted).withColumn("family", family(F.col("kind"))), "surrogates")
+        pending = materialize(values.join(full, ["kind", "value"], "left_anti"), "pending")
     originals = values.select(family(F.col("kind")).alias("family"), F.col("value").alias("surrogate"))
-    done: DataFrame | None = None
-    pending = values
     for attempt in range(rounds):
-        claims = materialize(drawn(pending, attempt), "claims")
+        claims = materialize(_mapped(pending, "surrogate", "string", lambda k, v, a=attempt: draw_surrogate(key, k, v, a)).withColumn("family", family(F.col("kind"))), "claims")
         taken = originals if attempt < rounds // 2 else None
         if done is not None:
             held = done.select("family", "surrogate")
@@ -294,72 +387,61 @@ def assign(values: DataFrame, key: bytes, rounds: int = ROUNDS) -> DataFrame:
         pending = materialize(pending.join(won, ["kind", "value"], "left_anti").select("kind", "value"), "pending")
         if pending.isEmpty():
             return done.select("kind", "value", "surrogate")
-    raise ValueError(f"no distinct surrogates are left for {pending.select('kind').distinct().limit(5).collect()}")
+    raise ValueError(f"no distinct surrogates were found for {pending.select('kind').distinct().limit(5).collect()}")
 
 
-def _entities(docs: DataFrame, row: str, entities: str) -> DataFrame:
-    """The rows of `docs` that hold personal data, with a number of their own and the distinct (kind, value) found."""
-    pair = StructType([StructField("kind", StringType()), StructField("value", StringType())])
-    arrow = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())]))
+_SPAN = StructType([StructField("start", LongType()), StructField("end", LongType()), StructField("kind", StringType()), StructField("value", StringType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 33
-        for part in text_slices(batches):
-            found = [{x[2:] for x in find_entities(t)} for t in part.column("text").to_pylist()]
-            some = part.filter(pa.array([bool(x) for x in found], pa.bool_()))
-            if some.num_rows:
-                listed = pa.array([[{"kind": k, "value": v} for k, v in sorted(x)] for x in found if x], arrow)
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(range(number, number + some.num_rows), pa.int64()), listed], names=[*some.schema.names, row, entities])
-                number += some.num_rows
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(row, LongType()), StructField(entities, ArrayType(pair))]))
 
-
-def _clean(docs: DataFrame, count: str, kinds: str) -> DataFrame:
-    """The rows without personal data, as they are."""
+def _scanned(docs: DataFrame, row: str, spans: str) -> DataFrame:
+    """The rows of `docs` with the personal data found in each, and a number of their own."""
+    arrow = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("value", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
         for part in text_slices(batches):
-            rest = part.filter(pa.array([not find_entities(t) for t in part.column("text").to_pylist()], pa.bool_()))
-            if rest.num_rows:
-                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([0] * rest.num_rows, pa.int64()), pa.array([""] * rest.num_rows)], names=[*rest.schema.names, count, kinds])
+            found = [[dict(zip(("start", "end", "kind", "value"), x, strict=True)) for x in find_entities(t)] for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(range(number, number + part.num_rows), pa.int64()), pa.array(found, arrow)], names=[*part.schema.names, row, spans])
+            number += part.num_rows
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(count, LongType()), StructField(kinds, StringType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(row, LongType()), StructField(spans, ArrayType(_SPAN))]))
 
 
-def pseudonymize(docs: DataFrame, key: bytes = KEY, count: str = "n_entities", kinds: str = "kinds") -> DataFrame:
+def pseudonymize(docs: DataFrame, key: bytes, count: str = "n_entities", kinds: str = "kinds") -> DataFrame:
     """All columns of `docs` (among them text) with personal data in text replaced, and the number of entities and their kinds.
 
     Rows without any, null and empty texts among them, come back as they are; repeated rows get equal
-    texts; an empty table gives no rows. Equal values have equal surrogates and different ones different, over the whole table. Columns
-    named `count` or `kinds` are replaced.
+    texts; an empty table gives no rows. Equal values have equal surrogates and different ones different, over the whole table and for one `key`, which
+    should be secret. Columns named `count` or `kinds` are replaced.
     """
     docs = docs.drop(count, kinds)
-    row, entities, pairs = (fresh_name(docs, x) for x in ("row", "entities", "pairs"))
-    found = materialize(_entities(docs, row, entities), "entities")
-    each = found.select(F.col(f"`{row}`").alias("row"), F.explode(f"`{entities}`").alias("e")).select("row", "e.kind", "e.value")
-    values = materialize(each.select("kind", "value").distinct(), "values")
-    surrogates = assign(values, key)
-    own_columns = docs.columns
-    lists = each.join(surrogates, ["kind", "value"]).groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias(pairs))
+    row, spans, pairs = (fresh_name(docs, x) for x in ("row", "spans", "pairs"))
+    found, end = materialize(_scanned(docs, row, spans), "scanned"), new_path(docs.sparkSession, "pairs")
+    own_columns, some = docs.columns, F.size(F.col(f"`{spans}`")) > 0
+    with temporary(docs.sparkSession):
+        each = found.where(some).select(F.col(f"`{row}`").alias("row"), F.explode(F.array_distinct(F.transform(f"`{spans}`", lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"))))).alias("e")).select("row", "e.kind", "e.value")
+        values = materialize(each.select("kind", "value").distinct(), "values")
+        lists = each.join(assign(values, key), ["kind", "value"]).groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias(pairs))
+        lists = materialize(lists, "pairs", end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
             texts, numbers, names = [], [], []
-            for text, own in zip(part.column("text").to_pylist(), part.column(pairs).to_pylist(), strict=True):
-                texts.append(replace_entities(text, {(x["kind"], x["value"]): x["surrogate"] for x in own}))
-                spans = find_entities(text)
-                numbers.append(len(spans))
-                names.append(",".join(sorted({_plain(k) for _, _, k, _ in spans})))
+            for text, where, own in zip(part.column("text").to_pylist(), part.column(spans).to_pylist(), part.column(pairs).to_pylist(), strict=True):
+                where = [(x["start"], x["end"], x["kind"], x["value"]) for x in where]
+                texts.append(replace_entities(text, where, {(x["kind"], x["value"]): x["surrogate"] for x in own}))
+                numbers.append(len(where))
+                names.append(",".join(sorted({_plain(k) for _, _, k, _ in where})))
             columns = [pa.array(texts, part.schema.field("text").type) if c == "text" else part.column(c) for c in own_columns]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(numbers, pa.int64()), pa.array(names, pa.string())], names=[*own_columns, count, kinds])
 
-    joined = found.drop(entities).join(lists, row).drop(row)
-    changed = joined.mapInArrow(run, StructType([*docs.schema.fields, StructField(count, LongType()), StructField(kinds, StringType())]))
-    return changed.unionByName(_clean(docs, count, kinds))
+    schema = StructType([*docs.schema.fields, StructField(count, LongType()), StructField(kinds, StringType())])
+    changed = found.where(some).join(lists, row).drop(row).mapInArrow(run, schema)
+    clean = found.where(~some).select(*[F.col(f"`{c}`") for c in own_columns], F.lit(0).cast("long").alias(count), F.lit("").alias(kinds))
+    return changed.unionByName(clean)
 
 
 @lru_cache(maxsize=4096)
 def _plain(kind: str) -> str:
     """The kind without its country code, gender and script."""
-    return "name" if kind.startswith(("given", "surname")) else re.match(r"[a-z]+", kind)[0]
+    return "name" if kind.startswith(("given", "surname")) else "ip" if kind == "inet" else re.match(r"[a-z]+", kind)[0]

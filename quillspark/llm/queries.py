@@ -9,8 +9,13 @@ from ..sources.tables import read_table
 from . import forest, licenses, media, neardup, packing, pieces, pii, quality, token_files, warc
 
 
+def pii_key(spark: SparkSession) -> bytes:
+    """The session's secret `spark.quillspark.pii.key`; an open one for the tables of this folder, which hold invented people."""
+    return spark.conf.get("spark.quillspark.pii.key", "for invented people only").encode()
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.pseudonymize(read_table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -409,7 +409,7 @@ PRIVATE = "Mail a.b@x-corp.de or A.B@X-CORP.DE, call +1 (976) 555-1170 or +1-976
 
 def test_surrogates_keep_form_and_coreference(spark):
     df = spark.createDataFrame([(1, PRIVATE, "a"), (2, "Write to a.b@x-corp.de.", "b"), (3, "Version 2.0, 2024-01-15 10:00:00, 4568668072826648.", "c"), (4, None, "d"), (5, "", "e")], "doc_id long, text string, kinds string")
-    got = {r.doc_id: r for r in pii.pseudonymize(df).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymize(df, b"k").collect()}
     out = got[1].text
     for secret in ("a.b@", "x-corp", "976", "1170", "65.133", "4568", "3704", "Smith", "Anna", "Иван", "Петров"):
         assert secret not in out
@@ -424,7 +424,7 @@ def test_surrogates_keep_form_and_coreference(spark):
     first, last = re.search(r"Mrs (\w+) (\w+) met", out).groups()
     assert f"Mr. {last};" in out and f"{first} left" in out
     assert (got[3].text, got[3].n_entities, got[4].text, got[5].text) == (df.collect()[2].text, 0, None, "")
-    assert pii.pseudonymize(df.limit(0)).count() == 0
+    assert pii.pseudonymize(df.limit(0), b"k").count() == 0
 
 
 def test_surrogates_stay_distinct(spark):
@@ -435,11 +435,54 @@ def test_surrogates_stay_distinct(spark):
     assert not {r.surrogate for r in rows} & {r.value for r in rows}
 
 
-def test_surrogates_cover_the_documents(spark, sf, texts):
-    for r in queries.op1_pii(spark, sf).collect():
-        found = pii.find_entities(texts[r.doc_id])
-        assert r.n_entities == len(found)
-        assert not found and r.text == (texts[r.doc_id]) or all(texts[r.doc_id][a:b] not in r.text for a, b, *_ in found)
+def test_surrogates_of_a_full_space(spark):
+    own = [f"192.168.{i >> 8}.{i & 255}" for i in range(0, 65536, 8)]
+    values = spark.createDataFrame([("ip", v) for v in own] + [("ip", "10.0.0.1")], "kind string, value string")
+    got = {r.value: r.surrogate for r in pii.assign(values, b"k").collect()}
+    assert len(got) == len(set(got.values())) == len(own) + 1
+    assert all(v != x and v.startswith("192.168.") == x.startswith("192.168.") for v, x in got.items())
+    for kind, value in (("id", "123456789"), ("card", "4568668072826647"), ("phone+1", "19765551170"), ("phone", "0301234567"), ("ip", "172.16.9.9")):
+        name, size, index = pii.space(kind, value)
+        assert pii._at(kind, value, index) == value
+        steps = pii._Permutation(b"k", name, size)
+        assert pii.space(kind, pii._at(kind, value, steps.next(index)))[:2] == (name, size)
+    walk = pii._Permutation(b"k", "x", 1000)
+    assert sorted(map(walk.next, range(1000))) == list(range(1000)) and all(walk.next(i) != i for i in range(1000))
+
+
+def test_addresses_of_either_kind():
+    text = "at 2001:db8:85a3::8a2e:370:7334 or FE80:0:0:0:202:B3FF:FE1E:8329, not at 12:30:45, std::vector, ab::cd"
+    assert [(k, v) for *_, k, v in pii.find_entities(text)] == [("inet", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"), ("inet", "fe80:0000:0000:0000:0202:b3ff:fe1e:8329")]
+
+
+def test_surrogates_of_the_documents(spark, sf, texts):
+    plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w.])"}
+    rows, seen = {r.doc_id: r for r in queries.op1_pii(spark, sf).collect()}, {}
+    assert set(rows) == set(texts)
+    for i, r in rows.items():
+        for kind, pattern in plain.items():
+            before, after = re.findall(pattern, texts[i]), re.findall(pattern, r.text or "")
+            assert len(before) == len(after)
+            for x, y in zip(before, after, strict=True):
+                assert x.lower() != y.lower() and seen.setdefault((kind, x.lower()), y.lower()) == y.lower()
+        if not r.n_entities:
+            assert (r.text or "") == texts[i] and r.kinds == ""
+    assert len(set(seen.values())) == len(seen) > 5
+    # what stays of a changed text is the text around its entities
+    for i, r in rows.items():
+        if r.n_entities:
+            at = 0
+            for a, b, *_ in pii.find_entities(texts[i]):
+                assert texts[i][at:a] in r.text
+                at = b
+
+
+def test_surrogates_of_repeated_and_long_texts(spark):
+    text = "word " * 200000 + "mail a.b@x-corp.de now"
+    df = spark.createDataFrame([(1, text, 5), (1, text, 5), (2, "", 6)], "doc_id long, text string, `n_entities` int").withColumn("Row", F.lit(1)).withColumn("spans", F.lit(2))
+    got = sorted(pii.pseudonymize(df, b"k").collect(), key=lambda r: (r.doc_id, r.text))
+    assert [r.n_entities for r in got] == [1, 1, 0] and got[0].text == got[1].text and got[0].text.startswith("word word") and "x-corp" not in got[0].text
+    assert (got[0].Row, got[0].spans) == (1, 2)
 
 
 def test_pipeline(spark, sf):
