@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import neardup, packing, pii, quality
 from quillspark.llm.batches import fresh_name
+from quillspark.llm.queries import pii_key
 from quillspark.plans.shared import materialize
 from quillspark.sources.tables import read_table
 
@@ -42,7 +43,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def private_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with keyed surrogates for personal data in their texts."""
     count, kinds = fresh_name(docs, "n_entities"), fresh_name(docs, "kinds")
-    return pii.pseudonymize(docs, count=count, kinds=kinds).select(*docs.columns)
+    return pii.pseudonymize(docs, pii_key(spark), count=count, kinds=kinds).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
