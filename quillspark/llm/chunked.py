@@ -196,7 +196,9 @@ def library_encoder(path: str, cut: str) -> ChunkEncoder:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    # a text that spells a special token holds it, wherever its chunks would end
+    marks = sorted((re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+    rare = re.compile("|".join([_RARE_SPACE.pattern, *marks]))
 
     def whole(texts: list[str]) -> list[list[int]]:
         return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -226,7 +228,7 @@ def library_encoder(path: str, cut: str) -> ChunkEncoder:
                 sizes.append(n)
             return np.concatenate(ids), np.concatenate(sizes)
 
-        return ChunkEncoder(marked, whole, cut)
+        return ChunkEncoder(marked, whole, cut, rare)
     spelled = tokenizer.get_vocab()
     width = np.zeros(max(spelled.values()) + 1, np.int64)  # the byte alphabet has a letter for each byte
     for piece, i in spelled.items():
@@ -251,4 +253,4 @@ def library_encoder(path: str, cut: str) -> ChunkEncoder:
         first[order] = np.cumsum(sizes[order]) - sizes[order]
         return np.concatenate((*parts, alone)).astype(np.uint32)[ragged(first, sizes)], sizes
 
-    return ChunkEncoder(joined, whole, cut)
+    return ChunkEncoder(joined, whole, cut, rare)

@@ -22,7 +22,6 @@ from .batches import text_bytes, text_slices
 from .chunked import ChunkEncoder
 
 _MARK = "▁"
-_NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
 
 
 class PieceModel:

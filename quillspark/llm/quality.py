@@ -21,7 +21,6 @@ from .chunked import _Hash
 
 PASSAGE_WORDS = 64
 SAMPLE_DOCS = 4000  # labelled texts that the classifier is fitted on, at most
-SAMPLE_PASSAGES = 48  # of each, at most
 THRESHOLD = 0.3
 BIGRAMS = 32
 HIDDEN, ATTENTION, EPOCHS, BATCH = 24, 16, 24, 64
@@ -166,7 +165,7 @@ def held_out(doc_id) -> object:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> AttentionModel:
-    """Fit on at most SAMPLE_DOCS labelled texts, chosen by the hash of their id, without the held-out ones.
+    """Fit on all passages of at most SAMPLE_DOCS labelled texts, chosen by the hash of their id, without the held-out ones; of rows that repeat an id one is taken.
 
     `labels` has doc_id and quality (0 or 1; rows with another value, or a null, are left out; of a repeated doc_id the larger counts).
     """
@@ -178,11 +177,11 @@ def train(docs: DataFrame, labels: DataFrame) -> AttentionModel:
         for part in text_slices(batches):
             x, owner = encoder(*text_bytes(part.column("text")))
             bags = [x[owner == i] for i in range(part.num_rows)]
-            bags = [b[np.linspace(0, len(b) - 1, SAMPLE_PASSAGES).astype(int)] if len(b) > SAMPLE_PASSAGES else b for b in bags]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array([b.tobytes() for b in bags], pa.binary())], names=["doc_id", "quality", "bag"])
 
     # the sample is at most SAMPLE_DOCS narrow rows, so it may go to every task
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").limit(2 * SAMPLE_DOCS)
+    one = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
+    texts = one.select("doc_id", "quality", "least.text")
     rows = sorted((r.doc_id, r.bag, r.quality) for r in texts.mapInArrow(run, "doc_id long, quality int, bag binary").toLocalIterator())
     return AttentionModel.fit([np.frombuffer(b, np.float32).reshape(-1, FEATURES) for _, b, _ in rows], np.array([q for *_, q in rows], np.float64))
 

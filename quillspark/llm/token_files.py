@@ -31,7 +31,7 @@ from .chunked import library_encoder
 MAGIC = b"QTOK0001"
 INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("n_ids", "<u8"), ("offset", "<u8")])
 SAMPLE_DOCS = 1024  # the dictionary is trained on about so many documents
-SAMPLE_CHARS = 16_384  # of at most so many characters
+SAMPLE_IDS = 8_192  # and at most so many first ids of each
 DICTIONARY_BYTES = 64 << 10
 FILE_BYTES = 64 << 20
 
@@ -44,15 +44,19 @@ def _width(tokenizer: str) -> str:
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
     """A dictionary from a sample of about SAMPLE_DOCS documents by the hash of their ids; empty for too small a corpus."""
-    n = docs.count()
-    short = docs.where(F.length("text") <= SAMPLE_CHARS)
-    sample = short.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(max(1, n // SAMPLE_DOCS))) == 0).limit(2 * SAMPLE_DOCS)
-    width, encoder = _width(tokenizer), library_encoder(tokenizer, "space")
-    arrays = []
-    for row in sample.select("text").toLocalIterator():
-        raw = row.text.encode()
-        ids, _ = encoder([row.text], np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-        arrays.append(np.append(ids, end_id).astype(width).tobytes())
+    n, width = docs.count(), _width(tokenizer)
+    chance = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(max(1, n // SAMPLE_DOCS)))
+    sample = docs.where(F.col("text").isNotNull()).select("doc_id", "text").where(chance == 0).limit(2 * SAMPLE_DOCS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = library_encoder(tokenizer, "space")
+        for part in text_slices(batches):
+            ids, counts = encoder(part.column("text").to_pylist(), *text_bytes(part.column("text")))
+            ends = np.cumsum(counts)
+            own = [np.append(ids[a : min(b, a + SAMPLE_IDS)], end_id).astype(width).tobytes() for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary())], names=["ids"])
+
+    arrays = [bytes(r.ids) for r in sample.mapInArrow(run, "ids binary").toLocalIterator()]
     arrays.sort()
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, arrays)) // 8), arrays).as_bytes()

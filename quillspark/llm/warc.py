@@ -26,6 +26,8 @@ from .batches import file_system, publish, text_slices
 MAGIC = b"\x1f\x8b\x08"
 DATE = "2020-01-01T00:00:00Z"
 RANGE_BYTES = 4 << 20
+#: Repeated payloads, at most, that are sent to all rows; beyond, rows are shuffled to them.
+BROADCAST_ROWS = 1 << 17
 BLOCK = 1 << 20
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL name space
 
@@ -67,6 +69,8 @@ def write_archives(pages: DataFrame, path: str, level: int = 6) -> DataFrame:
     # only payloads that occur again need a partner
     firsts = rows.groupBy("payload").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("payload", "first")
     firsts = materialize(firsts, "payloads")
+    if firsts.count() <= BROADCAST_ROWS:
+        firsts = F.broadcast(firsts)
     joined = rows.join(firsts, "payload", "left").select("page_id", "url", "html", F.when(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +148,7 @@ _HEADER = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
 def parse_record(content: bytes) -> dict | None:
     """Named header fields (lower-case) and the block of a record, or None if they don't hold together."""
     head, sep, rest = content.partition(b"\r\n\r\n")
-    fields = {k.decode().lower(): v.decode("utf-8", "replace") for k, v in _HEADER.findall(head + b"\r\n")}
+    fields = {k.decode("latin-1").strip().lower(): v.decode("utf-8", "replace") for k, v in _HEADER.findall(head + b"\r\n")}
     length = fields.get("content-length", "")
     if not sep or not length.isdigit() or len(rest) < int(length):
         return None
@@ -162,34 +166,62 @@ def read_range(uri: str, start: int, end: int) -> Iterator[dict]:
         at = got[1] if record else at + 1
 
 
-def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES, with_payload: bool = False) -> DataFrame:
+def _unchunked(body: bytes) -> bytes:
+    """The content of a body in chunks; what there is of one that ends early."""
+    out, at = [], 0
+    while m := re.compile(rb"([0-9A-Fa-f]+)[^\r\n]*\r\n").match(body, at):
+        size = int(m[1], 16)
+        if not size:
+            break
+        out.append(body[m.end() : m.end() + size])
+        at = m.end() + size + 2
+    return b"".join(out)
+
+
+def record_row(x: dict, strict: bool = True) -> dict:
+    """What read_archives() returns of a parsed record."""
+    kind, digest = x.get("warc-type", "").lower(), x.get("warc-payload-digest", "").removeprefix("sha1:")
+    payload, size = x["block"], None
+    if "application/http" in x.get("content-type", "").lower():
+        http, _, payload = x["block"].partition(b"\r\n\r\n")
+        if re.search(rb"(?im)^transfer-encoding:[^\r\n]*\bchunked", http):
+            payload = _unchunked(payload)
+        named = re.search(rb"(?im)^content-length:[ \t]*(\d+)", http)
+        size = int(named[1]) if named else None
+    if kind == "revisit":
+        payload = None
+    else:
+        if strict and (size not in (None, len(payload)) or digest not in ("", _digest(payload)) and len(digest) == 32):
+            raise ValueError(f"the payload of {x.get('warc-record-id')} isn't what its headers say")
+        size, digest = len(payload), _digest(payload)
+    number = lambda name: int(v) if re.fullmatch(r"-?\d{1,18}", v := x.get(name, "")) else None
+    return {"page_id": number("warc-page-id"), "payload_bytes": size, "payload_digest": digest or None, "record_type": kind or None, "refers_to": number("warc-refers-to-page"), "url": x.get("warc-target-uri"), "payload": payload}
+
+
+def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES, with_payload: bool = False, strict: bool = True) -> DataFrame:
     """One row per record of the files of a manifest (path, bytes): page_id, payload_bytes, payload_digest, record_type, refers_to, url, and the payload on request (null for revisits).
 
-    Size and digest of a response are those of the payload read, and must be those its headers name; a revisit's are those its headers name.
+    The payload of an HTTP message is its body without chunks, as it was encoded; that of any other record (warcinfo, metadata, ...) is its block. Size and digest of a
+    revisit are those its headers name, or null. page_id and refers_to are null in records that others wrote. A payload that isn't what
+    its headers say raises ValueError if `strict`, else it is described as it is. What is no record is passed over.
     """
     ranges = manifest.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(range_bytes))).alias("start"))
     ranges = ranges.select("path", "start", F.least(F.col("start") + range_bytes, "bytes").alias("end"))
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string" + ", payload binary" * with_payload
+    arrow = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string())] + [("payload", pa.binary())] * with_payload)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
         for batch in batches:
             for r in batch.to_pylist():
                 for x in read_range(r["path"], r["start"], r["end"]):
-                    http, _, payload = x["block"].partition(b"\r\n\r\n")
-                    named = int(re.search(rb"(?i)content-length: *(\d+)", http)[1])
-                    digest, kind = x["warc-payload-digest"].removeprefix("sha1:"), x["warc-type"]
-                    if kind == "response" and (len(payload) != named or _digest(payload) != digest):
-                        raise ValueError(f"{r['path']}: the payload of {x['warc-record-id']} isn't what its headers say")
-                    row = {"page_id": int(p) if (p := x.get("warc-page-id")) else None, "payload_bytes": named, "payload_digest": digest, "record_type": kind, "refers_to": int(p) if (p := x.get("warc-refers-to-page")) else None, "url": x.get("warc-target-uri")}
-                    rows.append(row | ({"payload": payload if kind == "response" else None} if with_payload else {}))
+                    rows.append({k: v for k, v in record_row(x, strict).items() if k in arrow.names})
                     if len(rows) >= 256:
                         yield pa.RecordBatch.from_pylist(rows, schema=arrow)
                         rows = []
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    arrow = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string())] + [("payload", pa.binary())] * with_payload)
     return ranges.repartition(task_partitions(manifest)).mapInArrow(run, schema)
 
 

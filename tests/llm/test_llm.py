@@ -22,6 +22,12 @@ def edge(spark):
     return spark.createDataFrame(EDGE, "doc_id long, text string, kinds string")
 
 
+@pytest.fixture(scope="module")
+def special(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>Y <|ENDOFTEXT|>", "<|endof text|> plain", None]
+    return spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, n_ids int")
+
+
 @pytest.fixture(scope="module")
 def docs(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet")
@@ -213,6 +219,37 @@ def test_warc_round_trip_in_small_ranges(spark, sf):
     assert got == want
 
 
+def test_warc_of_rows_without_id_and_repeated_rows(spark):
+    df = spark.createDataFrame([(None, "u", "same"), (5, "u", "same"), (5, "v", "same"), (7, None, "same"), (None, None, None), (8, "w", "")], "page_id long, url string, html string").withColumn("first", F.lit(1)).withColumn("payload", F.lit(1))
+    got = sorted(((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archived_pages(spark, df).collect()), key=repr)
+    assert got == [(0, 0, "revisit", 8), (0, 4, "revisit", 5), (5, 4, "response", None), (5, 4, "response", None), (7, 4, "revisit", 5), (8, 0, "response", None)]
+    assert warc.archived_pages(spark, df.limit(0)).count() == 0
+
+
+def test_warc_of_other_writers(spark, tmp_path):
+    import gzip
+
+    def record(kind, body, **more):
+        head = [b"WARC/1.0", b"WARC-Type: " + kind, *(k.replace("_", "-").encode() + b": " + v for k, v in more.items()), b"Content-Length: %d" % len(body)]
+        return gzip.compress(b"\r\n".join(head) + b"\r\n\r\n" + body + b"\r\n\r\n")
+
+    http = b"application/http; msgtype=response"
+    (tmp_path / "x.warc.gz").write_bytes(
+        record(b"warcinfo", b"software: x\r\n", Content_Type=b"application/warc-fields")
+        + record(b"request", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n", Content_Type=b"application/http; msgtype=request")
+        + record(b"response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n3;x=y\r\nabc\r\n2\r\nde\r\n0\r\n\r\n", Content_Type=http)
+        + record(b"response", b"HTTP/1.1 200 OK\r\n\r\nno length", Content_Type=http)
+        + record(b"revisit", b"HTTP/1.1 200 OK\r\n\r\n", Content_Type=http)
+        + record(b"metadata", b"", **{"X\xff": b"1"})
+        + record(b"response", b"HTTP/1.1 200 OK\r\nContent-Length: 9\r\n\r\nshort", Content_Type=http)
+    )
+    manifest = spark.createDataFrame([(str(tmp_path / "x.warc.gz"), (tmp_path / "x.warc.gz").stat().st_size)], "path string, bytes long")
+    got = [(r.record_type, r.payload_bytes, r.payload and bytes(r.payload)) for r in warc.read_archives(manifest, with_payload=True, strict=False).collect()]
+    assert got == [("warcinfo", 13, b"software: x\r\n"), ("request", 0, b""), ("response", 5, b"abcde"), ("response", 9, b"no length"), ("revisit", None, None), ("metadata", 0, b""), ("response", 5, b"short")]
+    with pytest.raises(Exception, match="isn't what its headers say"):
+        warc.read_archives(manifest).count()
+
+
 def test_warc_skips_false_magic(tmp_path):
     record = warc.encode_record(1, "u", b"\x1f\x8b\x08" * 50, None, level=0)
     (tmp_path / "x").write_bytes(b"\x1f\x8b\x08junk" + record + record)
@@ -227,11 +264,10 @@ def encoder(name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("table", ["docs", "edge"])
+@pytest.mark.parametrize("table", ["docs", "edge", "special"])
 def test_token_files(spark, request, table):
     df = request.getfixturevalue(table)
     encode = encoder("byte_bpe_50k.json")
@@ -248,7 +284,7 @@ def test_token_file_of_nothing(spark, docs):
     assert token_files.token_file_rows(spark, docs.limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
-@pytest.mark.parametrize("table", ["docs", "edge"])
+@pytest.mark.parametrize("table", ["docs", "edge", "special"])
 def test_packing(request, table):
     df = request.getfixturevalue(table)
     encode = encoder("word_bpe_49k.json")
@@ -354,6 +390,17 @@ def test_quality_on_held_out_labels(spark):
     assert np.mean([r.predicted == q for r, q in held]) >= 0.9
 
 
+def test_quality_learns_from_all_passages_and_one_row_of_an_id(spark):
+    good, bad = "Plain words that make a sense, and end. " * 12, "BUY!!! $$$ now|now|now " * 20
+    # what tells the two apart stands behind seventy passages of the same
+    filler = "one two three four " * 1200
+    rows = [(i, (filler if i % 3 else "") + (good if i % 2 else bad)) for i in range(1, 161)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("quality", F.lit("clash"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 161)], "doc_id long, quality int")
+    got = quality.classify(df, labels).collect()
+    assert len(got) == 320 and np.mean([(r.score >= 0.5) == (r.doc_id % 2) for r in got]) > 0.9
+
+
 def test_quality_edge_cases(spark, edge):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = quality.classify(edge, labels).collect()
