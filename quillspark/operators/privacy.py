@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from .text import contains_any, line_rows
 
+#: What the rules look for.
 USER_PATH = r"C:\\Users\\([^\\/\s\"']+)|(?<![\w.~-])/home/([^\\/\s\"']+)"
 #: Names that examples have in the place of a user's.
 PLACEHOLDERS = ["<user>", "username", "%userprofile%", "example", "me"]
+RESERVED = ["example.com", "users.noreply.github.com"]
+RESIDENT = r"(?:^|[^0-9-])([0-9]{6}-[1-8][0-9]{6})(?:[^0-9-]|$)"
+PHONE = r"(?:^|[^0-9-])(01[016789]-[0-9]{3,4}-[0-9]{4}|0[2-6][0-9]?-[0-9]{3,4}-[0-9]{4})(?:[^0-9-]|$)"
+HANGUL = r"[가-힣]{2,4}"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
 
@@ -17,8 +23,14 @@ def emails(docs: DataFrame) -> DataFrame:
     """doc_id, email, exempt: role and reserved addresses are exempt."""
     found = docs.select("doc_id", F.explode(F.regexp_extract_all(F.col("text"), F.lit(EMAIL), F.lit(0))).alias("email"))
     local, domain = F.lower(F.substring_index("email", "@", 1)), F.lower(F.substring_index("email", "@", -1))
-    reserved = (domain == "example.com") | domain.endswith(".example.com") | domain.endswith(".invalid") | (domain == "users.noreply.github.com")
-    return found.select("doc_id", "email", (local.startswith("noreply") | reserved).alias("exempt")).distinct()
+    return found.select("doc_id", "email", _exempt(local, domain).alias("exempt")).distinct()
+
+
+def _exempt(local: Column, domain: Column) -> Column:
+    reserved = domain.endswith(".invalid")
+    for name in RESERVED:
+        reserved = reserved | (domain == name) | domain.endswith(f".{name}")
+    return local.startswith("noreply") | reserved
 
 
 def denied_terms(docs: DataFrame, terms: list[str]) -> DataFrame:
@@ -38,6 +50,41 @@ def user_paths(docs: DataFrame) -> DataFrame:
     return line_rows(docs).select("doc_id", "line", F.explode(names).alias("name")).where(~F.lower("name").isin(PLACEHOLDERS))
 
 
+def identity_numbers(docs: DataFrame) -> DataFrame:
+    """doc_id, line, kind, number: resident numbers and phone numbers on lines, by length and digest only."""
+    found = lambda kind, pattern: F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), lambda x: F.struct(F.lit(kind).alias("kind"), F.sha2(x, 256).alias("number")))
+    return line_rows(docs).where(F.col("text").rlike("[0-9]-[0-9]")).select("doc_id", "line", F.explode(F.concat(found("resident", RESIDENT), found("phone", PHONE))).alias("f")).select("doc_id", "line", "f.kind", "f.number")
+
+
+def named_numbers(docs: DataFrame, gap: int = 12) -> DataFrame:
+    """doc_id, line, snippet: lines on which a run of five digits and a name of two to four syllables have at most `gap` characters between; the snippet is of 60 characters at most."""
+    near = rf"[0-9]{{5,}}[^0-9\n]{{0,{gap}}}{HANGUL}|{HANGUL}[^0-9\n]{{0,{gap}}}[0-9]{{5,}}"
+    return line_rows(docs).where(F.col("text").rlike(near)).select("doc_id", "line", F.substring(F.regexp_extract("text", near, 0), 1, 60).alias("snippet"))
+
+
+def counted_findings(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """doc_id, hard, warn: the findings of each row counted within it, in one pass: distinct addresses, denied terms by line, users' paths."""
+    text = F.coalesce("text", F.lit(""))
+    mails = F.array_distinct(F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0)))
+    exempt = F.filter(mails, lambda m: _exempt(F.lower(F.substring_index(m, "@", 1)), F.lower(F.substring_index(m, "@", -1))))
+    # most texts hold no term at all, and are not cut into lines
+    low = F.lower(text)
+    held = F.lit(False)
+    for t in terms:
+        held = held | low.contains(t)
+    per_line = F.aggregate(T.lines(low), F.lit(0), lambda a, line: a + sum(line.contains(t).cast("int") for t in terms))
+    names = lambda i: F.regexp_extract_all(text, F.lit(USER_PATH), F.lit(i))
+    paths = F.filter(F.zip_with(names(1), names(2), lambda x, y: F.concat(F.coalesce(x, F.lit("")), F.coalesce(y, F.lit("")))), lambda n: ~F.lower(n).isin(PLACEHOLDERS))
+    hard = F.size(mails) - F.size(exempt) + F.when(held, per_line).otherwise(0) + F.when(text.contains("Users") | text.contains("/home/"), F.size(paths)).otherwise(0)
+    return docs.select("doc_id", hard.cast("long").alias("hard"), F.size(exempt).cast("long").alias("warn"))
+
+
+def verdicts(counts: DataFrame) -> DataFrame:
+    """doc_id, hard, warn, ok, exit_code from counts (doc_id, hard, warn): 3 with a hard finding, 2 with a warning alone, else 0."""
+    sums = counts.groupBy("doc_id").agg(F.sum("hard").alias("hard"), F.sum("warn").alias("warn"))
+    return sums.select("doc_id", "hard", "warn", (F.col("hard") == 0).alias("ok"), F.when(F.col("hard") > 0, 3).when(F.col("warn") > 0, 2).otherwise(0).alias("exit_code"))
+
+
 def findings(docs: DataFrame, terms: list[str]) -> DataFrame:
     """doc_id, code, severity: one row a finding."""
     mail = emails(docs).select("doc_id", F.lit("email").alias("code"), F.when(F.col("exempt"), "WARN").otherwise("HARD").alias("severity"))

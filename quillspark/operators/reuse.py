@@ -6,27 +6,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.shared import materialize
 from .text import prose_tokens
 
 #: Fixed values of the rule: shingle size, least run, least Jaccard, least shared shingles.
 SHINGLE, RUN, JACCARD, SHARED = 8, 12, 0.35, 4
+#: Shingles of the prior texts, at most, that are sent to all tasks; beyond, both sides are shuffled.
+BROADCAST_GRAMS = 1 << 20
 
 
 def reused_passages(docs: DataFrame, prior: DataFrame) -> DataFrame:
     """doc_id, item_id, shared, jaccard, long_run for pairs that share enough shingles, or a run of RUN tokens.
 
-    Both sides are joined on distinct grams, so a pair costs what it shares; a run of twelve is a
-    common gram of twelve.
+    Texts are tokenised once. Pairs come from equal 64-bit hashes of shingles, those of the prior texts sent to all tasks if they are few; a run of twelve
+    holds five shingles of eight, so runs are looked for in pairs that were found, and a pair costs what it shares.
     """
-    a = prose_tokens(docs.select("doc_id", "text"))
-    b = prose_tokens(prior.select(F.col("item_id").alias("doc_id"), "text")).withColumnRenamed("doc_id", "item_id")
-    grams = lambda d, key, n: d.select(key, F.explode(F.array_distinct(T.ngrams(F.col("tokens"), n))).alias("gram"))
-    size = lambda d, key, name: d.select(key, F.size(F.array_distinct(T.ngrams(F.col("tokens"), SHINGLE))).alias(name))
-    shared = grams(a, "doc_id", SHINGLE).join(grams(b, "item_id", SHINGLE), "gram").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
-    runs = grams(a, "doc_id", RUN).join(grams(b, "item_id", RUN), "gram").select("doc_id", "item_id").distinct().withColumn("long_run", F.lit(True))
-    pairs = shared.join(runs, ["doc_id", "item_id"], "left").join(size(a, "doc_id", "na"), "doc_id").join(size(b, "item_id", "nb"), "item_id")
+    hashes = lambda n: F.when(F.size("tokens") >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("tokens") - n + 1), lambda i: F.xxhash64(F.slice("tokens", i, n))))).otherwise(F.array().cast("array<bigint>"))
+    rows = lambda d, tag: materialize(prose_tokens(d).select("doc_id", hashes(SHINGLE).alias("grams"), hashes(RUN).alias("runs")), tag)
+    a, b = rows(docs.select("doc_id", "text"), "shingles"), rows(prior.select(F.col("item_id").alias("doc_id"), "text"), "prior-shingles").withColumnRenamed("doc_id", "item_id")
+    known = b.select("item_id", F.explode("grams").alias("gram"))
+    if known.count() <= BROADCAST_GRAMS:
+        known = F.broadcast(known)
+    shared = a.select("doc_id", F.explode("grams").alias("gram")).join(known, "gram").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
+    sizes = lambda d, key, n, runs: d.select(key, F.size("grams").alias(n), F.col("runs").alias(runs))
+    pairs = shared.join(sizes(a, "doc_id", "na", "ra"), "doc_id").join(sizes(b, "item_id", "nb", "rb"), "item_id")
     jaccard = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
-    found = pairs.select("doc_id", "item_id", "shared", F.round(jaccard, 6).alias("jaccard"), F.coalesce("long_run", F.lit(False)).alias("long_run"))
+    found = pairs.select("doc_id", "item_id", "shared", F.round(jaccard, 6).alias("jaccard"), F.arrays_overlap("ra", "rb").alias("long_run"))
     return found.where(((F.col("jaccard") >= JACCARD) & (F.col("shared") >= SHARED)) | F.col("long_run"))
 
 

@@ -29,12 +29,61 @@ def ending_distribution(docs: DataFrame) -> DataFrame:
 
 
 def repeated_tics(docs: DataFrame, sizes: tuple[int, ...] = (2, 3), least: int = 3, top: int = 8) -> DataFrame:
-    """doc_id, rank, phrase, uses: the phrases a document repeats most; ties go to the longer and then to the alphabet."""
-    words = docs.select("doc_id", T.tokens(F.col("text")).alias("w"))
-    grams = words.select("doc_id", F.explode(F.concat(*[T.ngrams(F.col("w"), n) for n in sizes])).alias("phrase"))
-    counted = grams.groupBy("doc_id", "phrase").agg(F.count(F.lit(1)).alias("uses")).where(F.col("uses") >= least)
-    order = Window.partitionBy("doc_id").orderBy(F.desc("uses"), F.desc(F.length("phrase")), "phrase")
-    return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("doc_id", "rank", "phrase", "uses")
+    """doc_id, rank, phrase, uses: the phrases a document repeats most; ties go to the longer and then to the alphabet.
+
+    A document is counted within its row: its phrases are sorted and their runs measured, so nothing is shuffled.
+    """
+    words = docs.select("doc_id", T.tokens(F.coalesce("text", F.lit(""))).alias("w"))
+    rows = words.select("doc_id", F.array_sort(F.concat(*[T.ngrams(F.col("w"), n) for n in sizes])).alias("g"))
+    last = F.filter(F.transform("g", lambda x, i: F.when(F.coalesce(x != F.get("g", i + 1), F.lit(True)), i)), lambda i: i.isNotNull())
+    rows = rows.select("doc_id", "g", last.alias("last"))
+    uses = F.transform("last", lambda i, k: F.struct((F.coalesce(F.get("last", k - 1), F.lit(-1)) - i).alias("fewer"), (-F.length(F.get("g", i))).alias("shorter"), F.get("g", i).alias("phrase")))
+    rows = rows.select("doc_id", F.slice(F.array_sort(F.filter(uses, lambda x: x["fewer"] <= -least)), 1, top).alias("best"))
+    # an outer explode: the filter that Spark infers of an inner one is pushed below the arrays and counts them anew for every item
+    return rows.select("doc_id", F.posexplode_outer("best").alias("at", "x")).where("at is not null").select("doc_id", (F.col("at") + 1).alias("rank"), F.col("x.phrase").alias("phrase"), (-F.col("x.fewer")).cast("long").alias("uses"))
+
+
+def paragraph_statistics(docs: DataFrame) -> DataFrame:
+    """source, paragraphs and their length: count, least, most, mean to two places, median. Paragraphs are parted by empty lines; headings, tables and comments are none."""
+    rows = docs.select("source", F.explode(F.split("text", r"\n[ \t]*\n")).alias("p")).where((F.trim("p") != "") & ~F.col("p").rlike(r"^\s*(?:#|\||<!--)")).select("source", F.length(F.trim("p")).alias("n"))
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("paragraphs"), F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 2).alias("mean"), F.median("n").alias("median"))
+
+
+def sentence_counts(docs: DataFrame) -> DataFrame:
+    """doc_id, by_mark, by_match, by_line, by_clause: the sentences of a text as four rules part them: after a mark and white space; by what lies between marks; by marks and line ends; by clauses."""
+    some = lambda parts: F.size(F.filter(parts, lambda x: F.trim(x) != "")).cast("long")
+    text = F.coalesce("text", F.lit(""))
+    found = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return docs.select("doc_id", some(F.split(text, r"(?<=[.!?…])[ \n\t]+", -1)).alias("by_mark"), some(found(r"[^.!?]+[.!?]*")).alias("by_match"), some(found(r"[^.!?\n]+[.!?]?")).alias("by_line"), some(F.split(text, r"[.,。\n]", -1)).alias("by_clause"))
+
+
+def masked_tags(text: Column) -> Column:
+    """Every character of a build tag as a space, line ends apart, so that places and lines stay."""
+    between, tags = F.split(text, r"(?s)\[\[.*?\]\]", -1), F.regexp_extract_all(text, F.lit(r"(?s)(\[\[.*?\]\])"), F.lit(1))
+    return F.array_join(F.zip_with(between, tags, lambda x, t: F.concat(x, F.coalesce(F.regexp_replace(t, r"[^\n]", " "), F.lit("")))), "")
+
+
+def tag_masks(docs: DataFrame) -> DataFrame:
+    """doc_id, same_length, same_lines, plain, masked: a text whose tags are masked, as digests beside the text with each tag as one space."""
+    mask = masked_tags(F.col("text"))
+    count = lambda c: F.length(F.regexp_replace(c, r"[^\n]", ""))
+    return docs.where("text is not null").select("doc_id", (F.length(mask) == F.length("text")).alias("same_length"), (count(mask) == count(F.col("text"))).alias("same_lines"), F.sha2(T.without_tags(F.col("text")), 256).alias("plain"), F.sha2(mask, 256).alias("masked"))
+
+
+def heading_echoes(docs: DataFrame, labels: list[str]) -> DataFrame:
+    """doc_id, line, text: headings that repeat a guide label, or begin with one and a colon."""
+    inner = T.collapse(F.lower(F.regexp_replace("text", "^#+ *", "")))
+    echo = F.lit(False)
+    for label in labels:
+        echo = echo | (inner == label) | inner.startswith(f"{label}:")
+    return line_rows(docs).where(F.col("text").startswith("#") & echo)
+
+
+def bold_segments(docs: DataFrame) -> DataFrame:
+    """doc_id, segments, bold, bold_chars: how many segments a text has when it is cut at its bold spans, and how much of it is bold."""
+    spans, between = F.regexp_extract_all("text", F.lit(r"\*\*([^*\n]+)\*\*"), F.lit(1)), F.split("text", r"\*\*[^*\n]+\*\*", -1)
+    plain = F.size(F.filter(between, lambda x: x != ""))
+    return docs.where("text is not null").select("doc_id", (plain + F.size(spans)).cast("long").alias("segments"), F.size(spans).cast("long").alias("bold"), F.aggregate(spans, F.lit(0), lambda a, x: a + F.length(x)).cast("long").alias("bold_chars"))
 
 
 def length_statistics(docs: DataFrame) -> DataFrame:
@@ -77,13 +126,19 @@ def checksum_rows(keys: DataFrame, column: str) -> DataFrame:
     return keys.select(F.col(column).alias("code"), T.valid_isbn10(ten).alias("isbn10"), T.valid_isbn13(thirteen).alias("isbn13"))
 
 
-def title_coverage(items: DataFrame, docs: DataFrame, least: float = 1.0) -> DataFrame:
-    """item_id, doc_id whose documents open with the item's first six tokens in order within their first forty."""
-    a = items.select("item_id", F.slice(T.tokens(F.col("text")), 1, 6).alias("short")).where(F.size("short") == 6)
-    b = docs.where("text is not null").select("doc_id", F.slice(T.tokens(F.col("text")), 1, 40).alias("long"))
-    # a full coverage needs the first token, so that is the join's key
-    pairs = a.withColumn("first", F.element_at("short", 1)).join(b.select("doc_id", "long", F.explode(F.array_distinct("long")).alias("first")), "first")
-    return pairs.where(T.ordered_coverage(F.col("short"), F.col("long")) >= least).select("item_id", "doc_id")
+def title_coverage(items: DataFrame, docs: DataFrame, least: int = 3) -> DataFrame:
+    """item_id, doc_id whose documents hold all tokens of the item in order; items of fewer than `least` tokens are left out.
+
+    A document must hold the item's rarest token, so the join is on that: one key for each item, and of a document only tokens that are one.
+    """
+    a = items.select("item_id", T.tokens(F.col("text")).alias("short")).where(F.size("short") >= least)
+    b = docs.where("text is not null").select("doc_id", T.tokens(F.col("text")).alias("long"))
+    wanted = a.select("item_id", F.explode(F.array_distinct("short")).alias("token"))
+    uses = b.select(F.explode(F.array_distinct("long")).alias("token")).join(wanted.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
+    rare = wanted.join(uses, "token", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "token")).alias("rare")).select("item_id", F.col("rare.token").alias("token"))
+    keyed = b.withColumn("token", F.explode(F.array_distinct("long"))).join(rare.select("token").distinct(), "token", "left_semi")
+    pairs = keyed.join(rare.join(a, "item_id"), "token")
+    return pairs.where((F.size(F.array_except("short", "long")) == 0) & (T.ordered_coverage(F.col("short"), F.col("long")) == 1)).select("item_id", "doc_id")
 
 
 def contains_any(text: Column, terms: list[str]) -> Column:

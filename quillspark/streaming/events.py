@@ -23,5 +23,11 @@ def latest_state(events: DataFrame) -> DataFrame:
     return newest.select("user_id", "e.event_id", "e.event_type", "e.ts")
 
 
+def json_lines(spark: SparkSession, path: str, schema: str, per_trigger: int = 16) -> DataFrame:
+    """Events of a growing folder of files of JSON lines; a line that doesn't fit the schema gives nulls."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).json(path)
+
+
 def without_repeats(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Each event_id once, as far as its repeats come within the watermark."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])

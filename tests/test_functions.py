@@ -72,8 +72,11 @@ def test_streams(spark, sf, tmp_path):
     q.awaitTermination(120)
     want = {(r.user_id, r.event_id) for r in state.latest(events, 1).collect()}
     assert {(r.user_id, r.event_id) for r in spark.table("latest").collect()} == want
-    q = windowed(stream, "1000 days").writeStream.format("memory").queryName("windows").outputMode("append").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
+    q = windowed(stream, "1 hour").writeStream.format("memory").queryName("windows").outputMode("append").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
     q.awaitTermination(120)
+    closed = spark.table("windows").collect()
+    whole = {tuple(r) for r in events.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select("w.start", "event_type", "n").collect()}
+    assert closed and {(r["starts"], r.event_type, r.n) for r in closed} <= whole
 
 
 def test_user_paths_are_found(spark):
@@ -85,3 +88,17 @@ def test_user_paths_are_found(spark):
     rules = spark.createDataFrame([("user_path",)], "rule string")
     assert gates.rule_states(rules, privacy.findings(df, [])).first().state == "hard"
     assert {r.doc_id: r.exit_code for r in privacy.rollup(df, privacy.findings(df, [])).collect()} == {0: 3, 1: 3, 2: 0, 3: 0}
+
+
+def test_json_lines_without_repeats(spark, tmp_path):
+    from quillspark.streaming.events import event_stream, json_lines, without_repeats
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text('{"event_id": 1, "ts": "2024-01-01 00:00:00"}\nnot json\n{"event_id": 1, "ts": "2024-01-01 00:00:05"}\n{"event_id": 2, "ts": "2024-01-01 00:00:09", "more": 1}\n')
+    stream = json_lines(spark, str(tmp_path / "in"), "event_id long, ts timestamp").where("event_id is not null")
+    q = without_repeats(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
+    q = event_stream(spark, str(tmp_path / "out")).writeStream.format("memory").queryName("again").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert spark.table("again").count() == 2

@@ -21,11 +21,15 @@ def duck(sf):
     return con
 
 
+#: Held against brute force in test_reports.py.
+NO_SQL = {"citation_markers", "title_matches", "title_coverage", "best_grids", "residue"}
+
+
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLE_SQL)
+    assert set(QUERIES) == set(ORACLE_SQL) | NO_SQL
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, sf, duck, name):
     df = QUERIES[name](spark, sf)
     names = sorted(df.columns)
