@@ -14,7 +14,11 @@ from quillspark.sources.tables import read_table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score reaches the threshold; those that the classifier rejects go."""
+    """Documents whose quality score reaches the threshold; those that the classifier rejects go.
+
+    Null and empty texts are scored as one passage of zeros, so they stay or go together; repeated rows have equal scores; a column that is called like the
+    score is kept as it is; without labels all documents have one score; an empty table gives no rows.
+    """
     name = fresh_name(docs, "quality_score")
     model = quality.train(docs, read_table(spark, sf_dir, "labels"))
     return quality.score(docs, model, name).where(F.col(name) >= quality.THRESHOLD).select(*docs.columns)
@@ -41,13 +45,19 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def private_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with keyed surrogates for personal data in their texts."""
+    """The documents with keyed surrogates for personal data in their texts (see pii_key for the key).
+
+    Null and empty texts stay as they are; repeated rows get equal texts; columns called like those of the operator are kept; an empty table gives no rows.
+    """
     count, kinds = fresh_name(docs, "n_entities"), fresh_name(docs, "kinds")
     return pii.pseudonymize(docs, pii_key(spark), count=count, kinds=kinds).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents with their places in the training sequences."""
+    """The pieces of the documents with their places in the training sequences; of the columns only doc_id stays.
+
+    Null and empty texts are the end id alone; repeated rows, and rows without id, are packed each by itself; an empty table gives no rows.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
