@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from ..functions import text as T
 from ..functions.units import QUANTITIES, UNITS
+from .relational import backed
 from .text import line_rows
 
 #: What stands before a number (80 characters of it at most, in which its subject is looked for), the number, and what follows it.
@@ -124,12 +125,8 @@ def backed_claims(claims: DataFrame, results: DataFrame, constants: DataFrame, t
 
     A result (result) backs a value within the tolerance; a constant (value, unit) backs one that is equal, if it has no unit or the same.
     """
-    band = lambda c: F.floor(F.ln(c) / F.lit(2 * tolerance)).cast("long")
     own = claims.where("candidate").select("doc_id", "line", "ord", "value", "unit")
-    some = own.where("value > 0").select("value").distinct()
-    near = some.select("value", F.explode(F.array(band("value") - 1, band("value"), band("value") + 1)).alias("band"))
-    # of a band's results its least and greatest are near enough to all values that any is, but for its own; those are few
-    hits = near.join(results.where("result > 0").select("result", band("result").alias("band")).distinct(), "band").where(T.close(F.col("value"), F.col("result"), tolerance)).select("value").distinct().withColumn("result", F.lit(True))
+    hits = backed(own.select(F.col("value").alias("id"), "value").distinct(), results, tolerance).where("backed").select("value", F.lit(True).alias("result"))
     fixed = constants.groupBy("value").agg(F.collect_set("unit").alias("units"), F.max(F.col("unit").isNull()).alias("any"))
     joined = own.join(hits, "value", "left").join(F.broadcast(fixed), "value", "left")
     constant = F.coalesce(F.col("any") | F.array_contains("units", F.col("unit")), F.lit(False))

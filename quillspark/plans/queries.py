@@ -198,6 +198,7 @@ QUERIES = {
     "vocabulary_differences": vocabulary_differences,
     "first_qualifying": first_qualifying,
     "stale_users": _on("events", state.stale),
+    "canonical_json": _on("events", gates.canonical_rows, "event_id", "props"),
     "paragraph_statistics": _on("documents", text.paragraph_statistics),
     "sentence_counts": _on("documents", text.sentence_counts),
     "tag_masks": _private(text.tag_masks),
@@ -496,6 +497,7 @@ ORACLE_SQL = {
     "stale_users": """
         SELECT user_id, CAST(floor(epoch_us(m) / 1e6 - epoch_us(t) / 1e6) AS BIGINT) AS silent_s
         FROM (SELECT user_id, max(ts) AS t, (SELECT max(ts) FROM events) AS m FROM events GROUP BY 1) WHERE silent_s > 86400""",
+    "canonical_json": "SELECT event_id, replace(props, ' ', '') AS canonical, sha256(replace(props, ' ', '')) AS digest FROM events",
     "paragraph_statistics": f"SELECT source, count(*) AS paragraphs, min(n) AS least, max(n) AS most, round(avg(n), 2) AS mean, CAST(median(n) AS DOUBLE) AS median FROM (SELECT source, CAST(length(trim(p, ' ')) AS INTEGER) AS n {_PARTED}) GROUP BY 1",
     "sentence_counts": """
         WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), p AS (SELECT doc_id, string_split(regexp_replace(t, '([.!?…])[ \\n\\t]+', '\\1' || chr(1), 'g'), chr(1)) AS a, regexp_extract_all(t, '[^.!?]+[.!?]*') AS b, regexp_extract_all(t, '[^.!?\\n]+[.!?]?') AS c, regexp_split_to_array(t, '[.,。\\n]') AS d FROM t)

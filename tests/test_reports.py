@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import claims, forms, privacy, relational, reuse, text, workflow
+from quillspark.operators import claims, forms, gates, privacy, relational, reuse, text, workflow
 from quillspark.plans import claims_queries, forms_queries, queries
 from quillspark.plans.fixtures import FORBIDDEN, PRIVATE, REPORTS
 
@@ -156,3 +156,9 @@ def test_reset_takes_back_later_stages(spark):
 def test_reuse_of_empty_tables(spark, edge):
     items = edge.select(F.col("doc_id").alias("item_id"), "text")
     assert reuse.reused_passages(edge.limit(0), items).count() == 0 and reuse.reused_passages(edge, items.limit(0)).count() == 0
+
+
+def test_canonical_json_refuses_what_is_ambiguous(spark):
+    rows = ['{"b": 1, "a": [true, null, "é"]}', '{"a": 1, "a": 2}', "NaN", '{"x": Infinity}', "", None, "[1, 2.50]"]
+    got = [r.canonical for r in gates.canonical_rows(spark.createDataFrame(list(enumerate(rows)), "id long, t string"), "id", "t").orderBy("id").collect()]
+    assert got == ['{"a":[true,null,"é"],"b":1}', None, None, None, None, None, "[1,2.5]"]
