@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import gates, privacy, relational, reuse, state, text
 from ..sources.tables import read_table
-from . import claims_queries, forms_queries, workflow_queries
+from . import claims_queries, documents_queries, forms_queries, workflow_queries
 from .fixtures import MODULES, PRIVATE_SQL, private, values
 
 TERMS = ["password", "license", "token"]
@@ -215,6 +215,7 @@ QUERIES = {
     **claims_queries.QUERIES,
     **forms_queries.QUERIES,
     **workflow_queries.QUERIES,
+    **documents_queries.QUERIES,
 }
 
 _LINES = "regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]')"
@@ -334,149 +335,6 @@ ORACLE_SQL = {
         SELECT event_type, count(v) AS n, min(v) AS least, max(v) AS most, count(*) FILTER (v IS NULL) AS missing
         FROM (SELECT event_type, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS v FROM events) GROUP BY 1""",
     "in_effect": "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last_id FROM events",
-    "occurrence_ids": """
-        SELECT event_id, CAST(o AS INTEGER) AS ordinal, sha256(user_id || '|' || event_type || '|' || o) AS claim_id
-        FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS o FROM events)""",
-    "gate_results": """
-        WITH k AS (SELECT TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events),
-        g AS (SELECT 'k_known' AS gate, count(*) AS rows, count(*) FILTER (k >= 0) AS passed FROM k UNION ALL SELECT 'k_small', count(*), count(*) FILTER (k < 90) FROM k UNION ALL SELECT 'k_fifty', count(*), count(*) FILTER (k = 50) FROM k)
-        SELECT *, rows > 0 AND rows = passed AS all_pass FROM g""",
-    "next_cells": next_cells,
-    "vocabulary_differences": vocabulary_differences,
-    "first_qualifying": first_qualifying,
-    "stale_users": _on("events", state.stale),
-    "paragraph_statistics": _on("documents", text.paragraph_statistics),
-    "sentence_counts": _on("documents", text.sentence_counts),
-    "tag_masks": _private(text.tag_masks),
-    "bold_segments": _private(text.bold_segments),
-    "heading_echoes": _private(text.heading_echoes, ["guide", "fill"]),
-    "identity_numbers": _private(privacy.identity_numbers),
-    "named_numbers": _private(privacy.named_numbers),
-    "box_overlaps": box_overlaps,
-    "missing_requirements": missing_requirements,
-    "late_outputs": late_outputs,
-    "first_codes": lambda spark, sf_dir: relational.first_codes(read_table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "concat(p_name, ' ', p_type) AS text"), CODES),
-    "module_levels": lambda spark, sf_dir: relational.level_order(spark.createDataFrame(MODULES, "module string, requires string")),
-    "apportioned": lambda spark, sf_dir: relational.apportioned(read_table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("part")).agg(F.sum("l_quantity").cast("long").alias("ratio")).withColumn("total", F.lit(42520))),
-    **claims_queries.QUERIES,
-    **forms_queries.QUERIES,
-    **workflow_queries.QUERIES,
-}
-
-_LINES = "regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]')"
-_TOKENS = "regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+(?:[-''][\\p{{L}}\\p{{N}}]+)*')"
-_PROSE = "flatten(list_filter(list_transform(list_filter({lines}, lambda x: NOT regexp_matches(x, '^\\s*(#|\\||[-=*_]{{3,}}\\s*$)')), lambda x: {tokens}), lambda x: len(x) >= 6))".format(lines=_LINES, tokens=_TOKENS.format("x"))
-_GRAMS = "SELECT DISTINCT {key}, array_to_string(w[i:i+{n}-1], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w)-{n}+2)) AS i FROM {src})"
-
-ORACLE_SQL = {
-    "reused_passages": f"""
-        WITH a AS (SELECT doc_id, {_PROSE} AS w FROM documents), b AS (SELECT item_id, {_PROSE} AS w FROM benchmark),
-        a8 AS ({_GRAMS.format(key="doc_id", n=8, src="a")}), b8 AS ({_GRAMS.format(key="item_id", n=8, src="b")}),
-        a12 AS ({_GRAMS.format(key="doc_id", n=12, src="a")}), b12 AS ({_GRAMS.format(key="item_id", n=12, src="b")}),
-        s AS (SELECT doc_id, item_id, count(*) AS shared FROM a8 JOIN b8 USING (g) GROUP BY ALL),
-        r AS (SELECT DISTINCT doc_id, item_id FROM a12 JOIN b12 USING (g)),
-        na AS (SELECT doc_id, count(*) AS na FROM a8 GROUP BY 1), nb AS (SELECT item_id, count(*) AS nb FROM b8 GROUP BY 1),
-        p AS (SELECT s.doc_id, s.item_id, shared, round(shared / (na + nb - shared), 6) AS jaccard, r.doc_id IS NOT NULL AS long_run
-              FROM s JOIN na USING (doc_id) JOIN nb USING (item_id) LEFT JOIN r ON r.doc_id = s.doc_id AND r.item_id = s.item_id)
-        SELECT * FROM p WHERE (jaccard >= 0.35 AND shared >= 4) OR long_run""",
-    "repeated_texts": "SELECT sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS text_hash, count(*) AS copies, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
-    "sentence_endings": """
-        SELECT CASE right(trim(s), 1) WHEN '.' THEN 'period' WHEN '!' THEN 'exclamation' WHEN '?' THEN 'question' ELSE 'other' END AS ending, count(*) AS sentences
-        FROM (SELECT unnest(regexp_extract_all(text, '[^.!?\\n]+[.!?]?')) AS s FROM documents) WHERE trim(s) <> '' GROUP BY 1""",
-    "repeated_tics": f"""
-        WITH a AS (SELECT doc_id, row_number() OVER () AS r, {_TOKENS.format("text")} AS w FROM documents),
-        g AS (SELECT doc_id, array_to_string(w[i:i+n-1], ' ') AS phrase FROM (SELECT doc_id, w, n, unnest(range(1, len(w)-n+2)) AS i FROM a, (VALUES (2), (3)) v(n))),
-        c AS (SELECT doc_id, phrase, count(*) AS uses FROM g GROUP BY ALL HAVING count(*) >= 3)
-        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY uses DESC, length(phrase) DESC, phrase) AS INTEGER) AS rank, phrase, uses FROM c QUALIFY rank <= 8""",
-    "length_statistics": f"""
-        SELECT source, count(*) AS n_lines, min(n) AS least, max(n) AS most, round(avg(n), 2) AS mean, CAST(median(n) AS DOUBLE) AS median
-        FROM (SELECT source, CAST(length(l) AS INTEGER) AS n FROM (SELECT source, unnest({_LINES}) AS l FROM documents) WHERE trim(l, ' ') <> '') GROUP BY 1""",
-    "pivot_density": """
-        SELECT doc_id, hits, round(rate, 4) AS per_10k, CASE WHEN rate >= 4.5 THEN 'HARD' WHEN rate >= 3.0 THEN 'WARN' ELSE 'OK' END AS severity
-        FROM (SELECT doc_id, hits, CASE WHEN strlen(text) > 0 THEN hits * 10000.0::DOUBLE / strlen(text) ELSE 0.0::DOUBLE END AS rate
-              FROM (SELECT doc_id, text, CAST(len(regexp_extract_all(text, '[!?]')) AS BIGINT) AS hits FROM documents WHERE text IS NOT NULL))""",
-    "element_counts": "SELECT page_id, e AS element, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(lower(html), '<([a-z][a-z0-9]*)', 1)) AS e FROM pages) GROUP BY ALL",
-    "element_slots": """
-        WITH c AS (SELECT page_id, e AS element, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(lower(html), '<([a-z][a-z0-9]*)', 1)) AS e FROM pages) GROUP BY ALL)
-        SELECT element, count(*) AS pages, count(DISTINCT n) AS n_values, CASE WHEN count(*) = (SELECT count(DISTINCT page_id) FROM c) AND count(DISTINCT n) = 1 THEN 'chrome' ELSE 'slot' END AS kind FROM c GROUP BY 1""",
-    "canonical_urls": """
-        SELECT page_id, CASE WHEN lower(s) IN ('http', 'https') AND h <> '' THEN lower(s) || '://' || lower(h) || r END AS url
-        FROM (SELECT page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1) AS s, regexp_extract(url, '://([^/?#]*)', 1) AS h, regexp_extract(url, '://[^/?#]*([^#]*)', 1) AS r FROM pages)""",
-    "checksums": """
-        WITH k AS (SELECT o_orderkey AS code, lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS t FROM orders),
-        d AS (SELECT code, list_transform(range(1, 11), lambda i: CAST(t[i] AS INTEGER)) AS x FROM k)
-        SELECT code, list_sum(list_transform(range(1, 11), lambda i: x[i] * (11 - i))) % 11 = 0 AS isbn10,
-               (38 + list_sum(list_transform(range(1, 11), lambda i: x[i] * CASE WHEN i % 2 = 1 THEN 3 ELSE 1 END))) % 10 = 0 AS isbn13 FROM d""",
-    "emails": """
-        SELECT DISTINCT doc_id, email, starts_with(l, 'noreply') OR d = 'example.com' OR ends_with(d, '.example.com') OR ends_with(d, '.invalid') OR d = 'users.noreply.github.com' OR ends_with(d, '.users.noreply.github.com') AS exempt
-        FROM (SELECT doc_id, email, lower(split_part(email, '@', 1)) AS l, lower(split_part(email, '@', 2)) AS d
-              FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS email FROM documents))""",
-    "denied_terms": f"""
-        WITH l AS (SELECT doc_id, unnest(x) AS t, unnest(range(1, len(x) + 1)) AS line FROM (SELECT doc_id, {_LINES} AS x FROM documents WHERE text IS NOT NULL))
-        SELECT doc_id, CAST(line AS INTEGER) AS line, term FROM l JOIN (VALUES ('password'), ('license'), ('token')) v(term) ON contains(lower(t), term)""",
-    "near_numbers": f"""
-        WITH l AS (SELECT doc_id, unnest(x) AS t, unnest(range(1, len(x) + 1)) AS line FROM (SELECT doc_id, {_LINES} AS x FROM documents WHERE text IS NOT NULL))
-        SELECT doc_id, CAST(line AS INTEGER) AS line, CAST(len(regexp_extract_all(t, '[0-9]{{5,}}[^0-9\\n]{{1,12}}[0-9]{{5,}}')) AS BIGINT) AS pairs FROM l WHERE pairs > 0""",
-    "findings_rollup": f"""
-        WITH l AS (SELECT doc_id, unnest({_LINES}) AS t FROM {PRIVATE_SQL} WHERE text IS NOT NULL),
-        m AS (SELECT DISTINCT doc_id, email FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}')) AS email FROM {PRIVATE_SQL})),
-        p AS ({_PATHS}),
-        f AS (SELECT doc_id, CASE WHEN regexp_matches(lower(email), '^noreply|(@|\\.)example\\.com$|\\.invalid$|(@|\\.)users\\.noreply\\.github\\.com$') THEN 'WARN' ELSE 'HARD' END AS s FROM m
-              UNION ALL SELECT doc_id, 'HARD' FROM p
-              UNION ALL SELECT doc_id, 'HARD' FROM l JOIN (VALUES ('password'), ('license'), ('token')) v(term) ON contains(lower(t), term))
-        SELECT d.doc_id, count(*) FILTER (s = 'HARD') AS hard, count(*) FILTER (s = 'WARN') AS warn, count(*) FILTER (s = 'HARD') = 0 AS ok,
-               CAST(CASE WHEN count(*) FILTER (s = 'HARD') > 0 THEN 3 WHEN count(*) FILTER (s = 'WARN') > 0 THEN 2 ELSE 0 END AS INTEGER) AS exit_code
-        FROM (SELECT DISTINCT doc_id FROM {PRIVATE_SQL}) d LEFT JOIN f ON d.doc_id = f.doc_id GROUP BY 1""",
-    "value_conflicts": """
-        SELECT l_partkey, l_suppkey, n, least, most, round((most - least) / greatest(abs(most), abs(least)), 6) AS difference
-        FROM (SELECT l_partkey, l_suppkey, count(*) AS n, min(l_extendedprice / l_quantity) AS least, max(l_extendedprice / l_quantity) AS most FROM lineitem GROUP BY 1, 2)
-        WHERE (most - least) / greatest(abs(most), abs(least)) > 0.01""",
-    "dangling_refs": "SELECT l_partkey AS ref, count(*) AS uses FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part) GROUP BY 1",
-    "unreferenced": "SELECT o_orderkey AS id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)",
-    "backed_numbers": """
-        WITH r AS (SELECT DISTINCT l_extendedprice AS x FROM lineitem WHERE l_extendedprice > 0), a AS (SELECT o_orderkey, o_totalprice AS v, x AS low FROM orders ASOF LEFT JOIN r ON o_totalprice >= x), b AS (SELECT o_orderkey, x AS high FROM orders ASOF LEFT JOIN r ON o_totalprice <= x)
-        SELECT o_orderkey AS id, v AS value, coalesce(v > 0 AND v - low <= 0.001::DOUBLE * v, false) OR coalesce(v > 0 AND high - v <= 0.001::DOUBLE * high, false) AS backed FROM a JOIN b USING (o_orderkey)""",
-    "total_checks": """
-        SELECT o_orderkey AS key, o_totalprice AS stated, round(s, 2) AS summed, abs(o_totalprice - s) <= 0.2::DOUBLE * greatest(o_totalprice, s) AS matches
-        FROM orders JOIN (SELECT l_orderkey, sum(l_extendedprice) AS s FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey""",
-    "running_total": "SELECT conv_id AS key, turn AS line, coalesce(sum(CAST(length(text) AS DOUBLE)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS above FROM conversations",
-    "numbering_gaps": "SELECT l_orderkey AS key, count(DISTINCT l_linenumber) AS n, max(l_linenumber) AS last FROM lineitem GROUP BY 1 HAVING min(l_linenumber) <> 1 OR max(l_linenumber) <> count(DISTINCT l_linenumber)",
-    "style_mode": "SELECT user_id AS key, event_type AS value, count(*) AS n FROM events GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) = 1",
-    "nearest_rank": "SELECT l_returnflag AS key, quantile_disc(l_extendedprice, 0.5) AS p50, quantile_disc(l_extendedprice, 0.95) AS p95, round(median(l_extendedprice), 4) AS median FROM lineitem GROUP BY 1",
-    "record_differences": """
-        SELECT coalesce(c_custkey, s_suppkey) AS idx, CASE WHEN c_nationkey IS NULL THEN 'added' WHEN s_nationkey IS NULL THEN 'missing' ELSE 'changed' END AS change
-        FROM customer FULL OUTER JOIN supplier ON c_custkey = s_suppkey WHERE c_nationkey IS DISTINCT FROM s_nationkey""",
-    "multiset_difference": "SELECT value, CAST(sum(n) AS BIGINT) AS surplus FROM (SELECT c_nationkey AS value, 1 AS n FROM customer UNION ALL SELECT s_nationkey, -1 FROM supplier) GROUP BY 1 HAVING sum(n) <> 0",
-    "score_rollup": """
-        SELECT lang, source, count(*) AS runs, count(*) FILTER (quality = 1) AS passed, CAST(sum(toxic) AS BIGINT) AS toxic FROM labels JOIN documents USING (doc_id) GROUP BY ROLLUP (lang, source)""",
-    "unique_word_pairs": f"""
-        WITH a AS (SELECT w, min(doc_id) AS doc_id FROM (SELECT doc_id, unnest({_TOKENS.format("text")}) AS w FROM documents) GROUP BY 1 HAVING count(*) = 1),
-        b AS (SELECT w, min(item_id) AS item_id FROM (SELECT item_id, unnest({_TOKENS.format("text")}) AS w FROM benchmark) GROUP BY 1 HAVING count(*) = 1)
-        SELECT w AS word, doc_id, item_id FROM a JOIN b USING (w)""",
-    "overlapping_intervals": """
-        WITH i AS (SELECT l_suppkey AS g, CAST(epoch(l_shipdate) / 86400 AS BIGINT) AS s, CAST(epoch(l_shipdate) / 86400 AS BIGINT) + CAST(l_quantity AS BIGINT) AS e FROM lineitem),
-        r AS (SELECT *, max(e) OVER (PARTITION BY g ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i)
-        SELECT g AS "group", count(*) AS n, count(*) FILTER (s < reach) AS overlapping FROM r GROUP BY 1""",
-    "maximal_terms": """
-        WITH t AS (SELECT DISTINCT term FROM (SELECT p_name AS term FROM part UNION ALL SELECT lower(r_name) FROM region UNION ALL VALUES ('small'), ('ring'), ('asia')))
-        SELECT term FROM t WHERE NOT EXISTS (SELECT 1 FROM t AS o WHERE length(o.term) > length(t.term) AND contains(o.term, t.term))""",
-    "restart_sessions": """
-        SELECT user_id, 1 + count(*) FILTER (value <= before) AS sessions FROM (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) GROUP BY 1""",
-    "forward_fill": "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS asked_in FROM conversations",
-    "answered_turns": """
-        SELECT conv_id, turn, CAST(answer AS INTEGER) AS answer_chars FROM (SELECT conv_id, turn, role, CASE WHEN lead(role) OVER w = 'assistant' THEN length(lead(text) OVER w) END AS answer
-        FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user'""",
-    "latest_events": "SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS rank, event_id, event_type FROM events QUALIFY rank <= 2",
-    "blocked_events": "SELECT event_id, coalesce(bool_or(event_type = 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS blocked FROM events",
-    "event_windows": "SELECT date_trunc('hour', ts) AS starts, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
-    "event_sessions": """
-        WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-        s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e)
-        SELECT user_id, min(ts) AS starts, count(*) AS n FROM s GROUP BY user_id, k""",
-    "property_path": """
-        SELECT event_type, count(v) AS n, min(v) AS least, max(v) AS most, count(*) FILTER (v IS NULL) AS missing
-        FROM (SELECT event_type, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS v FROM events) GROUP BY 1""",
-    "in_effect": "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last_id FROM events",
     "occurrence_ids": """
         SELECT event_id, CAST(o AS INTEGER) AS ordinal, sha256(user_id || '|' || event_type || '|' || o) AS claim_id
         FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS o FROM events)""",
@@ -531,4 +389,5 @@ ORACLE_SQL = {
     **claims_queries.ORACLE_SQL,
     **forms_queries.ORACLE_SQL,
     **workflow_queries.ORACLE_SQL,
+    **documents_queries.ORACLE_SQL,
 }
