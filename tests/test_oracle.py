@@ -21,8 +21,8 @@ def duck(sf):
     return con
 
 
-#: Held against brute force in test_reports.py.
-NO_SQL = {"citation_markers", "title_matches", "title_coverage", "best_grids", "residue"}
+#: Held against brute force in test_reports.py and test_contents.py.
+NO_SQL = {"citation_markers", "content_audit", "title_matches", "title_coverage", "best_grids", "residue"}
 
 
 def test_every_query_has_sql():
