@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import gates, privacy, relational, reuse, state, text
 from ..sources.tables import read_table
-from . import claims_queries, contents_queries, documents_queries, forms_queries, workflow_queries
+from . import claims_queries, contents_queries, documents_queries, evidence_queries, forms_queries, workflow_queries
 from .fixtures import MODULES, PRIVATE_SQL, private, values
 
 TERMS = ["password", "license", "token"]
@@ -217,6 +217,7 @@ QUERIES = {
     **workflow_queries.QUERIES,
     **documents_queries.QUERIES,
     **contents_queries.QUERIES,
+    **evidence_queries.QUERIES,
 }
 
 _LINES = "regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]')"
@@ -392,4 +393,5 @@ ORACLE_SQL = {
     **workflow_queries.ORACLE_SQL,
     **documents_queries.ORACLE_SQL,
     **contents_queries.ORACLE_SQL,
+    **evidence_queries.ORACLE_SQL,
 }
