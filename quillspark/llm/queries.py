@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import forest, licenses, media, neardup, packing, pieces, pii, quality, token_files, warc
+from . import centroids, forest, licenses, media, neardup, packing, pieces, pii, quality, token_files, vector_codes, vector_sql, warc
 
 
 def pii_key(spark: SparkSession) -> bytes:
@@ -54,6 +54,14 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_pieces(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_near_duplicates": op2_near_duplicates,
@@ -65,9 +73,13 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_media": op9_media,
     "op10_pieces": op10_pieces,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_clusters": op13_clusters,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op12_vector_codes": vector_sql.codes_sql(),
+    "op13_clusters": vector_sql.clusters_sql(),
     "op2_near_duplicates": r"""
         WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
         s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')) END) AS g FROM t),
