@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import centroids, forest, licenses, media, neardup, packing, pieces, pii, quality, token_files, vector_codes, vector_sql, warc
+from . import centroids, forest, licenses, media, neardup, ngram_join, packing, pieces, pii, quality, token_files, vector_codes, vector_sql, warc
 
 
 def pii_key(spark: SparkSession) -> bytes:
@@ -54,6 +54,10 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_pieces(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(read_table(spark, sf_dir, "documents"), ngram_join.NgramJoin(words=3, percent=90)).drop("class_id")
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.code_vectors(read_table(spark, sf_dir, "embeddings"))
 
@@ -73,21 +77,30 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_media": op9_media,
     "op10_pieces": op10_pieces,
+    "op11_ngram_join": op11_ngram_join,
     "op12_vector_codes": op12_vector_codes,
     "op13_clusters": op13_clusters,
 }
 
-ORACLE_SQL: dict[str, str] = {
-    "op12_vector_codes": vector_sql.codes_sql(),
-    "op13_clusters": vector_sql.clusters_sql(),
-    "op2_near_duplicates": r"""
+def _linked_sql(percent: int) -> str:
+    """Every pair that shares a shingle, and the components of those at the threshold; to be followed by more columns and _LINKED_END."""
+    return rf"""
         WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
         s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')) END) AS g FROM t),
         x AS (SELECT doc_id, len(g) AS n, unnest(g) AS h FROM s),
-        l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x AS a JOIN x AS b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x AS a JOIN x AS b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
         e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
         r(node, lead) AS (SELECT doc_id, doc_id FROM s UNION SELECT e.b, r.lead FROM r JOIN e ON e.a = r.node AND r.lead < e.b)
-        SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, c AS component_id, doc_id = c AS kept FROM s JOIN (SELECT node, min(lead) AS c FROM r GROUP BY 1) ON node = doc_id""",
+        SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, c AS component_id"""
+
+
+_LINKED_END = " FROM s JOIN (SELECT node, min(lead) AS c FROM r GROUP BY 1) ON node = doc_id"
+
+ORACLE_SQL: dict[str, str] = {
+    "op12_vector_codes": vector_sql.codes_sql(),
+    "op13_clusters": vector_sql.clusters_sql(),
+    "op2_near_duplicates": _linked_sql(85) + ", doc_id = c AS kept" + _LINKED_END,
+    "op11_ngram_join": _linked_sql(90) + _LINKED_END,
     "op4_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
         d AS (SELECT *, list_transform(range(8), lambda k: CAST('0x' || substr(sha1(h), CAST(1 + 5 * k AS INTEGER), 5) AS INTEGER)) AS v FROM p)
