@@ -1,9 +1,10 @@
 """Near duplicates by a chosen-path similarity join over minwise tokens.
 
 Each text becomes the set of its distinct word shingles; equal sets are one class. In each of
-several independent trees a class walks down a path of selected minwise tokens, four at first and one
-more a level as long as its node is large; classes that are similar choose the same tokens and
-stay together. Small nodes are compared exhaustively by their sketches, and every candidate is
+several independent trees a node selects some of the minwise tokens, one or two so that their number is 1 / threshold on
+average, and a class branches into the child of each one's value. So similar classes lose a common child now and then and win a second
+one as often, and the chance that they still share a node falls slowly with depth. Four levels are walked at once, where nodes of unrelated
+texts hold one class; further levels follow as long as a node is large. Small nodes are compared exhaustively by their sketches, and every candidate is
 confirmed on the full sets. Links between texts that other links already join add nothing to
 the components, so a node gives a spanning forest of its candidates first, and a large node, at the full
 depth, each member's nearest of some pivots. Where that leaves more than one component in a node, its members outside the largest
@@ -51,14 +52,13 @@ BROADCAST_BYTES = 8 << 20
 class NearDup:
     """Parameters: `words` a shingle, link when 100 * intersection >= `percent` * union.
 
-    trees and depth give the recall: a pair of similarity s meets in a tree with probability s**depth at
-    least, so 1 - (1 - s**depth)**trees: with 20 trees at depth 4, 5, 6 it is 0.9999996, 0.999991, 0.99992 for 0.85 and 0.99997, 0.9996, 0.9977 for 0.80; no node goes deeper.
-    small: the largest node that is compared exhaustively. A sketch estimate may lie four standard deviations of 256 tokens below the threshold.
+    trees and depth give the recall: see `recall`. With 12 trees at depth 4, 5, 6 it is 0.999995, 0.99997, 0.99991 at least for 0.85 and 0.99997, 0.9999, 0.9996 for 0.80;
+    no node goes deeper. small: the largest node that is compared exhaustively. A sketch estimate may lie four standard deviations of 256 tokens below the threshold.
     """
 
     words: int = 5
     percent: int = 80
-    trees: int = 20
+    trees: int = 12
     first: int = 4
     depth: int = 6
     small: int = 64
@@ -69,6 +69,19 @@ class NearDup:
         p = self.percent / 100
         return p - 4 * (p * (1 - p) / TOKENS) ** 0.5
 
+    @property
+    def second(self) -> float:
+        """The chance that a node selects a second token: their number is 1 / threshold on average."""
+        return min(1.0, 100 / self.percent - 1)
+
+    def recall(self, similarity: float, depth: int) -> float:
+        """The chance that a pair shares a node at this depth in some tree."""
+        share = 1.0
+        for _ in range(depth):
+            apart = 1 - similarity * share
+            share = 1 - ((1 - self.second) * apart + self.second * apart * apart)
+        return 1 - (1 - share) ** self.trees
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -159,35 +172,44 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, TOKENS)
 
 
-def _descend(node: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """The child of each node on its path: which token is selected depends on the path so far."""
-    pick = (_mix(node + np.uint64(1)) % np.uint64(TOKENS)).astype(np.int64)
-    return _mix(node * np.uint64(3) + tokens[np.arange(len(node)), pick].astype(np.uint64))
+def _descend(node: np.ndarray, tokens: np.ndarray, own: np.ndarray, p: NearDup) -> tuple[np.ndarray, np.ndarray]:
+    """The children of each node on the paths of its classes, and the class (row of tokens) of each; own: the classes of the nodes.
+
+    Which tokens are selected depends on the path so far.
+    """
+    draw = _mix(node + np.uint64(1))
+    pick = draw % np.uint64(TOKENS)
+    draw = _mix(draw)
+    more = np.flatnonzero((draw >> np.uint64(11)).astype(np.float64) < p.second * float(1 << 53))
+    other = (pick[more] + np.uint64(1) + _mix(draw[more]) % np.uint64(TOKENS - 1)) % np.uint64(TOKENS)
+    own, node, pick = np.append(own, own[more]), np.append(node, node[more]), np.append(pick, other)
+    return _mix(_mix(node * np.uint64(3) + pick) + tokens[own, pick.astype(np.int64)].astype(np.uint64)), own
 
 
 def _roots(classes: DataFrame, p: NearDup) -> DataFrame:
-    """node (at the first depth), class_id for every class and tree."""
+    """node (at the first depth), class_id for every class, tree and path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens = _matrix(batch.column("tokens"))
+            ids = batch.column("class_id").to_numpy()
             for tree in range(p.trees):
-                node = _mix(np.full(len(tokens), tree + 1, np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                node, own = _mix(np.full(len(tokens), tree + 1, np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.arange(len(tokens))
                 for _ in range(p.first):
-                    node = _descend(node, tokens)
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column("class_id")], names=["node", "class_id"])
+                    node, own = _descend(node, tokens, own, p)
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(ids[own])], names=["node", "class_id"])
 
     return classes.select("class_id", "tokens").mapInArrow(run, "node long, class_id long")
 
 
-def _children(members: DataFrame) -> DataFrame:
-    """node, class_id one token further down."""
+def _children(members: DataFrame, p: NearDup) -> DataFrame:
+    """node, class_id one level further down."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                node = _descend(batch.column("node").to_numpy().view(np.uint64), _matrix(batch.column("tokens")))
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column("class_id")], names=["node", "class_id"])
+                node, own = _descend(batch.column("node").to_numpy().view(np.uint64), _matrix(batch.column("tokens")), np.arange(batch.num_rows), p)
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(batch.column("class_id").to_numpy()[own])], names=["node", "class_id"])
 
     return members.select("node", "class_id", "tokens").mapInArrow(run, "node long, class_id long")
 
@@ -211,7 +233,7 @@ def _terminal(rows: DataFrame, classes: DataFrame, p: NearDup) -> DataFrame:
             done.append(members)
             break
         done.append(members.where(F.col("size") <= p.small))
-        members = _sized(materialize(_children(_described(large, classes)), "children"))
+        members = _sized(materialize(_children(_described(large, classes), p), "children"))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

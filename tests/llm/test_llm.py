@@ -67,6 +67,26 @@ def test_near_duplicates_equal_brute_force(spark, sf, texts):
     assert got == groups(sorted(texts.items()), 3, 85)
 
 
+def test_near_duplicate_paths_branch_and_meet_as_often_as_stated():
+    rng, p = np.random.default_rng(4), neardup.NearDup(words=3, percent=80)
+    x = rng.integers(0, 256, (400, neardup.TOKENS), np.uint8)
+    other = np.where(rng.random(x.shape) < 0.8, x, x + rng.integers(1, 256, x.shape, np.uint8)).astype(np.uint8)
+    met, paths = np.zeros((40, 400), bool), 0
+    for tree in range(40):
+        seen = []
+        for tokens in (x, other):
+            node, own = neardup._mix(np.full(400, tree + 1, np.uint64)), np.arange(400)
+            for _ in range(6):
+                node, own = neardup._descend(node, tokens, own, p)
+            seen.append([set(node[own == i].tolist()) for i in range(400)])
+            paths += len(node)
+        met[tree] = [bool(a & b) for a, b in zip(*seen, strict=True)]
+    assert abs(met.mean() - neardup.NearDup(words=3, percent=80, trees=1).recall(0.8, 6)) < 0.03
+    assert abs(paths / (2 * 40 * 400) - 1.25**6) < 0.5
+    for percent, least in ((85, 0.9999), (80, 0.9995)):
+        assert neardup.NearDup(percent=percent).recall(percent / 100, neardup.NearDup().depth) > least
+
+
 def test_near_duplicates_in_dense_nodes(spark):
     rng = np.random.default_rng(2)
     base = [f"w{i}" for i in range(120)]
