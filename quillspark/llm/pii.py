@@ -41,15 +41,18 @@ _LAYOUTS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), (16,), (15,), (
 _IP = re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)")
 _IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![\w:]|\.\d)")
 _PHONE = re.compile(
-    r"(?<![\w+.-])(?:(?:\+\d{1,3}|00\d{1,3})(?:[ .-]?\(0\))?(?:[ .-]?\(\d{1,4}\)|[ .-]\d{1,5}|\d{4,12})(?:[ .-]?\d{2,5}){0,5}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}([.-])\d{3,4}\1\d{4})(?![\w]|-\d|\.\d)"
+    r"(?<![\w+.-])(?:(?:\+\d{1,3}|00\d{1,3})(?:[ .-]?\(0\))?(?:[ .-]?\(\d{1,4}\)|[ .-]\d{1,5}|\d{4,12})(?:[ .-]?\d{2,5}){0,5}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}([.-])\d{3,4}\1\d{4}|0\d([ .-])\d{2}(?:\2\d{2}){3}|0\d{2,4}[ -]\d{6,8})(?![\w]|-\d|\.\d)"
 )
+# The country codes of two digits; 1 and 7 are codes of one digit, all others have three.
+_CODES = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+_NORTH_AMERICAN = re.compile(r"\(?[2-9]\d{2}[). .-]*[2-9]\d{2}[ .-]\d{4}")
 _IBAN = re.compile(r"(?<![\w])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w)")
 # Forms of address by gender, and phrases that a name follows.
 _MALE = r"Mr|Mister|Herrn?|Monsieur|Señor|Signor|Sr|господин|г-н"
 _FEMALE = r"Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Señorita|Signora|Sra|госпожа|г-жа"
 _EITHER = r"Dr|Prof|Professor"
 _INTRO = r"[Mm]y name is|[Jj]e m['’]appelle|[Mm]ein Name ist|[Ii]ch heiße|[Mm]e llamo|[Mm]i nombre es|[Мм]еня зовут|[Ff]ull name:|이름:|성명:|姓名[:：]"
-_WORD = r"(?:[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?:[-'’][A-ZÀ-ÖØ-Þa-zß-öø-ÿ]+)*|[A-ZÀ-ÖØ-Þ]{2,}|[А-ЯЁ][а-яё]+(?:-[А-ЯЁ][а-яё]+)?)"
+_WORD = r"(?:(?:[A-ZÀ-ÖØ-Þ]['’])?[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?:[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)*(?:[-'’](?!s(?!\w))[A-ZÀ-ÖØ-Þa-zß-öø-ÿ]+)*|[A-ZÀ-ÖØ-Þ]{2,}|[А-ЯЁ][а-яё]+(?:-[А-ЯЁ][а-яё]+)?)"
 _NAME = re.compile(rf"(?<!\w)(?:(?P<m>{_MALE})|(?P<f>{_FEMALE})|(?P<n>{_EITHER})|(?P<i>{_INTRO}))(?:\.|(?<=:)|(?<=：)|(?=\s)) ?(?P<name>{_WORD}(?: {_WORD}){{0,2}}|[가-힣]{{2,4}}|[一-鿿]{{2,4}})")
 _CUE = re.compile(rf"(?<!\w)(?:{_MALE}|{_FEMALE}|{_EITHER}|{_INTRO})")
 # Given names that tell the gender where the address doesn't.
@@ -129,6 +132,24 @@ def _cards(text: str, a: int, b: int) -> list[tuple[int, int, str, str]]:
     return found
 
 
+def _dialled(mention: str) -> list[int]:
+    """Where the digits of a phone number are that belong to it, without the prefix for calls abroad and a zero that is left out then."""
+    places = [m.start() for m in re.finditer(r"\d", mention)]
+    if mention.startswith("00"):
+        places = places[2:]
+    return [i for i in places if mention[i - 1 : i + 2] != "(0)"]
+
+
+def _phone(mention: str) -> tuple[str, str]:
+    """Kind and canonical value of a phone number: country code and number wherever the country can be told, so that all spellings agree."""
+    digits = "".join(mention[i] for i in _dialled(mention))
+    if mention.startswith(("+", "00")):
+        return f"phone+{digits[: 1 if digits[0] in '17' else 2 if digits[:2] in _CODES else 3]}", digits
+    if _NORTH_AMERICAN.fullmatch(mention):
+        return "phone+1", f"1{digits}"
+    return "phone", digits
+
+
 def find_entities(text: str | None) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical value) of the personal data in a text, in order, without overlaps; the earlier and then the longer wins."""
     if not text:
@@ -147,11 +168,8 @@ def find_entities(text: str | None) -> list[tuple[int, int, str, str]]:
             if max(octets) <= 255:
                 found.append((s.start(), s.end(), "ip", ".".join(map(str, octets))))
         for s in _PHONE.finditer(text, a, b):
-            digits = re.sub(r"\D", "", s.group())
-            if 8 <= len(digits) <= 16:
-                plus = "+" if s.group()[0] == "+" else ""
-                code = re.match(r"\d{0,3}", s.group()[1:])[0] if plus else ""
-                found.append((s.start(), s.end(), f"phone{plus}{code}", digits))
+            if 8 <= len(re.sub(r"\D", "", s.group())) <= 16:
+                found.append((s.start(), s.end(), *_phone(s.group())))
         for s in _IBAN.finditer(text, max(0, a - 2), b):
             account = s.group().replace(" ", "")
             if 15 <= len(account) <= 34 and _mod97(account[4:] + account[:4]) == 1:
@@ -256,7 +274,17 @@ def draw_surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
 
 def render(kind: str, mention: str, surrogate: str) -> str:
     """The surrogate in the layout and case of a mention."""
-    if kind.startswith(("card", "phone", "id", "iban")):
+    if kind.startswith("phone"):
+        # a mention without country code has the last digits only
+        places = _dialled(mention)
+        new = dict(zip(places, surrogate[len(surrogate) - len(places) :], strict=True))
+        return "".join(new.get(i, c) for i, c in enumerate(mention))
+    if kind == "email":
+        if mention.isupper():
+            return surrogate.upper()
+        local = "".join(c.upper() if m.isupper() else c for m, c in zip(mention.split("@")[0], surrogate, strict=False) if c != "@")
+        return local + surrogate[len(local) :]
+    if kind.startswith(("card", "id", "iban")):
         rest = iter(surrogate)
         return "".join(next(rest) if c.isalnum() else c for c in mention)
     if kind == "ip":
@@ -265,7 +293,7 @@ def render(kind: str, mention: str, surrogate: str) -> str:
         own = ipaddress.IPv6Address(surrogate)
         text = own.compressed if "::" in mention else ":".join(format(int(x, 16), "x") for x in own.exploded.split(":"))
         return text.upper() if mention.upper() == mention and mention.lower() != mention else text
-    return surrogate.upper() if len(mention) > 1 and mention.isupper() else surrogate.title() if mention[:1].isupper() and kind != "email" else surrogate
+    return surrogate.upper() if len(mention) > 1 and mention.isupper() else surrogate.title() if mention[:1].isupper() else surrogate
 
 
 def space(kind: str, value: str) -> tuple[str, int, int]:
