@@ -16,11 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..plans.shared import materialize, temporary
 from .batches import text_bytes, text_slices
 from .chunked import _Hash
 
 PASSAGE_WORDS = 64
 SAMPLE_DOCS = 4000  # labelled texts that the classifier is fitted on, at most
+SAMPLE_PASSAGES = 1 << 18  # passages of those texts, at most: 54 MB in the driver; texts that don't fit are left out
 THRESHOLD = 0.3
 BIGRAMS = 32
 HIDDEN, ATTENTION, EPOCHS, BATCH = 24, 16, 24, 64
@@ -167,6 +169,8 @@ def held_out(doc_id) -> object:
 def train(docs: DataFrame, labels: DataFrame) -> AttentionModel:
     """Fit on all passages of at most SAMPLE_DOCS labelled texts, chosen by the hash of their id, without the held-out ones; of rows that repeat an id one is taken.
 
+    In the order of the hashes a text is taken as long as SAMPLE_PASSAGES hold its passages too, so the driver's memory is bounded whatever the texts' length.
+
     `labels` has doc_id and quality (0 or 1; rows with another value, or a null, are left out; of a repeated doc_id the larger counts).
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
@@ -177,12 +181,20 @@ def train(docs: DataFrame, labels: DataFrame) -> AttentionModel:
         for part in text_slices(batches):
             x, owner = encoder(*text_bytes(part.column("text")))
             bags = [x[owner == i] for i in range(part.num_rows)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array([b.tobytes() for b in bags], pa.binary())], names=["doc_id", "quality", "bag"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array([len(b) for b in bags], pa.int64()), pa.array([b.tobytes() for b in bags], pa.binary())], names=["doc_id", "quality", "size", "bag"])
 
     # the sample is at most SAMPLE_DOCS narrow rows, so it may go to every task
     one = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
     texts = one.select("doc_id", "quality", "least.text")
-    rows = sorted((r.doc_id, r.bag, r.quality) for r in texts.mapInArrow(run, "doc_id long, quality int, bag binary").toLocalIterator())
+    with temporary(docs.sparkSession):
+        bags = materialize(texts.mapInArrow(run, "doc_id long, quality int, size long, bag binary"), "bags")
+        left, chosen = SAMPLE_PASSAGES, []
+        for r in bags.select("doc_id", "size").orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+            if r.size <= left:
+                chosen.append((r.doc_id,))
+                left -= r.size
+        few = F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id long"))
+        rows = sorted((r.doc_id, r.bag, r.quality) for r in bags.drop("size").join(few, "doc_id").toLocalIterator())
     return AttentionModel.fit([np.frombuffer(b, np.float32).reshape(-1, FEATURES) for _, b, _ in rows], np.array([q for *_, q in rows], np.float64))
 
 
