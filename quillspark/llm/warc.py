@@ -17,7 +17,7 @@ from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.shared import materialize, new_path, task_partitions
@@ -156,13 +156,16 @@ def parse_record(content: bytes) -> dict | None:
 
 
 def read_range(uri: str, start: int, end: int) -> Iterator[dict]:
-    """The records of a file that begin in [start, end)."""
+    """The records of a file that begin in [start, end), with the places where they begin and end.
+
+    Where a payload is an archive itself and lies uncompressed in its record, a range that begins inside that record finds the inner ones too.
+    """
     window, at = _Window(uri), start
     while 0 <= (at := window.find(at, end)):
         got = _member(window, at)
         record = got and parse_record(got[0])
         if record:
-            yield record
+            yield record | {"at": at, "end": got[1]}
         at = got[1] if record else at + 1
 
 
@@ -178,10 +181,10 @@ def _unchunked(body: bytes) -> bytes:
     return b"".join(out)
 
 
-def record_row(x: dict, strict: bool = True) -> dict:
-    """What read_archives() returns of a parsed record."""
+def record_row(x: dict) -> dict:
+    """What read_archives() returns of a parsed record, and as fault what its headers say otherwise."""
     kind, digest = x.get("warc-type", "").lower(), x.get("warc-payload-digest", "").removeprefix("sha1:")
-    payload, size = x["block"], None
+    payload, size, fault = x["block"], None, None
     if "application/http" in x.get("content-type", "").lower():
         http, _, payload = x["block"].partition(b"\r\n\r\n")
         if re.search(rb"(?im)^transfer-encoding:[^\r\n]*\bchunked", http):
@@ -191,11 +194,11 @@ def record_row(x: dict, strict: bool = True) -> dict:
     if kind == "revisit":
         payload = None
     else:
-        if strict and (size not in (None, len(payload)) or digest not in ("", _digest(payload)) and len(digest) == 32):
-            raise ValueError(f"the payload of {x.get('warc-record-id')} isn't what its headers say")
+        if size not in (None, len(payload)) or digest not in ("", _digest(payload)) and len(digest) == 32:
+            fault = f"the payload of {x.get('warc-record-id')} isn't what its headers say"
         size, digest = len(payload), _digest(payload)
     number = lambda name: int(v) if re.fullmatch(r"-?\d{1,18}", v := x.get(name, "")) else None
-    return {"page_id": number("warc-page-id"), "payload_bytes": size, "payload_digest": digest or None, "record_type": kind or None, "refers_to": number("warc-refers-to-page"), "url": x.get("warc-target-uri"), "payload": payload}
+    return {"page_id": number("warc-page-id"), "payload_bytes": size, "payload_digest": digest or None, "record_type": kind or None, "refers_to": number("warc-refers-to-page"), "url": x.get("warc-target-uri"), "fault": fault, "at": x["at"], "end": x["end"], "payload": payload}
 
 
 def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES, with_payload: bool = False, strict: bool = True) -> DataFrame:
@@ -203,26 +206,37 @@ def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES, with_payl
 
     The payload of an HTTP message is its body without chunks, as it was encoded; that of any other record (warcinfo, metadata, ...) is its block. Size and digest of a
     revisit are those its headers name, or null. page_id and refers_to are null in records that others wrote. A payload that isn't what
-    its headers say raises ValueError if `strict`, else it is described as it is. What is no record is passed over.
+    its headers say raises ValueError if `strict`, else it is described as it is. What is no record is passed over. The result doesn't depend on the ranges: records that
+    begin before the end of one that an earlier range of the file owns lie in its payload, and go.
     """
     ranges = manifest.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(range_bytes))).alias("start"))
-    ranges = ranges.select("path", "start", F.least(F.col("start") + range_bytes, "bytes").alias("end"))
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string" + ", payload binary" * with_payload
-    arrow = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string())] + [("payload", pa.binary())] * with_payload)
+    ranges = ranges.select("path", "start", F.least(F.col("start") + range_bytes, "bytes").alias("stop"))
+    fields = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string())] + [("payload", pa.binary())] * with_payload
+    arrow = pa.schema([*fields, ("fault", pa.string()), ("at", pa.int64()), ("end", pa.int64()), ("path", pa.string()), ("start", pa.int64())])
+    schema = ", ".join(f"{f.name} {'long' if f.type == pa.int64() else f.type}" for f in arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
         for batch in batches:
             for r in batch.to_pylist():
-                for x in read_range(r["path"], r["start"], r["end"]):
-                    rows.append({k: v for k, v in record_row(x, strict).items() if k in arrow.names})
+                for x in read_range(r["path"], r["start"], r["stop"]):
+                    rows.append({k: v for k, v in (record_row(x) | {"path": r["path"], "start": r["start"]}).items() if k in arrow.names})
                     if len(rows) >= 256:
                         yield pa.RecordBatch.from_pylist(rows, schema=arrow)
                         rows = []
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return ranges.repartition(task_partitions(manifest)).mapInArrow(run, schema)
+    found = materialize(ranges.repartition(task_partitions(manifest)).mapInArrow(run, schema), "records")
+    # one row a range, of which a file has few
+    earlier = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    ends = materialize(found.groupBy("path", "start").agg(F.max("end").alias("end")).select("path", "start", F.coalesce(F.max("end").over(earlier), F.lit(0)).alias("taken")), "ends")
+    if ends.count() <= BROADCAST_ROWS:
+        ends = F.broadcast(ends)
+    own = found.join(ends, ["path", "start"]).where("at >= taken")
+    if strict:
+        own = own.where(F.when(F.col("fault").isNull(), True).otherwise(F.raise_error(F.col("fault")).cast("boolean")))
+    return own.select(*(name for name, _ in fields))
 
 
 def archived_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:

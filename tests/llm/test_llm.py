@@ -494,6 +494,34 @@ def test_surrogates_keep_form_and_coreference(spark):
     assert pii.pseudonymize(df.limit(0), b"k").count() == 0
 
 
+def test_spellings_of_a_phone_number_agree(spark):
+    us = ["+14155550100", "+1 415 555 0100", "+1 (415) 555-0100", "(415) 555-0100", "415-555-0100", "415.555.0100", "0014155550100", "+1-415-555-0100"]
+    german = ["+49 30 901820", "+4930901820", "0049 30 901820", "+49 (0)30 901820", "+49 (0) 30 901820"]
+    alone = ["+353 1 6710500", "0171 1234567", "01 23 45 67 89", "+7 495 123-45-67"]
+    texts = [f"Call {p} now." for p in us + german + alone]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = [r.text[5:-5] for r in pii.pseudonymize(df, b"k").orderBy("doc_id").collect()]
+    for old, new in zip(us + german + alone, got, strict=True):
+        assert new != old and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", old)  # the layout stays
+    digits = [re.sub(r"\D", "", p) for p in got]
+    national = lambda some: {d[-10:] for d in some}
+    assert len(national(digits[:8])) == 1 and digits[0][0] == "1"
+    plain = {re.sub(r"^00|\(0\) ?", "", re.sub(r"[ +]", "", p)) for p in got[8:13]}
+    assert len(plain) == 1 and plain.pop().startswith("49")
+    assert got[13].startswith("+353 ") and got[16].startswith("+7 ") and len(set(digits)) == len({*digits[:1], digits[3], digits[6], *digits[8:9], *digits[10:12], *digits[13:]})
+
+
+def test_surrogates_of_addresses_with_capitals_and_of_composed_names(spark):
+    text = "Mr O'Brien wrote to Pat.OBrien@Corp.de; O'Brien's and Mrs McDonald's notes, McDonald left, Mr Jean-Luc Picard-Dupont stayed."
+    out = pii.pseudonymize(spark.createDataFrame([(1, text)], "doc_id long, text string"), b"k").first().text
+    for part in ("Brien", "Donald", "Mc", "Pat", "Corp", "Picard", "Dupont", "Luc"):
+        assert part not in out, part
+    local = re.search(r"(\S+)@", out)[1]
+    assert [c.isupper() for c in local] == [c.isupper() for c in "Pat.OBrien"]
+    first, again = re.search(r"Mr (\S+) wrote", out)[1], re.search(r"; (\S+)'s and", out)[1]
+    assert first == again and re.search(r"Mrs (\S+)'s notes, (\S+) left", out)[1] == re.search(r"notes, (\S+) left", out)[1]
+
+
 def test_surrogates_stay_distinct(spark):
     # all ids of one prefix: draws collide with each other and with the values themselves
     values = spark.createDataFrame([("ip", f"10.0.{i // 200}.{1 + i % 200}") for i in range(4000)] + [("given.f.Latn", f"name{i}") for i in range(300)] + [("given.m.Latn", f"name{i}") for i in range(300)], "kind string, value string")
@@ -610,3 +638,45 @@ def test_quality_features_of_a_text_are_its_own():
         x, owner = encoder(*quality.text_bytes(pa.array([own[i] for i in order])))
         for at, i in enumerate(order):
             assert np.array_equal(x[owner == at], alone[i])
+
+
+def test_quality_fits_on_a_bounded_number_of_passages(spark, monkeypatch):
+    rows = [(i, "word " * (100 if i % 3 else 6400), i % 2) for i in range(120)]
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in rows], "doc_id long, quality int, toxic int")
+    taken = []
+    fit = quality.AttentionModel.fit.__func__
+    monkeypatch.setattr(quality.AttentionModel, "fit", classmethod(lambda cls, bags, y, seed=3: taken.append([len(b) for b in bags]) or fit(cls, bags, y, seed)))
+    monkeypatch.setattr(quality, "EPOCHS", 1)
+    monkeypatch.setattr(quality, "SAMPLE_PASSAGES", 250)
+    assert quality.score(df, quality.train(df, labels)).count() == 120
+    assert 0 < sum(taken[0]) <= 250 and taken[0].count(100) <= 2 < len(taken[0])
+    assert quality.train(df.limit(0), labels) and quality.train(df, labels.limit(0)) and taken[1:] == [[], []]
+
+
+def test_archives_inside_payloads_give_no_records(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    inner = b"".join(warc.encode_record(100 + i, None, rng.bytes(700), None) for i in range(9))
+    nested = warc.encode_record(50, None, inner, None, level=0)  # an archive in an archive in an archive
+    files = {"a": [warc.encode_record(i, None, x, None, level=0) for i, x in enumerate((b"one", inner, b"three", nested, b"five" * 900, inner))], "b": [warc.encode_record(7, None, b"x", None)]}
+    manifest = []
+    for name, records in files.items():
+        (tmp_path / f"{name}.warc.gz").write_bytes(b"".join(records))
+        manifest.append((f"{tmp_path}/{name}.warc.gz", sum(map(len, records))))
+    df = spark.createDataFrame(manifest, "path string, bytes long")
+    for size in (1 << 20, 4000, 1000, 333):
+        assert sorted(r.page_id for r in warc.read_archives(df, range_bytes=size).collect()) == [0, 1, 2, 3, 4, 5, 7], size
+
+
+@pytest.mark.parametrize("run", [lambda d: packing.pack_documents(d, public_tokenizers.path("word_bpe_49k.json"), end_id=1), media.documents_as_media, lambda d: pieces.encode_pieces(d, public_tokenizers.path("piece_bpe_32k.model"))])
+def test_empty_tables_give_no_rows(docs, run):
+    assert run(docs.limit(0)).collect() == []
+
+
+def test_stages_of_the_pipeline_on_an_empty_table(spark, sf, docs):
+    import corpus_pipeline
+
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs.limit(0), sf)
+        assert out.collect() == []
+        assert out.columns == docs.columns or stage is corpus_pipeline.packing_stage
