@@ -4,6 +4,9 @@ A global order puts rare n-grams before frequent ones. It is cut into fragments,
 candidate pair the segments of a fragment give a partial overlap, fragment by fragment in rows of their own, and the sum
 of a pair's partial overlaps decides. So no task holds two whole sets, and long texts are shared out.
 
+The first fragment counts for every set how many of its n-grams no other set has. Where these are more than a link may lack, the set can
+link with none and goes no further: so n-grams that unrelated texts share by chance cost nothing, however many texts there are.
+
 Candidates: texts that link share an n-gram among the first of both in the order (as many as may be missing, and one). Texts that share
 such an n-gram form a list; of a list's pairs the sizes and the parity bitmaps of the sets rule most out exactly, since two
 bitmaps differ in no more bits than the sets in elements. Links between texts that others already join add nothing to the
@@ -23,11 +26,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import materialize, new_path, temporary
+from ..plans.shared import materialize, new_path, task_partitions, temporary
 from .batches import text_slices
 from .components import merged
 from .neardup import Shingler, _classes, _component_of, _digest, _sets
 
+#: The share of the hashes that is the first fragment to be counted, a fourth, and the shuffle partitions of the session for which it has a part.
+COUNTED, PARTITIONS_A_PART = 0.25, 8
 #: N-grams that the order knows as frequent, at most: the most frequent ones; others go by their hashes.
 FREQUENT = 1 << 16
 #: N-grams counted at once in a task, and the count there from which one is reported.
@@ -72,16 +77,39 @@ class Order:
         return np.where(self.counts(grams) > 0, fragments - 1, rare.astype(np.int64))
 
 
-def frequent(docs: DataFrame, words: int) -> Order:
-    """The order for these texts. Counts of distinct sets, from all texts; at most FREQUENT of them come to the driver."""
+def _counts(docs: DataFrame, words: int, parts: int) -> DataFrame:
+    """Two kinds of rows, from one scan of all texts: gram and seen, for an n-gram that many sets of a window hold; and part, ids, sizes, held, grams, for the first fragment.
+
+    The latter are the COUNTED share of the hashes, cut into parts: the sets of a window (ids, sizes), how many n-grams each has in the part, and these
+    one after another as five bytes. Every set comes with each part that it has n-grams in, and with the first part.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, held, size = Shingler(words), {}, 0
+        names, kinds = ["gram", "seen", "part", "ids", "sizes", "held", "grams"], [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
 
-        def reported() -> pa.RecordBatch:
-            grams, seen = np.unique(np.concatenate([*held.values()] or [np.empty(0, np.uint64)]), return_counts=True)
+        def row(part: int, ids: np.ndarray, sizes: np.ndarray, n: np.ndarray, grams: np.ndarray) -> pa.RecordBatch:
+            values = [None, None, part, ids.tobytes(), sizes.tobytes(), n.astype(np.int32).tobytes(), grams.tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
+
+        def window() -> Iterator[pa.RecordBatch]:
+            sets = list(held.values())
+            every = np.concatenate(sets)
+            grams, seen = np.unique(every, return_counts=True)
             often = seen >= REPORTED
-            return pa.RecordBatch.from_arrays([pa.array(grams[often].view(np.int64)), pa.array(seen[often])], names=["gram", "seen"])
+            columns = [pa.array(grams[often].view(np.int64)), pa.array(seen[often]), *(pa.nulls(int(often.sum()), k) for k in kinds[2:])]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+            ids, sizes = np.array([x[0] for x in held], np.int64), np.array([len(x) for x in sets], np.int64)
+            owner, first = np.repeat(np.arange(len(sets)), sizes), every >> np.uint64(40) < np.uint64(COUNTED * (1 << 24))
+            owner, every = owner[first], every[first]
+            # within a set n-grams are sorted, so those of a part stay together
+            part = ((every >> np.uint64(32)) * np.uint64(parts) // np.uint64(COUNTED * (1 << 32))).astype(np.int64)
+            for i in range(parts):
+                mine = part == i
+                n = np.bincount(owner[mine], minlength=len(sets))
+                here = n > 0 if i else np.ones(len(sets), bool)
+                if here.any():
+                    yield row(i, ids[here], sizes[here], n[here], every[mine].view(np.uint8).reshape(-1, 8)[:, 3:])
 
         for part in text_slices(batches):
             for x in part.column("text").to_pylist():
@@ -90,12 +118,17 @@ def frequent(docs: DataFrame, words: int) -> Order:
                     held[key] = grams
                     size += len(grams)
             if size >= WINDOW:
-                yield reported()
+                yield from window()
                 held, size = {}, 0
-        yield reported()
+        if held:
+            yield from window()
+
+    return materialize(docs.select("text").mapInArrow(run, "gram long, seen long, part int, ids binary, sizes binary, held binary, grams binary"), "counts")
+
 
-    seen = docs.select("text").mapInArrow(run, "gram long, seen long").groupBy("gram").agg(F.sum("seen").alias("seen"))
-    seen = materialize(seen, "seen")
+def _order(seen: DataFrame) -> Order:
+    """The order of rows gram, seen. At most FREQUENT of them come to the driver."""
+    seen = materialize(seen.groupBy("gram").agg(F.sum("seen").alias("seen")), "seen")
     level = F.floor(F.log2(F.col("seen").cast("double")) * 4).cast("int")
     left, least = FREQUENT, None
     for r in sorted(seen.groupBy(level.alias("level")).count().collect(), reverse=True):
@@ -109,6 +142,33 @@ def frequent(docs: DataFrame, words: int) -> Order:
     return Order(grams[by], counts[by])
 
 
+def _alone(counts: DataFrame, percent: int) -> DataFrame:
+    """class_id of the sets that can link with none: of their n-grams in the first fragment more belong to no other set than a link may lack; written.
+
+    Only five bytes of an n-gram are compared, so now and then one counts as shared that isn't, and a set is kept for nothing.
+    """
+
+    def part(rows: pa.Table) -> pa.Table:
+        whole = lambda name, kind: np.frombuffer(b"".join(rows.column(name).to_pylist()), kind)
+        ids, sizes, held = whole("ids", np.int64), whole("sizes", np.int64), whole("held", np.int32)
+        grams = np.zeros((int(held.sum()), 8), np.uint8)
+        grams[:, :5] = whole("grams", np.uint8).reshape(-1, 5)
+        # a set that several windows saw is one
+        own, first, owner = np.unique(ids, return_index=True, return_inverse=True)
+        owner, grams = np.repeat(owner, held), grams.view(np.uint64).ravel()
+        by = np.lexsort((owner, grams))
+        owner, grams = owner[by], grams[by]
+        new = np.append(True, (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1]))[: len(grams)]
+        owner, grams = owner[new], grams[new]
+        same = grams[1:] == grams[:-1]
+        shared = np.append(False, same) | np.append(same, False) if len(grams) else np.empty(0, bool)
+        return pa.table({"class_id": own, "n": sizes[first], "lacking": np.bincount(owner[~shared], minlength=len(own))})
+
+    lacking = counts.where("part is not null").select("part", "ids", "sizes", "held", "grams").groupBy("part").applyInArrow(part, "class_id long, n long, lacking long")
+    per = lacking.groupBy("class_id").agg(F.max("n").alias("n"), F.sum("lacking").alias("lacking"))
+    return materialize(per.where(100 * F.col("lacking") > (100 - percent) * F.col("n")).select("class_id"), "alone")
+
+
 def _width(n: Column) -> Column:
     """Bytes of the bitmap of a set of this size."""
     power = F.pow(F.lit(2.0), F.length(F.bin(2 * n - 1)))
@@ -355,7 +415,7 @@ def _confirmed(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame
 def _joined(docs: DataFrame, classes: DataFrame, order: Order, p: NgramJoin) -> DataFrame:
     """class_id as node, component: of all classes that links join to others."""
     # classes with a null lead can't be read again by id; they keep to themselves
-    known = classes.where("lead is not null").withColumn("width", _width(F.col("n")))
+    known = materialize(classes.where("lead is not null").withColumn("width", _width(F.col("n"))), "known")
     members = _lists(known)
     joined = segments = tried = None
     forests, rows = 1, members.where(F.col("size") <= BLOCK)
@@ -408,9 +468,10 @@ def jaccard_components(docs: DataFrame, p: NgramJoin = NgramJoin()) -> DataFrame
     """
     spark, end = docs.sparkSession, new_path(docs.sparkSession, "components")
     with temporary(spark):
-        order = frequent(docs, p.words)
+        counts = _counts(docs, p.words, max(1, task_partitions(docs) // PARTITIONS_A_PART))
+        order, alone = _order(counts.where("gram is not null").select("gram", "seen")), _alone(counts, p.percent)
         rows, classes = _classes(materialize(_described(docs, order, p), "described"))
-        joined = _joined(docs, classes, order, p)
+        joined = _joined(docs, classes.join(alone, "class_id", "left_anti"), order, p)
         lead = classes.select("class_id", "lead", "copies").join(joined.withColumnRenamed("node", "class_id"), "class_id", "left")
         group = materialize(lead.where("component is not null").groupBy("component").agg(F.min("lead").alias("least")), "groups")
         named = materialize(lead.where("component is not null or copies > 1").join(group, "component", "left").select("class_id", F.coalesce("least", "lead").alias("least")), "named")

@@ -81,8 +81,29 @@ def test_bitmaps_never_rule_a_link_out():
 
 def test_fragments_and_counts_of_the_order(spark):
     rows = [(i, "a b c d e f " + f"x{i} y{i} z{i}") for i in range(50)]
-    order = ngram_join.frequent(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 3)
+    counts = ngram_join._counts(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 3, 2)
+    order = ngram_join._order(counts.where("gram is not null").select("gram", "seen"))
     common, own = Shingler(3)("a b c d e f"), Shingler(3)("x1 y1 z1")
     assert order.counts(common).tolist() == [50] * 4 and order.counts(own).tolist() == [0]
     assert set(order.fragment(common, 8)) == {7} and order.fragment(own, 8)[0] < 7
     assert order.first(np.sort(np.concatenate((common, own))), 1).tolist() == own.tolist()
+
+
+@pytest.mark.parametrize("parts, window", [(1, 1 << 21), (5, 2000)])
+def test_sets_that_lack_too_much_of_the_first_fragment(spark, monkeypatch, parts, window):
+    monkeypatch.setattr(ngram_join, "WINDOW", window)
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(40000)]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 400))) for _ in range(60)]
+    texts += [" ".join(t.split()[: -1 - i % 9] + ["x"] * (i % 4)) for i, t in enumerate(texts[:30])] + texts[:5] + ["", "one"]
+    sets = {s.tobytes(): s for s in map(Shingler(1), texts) if len(s)}
+    every, n = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+    single = set(every[n == 1].tolist())
+    want = set()
+    for s in sets.values():
+        lacking = sum(g in single and g < 1 << 62 for g in s.tolist())
+        if 100 * lacking > 10 * len(s):
+            want.add(ngram_join._digest(s.tobytes())[0])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.class_id for r in ngram_join._alone(ngram_join._counts(df, 1, parts), 90).collect()}
+    assert 10 < len(want) < len(sets) - 10 and got == want
