@@ -12,6 +12,7 @@ REPORTS = [
 PRIVATE = [
     (-11, "see C:\\Users\\anna\\notes.txt and /home/bert/x\nmail noreply@forge.org or ann@sub.users.noreply.github.com\nC:\\Users\\me\\y"),
     (-12, "번호 900101-1234567, 전화 010-1234-5678 그리고 02-345-6789\n홍길동 12345678\n12-34"),
+    (-14, "900101-1234567 900102-1234567\n900101 - 1234567, 1900101-1234567 900101-12345678\n900101-5234567 010 - 1234 -5678 01012345678 010-12-3456\n12345 23456 345678 9 45678\n가나다라마바사 12345\n12345 김철수 23456 (이영희) 34567\n홍길동 -------------- 12345 박 01234\n번호12345와 이름"),
     (-13, "[[FIG a\nb]] text **bold** and [[TAB c]] **more** end\n# guide: fill\n# Guide\n# other\n\n<!-- x -->\n\nlast part"),
 ]
 #: What a summary claims: subject (null for none), unit, value.

@@ -206,6 +206,7 @@ QUERIES = {
     "heading_echoes": _private(text.heading_echoes, ["guide", "fill"]),
     "identity_numbers": _private(privacy.identity_numbers),
     "named_numbers": _private(privacy.named_numbers),
+    "privacy_gate": _private(privacy.gate, TERMS),
     "box_overlaps": box_overlaps,
     "missing_requirements": missing_requirements,
     "late_outputs": late_outputs,
@@ -228,7 +229,20 @@ _GRAMS = "SELECT DISTINCT {key}, array_to_string(w[i:i+{n}-1], ' ') AS g FROM (S
 _PATHS = f"SELECT doc_id, name FROM (SELECT doc_id, unnest(list_concat(regexp_extract_all(text, 'C:\\\\Users\\\\([^\\\\/\\s\"'']+)', 1), regexp_extract_all(text, '(?:^|[^A-Za-z0-9_.~-])/home/([^\\\\/\\s\"'']+)', 1))) AS name FROM {PRIVATE_SQL}) WHERE lower(name) NOT IN ('<user>', 'username', '%userprofile%', 'example', 'me')"
 _PARTED = "FROM (SELECT source, unnest(regexp_split_to_array(text, '\\n[ \\t]*\\n')) AS p FROM documents) WHERE trim(p, ' ') <> '' AND NOT regexp_matches(p, '^\\s*(?:#|\\||<!--)')"
 
-ORACLE_SQL = {
+#: Lines as runs of digits and what lies between, so that the numbers follow from the rule by runs.
+_DIGITS = f"""
+        WITH l AS (SELECT r, doc_id, unnest(x) AS text, CAST(unnest(range(1, len(x) + 1)) AS INTEGER) AS line FROM (SELECT row_number() OVER () AS r, doc_id, {_LINES} AS x FROM {PRIVATE_SQL} WHERE text IS NOT NULL)),
+        k AS (SELECT doc_id, line, regexp_extract_all(text, '[0-9]+|[^0-9]+') AS k FROM l WHERE contains(text, '-'))"""
+_HYPHEN = "list_contains(['-', ' -', '- ', ' - '], {})"
+_IDENTITIES = f"""
+            SELECT doc_id, line, 'resident' AS kind, unnest(list_transform(list_filter(range(1, len(k) - 1), lambda i: regexp_full_match(k[i], '[0-9]{{6}}') AND {_HYPHEN.format("k[i + 1]")} AND regexp_full_match(k[i + 2], '[1-4][0-9]{{6}}')), lambda i: k[i] || k[i + 2])) AS number FROM k
+            UNION ALL SELECT doc_id, line, 'phone', unnest(list_transform(list_filter(range(1, len(k) - 3), lambda i: regexp_full_match(k[i], '01[016789]') AND {_HYPHEN.format("k[i + 1]")} AND regexp_full_match(k[i + 2], '[0-9]{{3,4}}') AND {_HYPHEN.format("k[i + 3]")} AND regexp_full_match(k[i + 4], '[0-9]{{4}}')), lambda i: k[i] || k[i + 2] || k[i + 4])) FROM k"""
+#: Pairs of runs of five digits and of two to four syllables by their places; a run's place is the length of all runs before.
+_NEAR = """t AS (SELECT r, doc_id, line, text, unnest(p) AS p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT *, regexp_extract_all(text, '[0-9]+|[가-힣]+|[^0-9가-힣]+') AS p FROM l WHERE regexp_matches(text, '[0-9]{5}') AND regexp_matches(text, '[가-힣]{2}'))),
+        u AS (SELECT *, CAST(sum(length(p)) OVER (PARTITION BY r, line ORDER BY i) AS BIGINT) AS e FROM t),
+        n AS (SELECT a.doc_id, a.line, a.text, least(a.e - length(a.p), b.e - length(b.p)) AS start, greatest(a.e, b.e) AS stop FROM u AS a JOIN u AS b ON a.r = b.r AND a.line = b.line WHERE regexp_full_match(a.p, '[0-9]{5}') AND regexp_full_match(b.p, '[가-힣]{2,4}') AND greatest(a.e - length(a.p), b.e - length(b.p)) - least(a.e, b.e) <= 12)"""
+
+ORACLE_SQL: dict[str, str] = {
     "reused_passages": f"""
         WITH a AS (SELECT doc_id, {_PROSE} AS w FROM documents), b AS (SELECT item_id, {_PROSE} AS w FROM benchmark),
         a8 AS ({_GRAMS.format(key="doc_id", n=8, src="a")}), b8 AS ({_GRAMS.format(key="item_id", n=8, src="b")}),
@@ -275,8 +289,9 @@ ORACLE_SQL = {
         WITH l AS (SELECT doc_id, unnest(x) AS t, unnest(range(1, len(x) + 1)) AS line FROM (SELECT doc_id, {_LINES} AS x FROM documents WHERE text IS NOT NULL))
         SELECT doc_id, CAST(line AS INTEGER) AS line, term FROM l JOIN (VALUES ('password'), ('license'), ('token')) v(term) ON contains(lower(t), term)""",
     "near_numbers": f"""
-        WITH l AS (SELECT doc_id, unnest(x) AS t, unnest(range(1, len(x) + 1)) AS line FROM (SELECT doc_id, {_LINES} AS x FROM documents WHERE text IS NOT NULL))
-        SELECT doc_id, CAST(line AS INTEGER) AS line, CAST(len(regexp_extract_all(t, '[0-9]{{5,}}[^0-9\\n]{{1,12}}[0-9]{{5,}}')) AS BIGINT) AS pairs FROM l WHERE pairs > 0""",
+        WITH l AS (SELECT doc_id, unnest(x) AS t, unnest(range(1, len(x) + 1)) AS line FROM (SELECT doc_id, {_LINES} AS x FROM documents WHERE text IS NOT NULL)),
+        k AS (SELECT doc_id, line, regexp_extract_all(t, '[0-9]+|[^0-9]+') AS k FROM l WHERE regexp_matches(t, '[0-9]{{5}}'))
+        SELECT doc_id, CAST(line AS INTEGER) AS line, len(list_filter(range(1, len(k) - 1), lambda i: regexp_full_match(k[i], '[0-9]{{5,}}') AND len(k[i + 1]) <= 12 AND regexp_full_match(k[i + 2], '[0-9]{{5,}}'))) AS pairs FROM k WHERE pairs > 0""",
     "findings_rollup": f"""
         WITH l AS (SELECT doc_id, unnest({_LINES}) AS t FROM {PRIVATE_SQL} WHERE text IS NOT NULL),
         m AS (SELECT DISTINCT doc_id, email FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}')) AS email FROM {PRIVATE_SQL})),
@@ -372,12 +387,20 @@ ORACLE_SQL = {
     "heading_echoes": f"""
         WITH l AS (SELECT doc_id, unnest(x) AS text, CAST(unnest(range(1, len(x) + 1)) AS INTEGER) AS line FROM (SELECT doc_id, {_LINES} AS x FROM {PRIVATE_SQL} WHERE text IS NOT NULL)), i AS (SELECT *, trim(regexp_replace(lower(regexp_replace(text, '^#+ *', '')), '\\s+', ' ', 'g')) AS i FROM l WHERE starts_with(text, '#'))
         SELECT doc_id, line, text FROM i WHERE i IN ('guide', 'fill') OR starts_with(i, 'guide:') OR starts_with(i, 'fill:')""",
-    "identity_numbers": f"""
-        WITH l AS (SELECT doc_id, unnest(x) AS text, CAST(unnest(range(1, len(x) + 1)) AS INTEGER) AS line FROM (SELECT doc_id, {_LINES} AS x FROM {PRIVATE_SQL} WHERE text IS NOT NULL)),
-        n AS (SELECT doc_id, line, 'resident' AS kind, unnest(regexp_extract_all(text, '{privacy.RESIDENT}', 1)) AS x FROM l UNION ALL SELECT doc_id, line, 'phone', unnest(regexp_extract_all(text, '{privacy.PHONE}', 1)) FROM l) SELECT doc_id, line, kind, sha256(x) AS number FROM n""",
+    "identity_numbers": f"""{_DIGITS}
+        SELECT doc_id, line, kind, sha256(number) AS number FROM ({_IDENTITIES})""",
     "named_numbers": f"""
-        WITH l AS (SELECT doc_id, unnest(x) AS text, CAST(unnest(range(1, len(x) + 1)) AS INTEGER) AS line FROM (SELECT doc_id, {_LINES} AS x FROM {PRIVATE_SQL} WHERE text IS NOT NULL)),
-        n AS (SELECT doc_id, line, regexp_extract(text, '[0-9]{{5,}}[^0-9\\n]{{0,12}}[가-힣]{{2,4}}|[가-힣]{{2,4}}[^0-9\\n]{{0,12}}[0-9]{{5,}}') AS s FROM l) SELECT doc_id, line, s[1:60] AS snippet FROM n WHERE s <> ''""",
+        WITH l AS (SELECT r, doc_id, unnest(x) AS text, CAST(unnest(range(1, len(x) + 1)) AS INTEGER) AS line FROM (SELECT row_number() OVER () AS r, doc_id, {_LINES} AS x FROM {PRIVATE_SQL} WHERE text IS NOT NULL)),
+        {_NEAR} SELECT doc_id, line, start, text[start + 1 : least(stop, start + 60)] AS snippet FROM n""",
+    "privacy_gate": f"""{_DIGITS},
+        {_NEAR},
+        m AS (SELECT DISTINCT doc_id, email FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}')) AS email FROM {PRIVATE_SQL})),
+        f AS (SELECT doc_id, CASE WHEN regexp_matches(lower(email), '^noreply|(@|\\.)example\\.com$|\\.invalid$|(@|\\.)users\\.noreply\\.github\\.com$') THEN 'WARN' ELSE 'HARD' END AS s FROM m
+              UNION ALL SELECT doc_id, 'HARD' FROM ({_PATHS}) UNION ALL SELECT doc_id, 'HARD' FROM ({_IDENTITIES}) UNION ALL SELECT doc_id, 'WARN' FROM n
+              UNION ALL SELECT doc_id, 'HARD' FROM l JOIN (VALUES ('password'), ('license'), ('token')) v(term) ON contains(lower(text), term))
+        SELECT d.doc_id, count(*) FILTER (s = 'HARD') AS hard, count(*) FILTER (s = 'WARN') AS warn, count(*) FILTER (s = 'HARD') = 0 AS ok,
+               CAST(CASE WHEN count(*) FILTER (s = 'HARD') > 0 THEN 3 WHEN count(*) FILTER (s = 'WARN') > 0 THEN 2 ELSE 0 END AS INTEGER) AS exit_code
+        FROM (SELECT DISTINCT doc_id FROM {PRIVATE_SQL}) d LEFT JOIN f ON d.doc_id = f.doc_id GROUP BY 1""",
     "box_overlaps": """
         WITH k AS (SELECT l_suppkey AS page, l_partkey % 60 AS x0, CAST(trunc(l_extendedprice) AS BIGINT) % 60 AS y0, CAST(max(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1, 2, 3), b AS (SELECT page, x0 * 100 + y0 AS id, x0, y0, x0 + 1 + q % 9 AS x1, y0 + 1 + q % 5 AS y1 FROM k),
         h AS (SELECT DISTINCT a.page, a.id FROM b AS a JOIN b ON a.page = b.page AND a.id <> b.id AND greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) >= 0.3::DOUBLE * least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0)))
