@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import workflow
-from ..sources.tables import read_table
+from ..sources.tables import read_table, table_path
+from ..streaming import gates
 from .fixtures import literal, values
 
 _KIND = "CASE event_type WHEN 'purchase' THEN 'approve' WHEN 'error' THEN 'reject' WHEN 'signup' THEN 'reset' ELSE 'open' END"
@@ -24,6 +25,13 @@ def _gates(spark, sf_dir) -> DataFrame:
     return workflow.gate_states(_log(spark, sf_dir))
 
 
+def gate_stream(spark, sf_dir):
+    """The log as a stream, a gate's state kept from batch to batch; equal to the replay of the whole log."""
+    path = table_path(sf_dir, "events")
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).selectExpr(*_COLUMNS)
+    return gates.final_states(spark, events)
+
+
 def invalidated(spark, sf_dir):
     log = _log(spark, sf_dir)
     stages = log.groupBy("ws", "stage").agg(F.max("kind").alias("status"))
@@ -73,6 +81,7 @@ def checksum_matches(spark, sf_dir):
 
 QUERIES = {
     "gate_states": _gates,
+    "gate_stream": gate_stream,
     "stage_blocks": lambda spark, sf_dir: workflow.stage_blocks(_gates(spark, sf_dir)),
     "invalidated": invalidated,
     "readiness": readiness,
@@ -91,6 +100,7 @@ _GATES = f"""e AS (SELECT {_LOG} FROM events), r AS (SELECT ws, stage AS s0, (ts
 
 ORACLE_SQL = {
     "gate_states": f"WITH {_GATES} SELECT * FROM g",
+    "gate_stream": f"WITH {_GATES} SELECT * FROM g",
     "stage_blocks": f"WITH {_GATES} SELECT ws, stage, coalesce(bool_or(gate <> 'approved') OVER (PARTITION BY ws ORDER BY stage ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS blocked FROM g",
     "invalidated": f"WITH {_GATES}, s AS (SELECT ws, stage, max(kind) AS status FROM e GROUP BY 1, 2), f AS (SELECT ws, min(s0) AS f FROM r WHERE s0 > 2 GROUP BY 1) SELECT ws, stage, CASE WHEN stage >= f THEN 'pending' ELSE status END AS status FROM s LEFT JOIN f USING (ws)",
     "readiness": f"""WITH {_GATES}, m AS (SELECT user_id AS ws, count(*) FILTER (value > 100) = 0 AS missing FROM events GROUP BY 1)
