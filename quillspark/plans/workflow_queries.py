@@ -28,7 +28,8 @@ def _gates(spark, sf_dir) -> DataFrame:
 def gate_stream(spark, sf_dir):
     """The log as a stream, a gate's state kept from batch to batch; equal to the replay of the whole log."""
     path = table_path(sf_dir, "events")
-    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).selectExpr(*_COLUMNS)
+    # a pattern is taken for a file as well as for a folder
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path.replace("events.parquet", "event[s].parquet")).selectExpr(*_COLUMNS)
     return gates.final_states(spark, events)
 
 
