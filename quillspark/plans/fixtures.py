@@ -9,6 +9,13 @@ REPORTS = [
     (-2, "# Body\nThe beam mass is 1.25 t, measured twice.\nThe pump power was 3,050 W; the load mass is 950 g.\nspan = 12.9 m\npower = 3.2 kW\ndepth = 4 m\nAs Kim (2020) shows [1], and others agree (Lee, 2019; Park, 2030), [@choi2021] found more. Cho (2031) differs.\n\n\n# References\nKim, A. (2020). Beams under load. Journal of Beams. https://doi.org/10.1000/Beam.12_3\n  ISBN 978-0-306-40615-7\nLee, B. (2019). Pumps and power. Press. http://Example.org/Pumps#top\n\nPark, C. (2030). Loads to come. doi:10.5555/loads(1)\n# After\nlast = 1 m\n"),
     (-3, "# 참고문헌\nNo, D. (1999). Old things. ISBN 0-306-40615-2\n"),
 ]
+#: Reports with something for every checker of a preflight.
+DRAFTS = [
+    (-21, "intro TODO 3.14\n# Summary\nThe mass is 12.5 and the speed 7.25; fill in here.\n# Body\nmass = 12.5 kg\nmass = 12500 g\nspan = 3 m\nIn order to show 12.51, 9.75 and [1] [4] [@kim20] [@lee19].\n[[FIG file=\"a.png\" caption=\"x\"]] [[FIG file=\"b.png\"]]\n[[FIG file=\"a.png\" caption=\"y\"]]\n[[TABLE open\nvery very long, in order to\n# References\n@kim20 Kim (2020). A. https://x.org/a\n  more https://x.org/a\nLee (2031). B (1999). https://x.org/b\n\n"),
+    (-21, "# References\nno body"),
+    (-22, "# Abstract\n5.5 only\n# Method\nno numbers, tbd"),
+    (-23, "plain text [7] [@none] 1.5\r\nx = 1.5\r\ny=2 %"),
+]
 PRIVATE = [
     (-11, "see C:\\Users\\anna\\notes.txt and /home/bert/x\nmail noreply@forge.org or ann@sub.users.noreply.github.com\nC:\\Users\\me\\y"),
     (-12, "번호 900101-1234567, 전화 010-1234-5678 그리고 02-345-6789\n홍길동 12345678\n12-34"),
@@ -33,6 +40,11 @@ def private(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").unionByName(spark.createDataFrame(PRIVATE, "doc_id long, text string"))
 
 
+def drafts(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """doc_id, text of a table and of the drafts."""
+    return docs.select("doc_id", "text").unionByName(spark.createDataFrame(DRAFTS, "doc_id long, text string"))
+
+
 def literal(value) -> str:
     """A value in SQL."""
     return "NULL" if value is None else repr(value) if isinstance(value, (int, float)) else "'" + value.replace("'", "''") + "'"
@@ -47,3 +59,5 @@ def values(rows: list[tuple], names: str) -> str:
 REPORTS_SQL = f"(SELECT doc_id, text FROM documents UNION ALL SELECT CAST(doc_id AS BIGINT), text FROM {values(REPORTS, 'doc_id, text')})"
 #: The texts with personal data and tags beside the documents, as SQL.
 PRIVATE_SQL = f"(SELECT doc_id, text FROM documents UNION ALL SELECT CAST(doc_id AS BIGINT), text FROM {values(PRIVATE, 'doc_id, text')})"
+#: The drafts beside the documents, as SQL.
+DRAFTS_SQL = f"(SELECT doc_id, text FROM documents UNION ALL SELECT CAST(doc_id AS BIGINT), text FROM {values(DRAFTS, 'doc_id, text')})"

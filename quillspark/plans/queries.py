@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import gates, privacy, relational, reuse, state, text
 from ..sources.tables import read_table
-from . import claims_queries, contents_queries, documents_queries, evidence_queries, forms_queries, spans_queries, workflow_queries
+from . import claims_queries, contents_queries, documents_queries, evidence_queries, forms_queries, preflight_queries, spans_queries, workflow_queries
 from .fixtures import MODULES, PRIVATE_SQL, private, values
 
 TERMS = ["password", "license", "token"]
@@ -220,6 +220,7 @@ QUERIES = {
     **contents_queries.QUERIES,
     **evidence_queries.QUERIES,
     **spans_queries.QUERIES,
+    **preflight_queries.QUERIES,
 }
 
 _LINES = "regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]')"
@@ -419,4 +420,5 @@ ORACLE_SQL: dict[str, str] = {
     **contents_queries.ORACLE_SQL,
     **evidence_queries.ORACLE_SQL,
     **spans_queries.oracle(_IDENTITIES, _DIGITS),
+    **preflight_queries.ORACLE_SQL,
 }
