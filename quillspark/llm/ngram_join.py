@@ -142,10 +142,10 @@ def _order(seen: DataFrame) -> Order:
     return Order(grams[by], counts[by])
 
 
-def _alone(counts: DataFrame, percent: int) -> DataFrame:
+def _alone(counts: DataFrame, percent: int, parts: int) -> DataFrame:
     """class_id of the sets that can link with none: of their n-grams in the first fragment more belong to no other set than a link may lack; written.
 
-    Only five bytes of an n-gram are compared, so now and then one counts as shared that isn't, and a set is kept for nothing.
+    Each part counts what its sets lack there; the counts of all parts are summed by buckets of sets, as many as there are parts. Only five bytes of an n-gram are compared, so now and then one counts as shared that isn't, and a set is kept for nothing.
     """
 
     def part(rows: pa.Table) -> pa.Table:
@@ -162,11 +162,20 @@ def _alone(counts: DataFrame, percent: int) -> DataFrame:
         owner, grams = owner[new], grams[new]
         same = grams[1:] == grams[:-1]
         shared = np.append(False, same) | np.append(same, False) if len(grams) else np.empty(0, bool)
-        return pa.table({"class_id": own, "n": sizes[first], "lacking": np.bincount(owner[~shared], minlength=len(own))})
+        sizes, lacking = sizes[first], np.bincount(owner[~shared], minlength=len(own))
+        bucket = (own.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+        some = [(i, at) for i in range(parts) if len(at := np.flatnonzero(bucket == i))]
+        columns = [pa.array([i for i, _ in some], pa.int32()), *(pa.array([x[at].tobytes() for _, at in some], pa.binary()) for x in (own, sizes, lacking))]
+        return pa.table(columns, names=["bucket", "ids", "sizes", "lacking"])
+
+    def bucket(rows: pa.Table) -> pa.Table:
+        ids, sizes, lacking = (np.frombuffer(b"".join(rows.column(name).to_pylist()), np.int64) for name in ("ids", "sizes", "lacking"))
+        own, first, owner = np.unique(ids, return_index=True, return_inverse=True)
+        every = np.bincount(owner, lacking, len(own)).astype(np.int64)
+        return pa.table({"class_id": own[100 * every > (100 - percent) * sizes[first]]})
 
-    lacking = counts.where("part is not null").select("part", "ids", "sizes", "held", "grams").groupBy("part").applyInArrow(part, "class_id long, n long, lacking long")
-    per = lacking.groupBy("class_id").agg(F.max("n").alias("n"), F.sum("lacking").alias("lacking"))
-    return materialize(per.where(100 * F.col("lacking") > (100 - percent) * F.col("n")).select("class_id"), "alone")
+    per = counts.where("part is not null").select("part", "ids", "sizes", "held", "grams").groupBy("part").applyInArrow(part, "bucket int, ids binary, sizes binary, lacking binary")
+    return materialize(per.groupBy("bucket").applyInArrow(bucket, "class_id long"), "alone")
 
 
 def _width(n: Column) -> Column:
@@ -468,8 +477,9 @@ def jaccard_components(docs: DataFrame, p: NgramJoin = NgramJoin()) -> DataFrame
     """
     spark, end = docs.sparkSession, new_path(docs.sparkSession, "components")
     with temporary(spark):
-        counts = _counts(docs, p.words, max(1, task_partitions(docs) // PARTITIONS_A_PART))
-        order, alone = _order(counts.where("gram is not null").select("gram", "seen")), _alone(counts, p.percent)
+        parts = max(1, task_partitions(docs) // PARTITIONS_A_PART)
+        counts = _counts(docs, p.words, parts)
+        order, alone = _order(counts.where("gram is not null").select("gram", "seen")), _alone(counts, p.percent, parts)
         rows, classes = _classes(materialize(_described(docs, order, p), "described"))
         joined = _joined(docs, classes.join(alone, "class_id", "left_anti"), order, p)
         lead = classes.select("class_id", "lead", "copies").join(joined.withColumnRenamed("node", "class_id"), "class_id", "left")

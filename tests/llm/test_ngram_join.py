@@ -105,5 +105,5 @@ def test_sets_that_lack_too_much_of_the_first_fragment(spark, monkeypatch, parts
         if 100 * lacking > 10 * len(s):
             want.add(ngram_join._digest(s.tobytes())[0])
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r.class_id for r in ngram_join._alone(ngram_join._counts(df, 1, parts), 90).collect()}
+    got = {r.class_id for r in ngram_join._alone(ngram_join._counts(df, 1, parts), 90, parts).collect()}
     assert 10 < len(want) < len(sets) - 10 and got == want
