@@ -15,10 +15,10 @@ from pyspark.sql.types import ArrayType, DoubleType, StringType
 from ..functions import text as T
 from ..functions.units import QUANTITIES, UNITS
 from .relational import backed
-from .text import line_rows
+from .text import keyed_lines, line_rows
 
-#: What stands before a number (80 characters of it at most, in which its subject is looked for), the number, and what follows it.
-NUMBER = r"([^0-9]{0,80})([0-9][0-9,]*(?:\.[0-9]+)?) ?([A-Za-zµ°%]*)"
+#: What stands between a number and the one before it, in which its subject is looked for, the number, and the word that follows it, which is only looked at.
+NUMBER = r"([^0-9]*)([0-9][0-9,]*(?:\.[0-9]+)?)(?= ?([A-Za-zµ°%]*))"
 SUBJECT = r"([A-Za-z][A-Za-z ]*?) *(?:=|:| is| was| were) *$"
 REFERENCE = r"(?i)^ *(?:\[|fig(?:ure)?\.?|table|page|section|p\.) *$"
 BINDING = r"^ *([A-Za-z][A-Za-z _]*?) *= *(-?[0-9][0-9,]*(?:\.[0-9]+)?) *([A-Za-zµ°%]*) *$"
@@ -39,8 +39,12 @@ def numeric_claims(docs: DataFrame) -> DataFrame:
     """
     lines = line_rows(docs).where(F.col("text").rlike("[0-9]"))
     group = lambda i: F.regexp_extract_all("text", F.lit(NUMBER), F.lit(i))
-    each = lines.select("doc_id", "line", "text", F.posexplode(F.arrays_zip(group(1).alias("before"), group(2).alias("raw"), group(3).alias("after"))).alias("ord", "m"))
-    each = each.select("doc_id", "line", "text", (F.col("ord") + 1).alias("ord"), "m.before", "m.raw", F.col("m.after").alias("alias")).where(~F.col("before").rlike("[A-Za-z_.]$"))
+    lines = lines.select("doc_id", "line", "text", group(1).alias("before"), group(2).alias("raw"), group(3).alias("after"))
+    # the unit of the number before is no part of a subject, any other word may be
+    known = F.coalesce(F.get("after", F.col("ord") - 1).isin([u[0] for u in UNITS]), F.lit(False))
+    before = F.when(known, F.regexp_replace("m.before", "^ ?[A-Za-zµ°%]*", "")).otherwise(F.col("m.before"))
+    each = lines.select("doc_id", "line", "text", "after", F.posexplode(F.arrays_zip("before", "raw", "after")).alias("ord", "m"))
+    each = each.select("doc_id", "line", "text", (F.col("ord") + 1).alias("ord"), before.alias("before"), "m.raw", F.col("m.after").alias("alias")).where(~F.col("before").rlike("[A-Za-z_.]$"))
     value = T.number(F.col("raw"))
     found = each.join(_units(docs), "alias", "left").withColumn("value", value).where("value is not null")
     whole = ~F.col("raw").contains(".")
@@ -134,28 +138,28 @@ def backed_claims(claims: DataFrame, results: DataFrame, constants: DataFrame, t
 
 
 def sections(docs: DataFrame) -> DataFrame:
-    """doc_id, line, text, heading (the last heading's line, null before any), reference (whether that heading begins references)."""
-    by = Window.partitionBy("doc_id").orderBy("line")
+    """row, doc_id, line, text, heading (the last heading's line, null before any), reference (whether that heading begins references); rows of one doc_id are kept apart."""
+    by = Window.partitionBy("row").orderBy("line")
     head = F.when(F.col("text").rlike(HEADING), F.struct("line", F.col("text").rlike(REFERENCE_HEADING).alias("reference")))
-    rows = line_rows(docs).withColumn("head", F.last(head, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.select("doc_id", "line", "text", F.col("head.line").alias("heading"), F.coalesce("head.reference", F.lit(False)).alias("reference"))
+    rows = keyed_lines(docs).withColumn("head", F.last(head, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.select("row", "doc_id", "line", "text", F.col("head.line").alias("heading"), F.coalesce("head.reference", F.lit(False)).alias("reference"))
 
 
 def section_scopes(docs: DataFrame) -> DataFrame:
-    """doc_id, scope, lines, chars: how much stands under each class of heading; before any it is body."""
-    rows = line_rows(docs)
+    """doc_id, scope, lines, chars: how much stands under each class of heading; before any it is body. Rows of one doc_id are summed, each by its own headings."""
+    rows = keyed_lines(docs)
     name = F.lower("text")
     kind = F.when(name.rlike("summary|abstract"), "summary").when(name.rlike("method"), "method").when(name.rlike("result"), "results").when(name.rlike("reference|참고문헌"), "references").otherwise("body")
-    by = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    by = Window.partitionBy("row").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     scoped = rows.withColumn("scope", F.coalesce(F.last(F.when(F.col("text").rlike(HEADING), kind), ignorenulls=True).over(by), F.lit("body")))
     return scoped.where(~F.col("text").rlike(HEADING)).groupBy("doc_id", "scope").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("text")).cast("long").alias("chars"))
 
 
 def without_references(docs: DataFrame) -> DataFrame:
-    """doc_id, lines, blanked, body_hash: the text with every line of a reference section emptied, as a digest."""
+    """doc_id, lines, blanked, body_hash: each row's text with every line of a reference section emptied, as a digest."""
     body = sections(docs).withColumn("own", F.when(F.col("reference"), "").otherwise(F.col("text")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "own"))), lambda x: x["own"]), "\n")
-    return body.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("reference")).alias("blanked"), F.sha2(text, 256).alias("body_hash"))
+    return body.groupBy("row", "doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("reference")).alias("blanked"), F.sha2(text, 256).alias("body_hash")).drop("row")
 
 
 def reference_entries(docs: DataFrame, now: int = 2026) -> DataFrame:
@@ -164,12 +168,12 @@ def reference_entries(docs: DataFrame, now: int = 2026) -> DataFrame:
     An indented line, or one of identifiers alone, goes on with the entry before it. future: the year is after `now`.
     """
     rows = sections(docs).where("reference")
-    first = Window.partitionBy("doc_id")
+    first = Window.partitionBy("row")
     rows = rows.withColumn("first", F.min("heading").over(first)).where((F.col("heading") == F.col("first")) & (F.col("line") > F.col("heading")) & (F.trim("text") != ""))
     more = F.col("text").rlike(r"^ +") | F.col("text").rlike(r"(?i)^(?:doi:|https?://|isbn )\S+ *$")
-    by = Window.partitionBy("doc_id").orderBy("line")
+    by = Window.partitionBy("row").orderBy("line")
     rows = rows.withColumn("entry", F.sum(F.when(more, 0).otherwise(1)).over(by))
-    merged = rows.groupBy("doc_id", "entry").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", F.trim("text").alias("t")))), lambda x: x["t"]), " ").alias("x"))
+    merged = rows.groupBy("row", "doc_id", "entry").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", F.trim("text").alias("t")))), lambda x: x["t"]), " ").alias("x"))
     part = lambda pattern: F.nullif(F.regexp_extract("x", pattern, 1), F.lit(""))
     year = part(r"\(([0-9]{4})[a-z]?\)").cast("int")
     doi = F.lower(part(r"(10\.[0-9]{4,9}/[^ ]+)"))

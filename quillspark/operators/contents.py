@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import line_rows
+from .text import keyed_lines
 
 # The grammar of marked-up reports.
 SECTION = r"^##\s*SECTION:\s*(.+?)\s*$"
@@ -24,16 +24,16 @@ def content_blocks(docs: DataFrame) -> DataFrame:
 
     Headings `## SECTION: x` open a section. Fault rows: unknown_tag, and tag_outside for a tag before any section; texts before any section aren't kept. line is the block's first.
     """
-    by = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    by = Window.partitionBy("row").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     trimmed = F.trim("text")
     tag, rest = F.regexp_extract(trimmed, TAG, 1), F.trim(F.regexp_extract(trimmed, TAG, 2))
     head = F.regexp_extract("text", SECTION, 1)
-    rows = line_rows(docs).select("doc_id", "line", trimmed.alias("text"), F.nullif(head, F.lit("")).alias("head"), F.nullif(tag, F.lit("")).alias("tag"), rest.alias("rest"))
+    rows = keyed_lines(docs).select("row", "doc_id", "line", trimmed.alias("text"), F.nullif(head, F.lit("")).alias("head"), F.nullif(tag, F.lit("")).alias("tag"), rest.alias("rest"))
     opens = F.when(F.col("tag") == "TABLE", 1).when(F.col("tag") == "/TABLE", -1).otherwise(0)
     kind = F.when(F.col("head").isNotNull(), "head").when(F.col("tag").isNotNull(), "tag").when(F.col("text") == "", "blank").otherwise("text")
     placed = rows.select("*", kind.alias("k"), F.last("head", ignorenulls=True).over(by).alias("section"), F.sum(opens).over(by).alias("open"), F.sum((kind != "text").cast("int")).over(by).alias("part"))
     inside = F.col("section").isNotNull()
-    paras = placed.where((F.col("k") == "text") & (F.col("open") <= 0) & inside).groupBy("doc_id", "section", "part").agg(F.min("line").alias("line"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), " ").alias("text"))
+    paras = placed.where((F.col("k") == "text") & (F.col("open") <= 0) & inside).groupBy("row", "doc_id", "section", "part").agg(F.min("line").alias("line"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), " ").alias("text"))
     known = F.regexp_replace("tag", "^/", "").isin(KNOWN)
     name = F.when(~known, "unknown_tag").when(~inside, "tag_outside").otherwise(F.lower("tag"))
     tags = placed.where((F.col("k") == "tag") & ~F.col("tag").startswith("/")).select("doc_id", "line", "section", name.alias("kind"), F.col("rest").alias("text"))
@@ -176,9 +176,9 @@ def manifest_entries(manifests: DataFrame, key: str, text: str) -> DataFrame:
 def feedback_rows(docs: DataFrame) -> DataFrame:
     """id, doc_id, line, symptom, remedy of the rows of two cells or more in texts' tables, without heads and rules; the id is a digest of what was said, so said twice it is one."""
     cells = F.transform(F.split(F.regexp_replace(F.trim("text"), r"^\||\|$", ""), r"\|", -1), lambda x: F.trim(x))
-    rows = line_rows(docs).where(F.col("text").startswith("|")).select("doc_id", "line", cells.alias("c"))
+    rows = keyed_lines(docs).where(F.col("text").startswith("|")).select("row", "doc_id", "line", cells.alias("c"))
     # the first row of a table is its head: no table row stands right before it
-    by = Window.partitionBy("doc_id").orderBy("line")
+    by = Window.partitionBy("row").orderBy("line")
     body = rows.withColumn("before", F.lag("line").over(by)).where((F.col("before") == F.col("line") - 1) & (F.size("c") >= 2) & ~F.col("c")[0].rlike("^:?-{2,}:?$"))
     said = body.select("doc_id", "line", F.col("c")[0].alias("symptom"), F.col("c")[1].alias("remedy")).where("symptom <> '' and remedy <> ''")
     return said.groupBy(F.sha2(F.concat_ws("\x1f", "symptom", "remedy"), 256).alias("id"), "symptom", "remedy").agg(F.min(F.struct("doc_id", "line")).alias("at")).select("id", "at.doc_id", "at.line", "symptom", "remedy")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.shared import materialize
 
 ADDRESS = ["doc", "tab", "row", "col"]
 
@@ -122,13 +123,20 @@ def best_grids(grids: DataFrame, baseline: DataFrame, least: float = 0.6) -> Dat
     return a.select("doc", "grid").distinct().join(taken, ["doc", "grid"], "left")
 
 
+#: Tasks that a style's runs are dealt over.
+STYLE_SALTS = 64
+
+
 def unallowed_styles(runs: DataFrame, allowed: DataFrame) -> DataFrame:
     """kind, value, uses, places, sample of the runs (kind, value, at, text) whose (kind, value) is not allowed: the first five places, and the text at the first."""
     found = runs.join(allowed.select("kind", "value").distinct(), ["kind", "value"], "left_anti")
-    # the five least places are kept while rows are counted, so no list of all places is ever made
-    ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("kind", "value").orderBy("at")))
-    firsts = F.array_sort(F.collect_list(F.when(F.col("r") <= 5, F.col("at"))))
-    return ranked.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("uses"), F.array_join(firsts.cast("array<string>"), ",").alias("places"), F.min_by("text", "at").alias("sample"))
+    # a frequent style is dealt over many tasks, each of which keeps its five least places
+    dealt = found.withColumn("salt", F.pmod(F.xxhash64("at", "text"), F.lit(STYLE_SALTS)))
+    ranked = dealt.withColumn("r", F.row_number().over(Window.partitionBy("kind", "value", "salt").orderBy("at", "text")))
+    firsts = lambda places: F.slice(F.array_sort(places), 1, 5)
+    some = ranked.groupBy("kind", "value", "salt").agg(F.count(F.lit(1)).alias("n"), firsts(F.collect_list(F.when(F.col("r") <= 5, F.struct("at", "text")))).alias("places"))
+    every = some.groupBy("kind", "value").agg(F.sum("n").alias("uses"), firsts(F.flatten(F.collect_list("places"))).alias("places"))
+    return every.select("kind", "value", "uses", F.array_join(F.transform("places", lambda x: x["at"].cast("string")), ",").alias("places"), F.get("places", F.lit(0))["text"].alias("sample"))
 
 
 def differing_fields(left: DataFrame, right: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -198,11 +206,12 @@ def section_orders(headings: DataFrame) -> DataFrame:
 
 
 def ragged_tables(lines: DataFrame) -> DataFrame:
-    """doc_id, line, cells, expected: rows of a table of bars whose cells aren't as many as in its first row; neighbouring lines that begin with a bar are a table."""
-    by = Window.partitionBy("doc_id").orderBy("line")
+    """doc_id, line, cells, expected: rows of a table of bars whose cells aren't as many as in its first row; neighbouring lines that begin with a bar are a table. Lines with a column row are those of one row."""
+    key = "row" if "row" in lines.columns else "doc_id"
+    by = Window.partitionBy(key).orderBy("line")
     bars = lines.where(F.col("text").startswith("|")).withColumn("table", F.col("line") - F.row_number().over(by))
     cells = (F.size(F.split(F.rtrim("text", F.lit("| ")), r"\|")) - 1).cast("long")
-    first = F.first("cells").over(Window.partitionBy("doc_id", "table").orderBy("line"))
+    first = F.first("cells").over(Window.partitionBy(key, "table").orderBy("line"))
     return bars.withColumn("cells", cells).withColumn("expected", first).where("cells <> expected").select("doc_id", "line", "cells", "expected")
 
 
@@ -215,8 +224,8 @@ def gap_outliers(marks: DataFrame, factor: float = 1.8) -> DataFrame:
 
 
 def blanks_before(lines: DataFrame, anchor: Column) -> DataFrame:
-    """doc_id, line, blanks: how many empty lines stand right before each line that is an anchor."""
-    by = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    """doc_id, line, blanks: how many empty lines stand right before each line that is an anchor. Lines with a column row are those of one row."""
+    by = Window.partitionBy("row" if "row" in lines.columns else "doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     last = F.max(F.when(F.trim("text") != "", F.col("line"))).over(by)
     return lines.withColumn("last", F.coalesce(last, F.lit(0))).where(anchor).select("doc_id", "line", (F.col("line") - F.col("last") - 1).cast("long").alias("blanks"))
 
@@ -227,6 +236,8 @@ def residue(docs: DataFrame, forbidden: list[str], allowed: str, width: int = 40
     start counts from 0. The context is the text around the place with line ends as spaces and `width` characters to each side.
     """
     rows = docs.where(F.lower("text").rlike("|".join(map(_quoted, forbidden)))).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.lower("text").alias("low"))
+    # the number is used in two branches, so it is written once with its text
+    rows = materialize(rows, "residue")
     by = Window.partitionBy("row", "phrase").orderBy("pos")
     before = F.coalesce(F.sum(F.length("piece")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     found = None

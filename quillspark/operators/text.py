@@ -13,6 +13,12 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return docs.where("text is not null").select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("at", "text")).select("doc_id", (F.col("at") + 1).alias("line"), "text")
 
 
+def keyed_lines(docs: DataFrame) -> DataFrame:
+    """row, doc_id, line (from 1), text of every line: row tells the rows of `docs` apart, whatever their ids. It is to be used in one branch of a plan, or written first."""
+    rows = docs.where("text is not null").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return rows.select("row", "doc_id", F.posexplode(T.lines(F.col("text"))).alias("at", "text")).select("row", "doc_id", (F.col("at") + 1).alias("line"), "text")
+
+
 def prose_tokens(docs: DataFrame, least: int = 6) -> DataFrame:
     """doc_id, tokens of all prose lines in order: headings, table rows, rules and lines with fewer than `least` tokens are left out."""
     prose = F.filter(T.lines(T.without_tags(F.coalesce("text", F.lit("")))), lambda x: ~x.rlike(r"^\s*(#|\||[-=*_]{3,}\s*$)"))

@@ -106,8 +106,11 @@ _Q = lambda pattern: literal(pattern)
 _WORDS = "regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+(?:[-''][\\p{{L}}\\p{{N}}]+)*')"
 _CLAIMS = f"""{_LINES},
     u AS {values(UNITS, 'alias, unit, dimension, scale')},
-    m AS (SELECT doc_id, line, text, regexp_extract_all(text, {_Q(claims.NUMBER)}, 1) AS b, regexp_extract_all(text, {_Q(claims.NUMBER)}, 2) AS r, regexp_extract_all(text, {_Q(claims.NUMBER)}, 3) AS a FROM l),
-    e AS (SELECT doc_id, line, text, CAST(i AS INTEGER) AS ord, b[i] AS before, r[i] AS raw, a[i] AS alias FROM (SELECT *, unnest(range(1, len(r) + 1)) AS i FROM m)),
+    runs AS (SELECT doc_id, line, text, regexp_extract_all(text, '[0-9][0-9,]*(?:\\.[0-9]+)?|[^0-9]+') AS k FROM l WHERE regexp_matches(text, '[0-9]')),
+    m AS (SELECT doc_id, line, text, k, list_filter(range(1, len(k) + 1), lambda i: regexp_matches(k[i], '^[0-9]')) AS p FROM runs),
+    w AS (SELECT doc_id, line, text, CAST(o AS INTEGER) AS ord, CASE WHEN p[o] > 1 AND NOT regexp_matches(k[p[o] - 1], '^[0-9]') THEN k[p[o] - 1] ELSE '' END AS gap, k[p[o]] AS raw, regexp_extract(coalesce(k[p[o] + 1], ''), '^ ?([A-Za-zµ°%]*)', 1) AS alias,
+             CASE WHEN o > 1 THEN regexp_extract(coalesce(k[p[o - 1] + 1], ''), '^ ?([A-Za-zµ°%]*)', 1) END AS prior FROM (SELECT *, unnest(range(1, len(p) + 1)) AS o FROM m)),
+    e AS (SELECT doc_id, line, text, ord, CASE WHEN prior IN (SELECT alias FROM u) THEN regexp_replace(gap, '^ ?[A-Za-zµ°%]*', '') ELSE gap END AS before, raw, alias FROM w),
     f AS (SELECT e.*, TRY_CAST(replace(raw, ',', '') AS DOUBLE) AS value, unit, dimension, CAST(scale AS DOUBLE) AS scale FROM e LEFT JOIN u USING (alias) WHERE NOT regexp_matches(before, '[A-Za-z_.]$')),
     g AS (SELECT *, (NOT contains(raw, '.') AND unit IS NULL AND value BETWEEN 1800 AND 2199) OR regexp_matches(text, {_Q(claims.HEADING)}) OR (ord = 1 AND regexp_matches(text, '^ *[0-9]+[.)] '))
             OR regexp_matches(regexp_extract(before, '([^ ]+) *$', 1), {_Q(claims.REFERENCE)}) AS ignored FROM f WHERE value IS NOT NULL),

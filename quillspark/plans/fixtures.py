@@ -27,6 +27,10 @@ SUMMARY = [("beam mass", "kg", 1250.0), ("pump power", "W", 3000.0), ("load mass
 CONSTANTS = [(42.0, "%"), (12.0, None), (87.0, "kg")]
 ENVELOPES = [("plain", "p", 20), ("plain", "a", 40), ("rich", "p", 400), ("rich", "a", 400), ("rich", "li", 400), ("rich", "ul", 40), ("rich", "h1", 4), ("rich", "div", 400)]
 MODULES = [("core", None), ("text", "core"), ("claims", "text"), ("forms", "core"), ("forms", "text"), ("gates", "claims"), ("gates", "forms"), ("lone", None)]
+#: References to parts that no table has, and what owners need that none supplies.
+UNDEFINED, UNMET = [(-1,), (-1,), (-2,)], [("RESERVE", 0), ("RESERVE", 99), ("RESERVE", 99)]
+#: Trials of groups in both splits, of which one passes everywhere.
+TRIALS = [("sure", "train", True), ("sure", "holdout", True), ("sure", "holdout", True), ("unsure", "train", True), ("unsure", "holdout", False)]
 FORBIDDEN = [("fill in here",), ("hha",), ("and the",)]
 
 

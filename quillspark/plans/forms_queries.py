@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import forms, text
 from ..sources.tables import read_table
-from .fixtures import ENVELOPES, FORBIDDEN, REPORTS_SQL, literal, reports, values
+from .fixtures import ENVELOPES, FORBIDDEN, REPORTS_SQL, TRIALS, literal, reports, values
 
 _TEXTS = ["max(l_returnflag)", "max(l_linestatus)", "CAST(CAST(max(l_quantity) AS BIGINT) AS {string})"]
 #: What the document and the blank form have in a cell, and which cells they lack, for Spark and SQL alike.
@@ -115,7 +115,7 @@ def section_orders(spark, sf_dir):
 
 
 def ragged_tables(spark, sf_dir):
-    return forms.ragged_tables(text.line_rows(reports(spark, read_table(spark, sf_dir, "documents"))))
+    return forms.ragged_tables(text.keyed_lines(reports(spark, read_table(spark, sf_dir, "documents"))))
 
 
 def gap_outliers(spark, sf_dir):
@@ -123,7 +123,7 @@ def gap_outliers(spark, sf_dir):
 
 
 def blanks_before(spark, sf_dir):
-    return forms.blanks_before(text.line_rows(reports(spark, read_table(spark, sf_dir, "documents"))), F.col("text").rlike("^#|[!?]$"))
+    return forms.blanks_before(text.keyed_lines(reports(spark, read_table(spark, sf_dir, "documents"))), F.col("text").rlike("^#|[!?]$"))
 
 
 def residue(spark, sf_dir):
@@ -142,7 +142,7 @@ def ordered_union(spark, sf_dir):
 
 def certified_groups(spark, sf_dir):
     rows = read_table(spark, sf_dir, "part").selectExpr("concat(p_type, p_size % 5) AS features", "CASE WHEN p_partkey % 3 = 0 THEN 'holdout' ELSE 'train' END AS split", "p_size > 5 AS pass")
-    return forms.certified_groups(rows)
+    return forms.certified_groups(rows.unionByName(spark.createDataFrame(TRIALS, "features string, split string, pass boolean")))
 
 
 def version_ranges(spark, sf_dir):
@@ -246,7 +246,7 @@ ORACLE_SQL = {
         SELECT t.key, CASE WHEN f.key IS NULL THEN top ELSE 'F' END AS value, n AS values, f.key IS NOT NULL AND top <> 'F' AS floored FROM t LEFT JOIN f ON f.key = t.key""",
     "ordered_union": """WITH k AS (SELECT l_suppkey AS key, l_linenumber AS list, l_returnflag || l_linestatus AS item, min(l_partkey) AS position FROM lineitem GROUP BY 1, 2, 3), f AS (SELECT key, item, min((list, position)) AS met FROM k GROUP BY 1, 2)
         SELECT key, string_agg(item, ',' ORDER BY met, item) AS items FROM f GROUP BY 1""",
-    "certified_groups": """WITH k AS (SELECT p_type || p_size % 5 AS features, p_partkey % 3 = 0 AS holdout, p_size > 5 AS pass FROM part)
+    "certified_groups": f"""WITH k AS (SELECT p_type || p_size % 5 AS features, p_partkey % 3 = 0 AS holdout, p_size > 5 AS pass FROM part UNION ALL SELECT features, split = 'holdout', pass FROM {values(TRIALS, 'features, split, pass')})
         SELECT features, count(*) FILTER (NOT holdout) AS train, count(*) FILTER (holdout) AS holdout FROM k GROUP BY 1 HAVING bool_and(pass) AND count(*) FILTER (k.holdout) > 0 AND count(*) FILTER (NOT k.holdout) > 0""",
     "version_ranges": """WITH v AS (SELECT p_partkey, p_partkey % 50 = 0 AS bad, (p_size % 4, CAST(p_partkey % 12 AS INTEGER), p_size % 3) AS v FROM part) SELECT p_partkey, CASE WHEN NOT bad THEN v >= (1, 2, 0) AND v < (3, 0, 0) AND v <> (2, 0, 0) END AS fits FROM v""",
     "page_sizes": """WITH k AS (SELECT p_partkey, 180.0::DOUBLE + p_size AS w, 240.0::DOUBLE + p_partkey % 120 AS h FROM part), s(i, n, a, b) AS (VALUES (1, 'A4', 210.0::DOUBLE, 297.0::DOUBLE), (2, 'Letter', 215.9, 279.4), (3, 'Legal', 215.9, 355.6), (4, 'B5', 182.0, 257.0)),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import gates, privacy, relational, reuse, state, text
 from ..sources.tables import read_table
 from . import claims_queries, contents_queries, documents_queries, evidence_queries, forms_queries, preflight_queries, spans_queries, workflow_queries
-from .fixtures import MODULES, PRIVATE_SQL, private, values
+from .fixtures import MODULES, PRIVATE_SQL, UNDEFINED, UNMET, private, values
 
 TERMS = ["password", "license", "token"]
 
@@ -29,7 +29,8 @@ def value_conflicts(spark, sf_dir):
 
 def dangling_refs(spark, sf_dir):
     items, parts = _t(spark, sf_dir, "lineitem", "part")
-    return relational.dangling(items, parts, "l_partkey", "p_partkey")
+    refs = items.select("l_partkey").unionByName(spark.createDataFrame(UNDEFINED, "l_partkey long"))
+    return relational.dangling(refs, parts, "l_partkey", "p_partkey")
 
 
 def unreferenced(spark, sf_dir):
@@ -131,7 +132,8 @@ def box_overlaps(spark, sf_dir):
 
 def missing_requirements(spark, sf_dir):
     customers, suppliers = _t(spark, sf_dir, "customer", "supplier")
-    return relational.missing_requirements(customers.selectExpr("c_mktsegment AS owner", "c_nationkey AS item"), suppliers.selectExpr("s_nationkey AS item"))
+    owners = customers.selectExpr("c_mktsegment AS owner", "c_nationkey AS item").unionByName(spark.createDataFrame(UNMET, "owner string, item int"))
+    return relational.missing_requirements(owners, suppliers.selectExpr("s_nationkey AS item"))
 
 
 def late_outputs(spark, sf_dir):
@@ -308,7 +310,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT l_partkey, l_suppkey, n, least, most, round((most - least) / greatest(abs(most), abs(least)), 6) AS difference
         FROM (SELECT l_partkey, l_suppkey, count(*) AS n, min(l_extendedprice / l_quantity) AS least, max(l_extendedprice / l_quantity) AS most FROM lineitem GROUP BY 1, 2)
         WHERE (most - least) / greatest(abs(most), abs(least)) > 0.01""",
-    "dangling_refs": "SELECT l_partkey AS ref, count(*) AS uses FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part) GROUP BY 1",
+    "dangling_refs": f"SELECT l_partkey AS ref, count(*) AS uses FROM (SELECT l_partkey FROM lineitem UNION ALL SELECT CAST(l_partkey AS BIGINT) FROM {values(UNDEFINED, 'l_partkey')}) WHERE l_partkey NOT IN (SELECT p_partkey FROM part) GROUP BY 1",
     "unreferenced": "SELECT o_orderkey AS id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)",
     "backed_numbers": """
         WITH r AS (SELECT DISTINCT l_extendedprice AS x FROM lineitem WHERE l_extendedprice > 0), a AS (SELECT o_orderkey, o_totalprice AS v, x AS low FROM orders ASOF LEFT JOIN r ON o_totalprice >= x), b AS (SELECT o_orderkey, x AS high FROM orders ASOF LEFT JOIN r ON o_totalprice <= x)
@@ -407,7 +409,7 @@ ORACLE_SQL: dict[str, str] = {
         WITH k AS (SELECT l_suppkey AS page, l_partkey % 60 AS x0, CAST(trunc(l_extendedprice) AS BIGINT) % 60 AS y0, CAST(max(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1, 2, 3), b AS (SELECT page, x0 * 100 + y0 AS id, x0, y0, x0 + 1 + q % 9 AS x1, y0 + 1 + q % 5 AS y1 FROM k),
         h AS (SELECT DISTINCT a.page, a.id FROM b AS a JOIN b ON a.page = b.page AND a.id <> b.id AND greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) >= 0.3::DOUBLE * least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0)))
         SELECT page, count(*) AS boxes, count(h.id) AS hit FROM b LEFT JOIN h USING (page, id) GROUP BY 1""",
-    "missing_requirements": "SELECT DISTINCT c_mktsegment AS owner, c_nationkey AS item FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier)",
+    "missing_requirements": f"SELECT DISTINCT owner, item FROM (SELECT c_mktsegment AS owner, c_nationkey AS item FROM customer UNION ALL SELECT owner, item FROM {values(UNMET, 'owner, item')}) WHERE item NOT IN (SELECT s_nationkey FROM supplier)",
     "late_outputs": """SELECT l_orderkey AS key, count(*) FILTER (o_orderkey IS NULL OR epoch(l_shipdate) > epoch(o_orderdate) + 5184000) AS late FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey GROUP BY 1 HAVING late > 0""",
     "first_codes": "SELECT p_partkey AS id, CASE " + " ".join(f"WHEN contains(lower(p_name || ' ' || p_type), '{k.lower()}') THEN '{c}'" for k, c in CODES) + " END AS code FROM part",
     "module_levels": f"""WITH RECURSIVE m AS {values(MODULES, 'module, requires')}, r AS (SELECT module, CAST(0 AS BIGINT) AS level FROM m UNION SELECT m.module, level + 1 FROM r JOIN m ON m.requires = r.module) SELECT module, max(level) AS level FROM r GROUP BY 1""",
