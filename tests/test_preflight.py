@@ -13,7 +13,7 @@ def test_every_checker_finds_its_cases_in_one_scan(spark, tmp_path):
         got.setdefault(r.checker, []).append((r.severity, r.line, r.detail))
     assert {k: sorted(v) for k, v in got.items()} == {
         "content": [("HARD", 1, "todo"), ("HARD", 3, "fill in here"), ("WARN", 11, "[[")],
-        "style": [("WARN", 8, "in order to"), ("WARN", 12, "in order to")],
+        "style": [("WARN", 8, "in order to"), ("WARN", 12, "in order to"), ("WARN", 12, "very very")],
         "numbers": [("WARN", 1, "3.14"), ("WARN", 8, "9.75")],
         "refs": [("HARD", 8, "4")],
         "figures": [("HARD", 10, "a.png"), ("WARN", 9, "b.png")],
@@ -25,7 +25,7 @@ def test_every_checker_finds_its_cases_in_one_scan(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 2 and "Exchange" not in plan  # texts, and the rows without one, which only count as rows of verdicts
     told = {r.doc_id: r for r in preflight.verdicts(docs.where("doc_id < -21")).collect()}
-    assert (told[-22].verdict, told[-22].checkers, told[-23].verdict, told[-24].verdict, told[-25].exit_code) == ("fail", "content", "pass", "pass", 0)
+    assert (told[-22].verdict, told[-22].checkers, told[-23].verdict, told[-24].verdict, told[-25].exit_code) == ("fail", "content,summary", "pass", "pass", 0)
     assert preflight.verdicts(docs.limit(0)).count() == 0 and preflight.verdicts(docs).count() == len(DRAFTS) + 2
     assert {r.checker for r in preflight.findings(docs, ["refs", "units"]).collect()} == {"refs", "units"}
 
