@@ -44,6 +44,16 @@ def ngrams(items: Column, n: int) -> Column:
     return F.when(F.size(items) >= n, F.transform(F.sequence(F.lit(1), F.size(items) - n + 1), lambda i: F.array_join(F.slice(items, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def hashed(items: Column) -> Column:
+    """64-bit hashes of an array's strings."""
+    return F.transform(items, lambda x: F.xxhash64(x))
+
+
+def gram_hashes(hashes: Column, n: int) -> Column:
+    """64-bit hashes of all runs of n neighbours of an array of hashes; none for shorter arrays. So a string is hashed once, however many runs it is in."""
+    return F.when(F.size(hashes) >= n, F.transform(F.sequence(F.lit(1), F.size(hashes) - n + 1), lambda i: F.xxhash64(F.slice(hashes, i, n)))).otherwise(F.array().cast("array<bigint>"))
+
+
 def number(raw: Column) -> Column:
     """A finite number without thousands commas, or null."""
     value = F.replace(raw, F.lit(","), F.lit("")).try_cast("double")

@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from ..functions import text as T
 from ..functions.units import QUANTITIES, UNITS
+from ..plans.shared import materialize
 from .relational import backed
 from .text import keyed_lines, line_rows
 
@@ -25,6 +26,8 @@ BINDING = r"^ *([A-Za-z][A-Za-z _]*?) *= *(-?[0-9][0-9,]*(?:\.[0-9]+)?) *([A-Za-
 HEADING = r"^#{1,6} "
 REFERENCE_HEADING = r"(?i)^#{1,6} *(?:references|bibliography|참고문헌) *$"
 TOLERANCE = 0.01
+#: N-grams of prior texts, at most, that are sent to all tasks; beyond, both sides are shuffled.
+BROADCAST_GRAMS = 1 << 20
 
 
 def _units(like: DataFrame) -> DataFrame:
@@ -283,10 +286,14 @@ def longest_runs(docs: DataFrame, prior: DataFrame, least: int = 12) -> DataFram
     Runs of `least` are hashed and joined by equality; neighbours on one diagonal of a pair make longer ones.
     """
     def grams(d: DataFrame, key: str, at: str) -> DataFrame:
-        tokens = d.select(key, T.tokens(F.col("text")).alias("w")).where(F.size("w") >= least)
-        return tokens.select(key, F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - least + 1), lambda i: F.xxhash64(F.slice("w", i, least)))).alias(at, "gram"))
-
-    met = grams(docs, "doc_id", "i").join(grams(prior, "item_id", "j"), "gram").select("doc_id", "item_id", "i", (F.col("i") - F.col("j")).alias("diagonal")).distinct()
+        hashes = d.select(key, T.hashed(T.tokens(F.col("text"))).alias("h")).where(F.size("h") >= least)
+        return hashes.select(key, F.posexplode(T.gram_hashes(F.col("h"), least)).alias(at, "gram"))
+
+    known = materialize(grams(prior, "item_id", "j"), "prior-grams")
+    # few prior n-grams go to the texts, whose other n-grams are then never shuffled
+    if known.count() <= BROADCAST_GRAMS:
+        known = F.broadcast(known)
+    met = grams(docs, "doc_id", "i").join(known, "gram").select("doc_id", "item_id", "i", (F.col("i") - F.col("j")).alias("diagonal")).distinct()
     island = F.col("i") - F.row_number().over(Window.partitionBy("doc_id", "item_id", "diagonal").orderBy("i"))
     runs = met.withColumn("island", island).groupBy("doc_id", "item_id", "diagonal", "island").agg(F.count(F.lit(1)).alias("n"))
     return runs.groupBy("doc_id", "item_id").agg((F.max("n") + least - 1).alias("run"))

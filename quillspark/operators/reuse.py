@@ -18,18 +18,20 @@ BROADCAST_GRAMS = 1 << 20
 def reused_passages(docs: DataFrame, prior: DataFrame) -> DataFrame:
     """doc_id, item_id, shared, jaccard, long_run for pairs that share enough shingles, or a run of RUN tokens.
 
-    Texts are tokenised once. Pairs come from equal 64-bit hashes of shingles, those of the prior texts sent to all tasks if they are few; a run of twelve
-    holds five shingles of eight, so runs are looked for in pairs that were found, and a pair costs what it shares.
+    Texts are tokenised, and tokens hashed, once. Pairs come from equal 64-bit hashes of shingles, those of the prior texts sent to all tasks if they are few; a run of twelve
+    holds shingles of eight, so runs are looked for in the texts of pairs that were found, and a pair costs what it shares.
     """
-    hashes = lambda n: F.when(F.size("tokens") >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("tokens") - n + 1), lambda i: F.xxhash64(F.slice("tokens", i, n))))).otherwise(F.array().cast("array<bigint>"))
-    rows = lambda d, tag: materialize(prose_tokens(d).select("doc_id", hashes(SHINGLE).alias("grams"), hashes(RUN).alias("runs")), tag)
+    grams = lambda n: F.array_distinct(T.gram_hashes(F.col("hashes"), n))
+    rows = lambda d, tag: materialize(prose_tokens(d).select("doc_id", T.hashed(F.col("tokens")).alias("hashes")).select("doc_id", "hashes", grams(SHINGLE).alias("grams")), tag)
     a, b = rows(docs.select("doc_id", "text"), "shingles"), rows(prior.select(F.col("item_id").alias("doc_id"), "text"), "prior-shingles").withColumnRenamed("doc_id", "item_id")
     known = b.select("item_id", F.explode("grams").alias("gram"))
     if known.count() <= BROADCAST_GRAMS:
         known = F.broadcast(known)
     shared = a.select("doc_id", F.explode("grams").alias("gram")).join(known, "gram").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
-    sizes = lambda d, key, n, runs: d.select(key, F.size("grams").alias(n), F.col("runs").alias(runs))
-    pairs = shared.join(sizes(a, "doc_id", "na", "ra"), "doc_id").join(sizes(b, "item_id", "nb", "rb"), "item_id")
+    shared = materialize(shared, "shared")
+    # only texts of pairs have their runs hashed, each once
+    own = lambda d, key, n, runs: d.join(shared.select(key).distinct(), key, "left_semi").select(key, F.size("grams").alias(n), grams(RUN).alias(runs))
+    pairs = shared.join(own(a, "doc_id", "na", "ra"), "doc_id").join(own(b, "item_id", "nb", "rb"), "item_id")
     jaccard = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
     found = pairs.select("doc_id", "item_id", "shared", F.round(jaccard, 6).alias("jaccard"), F.arrays_overlap("ra", "rb").alias("long_run"))
     return found.where(((F.col("jaccard") >= JACCARD) & (F.col("shared") >= SHARED)) | F.col("long_run"))

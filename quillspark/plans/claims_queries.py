@@ -9,10 +9,11 @@ from ..functions.units import QUANTITIES, UNITS
 from ..operators import claims
 from ..sources.tables import read_table
 from .fixtures import CONSTANTS, REPORTS_SQL, SUMMARY, literal, reports, values
+from .shared import spread
 
 
 def _claims(spark, sf_dir):
-    return claims.numeric_claims(reports(spark, read_table(spark, sf_dir, "documents")))
+    return claims.numeric_claims(reports(spark, spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))))
 
 
 def binding_conflicts(spark, sf_dir):
@@ -75,7 +76,7 @@ def title_matches(spark, sf_dir):
 
 
 def longest_runs(spark, sf_dir):
-    return claims.longest_runs(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return claims.longest_runs(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")), read_table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {

@@ -9,6 +9,7 @@ from ..operators import gates, privacy, relational, reuse, state, text
 from ..sources.tables import read_table
 from . import claims_queries, contents_queries, documents_queries, evidence_queries, forms_queries, packs_queries, preflight_queries, spans_queries, workflow_queries
 from .fixtures import MODULES, PRIVATE_SQL, UNDEFINED, UNMET, private, values
+from .shared import spread
 
 TERMS = ["password", "license", "token"]
 
@@ -19,7 +20,7 @@ def _t(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
 
 def reused_passages(spark, sf_dir):
     docs, prior = _t(spark, sf_dir, "documents", "benchmark")
-    return reuse.reused_passages(docs, prior)
+    return reuse.reused_passages(spread(docs.select("doc_id", "text")), prior)
 
 
 def value_conflicts(spark, sf_dir):
@@ -99,7 +100,7 @@ def title_coverage(spark, sf_dir):
 
 
 def rolled_up(spark, sf_dir):
-    return privacy.verdicts(privacy.counted_findings(private(spark, read_table(spark, sf_dir, "documents")), TERMS))
+    return privacy.verdicts(privacy.counted_findings(private(spark, spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))), TERMS))
 
 
 GATES = {"k_known": "k >= 0", "k_small": "k < 90", "k_fifty": "k == 50"}
@@ -157,7 +158,7 @@ QUERIES = {
     "reused_passages": reused_passages,
     "repeated_texts": _on("documents", reuse.repeated_texts),
     "sentence_endings": _on("documents", text.ending_distribution),
-    "repeated_tics": _on("documents", text.repeated_tics),
+    "repeated_tics": lambda spark, sf_dir: text.repeated_tics(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))),
     "length_statistics": _on("documents", text.length_statistics),
     "pivot_density": _on("documents", text.density, "[!?]"),
     "element_counts": _on("pages", text.element_counts),

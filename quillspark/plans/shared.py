@@ -65,3 +65,9 @@ def task_partitions(df: DataFrame) -> int:
     """The session's number of shuffle partitions, at least the cores at hand."""
     spark = df.sparkSession
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A table's scan, dealt over all cores where its files come in fewer partitions, as a small file of one row group does; larger tables stay as they are read."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
