@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import gates, privacy, relational, reuse, state, text
 from ..sources.tables import read_table
-from . import claims_queries, contents_queries, documents_queries, evidence_queries, forms_queries, packs_queries, preflight_queries, spans_queries, workflow_queries
+from . import claims_queries, contents_queries, documents_queries, evidence_queries, forms_queries, packs_queries, preflight_queries, spans_queries, trees_queries, workflow_queries
 from .fixtures import MODULES, PRIVATE_SQL, UNDEFINED, UNMET, private, values
 from .shared import spread
 
@@ -223,6 +223,7 @@ QUERIES = {
     **contents_queries.QUERIES,
     **evidence_queries.QUERIES,
     **spans_queries.QUERIES,
+    **trees_queries.QUERIES,
     **packs_queries.QUERIES,
     **preflight_queries.QUERIES,
 }
@@ -426,4 +427,5 @@ ORACLE_SQL: dict[str, str] = {
     **spans_queries.oracle(_IDENTITIES, _DIGITS),
     **preflight_queries.ORACLE_SQL,
     **packs_queries.ORACLE_SQL,
+    **trees_queries.ORACLE_SQL,
 }
