@@ -264,8 +264,9 @@ def _forest(members: DataFrame, p: NearDup) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[tuple] = []
-            for node, m in zip(batch.column("node").to_pylist(), batch.column("m").to_pylist(), strict=True):
-                m.sort(key=lambda x: x["class_id"])
+            # a list at a time, so that the objects of a whole batch are never held
+            for node, some in zip(batch.column("node").to_pylist(), batch.column("m"), strict=True):
+                m = sorted(some.as_py(), key=lambda x: x["class_id"])
                 like = _candidates(m, p)
                 i, j = np.nonzero(like)
                 top = list(range(len(m)))
@@ -293,8 +294,8 @@ def _against(rows: DataFrame, p: NearDup, best: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[tuple[int, int]] = []
-            for c, comp, n, raw, m in zip(*(batch.column(x).to_pylist() for x in ("class_id", "component", "n", "tokens", "m")), strict=True):
-                m = [x for x in m if x["component"] != comp and 100 * min(n, x["n"]) >= p.percent * max(n, x["n"])]
+            for c, comp, n, raw, some in zip(*(batch.column(x).to_pylist() for x in ("class_id", "component", "n", "tokens")), batch.column("m"), strict=True):
+                m = [x for x in some.as_py() if x["component"] != comp and 100 * min(n, x["n"]) >= p.percent * max(n, x["n"])]
                 if not m:
                     continue
                 like = _alike((np.frombuffer(b"".join(x["tokens"] for x in m), np.uint8).reshape(-1, TOKENS) == np.frombuffer(raw, np.uint8)).mean(1))
