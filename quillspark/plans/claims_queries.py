@@ -37,8 +37,8 @@ def backed_claims(spark, sf_dir):
 
 def resolved_sources(spark, sf_dir):
     pages = read_table(spark, sf_dir, "pages")
-    cited = pages.select(F.concat("url", F.lit("#cited")).alias("source")).unionByName(spark.createDataFrame([("doi:10.1000/A.b",), ("No source",)], "source string"))
-    return claims.resolved_sources(cited, pages.where("page_id % 3 <> 0").select(F.col("url").alias("source")).unionByName(spark.createDataFrame([("https://doi.org/10.1000/a.b",)], "source string")))
+    cited = pages.select(F.concat("url", F.lit("#cited")).alias("source")).unionByName(spark.createDataFrame([("doi:10.1000/A.b",), ("No source",), ("https://gone.example.org/x",)], "source string"))
+    return claims.resolved_sources(cited, pages.select(F.col("url").alias("source")).unionByName(spark.createDataFrame([("https://doi.org/10.1000/a.b",)], "source string")))
 
 
 def traced_claims(spark, sf_dir):
@@ -164,7 +164,7 @@ ORACLE_SQL = {
     "reference_entries": f"WITH {_ENTRIES} SELECT * FROM z",
     "unlisted_citations": f"""WITH {_ENTRIES}, c AS (SELECT doc_id, unnest(regexp_extract_all(text, '([A-Z][a-z]+) \\(([0-9]{{4}})[a-z]?\\)', 1)) AS surname, CAST(unnest(regexp_extract_all(text, '([A-Z][a-z]+) \\(([0-9]{{4}})[a-z]?\\)', 2)) AS INTEGER) AS year FROM s WHERE NOT reference)
         SELECT doc_id, surname, year, count(*) AS uses FROM c WHERE NOT EXISTS (SELECT 1 FROM z WHERE z.doc_id = c.doc_id AND z.author = c.surname) GROUP BY 1, 2, 3""",
-    "resolved_sources": f"""WITH c AS (SELECT DISTINCT source FROM (SELECT url || '#cited' AS source FROM pages UNION ALL VALUES ('doi:10.1000/A.b'), ('No source'))), a AS (SELECT url AS source FROM pages WHERE page_id % 3 <> 0 UNION ALL VALUES ('https://doi.org/10.1000/a.b')),
+    "resolved_sources": f"""WITH c AS (SELECT DISTINCT source FROM (SELECT url || '#cited' AS source FROM pages UNION ALL VALUES ('doi:10.1000/A.b'), ('No source'), ('https://gone.example.org/x'))), a AS (SELECT url AS source FROM pages UNION ALL VALUES ('https://doi.org/10.1000/a.b')),
         n AS (SELECT source, side, unnest(['id:' || lower(trim(source)), 'doi:' || nullif(regexp_extract(lower(trim(source)), '(10\\.[0-9]{{4,9}}/[^ ]+)', 1), ''), 'url:' || {_URL.format("regexp_extract(source, '(https?://[^ ]+)', 1)")}]) AS name FROM (SELECT source, 1 AS side FROM c UNION ALL SELECT source, 2 FROM a))
         SELECT source, bool_or(EXISTS (SELECT 1 FROM n AS o WHERE o.side = 2 AND o.name = n.name)) AS resolved FROM n WHERE side = 1 AND name IS NOT NULL GROUP BY 1""",
     "traced_claims": """WITH e AS (SELECT CAST(o_custkey AS DOUBLE) AS value, 'it says order ' || o_orderkey || ' of ' || o_custkey || ' here' AS assertion FROM orders WHERE o_orderstatus <> 'O' UNION ALL SELECT CAST(l_orderkey % 50 AS DOUBLE), 'order ' || l_orderkey FROM lineitem WHERE l_linenumber = 1)

@@ -63,15 +63,16 @@ _RECORD = "CASE p_partkey % 7 WHEN 0 THEN '{' WHEN 1 THEN concat('{\"doi\": \"10
 
 
 def cached_sources(spark, sf_dir):
-    cited = read_table(spark, sf_dir, "lineitem").selectExpr("'doi' AS kind", "concat('10.1/P(', l_partkey, ')') AS key")
-    cache = read_table(spark, sf_dir, "part").where("p_partkey % 11 <> 4").selectExpr("'doi' AS kind", "concat('10.1_p_', p_partkey, '_') AS slug", f"{_RECORD.replace('{string}', 'string')} AS record")
+    # and one that no record is kept of
+    cited = read_table(spark, sf_dir, "lineitem").select("l_partkey").unionByName(spark.createDataFrame([(-5,)], "l_partkey long")).selectExpr("'doi' AS kind", "concat('10.1/P(', l_partkey, ')') AS key")
+    cache = read_table(spark, sf_dir, "part").selectExpr("'doi' AS kind", "concat('10.1_p_', p_partkey, '_') AS slug", f"{_RECORD.replace('{string}', 'string')} AS record")
     return contents.cached_sources(cited, cache)
 
 
 def module_faults(spark, sf_dir):
     part, lines = read_table(spark, sf_dir, "part"), read_table(spark, sf_dir, "lineitem")
     modules = part.selectExpr("concat('m', p_partkey - CASE WHEN p_partkey % 41 = 0 THEN 1 ELSE 0 END) AS module", "CASE WHEN p_partkey % 23 = 0 THEN '1.x' ELSE concat('1.', p_size, '.0') END AS version")
-    needs = lines.where("l_partkey % 3 = 0").selectExpr("concat('m', l_partkey) AS module", "concat('m', l_suppkey + CASE WHEN l_linenumber = 7 THEN 100000000 ELSE 0 END) AS needs", "concat('1.', l_linenumber * 9, '.0') AS least")
+    needs = lines.selectExpr("concat('m', l_partkey) AS module", "concat('m', l_suppkey + CASE WHEN l_linenumber = 7 THEN 100000000 ELSE 0 END) AS needs", "concat('1.', l_linenumber * 9, '.0') AS least")
     payloads = part.selectExpr("concat('m', p_partkey) AS module", "concat(p_name, p_size % 7) AS name")
     return contents.module_faults(modules, needs, payloads)
 
@@ -154,9 +155,9 @@ ORACLE_SQL = {
         sha256(string_agg(concat_ws(':', kind, coalesce(CAST(tab AS VARCHAR), '-'), coalesce(CAST(depth AS VARCHAR), '-'), coalesce(CAST(row AS VARCHAR), '-'), coalesce(CAST(col AS VARCHAR), '-'), coalesce(CAST(row_span AS VARCHAR), '-'), coalesce(CAST(col_span AS VARCHAR), '-')), '|' ORDER BY member, seq)) AS shape_digest, count(*) FILTER (kind = 'cell') AS cells, count(*) FILTER (kind = 'equation') AS equations, count(*) FILTER (kind = 'picture') AS pictures FROM b GROUP BY 1""",
     "attached_captions": f"""WITH b AS (SELECT {_BLOCK} FROM conversations), w AS (SELECT *, kind = 'paragraph' AND regexp_matches(text, '^Fig ') AS here FROM b), n AS (SELECT *, lag(kind) OVER p AS before, lead(here) OVER p AS follows, lead(text) OVER p AS next_text FROM w WINDOW p AS (PARTITION BY doc ORDER BY seq))
         SELECT doc, seq, kind, text, CASE WHEN kind <> 'paragraph' AND follows THEN next_text END AS caption FROM n WHERE NOT (here AND coalesce(before <> 'paragraph', false))""",
-    "cached_sources": "SELECT 'doi' AS kind, '10.1/P(' || k || ')' AS key, CASE WHEN p_partkey IS NULL OR p_partkey % 11 = 4 THEN 'absent' WHEN p_partkey % 7 = 0 THEN 'unreadable' WHEN p_partkey % 7 = 1 THEN 'mismatch' WHEN p_partkey % 7 = 2 THEN 'untitled' WHEN p_partkey % 7 = 3 THEN 'unverified' ELSE 'verified' END AS state FROM (SELECT DISTINCT l_partkey AS k FROM lineitem) LEFT JOIN part ON p_partkey = k",
+    "cached_sources": "SELECT 'doi' AS kind, '10.1/P(' || k || ')' AS key, CASE WHEN p_partkey IS NULL THEN 'absent' WHEN p_partkey % 7 = 0 THEN 'unreadable' WHEN p_partkey % 7 = 1 THEN 'mismatch' WHEN p_partkey % 7 = 2 THEN 'untitled' WHEN p_partkey % 7 = 3 THEN 'unverified' ELSE 'verified' END AS state FROM (SELECT DISTINCT l_partkey AS k FROM lineitem UNION SELECT -5) LEFT JOIN part ON p_partkey = k",
     "module_faults": """WITH m AS (SELECT 'm' || (p_partkey - CASE WHEN p_partkey % 41 = 0 THEN 1 ELSE 0 END) AS module, p_partkey % 23 = 0 AS odd, p_size FROM part), h AS (SELECT module, max(p_size) FILTER (NOT odd) AS have FROM m GROUP BY 1),
-        n AS (SELECT 'm' || l_partkey AS module, 'm' || (l_suppkey + CASE WHEN l_linenumber = 7 THEN 100000000 ELSE 0 END) AS needs, l_linenumber * 9 AS least FROM lineitem WHERE l_partkey % 3 = 0), p AS (SELECT DISTINCT 'm' || p_partkey AS module, p_name || (p_size % 7) AS name FROM part)
+        n AS (SELECT 'm' || l_partkey AS module, 'm' || (l_suppkey + CASE WHEN l_linenumber = 7 THEN 100000000 ELSE 0 END) AS needs, l_linenumber * 9 AS least FROM lineitem), p AS (SELECT DISTINCT 'm' || p_partkey AS module, p_name || (p_size % 7) AS name FROM part)
         SELECT module, 'duplicate' AS code, CAST(count(*) AS VARCHAR) AS detail FROM m GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT module, 'version', '1.x' FROM m WHERE odd
         UNION ALL SELECT DISTINCT n.module, CASE WHEN h.module IS NULL THEN 'missing' ELSE 'too_old' END, needs FROM n LEFT JOIN h ON h.module = needs WHERE h.module IS NULL OR have IS NULL OR have < least
         UNION ALL SELECT module, 'collision', name FROM p WHERE name IN (SELECT name FROM p GROUP BY 1 HAVING count(*) > 1)""",

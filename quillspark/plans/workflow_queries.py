@@ -36,7 +36,7 @@ def gate_stream(spark, sf_dir):
 def invalidated(spark, sf_dir):
     log = _log(spark, sf_dir)
     stages = log.groupBy("ws", "stage").agg(F.max("kind").alias("status"))
-    return workflow.invalidated(stages, log.where("kind = 'reset' AND stage > 2").select("ws", "stage"))
+    return workflow.invalidated(stages, log.where("kind = 'reset'").select("ws", "stage"))
 
 
 def readiness(spark, sf_dir):
@@ -77,7 +77,7 @@ def inventory(spark, sf_dir):
 def checksum_matches(spark, sf_dir):
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", F.sha2("html", 256).alias("digest"))
     references = pages.select(F.concat(F.lit("./"), F.upper("url")).alias("path"), "digest").unionByName(pages.where("page_id % 7 = 0").select(F.concat("url", F.lit("x")).alias("path"), "digest"))
-    return workflow.checksum_matches(references, pages.where("page_id % 4 <> 0").select(F.col("url").alias("path"), F.when(F.col("page_id") % 5 == 0, F.reverse("digest")).otherwise(F.col("digest")).alias("digest")))
+    return workflow.checksum_matches(references, pages.select(F.col("url").alias("path"), F.when(F.col("page_id") % 5 == 0, F.reverse("digest")).otherwise(F.col("digest")).alias("digest")))
 
 
 QUERIES = {
@@ -103,7 +103,7 @@ ORACLE_SQL = {
     "gate_states": f"WITH {_GATES} SELECT * FROM g",
     "gate_stream": f"WITH {_GATES} SELECT * FROM g",
     "stage_blocks": f"WITH {_GATES} SELECT ws, stage, coalesce(bool_or(gate <> 'approved') OVER (PARTITION BY ws ORDER BY stage ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS blocked FROM g",
-    "invalidated": f"WITH {_GATES}, s AS (SELECT ws, stage, max(kind) AS status FROM e GROUP BY 1, 2), f AS (SELECT ws, min(s0) AS f FROM r WHERE s0 > 2 GROUP BY 1) SELECT ws, stage, CASE WHEN stage >= f THEN 'pending' ELSE status END AS status FROM s LEFT JOIN f USING (ws)",
+    "invalidated": f"WITH {_GATES}, s AS (SELECT ws, stage, max(kind) AS status FROM e GROUP BY 1, 2), f AS (SELECT ws, min(s0) AS f FROM r GROUP BY 1) SELECT ws, stage, CASE WHEN stage >= f THEN 'pending' ELSE status END AS status FROM s LEFT JOIN f USING (ws)",
     "readiness": f"""WITH {_GATES}, m AS (SELECT user_id AS ws, count(*) FILTER (value > 100) = 0 AS missing FROM events GROUP BY 1)
         SELECT ws, CASE WHEN bool_or(stage >= 5 AND gate = 'approved') THEN 'complete' WHEN any_value(missing) THEN 'missing_inputs' WHEN bool_or(gate = 'pending') THEN 'waiting_gate' WHEN bool_or(gate = 'rejected') THEN 'blocked' ELSE 'ready' END AS state FROM g JOIN m USING (ws) GROUP BY 1""",
     "workflow_lint": f"""WITH {_GATES}, o AS (SELECT user_id AS ws, CAST(floor(epoch(ts)) AS BIGINT) + (event_id % 5) * 300 AS at_ FROM events WHERE event_type = 'view'), t AS (SELECT ws, max(CAST(floor(epoch(ts)) AS BIGINT)) AS last FROM e GROUP BY 1),
@@ -119,6 +119,6 @@ ORACLE_SQL = {
         q AS (SELECT key, count(*) FILTER (contains(t, '?') AND length(regexp_replace(t, '[^\\p{L}\\p{N}]', '', 'g')) >= 12) AS questions, count(*) AS asked, count(*) FILTER (next = 'assistant') AS answered FROM k WHERE role = 'user' GROUP BY 1) SELECT *, questions > 0 AND asked = answered AS ok FROM q""",
     "inventory": f"""WITH f AS (SELECT DISTINCT l_orderkey AS ws, CAST(l_linenumber % 5 AS VARCHAR) AS name FROM lineitem), y AS {values([(a, b, int(c)) for a, b, c in LAYOUT], 'stage, name, needed')}, w AS (SELECT * FROM (SELECT DISTINCT ws FROM f), y)
         SELECT w.ws, CAST(stage AS BIGINT) AS stage, count(*) FILTER (needed = 1) AS required, count(f.name) AS present, count(*) FILTER (needed = 1 AND f.name IS NULL) = 0 AS complete FROM w LEFT JOIN f ON f.ws = w.ws AND f.name = w.name GROUP BY 1, 2""",
-    "checksum_matches": """WITH p AS (SELECT page_id, url, sha256(html) AS d FROM pages), r AS (SELECT DISTINCT lower(url) AS path, d FROM p UNION SELECT lower(url || 'x'), d FROM p WHERE page_id % 7 = 0), m AS (SELECT lower(url) AS path, CASE WHEN page_id % 5 = 0 THEN reverse(d) ELSE d END AS d FROM p WHERE page_id % 4 <> 0),
+    "checksum_matches": """WITH p AS (SELECT page_id, url, sha256(html) AS d FROM pages), r AS (SELECT DISTINCT lower(url) AS path, d FROM p UNION SELECT lower(url || 'x'), d FROM p WHERE page_id % 7 = 0), m AS (SELECT lower(url) AS path, CASE WHEN page_id % 5 = 0 THEN reverse(d) ELSE d END AS d FROM p),
         l AS (SELECT path, min(d) AS a, max(d) AS b FROM m GROUP BY 1) SELECT path, CASE WHEN a IS NULL THEN 'unlisted' WHEN d = a AND d = b THEN 'match' ELSE 'mismatch' END AS state FROM r LEFT JOIN l USING (path)""",
 }
