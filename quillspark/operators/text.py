@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.shared import materialize
+
+#: Tokens of items that go to the texts whole.
+BROADCAST_TOKENS = 1 << 18
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
@@ -136,15 +140,22 @@ def title_coverage(items: DataFrame, docs: DataFrame, least: int = 3) -> DataFra
     """item_id, doc_id whose documents hold all tokens of the item in order; items of fewer than `least` tokens are left out.
 
     A document must hold the item's rarest token, so the join is on that: one key for each item, and of a document only tokens that are one.
+    Tokens go without the text that they are of: a row's key finds it again, and it is shuffled once, with the items that it may hold.
     """
     a = items.select("item_id", T.tokens(F.col("text")).alias("short")).where(F.size("short") >= least)
-    b = docs.where("text is not null").select("doc_id", T.tokens(F.col("text")).alias("long"))
+    # texts of one id and hash share their items, and each of them is looked through
+    b = docs.where("text is not null").select("doc_id", "text", F.xxhash64("doc_id", "text").alias("own"))
+    each = b.select("own", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
     wanted = a.select("item_id", F.explode(F.array_distinct("short")).alias("token"))
-    uses = b.select(F.explode(F.array_distinct("long")).alias("token")).join(wanted.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
+    # few tokens of items go to the texts, whose other tokens are then never shuffled
+    asked = materialize(wanted.select("token").distinct(), "item-tokens")
+    each = each.join(F.broadcast(asked) if asked.count() <= BROADCAST_TOKENS else asked, "token", "left_semi")
+    uses = each.groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
     rare = wanted.join(uses, "token", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "token")).alias("rare")).select("item_id", F.col("rare.token").alias("token"))
-    keyed = b.withColumn("token", F.explode(F.array_distinct("long"))).join(rare.select("token").distinct(), "token", "left_semi")
-    pairs = keyed.join(rare.join(a, "item_id"), "token")
-    return pairs.where((F.size(F.array_except("short", "long")) == 0) & (T.ordered_coverage(F.col("short"), F.col("long")) == 1)).select("item_id", "doc_id")
+    met = each.join(rare.join(a, "item_id"), "token").groupBy("own").agg(F.collect_set(F.struct("item_id", "short")).alias("items"))
+    found = F.filter("items", lambda x: T.in_order(x["short"], F.col("long")))
+    held = b.join(met, "own").select("doc_id", "items", T.tokens(F.col("text")).alias("long"))
+    return held.select("doc_id", F.explode(F.transform(found, lambda x: x["item_id"])).alias("item_id")).select("item_id", "doc_id")
 
 
 def contains_any(text: Column, terms: list[str]) -> Column:

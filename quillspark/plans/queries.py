@@ -96,7 +96,7 @@ def maximal_terms(spark, sf_dir):
 
 def title_coverage(spark, sf_dir):
     items, docs = _t(spark, sf_dir, "benchmark", "documents")
-    return text.title_coverage(items, docs)
+    return text.title_coverage(items, spread(docs.select("doc_id", "text")))
 
 
 def rolled_up(spark, sf_dir):

@@ -162,3 +162,13 @@ def test_canonical_json_refuses_what_is_ambiguous(spark):
     rows = ['{"b": 1, "a": [true, null, "é"]}', '{"a": 1, "a": 2}', "NaN", '{"x": Infinity}', "", None, "[1, 2.50]"]
     got = [r.canonical for r in gates.canonical_rows(spark.createDataFrame(list(enumerate(rows)), "id long, t string"), "id", "t").orderBy("id").collect()]
     assert got == ['{"a":[true,null,"é"],"b":1}', None, None, None, None, None, "[1,2.5]"]
+
+
+def test_title_coverage_sends_tokens_without_their_texts(spark, capsys):
+    docs = spark.createDataFrame([(1, "b a c d"), (1, "d c b a"), (1, "b a c d"), (None, "a x b y c"), (2, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "a c d"), (8, "a b c"), (9, "a b")], "item_id long, text string")
+    found = text.title_coverage(items, docs)
+    assert sorted(map(str, map(tuple, found.collect()))) == ["(7, 1)", "(7, 1)", "(8, None)"]
+    found.explain()
+    spread_out = re.findall(r"Generate explode\(array_distinct\(.*\)\), \[(.*?)\], false", capsys.readouterr().out)
+    assert spread_out and all(re.fullmatch(r"(own|item_id)#\d+L?", kept) for kept in spread_out)
