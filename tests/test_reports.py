@@ -76,7 +76,11 @@ def test_title_matches(spark, sf):
     pages = {r.page_id: re.search("<title>([^<]*)</title>", r.html) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     known = {i: m[1] for i, m in pages.items() if m}
     changed = {i: t + "s" if i % 3 == 0 else "on " + t if i % 3 == 1 else t[::-1] for i, t in known.items()}
-    got = {(r.cited_id, r.known_id): r.ratio for r in claims_queries.QUERIES["title_matches"](spark, sf).collect()}
+    rows = claims_queries.QUERIES["title_matches"](spark, sf).collect()
+    of = {kind: {r.id: r.other_id for r in rows if r.kind == kind} for kind in ("cited", "known")}
+    matched = {(r.id, r.other_id): r.ratio for r in rows if r.kind == "match"}
+    # every pair of rows, from the pairs of their classes
+    got = {(i, j): matched[a, b] for i, a in of["cited"].items() for j, b in of["known"].items() if (a, b) in matched}
     for i, a in changed.items():
         for j, b in known.items():
             ratio = difflib.SequenceMatcher(None, a.lower(), b.lower(), autojunk=False).ratio()
@@ -172,3 +176,13 @@ def test_title_coverage_sends_tokens_without_their_texts(spark, capsys):
     found.explain()
     spread_out = re.findall(r"Generate explode\(array_distinct\(.*\)\), \[(.*?)\], false", capsys.readouterr().out)
     assert spread_out and all(re.fullmatch(r"(own|item_id)#\d+L?", kept) for kept in spread_out)
+
+
+def test_title_matches_pairs_classes_of_equal_titles(spark):
+    copies, other = "one rare mountain of glass", "quite another book on rivers"
+    cited = spark.createDataFrame([(i, copies + "s") for i in range(40)] + [(50, other), (51, None), (52, "")], "id long, title string")
+    known = spark.createDataFrame([(100 + i, copies) for i in range(40)] + [(200, other.upper())], "id long, title string")
+    rows = claims.title_matches(cited, known).collect()
+    assert sorted((r.id, r.other_id, r.ratio) for r in rows if r.kind == "match") == [(0, 100, round(52 / 53, 6)), (50, 200, 1.0)]
+    assert sorted((r.id, r.other_id) for r in rows if r.kind == "cited") == [(i, 0) for i in range(40)] + [(50, 50), (52, 52)]
+    assert sorted((r.id, r.other_id) for r in rows if r.kind == "known") == [(100 + i, 100) for i in range(40)] + [(200, 200)]
