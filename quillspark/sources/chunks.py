@@ -15,8 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.spans import spans
+from ..plans.shared import materialize
 
 CHUNK_BYTES, OVERLAP_BYTES = 1 << 23, 1 << 14
+#: Bytes of ranges that a task reads, one after the other: a task for each small range would be all start and no work.
+TASK_BYTES = 1 << 23
+#: Files whose codecs go to all tasks whole.
+BROADCAST_FILES = 1 << 16
 _TEXT = "struct<text: string, first: int, last: int>"
 _SCHEMA = f"path string, start long, stop long, utf8_valid boolean, utf8 {_TEXT}, korean {_TEXT}"
 _ARROW = pa.struct([("text", pa.string()), ("first", pa.int32()), ("last", pa.int32())])
@@ -81,22 +86,26 @@ def _korean_begin(data: _Bytes, at: int, step: int = 1 << 12) -> int:
     return min(low + pos, data.size)
 
 
-def _decoded(data: _Bytes, start: int, stop: int, overlap: int, codec: str, begin) -> tuple[dict, bool]:
-    """The text of a range with text to either side, which characters are its own, and whether its bytes are valid."""
+def _decoded(data: _Bytes, start: int, stop: int, overlap: int, codec: str, begin, lossy: bool) -> tuple[dict | None, bool]:
+    """The text of a range with text to either side, which characters are its own, and whether its bytes are valid; no text of invalid bytes, unless it may be lossy."""
     first, last = begin(data, start), begin(data, stop)
     own, valid = data.between(first, last), True
     try:
         text = own.decode(codec)
     except UnicodeDecodeError:
+        if not lossy:
+            return None, False
         text, valid = own.decode(codec, "ignore"), False
     before = data.between(begin(data, first - overlap), first).decode(codec, "ignore")
     after = data.between(last, begin(data, last + overlap)).decode(codec, "ignore")
     return {"text": before + text + after, "first": len(before), "last": len(before) + len(text)}, valid
 
 
-class _Range(InputPartition):
-    def __init__(self, path: str, start: int, stop: int) -> None:
-        super().__init__((path, start, stop))
+class _Ranges(InputPartition):
+    """Ranges (path, start, stop) of one task."""
+
+    def __init__(self, ranges: list[tuple[str, int, int]]) -> None:
+        super().__init__(ranges)
 
 
 class _Reader(DataSourceReader):
@@ -114,18 +123,31 @@ class _Reader(DataSourceReader):
         found = [info] if info.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(own, recursive=True))
         root = self.path[: self.path.index("://") + 3] if "://" in self.path else ""
         files = sorted((f.path, f.size) for f in found if f.type == pafs.FileType.File and f.size and not any(p[:1] in "._" for p in f.path[len(own) :].split("/") if p))
-        # no work is lost by more ranges than tasks: a range is as large as asked for
-        return [_Range(root + path if root else path, a, min(a + self.chunk, size)) for path, size in files for a in range(0, size, self.chunk)]
+        # files' ends don't end a task, so many small files are few tasks too; a span is a whole number of ranges
+        span = self.chunk * max(1, TASK_BYTES // self.chunk)
+        spans = [(root + path if root else path, a, min(a + span, size)) for path, size in files for a in range(0, size, span)]
+        parts, held = [[]], 0
+        for part in spans:
+            if held + part[2] - part[1] > span:
+                parts.append([])
+                held = 0
+            parts[-1].append(part)
+            held += part[2] - part[1]
+        return [_Ranges(p) for p in parts if p]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         if partition is None or partition.value is None:
             return
-        path, start, stop = partition.value
-        data = _Bytes(path)
-        utf8, valid = _decoded(data, start, stop, self.overlap, "utf-8", _utf8_begin)
-        korean, fits = _decoded(data, start, stop, self.overlap, "cp949", _korean_begin)
-        columns = [pa.array([path]), pa.array([start], pa.int64()), pa.array([stop], pa.int64()), pa.array([valid]), pa.array([utf8], _ARROW), pa.array([korean if fits else None], _ARROW)]
-        yield pa.RecordBatch.from_arrays(columns, names=["path", "start", "stop", "utf8_valid", "utf8", "korean"])
+        for path, first, last in partition.value:
+            data = _Bytes(path)
+            for start in range(first, last, self.chunk):
+                yield self.row(path, data, start, min(start + self.chunk, last))
+
+    def row(self, path: str, data: _Bytes, start: int, stop: int) -> pa.RecordBatch:
+        utf8, valid = _decoded(data, start, stop, self.overlap, "utf-8", _utf8_begin, True)
+        korean, _ = _decoded(data, start, stop, self.overlap, "cp949", _korean_begin, False)
+        columns = [pa.array([path]), pa.array([start], pa.int64()), pa.array([stop], pa.int64()), pa.array([valid]), pa.array([utf8], _ARROW), pa.array([korean], _ARROW)]
+        return pa.RecordBatch.from_arrays(columns, names=["path", "start", "stop", "utf8_valid", "utf8", "korean"])
 
 
 class TextChunks(DataSource):
@@ -150,7 +172,10 @@ def chunked_texts(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES
     spark.dataSource.register(TextChunks)
     rows = spark.read.format("text_chunks").option("chunkBytes", chunk_bytes).option("overlapBytes", overlap_bytes).load(path)
     codec = F.when(F.bool_and("utf8_valid"), "utf-8").when(F.bool_and(F.col("korean").isNotNull()), "cp949").otherwise("utf-8-lossy")
-    known = rows.groupBy("path").agg(codec.alias("codec"))
+    known = materialize(rows.groupBy("path").agg(codec.alias("codec")), "codecs")
+    # the codecs of so few files go to the texts, which then aren't shuffled
+    if known.count() <= BROADCAST_FILES:
+        known = F.broadcast(known)
     own = F.when(F.col("codec") == "cp949", F.col("korean")).otherwise(F.col("utf8"))
     return rows.join(known, "path").select("path", "start", "stop", "codec", own.alias("own")).select("path", "start", "stop", "codec", "own.*")
 

@@ -58,3 +58,15 @@ def test_ranges_of_one_file_and_wrong_options(spark, folder):
     assert chunks.chunked_texts(spark, f"file://{root}/ascii.txt", 1000).select("start").orderBy("start").first().start == 0
     with pytest.raises(Exception, match="chunkBytes"):
         chunks.chunked_texts(spark, str(root), 0).count()
+
+
+def test_a_task_reads_many_small_ranges(tmp_path, monkeypatch):
+    sizes = {"a.txt": 5000, "b.txt": 10, "c.txt": 70, "d.txt": 2048}
+    for name, n in sizes.items():
+        (tmp_path / name).write_bytes(b"x" * n)
+    monkeypatch.setattr(chunks, "TASK_BYTES", 1 << 10)
+    parts = [p.value for p in chunks._Reader({"path": str(tmp_path), "chunkbytes": "64"}).partitions()]
+    assert len(parts) == 7 and all(a % 64 == 0 for part in parts for _, a, _ in part)
+    assert sum(b - a for part in parts for _, a, b in part) == sum(sizes.values())
+    rows = [batch for part in chunks._Reader({"path": str(tmp_path), "chunkbytes": "64"}).partitions() for batch in chunks._Reader({"chunkbytes": "64"}).read(part)]
+    assert len(rows) == sum(-(-n // 64) for n in sizes.values())
