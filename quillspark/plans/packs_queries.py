@@ -17,7 +17,7 @@ def merged_packs(spark, sf_dir):
     least = [F.min(c).alias(a) for a, c in (("p", "l_partkey"), ("s", "l_suppkey"), ("f", "l_returnflag"), ("t", "l_linestatus"))]
     layers = read_table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("n")).agg(*least)
     layers = layers.selectExpr("key", "n AS priority", f"{_TEXT.format(string='string')} AS text")
-    return packs.merged(packs.flattened(layers)).select("key", "path", "value")
+    return packs.merged_layers(layers).select("key", "path", "value")
 
 
 QUERIES = {"merged_packs": merged_packs}

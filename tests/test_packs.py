@@ -39,3 +39,20 @@ def test_conflicts_are_told(spark):
     rows = [(1, 1, '{"a":{"x":1},"b":1}'), (1, 2, '{"a":5,"b":2}'), (1, 3, '{"a":{"y":1},"b":2}')]
     got = packs.merged(packs.flattened(spark.createDataFrame(rows, "key int, priority int, text string")))
     assert sorted((r.path, r.value, r.priority, r.given) for r in got.collect()) == [("/a/y", "1", 3, 1), ("/b", "2", 3, 2)]
+
+
+def test_a_fold_of_layers_equals_the_merge_of_nodes(spark):
+    rng = random.Random(3)
+    rows = [(key, rng.randrange(4), json.dumps(tree(rng))) for key in range(100) for _ in range(5)]
+    df = spark.createDataFrame([*rows, *rows[:9], (3, 9, "{broken"), (4, 9, None)], "key int, priority int, text string").repartition(3)
+    assert sorted(map(tuple, packs.merged_layers(df).collect())) == sorted(map(tuple, packs.merged(packs.flattened(df)).collect()))
+
+
+def test_layers_are_shuffled_once_and_as_texts(spark, capsys):
+    rows = [(1, None, '{"a":{"x":1},"a!":{"z":{}}}'), (1, 2, '{"a":5,"b":{"c":{}}}'), (1, 3, '{"a":{"y":{"v":1}}}'), (1, 4, '{"a":{"y":7}}'), (2, 1, "{}"), (3, 1, "[]"), (None, 1, '{"a":{}}')]
+    merged = packs.merged_layers(spark.createDataFrame(rows, "key int, priority int, text string"))
+    got = sorted(map(str, ((r.key, r.path, r.value, r.priority, r.given) for r in merged.collect())))
+    assert got == sorted(map(str, [(1, "/a/y", "7", 4, 1), (1, "/a!/z", "{}", None, 0), (1, "/b/c", "{}", 2, 0), (2, "", "{}", 1, 0), (3, "", "[]", 1, 1), (None, "/a", "{}", 1, 0)]))
+    merged.explain()
+    plan = capsys.readouterr().out.split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange") == 1 and "Join" not in plan
