@@ -15,6 +15,7 @@ from ..plans.shared import materialize, new_path, temporary
 _SCHEMA = "doc {doc}, at long, parent long, depth int, path string, tag string, value string"
 #: Nodes that leave a task in one batch.
 BATCH_NODES = 1 << 14
+_JSON = json.JSONEncoder(ensure_ascii=False)
 
 
 def _json_nodes(text: str) -> Iterator[tuple]:
@@ -24,7 +25,7 @@ def _json_nodes(text: str) -> Iterator[tuple]:
         value, parent, depth, path, tag = rest.pop()
         at += 1
         inner = isinstance(value, (dict, list))
-        yield parent, depth, path, tag, None if inner else json.dumps(value, ensure_ascii=False)
+        yield parent, depth, path, tag, None if inner else _JSON.encode(value)
         if isinstance(value, dict):
             rest += reversed([(v, at, depth + 1, f"{path}.{k}", k) for k, v in value.items()])
         elif isinstance(value, list):
@@ -81,9 +82,10 @@ def aligned(nodes: DataFrame) -> DataFrame:
     A path is a row whatever documents there are, so none is compared with each other one; absence is counted, not stored.
     """
     # of a document that comes twice a path counts once
-    per = nodes.groupBy("path", "doc").agg(F.min(F.struct(F.coalesce("value", F.lit("")).alias("value"))).alias("own"))
-    total = nodes.select("doc").distinct().count()
-    paths = per.groupBy("path").agg(F.count(F.lit(1)).alias("documents"), F.min("own.value").alias("least"), F.max("own.value").alias("most"), F.count_distinct("own.value").alias("values"))
+    per = materialize(nodes.groupBy("path", "doc").agg(F.min(F.coalesce("value", F.lit(""))).alias("own"), F.min("at").alias("at")), "paths")
+    # texts are parsed once: each document has one root or more
+    total = per.where("at = 0").select("doc").distinct().count()
+    paths = per.groupBy("path").agg(F.count(F.lit(1)).alias("documents"), F.min("own").alias("least"), F.max("own").alias("most"), F.count_distinct("own").alias("values"))
     absent = F.lit(total) - F.col("documents")
     return paths.select("path", "documents", absent.alias("absent"), "values", F.when(absent > 0, "skeleton").when(F.col("least") != F.col("most"), "value").otherwise("none").alias("difference"))
 

@@ -48,3 +48,18 @@ def test_elements_are_told_by_their_place_among_equals(spark):
     assert [(r.path, r.value) for r in nodes.where("doc = 1").orderBy("at").collect()] == [("/a[0]", ""), ("/a[0]/p[0]", "one"), ("/a[0]/q[0]", ""), ("/a[0]/p[1]", "two"), ("/a[0]/p[1]/b[0]", "x")]
     assert {r.path: r.difference for r in trees.aligned(nodes).collect()} == {"/a[0]": "none", "/a[0]/p[0]": "none", "/a[0]/q[0]": "skeleton", "/a[0]/p[1]": "value", "/a[0]/p[1]/b[0]": "none"}
     assert len(list(ET.fromstring(text).iter())) == trees.digests(nodes).where("doc = 1").count()
+
+
+def test_alignment_parses_texts_once(spark):
+    parsed = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            parsed.add(batch.num_rows)
+            yield batch
+
+    rows = [(1, '{"a":1}'), (1, '{"a":2,"b":{}}'), (2, "[1]"), (None, "7"), (3, "{")]
+    df = spark.createDataFrame(rows, "doc long, text string").mapInArrow(told, "doc long, text string")
+    got = sorted(tuple(r) for r in trees.aligned(trees.tree_nodes(df)).collect())
+    assert got == [("$", 3, 0, 2, "value"), ("$.a", 1, 2, 1, "skeleton"), ("$.b", 1, 2, 1, "skeleton"), ("$[0]", 1, 2, 1, "skeleton")]
+    assert parsed.value == len(rows)
