@@ -63,8 +63,10 @@ def _package(number: int, title: str, url: str) -> bytes:
 
 def _packages(spark, sf_dir) -> DataFrame:
     def build(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield pd.DataFrame({"page_id": part.page_id, "content": [_package(*row) for row in zip(part.page_id, part.title, part.url)]})
+        for batch in parts:
+            for at in range(0, len(batch), 1024):
+                part = batch.iloc[at : at + 1024]
+                yield pd.DataFrame({"page_id": part.page_id, "content": [_package(*row) for row in zip(part.page_id, part.title, part.url)]})
 
     pages = read_table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(F.coalesce("html", F.lit("")), "<title>([^<]*)</title>", 1).alias("title"), F.coalesce("url", F.lit("")).alias("url"))
     return pages.mapInPandas(build, "page_id long, content binary")

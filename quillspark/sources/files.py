@@ -25,8 +25,8 @@ PRUNED = [".git", "__pycache__", "node_modules"]
 PARAGRAPH, RUN_TEXT, TABLE, CELL, EQUATION, SCRIPT, PICTURE, IMAGE = "hp:p", "hp:t", "hp:tbl", "hp:tc", "hp:equation", "hp:script", "hp:pic", "hc:img"
 DESCRIPTION = "Contents/content.hpf"
 SECTION = r"^Contents/section[0-9]+\.xml$"
-#: Bytes of members that leave a task in one batch.
-BATCH_BYTES = 1 << 24
+#: Bytes of members, and members, that leave a task in one batch.
+BATCH_BYTES, BATCH_MEMBERS = 1 << 22, 1 << 10
 
 
 def files(spark: SparkSession, root: str, pruned: list[str] = PRUNED) -> DataFrame:
@@ -103,7 +103,7 @@ def members(packages: DataFrame, key: str, content: str = "content") -> DataFram
                 for name, got, fault in _members(data.as_py()):
                     out.append({key: k.as_py(), "member": name, "n_bytes": None if got is None else len(got), "fault": fault, "data": got})
                     size += len(got or b"")
-                    if size > BATCH_BYTES:
+                    if size > BATCH_BYTES or len(out) >= BATCH_MEMBERS:
                         yield pa.RecordBatch.from_pylist(out, schema)
                         out, size = [], 0
         if out:

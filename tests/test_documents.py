@@ -1,5 +1,6 @@
 """Files, packages, inventories and measured pages on small cases: what is broken, null, empty, repeated or absent."""
 
+import pyarrow as pa
 import pytest
 
 from quillspark.operators import inventories, layout
@@ -107,3 +108,20 @@ def test_conversion_and_pointers(spark):
     pointers = spark.createDataFrame([(1, None), (2, ""), (3, "x"), (4, "y")], "ws long, pointer string")
     found = layout.pointer_faults(stages, pointers, spark.createDataFrame([(3, "x")], "ws long, name string")).collect()
     assert {(r.ws, r.code) for r in found} == {(1, "canonical_null_after_done"), (4, "canonical_target_missing")}
+
+
+def test_members_leave_in_small_batches():
+    class Frame:
+        """Takes the function that reads packages."""
+
+        schema = {"id": type("Field", (), {"dataType": type("Type", (), {"simpleString": staticmethod(lambda: "bigint")})})}
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, read, _):
+            return read
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000), pa.int64()), pa.array([b"none"] * 3000)], names=["id", "content"])
+    out = list(files.members(Frame(), "id")(iter([batch])))
+    assert sum(b.num_rows for b in out) == 3000 and max(b.num_rows for b in out) <= 1024
