@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import forms, text
 from ..sources.tables import read_table
 from .fixtures import ENVELOPES, FORBIDDEN, REPORTS_SQL, TRIALS, literal, reports, values
+from .shared import dealt
 
 _TEXTS = ["max(l_returnflag)", "max(l_linestatus)", "CAST(CAST(max(l_quantity) AS BIGINT) AS {string})"]
 #: What the document and the blank form have in a cell, and which cells they lack, for Spark and SQL alike.
@@ -16,7 +17,8 @@ _KEPT, _BASE = "(doc + row) % 11 <> 0", "(doc + col) % 13 <> 0"
 
 
 def _all_cells(spark, sf_dir) -> DataFrame:
-    rows = read_table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").cast("long").alias("row"))
+    lines = dealt(read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity"), "l_orderkey")
+    rows = lines.groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").cast("long").alias("row"))
     wide = rows.agg(F.array(*[F.struct(F.lit(i).cast("long").alias("col"), F.expr(t.format(string="string")).alias("text")) for i, t in enumerate(_TEXTS, 1)]).alias("cells"))
     return wide.select("doc", F.lit(0).cast("long").alias("tab"), "row", F.explode("cells").alias("c")).select("doc", "tab", "row", "c.col", "c.text")
 
