@@ -82,9 +82,12 @@ def layout_verdicts(pages: DataFrame, least: int, most: int, figures: int, white
     Of equal pages the first counts; a null measure is 0.
     """
     plain = pages.select("doc", "page", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("white", "gap", "figures")])
-    last = plain.groupBy("doc").agg(F.max("page").alias("last"), F.countDistinct("page").alias("pages"), F.sum("figures").alias("shown"))
+    # pages are numbered from the last one, so that a document is read once and never held
+    numbered = plain.where("doc is not null").select("*", F.dense_rank().over(Window.partitionBy("doc").orderBy(F.desc_nulls_last("page"))).alias("from_last"))
+    known = F.col("page").isNotNull()
     worst = lambda c, keep: F.max(F.when(keep & (F.col(c) > 0), F.struct(F.col(c).alias("value"), (-F.col("page")).alias("page"))))
-    per = plain.join(last, "doc").groupBy("doc", "pages", "shown").agg(worst("white", F.col("page") < F.col("last")).alias("w"), worst("gap", F.lit(True)).alias("g"))
+    count = F.coalesce(F.max(F.when(known, F.col("from_last"))), F.lit(0)).cast("long")
+    per = numbered.groupBy("doc").agg(count.alias("pages"), F.sum("figures").alias("shown"), worst("white", known & (F.col("from_last") > 1)).alias("w"), worst("gap", F.lit(True)).alias("g"))
     value = lambda c: F.coalesce(F.col(f"{c}.value"), F.lit(0.0))
     low, high, few = F.col("pages") < least, F.col("pages") > most, F.col("shown") < figures
     pale, gappy = value("w") > white, value("g") > gap

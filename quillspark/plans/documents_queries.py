@@ -18,6 +18,7 @@ from ..operators import inventories, layout
 from ..sources import files
 from ..sources.tables import read_table
 from .fixtures import literal
+from .shared import dealt
 
 #: Bytes that are texts in one encoding, another, or none, beside the documents.
 BYTES = [(-1, "b0a1b3aa203132", "가나 12", "cp949"), (-2, "ff00ff", None, None), (-3, "ea b0 80", "가", "utf-8"), (-4, "", "", "utf-8"), (-5, None, None, None)]
@@ -190,7 +191,8 @@ def header_blanks(spark, sf_dir):
 
 def layout_verdicts(spark, sf_dir):
     head, *rest = _columns(_MEASURE)
-    rows = read_table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_orderkey").agg(*[F.expr(x) for x in rest[1:]])
+    lines = dealt(read_table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_discount", "l_partkey"), "l_suppkey")
+    rows = lines.groupBy("l_suppkey", "l_orderkey").agg(*[F.expr(x) for x in rest[1:]])
     return layout.layout_verdicts(rows.withColumnsRenamed({"l_suppkey": "doc", "l_orderkey": "page"}), 5, 60, 2)
 
 

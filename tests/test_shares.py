@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from quillspark.operators import layout
 from quillspark.plans.queries import QUERIES
 from quillspark.plans.shared import scan_partitions, task_partitions
 from quillspark.sources.tables import read_table
@@ -27,10 +28,16 @@ def exchanges(df, capsys):
     return [(keys, int(n)) for keys, n in re.findall(r"hashpartitioning\((.*?), (\d+)\)", capsys.readouterr().out)]
 
 
-@pytest.mark.parametrize("name", ["cell_neighbours", "cell_kinds", "mixed_rows"])
+@pytest.mark.parametrize("name", ["cell_neighbours", "layout_verdicts", "cell_kinds", "mixed_rows"])
 def test_a_table_is_shuffled_once_by_its_size(spark, sf, many_scans, capsys, name):
     scan = read_table(spark, sf, "lineitem")
     want = scan_partitions(scan.select("l_orderkey"))
     large = [(keys, n) for keys, n in exchanges(QUERIES[name](spark, sf), capsys) if "#" in keys and not keys.startswith(("kind#", "stage#", "name#"))]
     assert want > 2 * task_partitions(scan)
     assert len(large) == 1 and large[0][1] >= want and "," not in large[0][0]
+
+
+def test_layout_of_null_and_repeated_pages(spark):
+    rows = [(1, 1, 30.0, 0.0, 1), (1, 2, 90.0, None, 1), (1, 2, 95.0, 5.0, 1), (1, None, 99.0, 9.0, 1), (2, None, 50.0, 1.0, 0), (None, 1, 50.0, 1.0, 0)]
+    got = layout.layout_verdicts(spark.createDataFrame(rows, "doc long, page long, white double, gap double, figures long"), 2, 4, 1).orderBy("doc").collect()
+    assert [(r.doc, r.pages, r.worst_white, r.white_page, r.worst_gap, r.gap_page, r.state) for r in got] == [(1, 2, 30.0, 1, 9.0, None, "underfilled"), (2, 0, 0.0, None, 1.0, None, "underfilled")]
