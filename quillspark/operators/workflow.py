@@ -92,10 +92,14 @@ def question_gate(turns: DataFrame, least: int = 12) -> DataFrame:
 
 def inventory(files: DataFrame, layout: DataFrame) -> DataFrame:
     """ws, stage, required, present, complete: what a layout (stage, name, needed) wants of each workspace, and what its files (ws, name) hold. Layouts are a declared vocabulary."""
-    wanted = files.select("ws").distinct().join(F.broadcast(layout.withColumn("all", F.lit(True))), F.col("all"))
-    found = wanted.join(files.select("ws", "name").distinct().withColumn("there", F.lit(True)), ["ws", "name"], "left")
-    per = found.groupBy("ws", "stage").agg(F.count_if("needed").alias("required"), F.count_if("there").alias("present"), F.count_if(F.col("needed") & F.col("there").isNull()).alias("lacking"))
-    return per.select("ws", "stage", "required", "present", (F.col("lacking") == 0).alias("complete"))
+    # of a workspace's files only names of the layout are kept, so it holds no more than these
+    known = files.select("ws", "name").join(F.broadcast(layout.select("name", F.lit(True).alias("known")).distinct()), "name", "left")
+    held = known.groupBy("ws").agg(F.collect_set(F.when(F.col("known") & F.col("ws").isNotNull(), F.col("name"))).alias("names"))
+    stages = layout.groupBy("stage").agg(F.collect_list(F.struct("name", "needed")).alias("wanted"))
+    there = lambda x: F.coalesce(F.array_contains("names", x["name"]), F.lit(False))
+    size = lambda keep: F.size(F.filter("wanted", keep)).cast("long")
+    lacking = F.exists("wanted", lambda x: F.coalesce(x["needed"], F.lit(False)) & ~there(x))
+    return held.join(F.broadcast(stages), F.lit(True)).select("ws", "stage", size(lambda x: x["needed"]).alias("required"), size(there).alias("present"), (~lacking).alias("complete"))
 
 
 def checksum_matches(references: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from ..operators import workflow
 from ..sources.tables import read_table, table_path
 from ..streaming import gates
 from .fixtures import literal, values
+from .shared import dealt
 
 _KIND = "CASE event_type WHEN 'purchase' THEN 'approve' WHEN 'error' THEN 'reject' WHEN 'signup' THEN 'reset' ELSE 'open' END"
 _COLUMNS = ["user_id AS ws", "CAST(floor(value) AS BIGINT) % 6 AS stage", f"{_KIND} AS kind", "ts", "event_id"]
@@ -70,7 +71,7 @@ def question_gate(spark, sf_dir):
 
 
 def inventory(spark, sf_dir):
-    files = read_table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS ws", "CAST(l_linenumber % 5 AS string) AS name")
+    files = dealt(read_table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS ws", "CAST(l_linenumber % 5 AS string) AS name"), "ws")
     return workflow.inventory(files, spark.createDataFrame(LAYOUT, "stage long, name string, needed boolean"))
 
 

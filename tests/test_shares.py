@@ -3,8 +3,9 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from quillspark.operators import layout
+from quillspark.operators import layout, workflow
 from quillspark.plans.queries import QUERIES
 from quillspark.plans.shared import scan_partitions, task_partitions
 from quillspark.sources.tables import read_table
@@ -28,7 +29,7 @@ def exchanges(df, capsys):
     return [(keys, int(n)) for keys, n in re.findall(r"hashpartitioning\((.*?), (\d+)\)", capsys.readouterr().out)]
 
 
-@pytest.mark.parametrize("name", ["cell_neighbours", "layout_verdicts", "cell_kinds", "mixed_rows"])
+@pytest.mark.parametrize("name", ["cell_neighbours", "layout_verdicts", "cell_kinds", "inventory", "mixed_rows"])
 def test_a_table_is_shuffled_once_by_its_size(spark, sf, many_scans, capsys, name):
     scan = read_table(spark, sf, "lineitem")
     want = scan_partitions(scan.select("l_orderkey"))
@@ -41,3 +42,10 @@ def test_layout_of_null_and_repeated_pages(spark):
     rows = [(1, 1, 30.0, 0.0, 1), (1, 2, 90.0, None, 1), (1, 2, 95.0, 5.0, 1), (1, None, 99.0, 9.0, 1), (2, None, 50.0, 1.0, 0), (None, 1, 50.0, 1.0, 0)]
     got = layout.layout_verdicts(spark.createDataFrame(rows, "doc long, page long, white double, gap double, figures long"), 2, 4, 1).orderBy("doc").collect()
     assert [(r.doc, r.pages, r.worst_white, r.white_page, r.worst_gap, r.gap_page, r.state) for r in got] == [(1, 2, 30.0, 1, 9.0, None, "underfilled"), (2, 0, 0.0, None, 1.0, None, "underfilled")]
+
+
+def test_inventory_of_null_names_and_repeated_rows(spark):
+    files = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", None), ("b", "other"), (None, "x")], "ws string, name string")
+    wanted = spark.createDataFrame([(1, "x", True), (1, "x", True), (1, "y", False), (2, None, True), (3, "y", None)], "stage long, name string, needed boolean")
+    got = {tuple(r) for r in workflow.inventory(files, wanted).select(F.coalesce("ws", F.lit("?")), "stage", "required", "present", "complete").collect()}
+    assert got == {("a", 1, 2, 2, True), ("a", 2, 1, 0, False), ("a", 3, 0, 0, True), ("b", 1, 2, 0, False), ("b", 2, 1, 0, False), ("b", 3, 0, 0, True), ("?", 1, 2, 0, False), ("?", 2, 1, 0, False), ("?", 3, 0, 0, True)}
