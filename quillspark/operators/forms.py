@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..plans.shared import materialize
+from ..plans.shared import materialize, task_partitions
 
 ADDRESS = ["doc", "tab", "row", "col"]
 
@@ -98,17 +98,23 @@ def block_differences(blocks: DataFrame, baseline: DataFrame) -> DataFrame:
     return both.select("doc", "block", missing.cast("long").alias("missing"), F.coalesce(F.col("was.number") == F.col("now.number"), F.lit(False)).alias("same_order")).where("missing > 0 OR NOT same_order")
 
 
-def best_grids(grids: DataFrame, baseline: DataFrame, least: float = 0.6) -> DataFrame:
+def best_grids(grids: DataFrame, baseline: DataFrame, least: float = 0.6, partitions: int | None = None) -> DataFrame:
     """doc, grid, match, score: each grid of the baseline (doc, grid, label) takes the unused grid of the document that has most of its labels, `least` of them at least.
 
     The share of the labels counts, and 0.001 more for as many labels; the best pair of a document is taken first, ties to the smaller numbers. A grid that none fits is lost: match is null.
+    Documents are dealt over `partitions` (the session's number, where none is given) once, with all that their pairs are counted from.
     """
-    size = lambda d, name: d.groupBy("doc", "grid").agg(F.count_distinct("label").alias(name))
-    a, b = baseline.select("doc", "grid", "label").distinct(), grids.select("doc", F.col("grid").alias("match"), "label").distinct()
-    shared = a.join(b, ["doc", "label"]).groupBy("doc", "grid", "match").agg(F.count(F.lit(1)).alias("n"))
-    sized = shared.join(size(baseline, "wanted"), ["doc", "grid"]).join(size(grids, "had").withColumnRenamed("grid", "match"), ["doc", "match"])
+    sides = baseline.select("doc", "grid", "label", F.lit(True).alias("was")).unionByName(grids.select("doc", "grid", "label", F.lit(False).alias("was")))
+    own = sides.where("doc is not null and grid is not null and label is not null").repartition(partitions or task_partitions(baseline), "doc")
+    labels = own.groupBy("doc", "grid", "label").agg(F.max("was").alias("was"), F.max(~F.col("was")).alias("now"))
+    whole = Window.partitionBy("doc", "grid")
+    sized = labels.select("*", F.count_if("was").over(whole).alias("wanted"), F.count_if("now").over(whole).alias("had"))
+    met = sized.groupBy("doc", "label").agg(F.collect_list(F.when(F.col("was"), F.struct("grid", "wanted"))).alias("a"), F.collect_list(F.when(F.col("now"), F.struct(F.col("grid").alias("match"), "had"))).alias("b"))
+    # a grid with fewer labels than are asked for can't have them
+    pairs = met.select("doc", "b", F.explode("a").alias("a")).select("doc", "a", F.explode("b").alias("b")).select("doc", "a.*", "b.*").where(F.col("had") >= least * F.col("wanted"))
+    shared = pairs.groupBy("doc", "grid", "match", "wanted", "had").agg(F.count(F.lit(1)).alias("n"))
     score = F.col("n") / F.col("wanted") + F.when(F.col("wanted") == F.col("had"), 0.001).otherwise(0.0)
-    fit = sized.where(F.col("n") >= least * F.col("wanted")).select("doc", "grid", "match", F.round(score, 6).alias("score"))
+    fit = shared.where(F.col("n") >= least * F.col("wanted")).select("doc", "grid", "match", F.round(score, 6).alias("score"))
 
     def pair(part: pd.DataFrame) -> pd.DataFrame:
         rows, used, done = [], set(), set()
@@ -120,7 +126,7 @@ def best_grids(grids: DataFrame, baseline: DataFrame, least: float = 0.6) -> Dat
         return pd.DataFrame(rows, columns=["doc", "grid", "match", "score"])
 
     taken = fit.groupBy("doc").applyInPandas(pair, "doc long, grid long, match long, score double")
-    return a.select("doc", "grid").distinct().join(taken, ["doc", "grid"], "left")
+    return baseline.select("doc", "grid").distinct().join(taken, ["doc", "grid"], "left")
 
 
 #: Tasks that a style's runs are dealt over.

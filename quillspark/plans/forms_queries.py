@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import forms, text
 from ..sources.tables import read_table
 from .fixtures import ENVELOPES, FORBIDDEN, REPORTS_SQL, TRIALS, literal, reports, values
-from .shared import dealt
+from .shared import dealt, scan_partitions
 
 _TEXTS = ["max(l_returnflag)", "max(l_linestatus)", "CAST(CAST(max(l_quantity) AS BIGINT) AS {string})"]
 #: What the document and the blank form have in a cell, and which cells they lack, for Spark and SQL alike.
@@ -62,7 +62,7 @@ def block_differences(spark, sf_dir):
 
 def best_grids(spark, sf_dir):
     rows = read_table(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS doc", "l_partkey % 40 AS grid", "concat(l_returnflag, CAST(l_quantity AS BIGINT)) AS label")
-    return forms.best_grids(rows.where("(grid + length(label)) % 7 <> 0"), rows)
+    return forms.best_grids(rows.where("(grid + length(label)) % 7 <> 0"), rows, partitions=scan_partitions(rows))
 
 
 def unallowed_styles(spark, sf_dir):

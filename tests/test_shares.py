@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import layout, workflow
+from quillspark.operators import forms, layout, workflow
 from quillspark.plans.queries import QUERIES
 from quillspark.plans.shared import scan_partitions, task_partitions
 from quillspark.sources.tables import read_table
@@ -38,6 +38,19 @@ def test_a_table_is_shuffled_once_by_its_size(spark, sf, many_scans, capsys, nam
     assert len(large) == 1 and large[0][1] >= want and "," not in large[0][0]
 
 
+def test_best_grids_counts_pairs_where_documents_are_dealt(spark, sf, many_scans, capsys):
+    large = [keys for keys, n in exchanges(QUERIES["best_grids"](spark, sf), capsys) if n > 2 * task_partitions(spark.range(1))]
+    assert len(large) == 1 and re.fullmatch(r"doc#\d+L?", large[0])
+
+
+def test_best_grids_of_nulls_and_repeated_rows(spark):
+    schema = "doc long, grid long, label string"
+    base = spark.createDataFrame([(1, 1, "a"), (1, 1, "a"), (1, 1, None), (1, 2, "b"), (1, 3, None), (1, None, "a"), (None, 1, "a"), (2, 1, "a")], schema)
+    own = spark.createDataFrame([(1, 7, "a"), (1, 7, "a"), (1, 7, None), (1, 8, "c"), (1, None, "b"), (None, 7, "a")], schema)
+    got = {tuple(r) for r in forms.best_grids(own, base, partitions=3).collect()}
+    assert got == {(1, 1, 7, 1.001), (1, 2, None, None), (1, 3, None, None), (1, None, None, None), (None, 1, None, None), (2, 1, None, None)}
+
+
 def test_layout_of_null_and_repeated_pages(spark):
     rows = [(1, 1, 30.0, 0.0, 1), (1, 2, 90.0, None, 1), (1, 2, 95.0, 5.0, 1), (1, None, 99.0, 9.0, 1), (2, None, 50.0, 1.0, 0), (None, 1, 50.0, 1.0, 0)]
     got = layout.layout_verdicts(spark.createDataFrame(rows, "doc long, page long, white double, gap double, figures long"), 2, 4, 1).orderBy("doc").collect()
