@@ -44,11 +44,11 @@ def repeated_tics(docs: DataFrame, sizes: tuple[int, ...] = (2, 3), least: int =
     A document is counted within its row: its phrases are sorted and their runs measured, so nothing is shuffled.
     """
     words = docs.select("doc_id", T.tokens(F.coalesce("text", F.lit(""))).alias("w"))
-    rows = words.select("doc_id", F.array_sort(F.concat(*[T.ngrams(F.col("w"), n) for n in sizes])).alias("g"))
+    rows = words.select("doc_id", F.sort_array(F.concat(*[T.ngrams(F.col("w"), n) for n in sizes])).alias("g"))
     last = F.filter(F.transform("g", lambda x, i: F.when(F.coalesce(x != F.get("g", i + 1), F.lit(True)), i)), lambda i: i.isNotNull())
     rows = rows.select("doc_id", "g", last.alias("last"))
     uses = F.transform("last", lambda i, k: F.struct((F.coalesce(F.get("last", k - 1), F.lit(-1)) - i).alias("fewer"), (-F.length(F.get("g", i))).alias("shorter"), F.get("g", i).alias("phrase")))
-    rows = rows.select("doc_id", F.slice(F.array_sort(F.filter(uses, lambda x: x["fewer"] <= -least)), 1, top).alias("best"))
+    rows = rows.select("doc_id", F.slice(F.sort_array(F.filter(uses, lambda x: x["fewer"] <= -least)), 1, top).alias("best"))
     # an outer explode: the filter that Spark infers of an inner one is pushed below the arrays and counts them anew for every item
     return rows.select("doc_id", F.posexplode_outer("best").alias("at", "x")).where("at is not null").select("doc_id", (F.col("at") + 1).alias("rank"), F.col("x.phrase").alias("phrase"), (-F.col("x.fewer")).cast("long").alias("uses"))
 

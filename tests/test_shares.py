@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import forms, layout, workflow
 from quillspark.plans.queries import QUERIES
-from quillspark.plans.shared import scan_partitions, task_partitions
+from quillspark.plans.shared import scan_partitions, spread, task_partitions
 from quillspark.sources.tables import read_table
 
 
@@ -62,3 +62,10 @@ def test_inventory_of_null_names_and_repeated_rows(spark):
     wanted = spark.createDataFrame([(1, "x", True), (1, "x", True), (1, "y", False), (2, None, True), (3, "y", None)], "stage long, name string, needed boolean")
     got = {tuple(r) for r in workflow.inventory(files, wanted).select(F.coalesce("ws", F.lit("?")), "stage", "required", "present", "complete").collect()}
     assert got == {("a", 1, 2, 2, True), ("a", 2, 1, 0, False), ("a", 3, 0, 0, True), ("b", 1, 2, 0, False), ("b", 2, 1, 0, False), ("b", 3, 0, 0, True), ("?", 1, 2, 0, False), ("?", 2, 1, 0, False), ("?", 3, 0, 0, True)}
+
+
+def test_texts_are_dealt_whatever_their_row_groups(spark, sf, capsys):
+    scan = read_table(spark, sf, "documents").select("doc_id", "text")
+    assert spread(scan.repartition(100)).rdd.getNumPartitions() == scan_partitions(scan.repartition(100))
+    QUERIES["repeated_tics"](spark, sf).explain()
+    assert "RoundRobinPartitioning" in capsys.readouterr().out
