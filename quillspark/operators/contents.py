@@ -8,6 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.shared import task_partitions
 from .text import keyed_lines
 
 # The grammar of marked-up reports.
@@ -19,26 +20,27 @@ ATTRIBUTE = r'([A-Za-z_][A-Za-z0-9_-]*)(?:=(?:"([^"]*)"|([^\s"]+)))?'
 BACKTICK, CAPITAL, INSTITUTION = r"`([^`\n]+)`", r"([.!?]\s+|^|[^A-Za-z0-9`])([A-Z][a-z0-9]+(?: [A-Z][a-z0-9]+){0,3})", "[가-힣]{2,}(?:대학교|연구소|학회|재단|병원)"
 
 
-def content_blocks(docs: DataFrame) -> DataFrame:
+def content_blocks(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """doc_id, line, section, kind, text of marked-up reports: para (its lines joined), eq, fig, url (the tag's attributes), table (the same) and row (a line inside of a table).
 
     Headings `## SECTION: x` open a section. Fault rows: unknown_tag, and tag_outside for a tag before any section; texts before any section aren't kept. line is the block's first.
+    Texts are dealt over `partitions` (the session's number, where none is given) once, and read once.
     """
     by = Window.partitionBy("row").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    trimmed = F.trim("text")
-    tag, rest = F.regexp_extract(trimmed, TAG, 1), F.trim(F.regexp_extract(trimmed, TAG, 2))
-    head = F.regexp_extract("text", SECTION, 1)
-    rows = keyed_lines(docs).select("row", "doc_id", "line", trimmed.alias("text"), F.nullif(head, F.lit("")).alias("head"), F.nullif(tag, F.lit("")).alias("tag"), rest.alias("rest"))
+    tag, rest = F.regexp_extract("text", TAG, 1), F.trim(F.regexp_extract("text", TAG, 2))
+    head = F.nullif(F.regexp_extract("text", SECTION, 1), F.lit(""))
+    rows = keyed_lines(docs, partitions or task_partitions(docs)).select("row", "doc_id", "line", F.trim("text").alias("text"), head.alias("head")).withColumn("tag", F.nullif(tag, F.lit("")))
     opens = F.when(F.col("tag") == "TABLE", 1).when(F.col("tag") == "/TABLE", -1).otherwise(0)
-    kind = F.when(F.col("head").isNotNull(), "head").when(F.col("tag").isNotNull(), "tag").when(F.col("text") == "", "blank").otherwise("text")
-    placed = rows.select("*", kind.alias("k"), F.last("head", ignorenulls=True).over(by).alias("section"), F.sum(opens).over(by).alias("open"), F.sum((kind != "text").cast("int")).over(by).alias("part"))
-    inside = F.col("section").isNotNull()
-    paras = placed.where((F.col("k") == "text") & (F.col("open") <= 0) & inside).groupBy("row", "doc_id", "section", "part").agg(F.min("line").alias("line"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), " ").alias("text"))
+    plain = F.col("head").isNull() & F.col("tag").isNull() & (F.col("text") != "")
+    placed = rows.select("*", plain.alias("plain"), F.last("head", ignorenulls=True).over(by).alias("section"), F.sum(opens).over(by).alias("open"), F.sum((~plain).cast("int")).over(by).alias("part"))
+    inside, is_tag = F.col("section").isNotNull(), F.col("head").isNull() & F.col("tag").isNotNull() & ~F.col("tag").startswith("/")
     known = F.regexp_replace("tag", "^/", "").isin(KNOWN)
-    name = F.when(~known, "unknown_tag").when(~inside, "tag_outside").otherwise(F.lower("tag"))
-    tags = placed.where((F.col("k") == "tag") & ~F.col("tag").startswith("/")).select("doc_id", "line", "section", name.alias("kind"), F.col("rest").alias("text"))
-    cells = placed.where((F.col("k") == "text") & (F.col("open") > 0) & inside).select("doc_id", "line", "section", F.lit("row").alias("kind"), "text")
-    return paras.select("doc_id", "line", "section", F.lit("para").alias("kind"), "text").unionByName(tags).unionByName(cells)
+    name = F.when(F.col("plain"), F.when(F.col("open") <= 0, "para").otherwise("row")).when(~known, "unknown_tag").when(~inside, "tag_outside").otherwise(F.lower("tag"))
+    kept = placed.where((F.col("plain") & inside) | is_tag).select("row", "doc_id", "section", "part", "line", name.alias("kind"), F.when(F.col("plain"), F.col("text")).otherwise(rest).alias("text"))
+    # the lines of a paragraph lie in one part; any other block is a line
+    place = F.when(F.col("kind") == "para", F.col("part")).otherwise(F.col("line"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), " ")
+    return kept.groupBy("row", "doc_id", "section", "kind", place.alias("place")).agg(F.min("line").alias("line"), text.alias("text")).select("doc_id", "line", "section", "kind", "text")
 
 
 def tag_attributes(blocks: DataFrame) -> DataFrame:

@@ -17,9 +17,14 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return docs.where("text is not null").select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("at", "text")).select("doc_id", (F.col("at") + 1).alias("line"), "text")
 
 
-def keyed_lines(docs: DataFrame) -> DataFrame:
-    """row, doc_id, line (from 1), text of every line: row tells the rows of `docs` apart, whatever their ids. It is to be used in one branch of a plan, or written first."""
+def keyed_lines(docs: DataFrame, partitions: int | None = None) -> DataFrame:
+    """row, doc_id, line (from 1), text of every line: row tells the rows of `docs` apart, whatever their ids. It is to be used in one branch of a plan, or written first.
+
+    With `partitions` whole texts are dealt over these by row, so that their lines needn't be.
+    """
     rows = docs.where("text is not null").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    if partitions:
+        rows = rows.repartition(partitions, "row")
     return rows.select("row", "doc_id", F.posexplode(T.lines(F.col("text"))).alias("at", "text")).select("row", "doc_id", (F.col("at") + 1).alias("line"), "text")
 
 

@@ -8,6 +8,7 @@ from ..operators import claims, contents, forms, privacy
 from ..sources.tables import read_table
 from . import documents_queries
 from .fixtures import FORBIDDEN, literal, private, reports, values
+from .shared import scan_partitions
 
 MARKED = [
     (-21, 'lost words\n[[FIG path="a.png"]]\n## SECTION: One \nfirst line\n  second line\n\nthird\n[[FIG path="b c.png" width=80 wide caption="x=y"]]\nafter\n[[TABLE caption="Sums" caption=Last]]\na | b\n\n1 | 2\n[[/TABLE]]\nend'),
@@ -28,7 +29,7 @@ def _marked(spark, sf_dir):
 
 
 def content_blocks(spark, sf_dir):
-    return contents.content_blocks(_marked(spark, sf_dir))
+    return contents.content_blocks(_marked(spark, sf_dir), scan_partitions(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def tag_attributes(spark, sf_dir):

@@ -69,3 +69,9 @@ def test_texts_are_dealt_whatever_their_row_groups(spark, sf, capsys):
     assert spread(scan.repartition(100)).rdd.getNumPartitions() == scan_partitions(scan.repartition(100))
     QUERIES["repeated_tics"](spark, sf).explain()
     assert "RoundRobinPartitioning" in capsys.readouterr().out
+
+
+def test_content_blocks_read_texts_once_and_deal_them_whole(spark, sf, many_scans, capsys):
+    scan = read_table(spark, sf, "documents").select("doc_id", "text")
+    by_key = exchanges(QUERIES["content_blocks"](spark, sf), capsys)
+    assert len(by_key) == 1 and by_key[0][1] == scan_partitions(scan) > 2 * task_partitions(scan)
