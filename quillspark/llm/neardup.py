@@ -43,7 +43,7 @@ BROADCAST_NODES = 1 << 10
 #: A member's bytes without its set, about.
 MEMBER_BYTES = 320
 #: Members and bytes of a block, about: blocks of a node are held against each other.
-BLOCK, BLOCK_BYTES = 256, 4 << 20
+BLOCK, BLOCK_BYTES = 1024, 4 << 20
 #: Bytes of the members outside the largest components of nodes of several blocks that are sent to all blocks; beyond, both are shuffled by node and block.
 BROADCAST_BYTES = 8 << 20
 
@@ -214,10 +214,17 @@ def _children(members: DataFrame, p: NearDup) -> DataFrame:
     return members.select("node", "class_id", "tokens").mapInArrow(run, "node long, class_id long")
 
 
-def _sized(rows: DataFrame) -> DataFrame:
-    """Rows of nodes with more than one member, with the node's size; written."""
-    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("class_id").alias("least"), F.max("class_id").alias("most")).where("least <> most")
-    return materialize(rows.join(sizes.select("node", "size"), "node"), "members")
+def _sized(rows: DataFrame, p: NearDup, last: bool) -> DataFrame:
+    """Rows of nodes with more than one member, with the node's size; written.
+
+    Trees bring the same classes together again and again: of nodes where paths end (small ones, or all at the `last` depth) that have the same members one is
+    kept, since another has no pair that this one lacks. Large nodes that are walked on are all kept, since their children differ. Members are told by 128 bits.
+    """
+    same = [F.bit_xor("class_id").alias("x"), F.bit_xor(F.xxhash64("class_id")).alias("y")]
+    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), *same).where("size > 1")
+    walked = F.when((F.col("size") > p.small) & F.lit(not last), F.col("node"))
+    one = sizes.groupBy("size", "x", "y", walked.alias("walked")).agg(F.min("node").alias("node"))
+    return materialize(rows.join(one.select("node", "size"), "node"), "members")
 
 
 def _described(members: DataFrame, classes: DataFrame) -> DataFrame:
@@ -226,14 +233,14 @@ def _described(members: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _terminal(rows: DataFrame, classes: DataFrame, p: NearDup) -> DataFrame:
     """Members of the nodes where paths end: small ones, and those still large at the full depth; written with size, n and tokens."""
-    done, members = [], _sized(rows)
+    done, members = [], _sized(rows, p, p.first == p.depth)
     for level in range(p.first, p.depth + 1):
         large = members.where(F.col("size") > p.small)
         if level == p.depth or large.isEmpty():
             done.append(members)
             break
         done.append(members.where(F.col("size") <= p.small))
-        members = _sized(materialize(_children(_described(large, classes), p), "children"))
+        members = _sized(materialize(_children(_described(large, classes), p), "children"), p, level + 1 == p.depth)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -340,12 +347,14 @@ def _links_across(labelled: DataFrame, nodes: DataFrame, sets: DataFrame, p: Nea
     open_ = labelled.join(nodes, "node").join(sets, "class_id")
     every = open_.groupBy("node", block("blocks").alias("block"), "main", "blocks").agg(F.collect_list(member).alias("m"))
     single = every.where("blocks = 1").select(F.lit(None).cast(every.schema["m"].dataType).alias("few"), "m", "main")
+    # said before the join, so that nodes of one block aren't shuffled for it
+    several = every.where("blocks > 1")
     few = open_.where("blocks > 1 AND component <> main").groupBy("node", block("parts").alias("part"), "blocks").agg(F.collect_list(member).alias("few"))
     if (nodes.where("blocks > 1").agg(F.sum("rest_bytes")).first()[0] or 0) <= BROADCAST_BYTES:
-        met = every.join(F.broadcast(few.select("node", "few")), "node")
+        met = several.join(F.broadcast(few.select("node", "few")), "node")
     else:
         # dealt by block, so that no node lands in one task
-        met = every.join(few.select("node", "few", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")), ["node", "block"])
+        met = several.join(few.select("node", "few", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")), ["node", "block"])
 
     def members(lists: pa.ListArray) -> list[tuple]:
         flat, sizes = lists.flatten(), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
@@ -353,13 +362,15 @@ def _links_across(labelled: DataFrame, nodes: DataFrame, sets: DataFrame, p: Nea
         raw, ends = flat.field("shingles"), np.cumsum(sizes).tolist()
         return [(ids[a:b], comps[a:b], n[a:b], tokens[a:b], raw[a:b]) for a, b in zip([0, *ends], ends)]
 
-    def joins(x: tuple, y: tuple) -> Iterator[tuple[int, int]]:
+    def joins(x: tuple, y: tuple, main: int) -> Iterator[tuple[int, int]]:
         (ids, comps, n, tokens, raw), (ids2, comps2, n2, tokens2, raw2) = x, y
         rows, columns, likes = [], [], []
         for i in range(len(ids)):
             # the bytes of a word sum up by themselves: 32 at most
             like = _alike((tokens2 == tokens[i]).view(np.uint64).sum(1).view(np.uint8).reshape(-1, 8).sum(1) / TOKENS)
-            at = np.flatnonzero((like >= p.bound) & (comps2 != comps[i]) & (100 * np.minimum(n2, n[i]) >= p.percent * np.maximum(n2, n[i])))
+            # two members outside the largest component meet twice, there and back
+            once = (comps2 == main) | (ids2 > ids[i])
+            at = np.flatnonzero((like >= p.bound) & (comps2 != comps[i]) & once & (100 * np.minimum(n2, n[i]) >= p.percent * np.maximum(n2, n[i])))
             rows.append(np.full(len(at), i))
             columns.append(at)
             likes.append(like[at])
@@ -373,17 +384,12 @@ def _links_across(labelled: DataFrame, nodes: DataFrame, sets: DataFrame, p: Nea
                 c = up
             return c
 
-        done = set()
         for k in np.argsort(-np.concatenate(likes), kind="stable").tolist():
             i, j = int(row[k]), int(column[k])
             u, v = find(int(comps[i])), find(int(comps2[j]))
-            pair = (min(ids[i], ids2[j]), max(ids[i], ids2[j]))
-            if u == v or pair in done:
-                continue
-            done.add(pair)
-            if _similar(raw[i].as_py(), raw2[j].as_py(), p.percent):
+            if u != v and _similar(raw[i].as_py(), raw2[j].as_py(), p.percent):
                 top[u] = v
-                yield pair
+                yield min(ids[i], ids2[j]), max(ids[i], ids2[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -392,7 +398,7 @@ def _links_across(labelled: DataFrame, nodes: DataFrame, sets: DataFrame, p: Nea
                 if one:
                     out = np.flatnonzero(y[1] != main)
                     x = tuple(c[out] for c in y[:4]) + (y[4].take(pa.array(out)),)
-                if found := list(joins(x, y)):
+                if found := list(joins(x, y, main)):
                     yield _pair_batch(found)
 
     return single.unionByName(met.select("few", "m", "main")).mapInArrow(run, "a long, b long")

@@ -117,6 +117,25 @@ def test_near_duplicates_where_links_shrink_another_dense_node(spark, monkeypatc
     assert neardup._joined(df, classes, p).select("component").distinct().count() == 1
 
 
+def test_near_duplicates_keep_one_of_the_nodes_with_equal_members(spark):
+    nodes = {1: (7, 8), 2: (7, 8), 3: (7, 9), 4: (7,), 5: (7, 8, 9), 6: (7, 8, 9)}
+    rows = spark.createDataFrame([(n, c) for n, m in nodes.items() for c in m], "node long, class_id long")
+    for last, kept in ((False, [1, 3, 5, 6]), (True, [1, 3, 5])):
+        got = neardup._sized(rows, neardup.NearDup(small=2), last).collect()
+        assert sorted((r.node, r.class_id, r.size) for r in got) == [(n, c, len(nodes[n])) for n in kept for c in nodes[n]]
+
+
+@pytest.mark.parametrize("sent", [0, 8 << 20])
+def test_near_duplicates_across_blocks(spark, monkeypatch, sent):
+    monkeypatch.setattr(neardup, "BLOCK", 5)
+    monkeypatch.setattr(neardup, "BROADCAST_BYTES", sent)
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join(f"n{i}-{k}" if k in rng.integers(0, 100, 7) else w for k, w in enumerate(base))) for i in range(60)]
+    p = neardup.NearDup(words=1, percent=88, small=4)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), p).collect()) == groups(rows, 1, 88)
+
+
 def test_near_duplicates_of_large_groups_with_single_links(spark):
     base = [f"w{i}" for i in range(200)]
     rows = []
