@@ -15,7 +15,11 @@ SLICE_BYTES = 1 << 20
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", budget: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive slices of the batches with at most `budget` bytes of text each, or one row."""
+    """Consecutive slices of the batches with at most `budget` bytes of text each, or one row.
+
+    A worker goes on to other tasks and stages, so what earlier ones have freed goes back to the system first.
+    """
+    pa.default_memory_pool().release_unused()
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -189,7 +189,7 @@ class ChunkEncoder:
 
 @lru_cache(maxsize=1)
 def library_encoder(path: str, cut: str) -> ChunkEncoder:
-    """A ChunkEncoder over a vocabulary file of the tokenizers library, which encodes each chunk. A worker keeps the last one from task to task."""
+    """A ChunkEncoder over a vocabulary file of the tokenizers library, which encodes each chunk. A worker keeps the last one from task to task, until `forget_encoder`."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -254,3 +254,8 @@ def library_encoder(path: str, cut: str) -> ChunkEncoder:
         return np.concatenate((*parts, alone)).astype(np.uint32)[ragged(first, sizes)], sizes
 
     return ChunkEncoder(joined, whole, cut, rare)
+
+
+def forget_encoder() -> None:
+    """Workers outlive stages: one that takes up work without a vocabulary lets go of the encoder (and its ids of chunks) that an earlier stage has left."""
+    library_encoder.cache_clear()

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..plans.shared import materialize, new_path, temporary
 from .batches import text_slices
-from .chunked import _Hash
+from .chunked import _Hash, forget_encoder
 from .components import components, merged
 
 _SPACE = np.zeros(256, bool)
@@ -141,6 +141,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles, class_id and proof (digest of the set; null for an empty one), tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoder()
         shingler = Shingler(words)
         for part in text_slices(batches):
             sets = [shingler(x) for x in part.column("text").to_pylist()]

@@ -18,7 +18,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..plans.shared import materialize, temporary
 from .batches import text_bytes, text_slices
-from .chunked import _Hash
+from .chunked import _Hash, forget_encoder
 
 PASSAGE_WORDS = 64
 SAMPLE_DOCS = 4000  # labelled texts that the classifier is fitted on, at most
@@ -177,6 +177,7 @@ def train(docs: DataFrame, labels: DataFrame) -> AttentionModel:
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoder()
         encoder = PassageEncoder()
         for part in text_slices(batches):
             x, owner = encoder(*text_bytes(part.column("text")))
@@ -203,6 +204,7 @@ def score(docs: DataFrame, model: AttentionModel, name: str = "quality_score") -
     docs = docs.drop(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoder()
         encoder = PassageEncoder()
         for part in text_slices(batches):
             x, owner = encoder(*text_bytes(part.column("text")))

@@ -10,8 +10,9 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from quillspark.llm import forest, licenses, media, neardup, packing, pieces, pii, quality, queries, token_files, warc
+from quillspark.llm import chunked, forest, licenses, media, neardup, packing, pieces, pii, quality, queries, token_files, warc
 from quillspark.plans.shared import materialize, new_path
 
 EDGE = [(1, None, "x"), (2, "", "x"), (3, " \t\n", "x"), (4, "one two", "x"), (4, "one two", "y"), (None, "null id text here", "x"), (5, "é ß \U0001f600 \x00 end", "x"), (6, "word " * 30000, "x"), (7, "One TWO", "x")]
@@ -117,6 +118,23 @@ def test_near_duplicates_where_links_shrink_another_dense_node(spark, monkeypatc
     assert neardup._joined(df, classes, p).select("component").distinct().count() == 1
 
 
+def test_workers_let_go_of_an_encoder_that_an_earlier_stage_left():
+    class Rows:
+        """Gives the function that tasks run."""
+
+        schema = StructType([])
+        select = drop = lambda self, *a: self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    for run in (neardup.sketches(Rows(), 3), quality.score(Rows(), None)):
+        chunked.library_encoder(public_tokenizers.path("word_bpe_49k.json"), "word")
+        assert chunked.library_encoder.cache_info().currsize == 1
+        assert list(run(iter([]))) == []
+        assert chunked.library_encoder.cache_info().currsize == 0
+
+
 def test_near_duplicates_keep_one_of_the_nodes_with_equal_members(spark):
     nodes = {1: (7, 8), 2: (7, 8), 3: (7, 9), 4: (7,), 5: (7, 8, 9), 6: (7, 8, 9)}
     rows = spark.createDataFrame([(n, c) for n, m in nodes.items() for c in m], "node long, class_id long")
