@@ -8,7 +8,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.shared import task_partitions
+from ..plans.shared import materialize, task_partitions
+from . import claims, forms, privacy
 from .text import keyed_lines
 
 # The grammar of marked-up reports.
@@ -69,8 +70,13 @@ def title_pattern(title_format: str) -> str:
 
 def phrase_caps(docs: DataFrame, rules: list[tuple[str, str, int]]) -> DataFrame:
     """doc_id, rule, n of the rules (name, pattern, most) that a text breaks: its pattern is found more than `most` times. One pass over each text."""
+    return docs.select("doc_id", F.explode(_broken(rules)).alias("x")).select("doc_id", "x.rule", "x.n")
+
+
+def _broken(rules: list[tuple[str, str, int]]) -> Column:
+    """The rules that a text breaks: rule, n, most."""
     counts = F.array(*[F.struct(F.lit(name).alias("rule"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(pattern)).cast("long").alias("n"), F.lit(most).alias("most")) for name, pattern, most in rules])
-    return docs.select("doc_id", F.explode(F.filter(counts, lambda x: x["n"] > x["most"])).alias("x")).select("doc_id", "x.rule", "x.n")
+    return F.filter(counts, lambda x: x["n"] > x["most"])
 
 
 _KINDS = {"object": "^OBJECT", "array": "^ARRAY", "string": "^STRING", "boolean": "^BOOLEAN", "integer": "^BIGINT", "number": "^(?:BIGINT|DECIMAL|DOUBLE|FLOAT)", "null": "^VOID"}
@@ -197,13 +203,44 @@ def fill_presence(values: DataFrame, cells: DataFrame) -> DataFrame:
     return own.join(held, ["doc", "v"], "left").select("doc", "value", code.alias("code")).where("code is not null")
 
 
-def audit(docs: DataFrame, found: dict[str, tuple[str, DataFrame]]) -> DataFrame:
-    """doc_id, hard, warn, checkers, exit_code of the findings (doc_id) of several checkers, each {name: (severity, rows)}: 3 with any HARD one, else 0; all documents are listed once."""
-    every = None
-    for name, (severity, rows) in found.items():
-        counted = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).select("doc_id", F.lit(name).alias("checker"), F.lit(severity).alias("severity"), "n")
-        every = counted if every is None else every.unionByName(counted)
-    total = lambda s: F.coalesce(F.sum(F.when(F.col("severity") == s, F.col("n"))), F.lit(0))
-    per = every.groupBy("doc_id").agg(total("HARD").alias("hard"), total("WARN").alias("warn"), F.array_join(F.array_sort(F.collect_set("checker")), ",").alias("checkers"))
-    rows = docs.select("doc_id").distinct().join(per, "doc_id", "left")
-    return rows.select("doc_id", F.coalesce("hard", F.lit(0)).alias("hard"), F.coalesce("warn", F.lit(0)).alias("warn"), F.coalesce("checkers", F.lit("")).alias("checkers"), F.when(F.col("hard") > 0, 3).otherwise(0).alias("exit_code"))
+def audit(docs: DataFrame, found: dict[str, tuple[str, DataFrame]], counted: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """doc_id, hard, warn, checkers, exit_code of the findings (doc_id) of several checkers, each {name: (severity, rows)}: 3 with any HARD one, else 0; all documents are listed once.
+
+    `counted` has checkers whose findings are counted in the rows of `docs` already, {name: (severity, column)}; a checker may be in both. Documents and findings are grouped once; those without an id are one document.
+    """
+    counted = counted or {}
+    severity = {name: s for name, (s, _) in (counted | found).items()}
+    count = lambda rows, listed, n: rows.select("doc_id", F.lit(listed).alias("listed"), *[n.get(name, F.lit(0)).cast("long").alias(f"n{i}") for i, name in enumerate(severity)])
+    every = count(docs, True, {name: F.coalesce(column, F.lit(0)) for name, (_, column) in counted.items()})
+    for name, (_, rows) in found.items():
+        every = every.unionByName(count(rows, False, {name: F.lit(1)}))
+    sums = [f"n{i}" for i in range(len(severity))]
+    per = every.groupBy("doc_id").agg(F.max("listed").alias("listed"), *[F.sum(n).alias(n) for n in sums]).where("listed")
+    total = lambda kind: sum((F.col(n) for n, s in zip(sums, severity.values()) if s == kind), F.lit(0).cast("long"))
+    told = F.array_join(F.array_sort(F.array(*[F.when(F.col(n) > 0, name) for n, name in zip(sums, severity)])), ",")
+    rows = per.select("doc_id", total("HARD").alias("hard"), total("WARN").alias("warn"), told.alias("checkers"))
+    return rows.select("*", F.when(F.col("hard") > 0, 3).otherwise(0).alias("exit_code"))
+
+
+def content_audit(docs: DataFrame, forbidden: list[str], allowed: str, rules: list[tuple[str, str, int]]) -> DataFrame:
+    """The `audit` of six checkers: `forms.residue` of the forbidden phrases, `user_paths`, `identity_numbers`, `unit_mismatches`, `unlisted_citations`, `phrase_caps`.
+
+    Texts are read in one pass. It counts what is counted within a row, and hands on the texts that another checker may find something in; these
+    are written once with the counts. Forbidden phrases are counted where no span of `allowed` is, all other texts with them go to `residue`.
+    """
+    text = F.col("text")
+    rows = docs.select("doc_id", "text", F.lower("text").alias("low"))
+    rows = rows.select("doc_id", "text", "low", F.coalesce(forms.phrase_places(F.col("low"), forbidden), F.lit(0)).alias("places"), F.size(_broken(rules)).alias("caps"))
+    rows = rows.select("*", F.when(F.col("places") > 0, F.col("low").rlike(allowed)).otherwise(False).alias("spanned"))
+    may = privacy.may_hold_paths(text) | privacy.may_hold_identities(text) | claims.may_tell(text) | claims.may_cite(text) | claims.may_list(text)
+    rows = rows.select("doc_id", F.when(F.col("spanned"), 0).otherwise(F.col("places")).alias("forbidden"), "caps", "spanned", F.when(F.col("spanned") | may, text).alias("text"))
+    rows = materialize(rows, "audited")
+    held = rows.where("text is not null")
+    found = {
+        "forbidden": ("HARD", forms.residue(held.where("spanned"), forbidden, allowed)),
+        "user_paths": ("HARD", privacy.user_paths(held)),
+        "identity_numbers": ("HARD", privacy.identity_numbers(held)),
+        "unit_mismatches": ("WARN", claims.unit_mismatches(claims.numeric_claims(held, told=True)).select(F.col("doc_id"))),
+        "unlisted_citations": ("WARN", claims.unlisted_citations(held)),
+    }
+    return audit(rows, found, {"forbidden": ("HARD", "forbidden"), "phrase_caps": ("WARN", "caps")})

@@ -261,6 +261,17 @@ def residue(docs: DataFrame, forbidden: list[str], allowed: str, width: int = 40
     return free.select("doc_id", F.col("start").cast("long").alias("start"), "phrase", context.alias("context"))
 
 
+def phrase_places(low: Column, phrases: list[str]) -> Column:
+    """How many places of the phrases a text in lower case holds, overlapping ones too; null for a null text."""
+    count = F.lit(0)
+    for phrase in phrases:
+        # where no end of a phrase begins it, its places don't overlap, and the pattern needn't look ahead at every character
+        overlaps = any(phrase.startswith(phrase[-k:]) for k in range(1, len(phrase)))
+        pattern = f"(?={_quoted(phrase)})" if overlaps else _quoted(phrase)
+        count = count + F.when(low.contains(phrase), F.regexp_count(low, F.lit(pattern))).otherwise(0)
+    return F.when(low.isNotNull(), count)
+
+
 def _quoted(text: str) -> str:
     return re.sub(r"([.\[\]()|*+?^$\\{}])", r"\\\1", text)
 

@@ -21,6 +21,8 @@ PHONE = rf"((?<![0-9])01[016789]{BLANK}-{BLANK}[0-9]{{3,4}}{BLANK}-{BLANK}[0-9]{
 #: What is held near each other: five digits, a name of two to four syllables, and the places between at most.
 NUMBER, NAME, NEAR = r"(?<![0-9])[0-9]{5}(?![0-9])", r"(?<![가-힣])[가-힣]{2,4}(?![가-힣])", 12
 SNIPPET = 60
+#: What every resident or phone number holds.
+HYPHENED = rf"[0-9]{BLANK}-{BLANK}[0-9]"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
 
@@ -50,16 +52,28 @@ def near_numbers(docs: DataFrame, gap: int = NEAR) -> DataFrame:
     return line_rows(docs).select("doc_id", "line", F.regexp_count("text", F.lit(pattern)).cast("long").alias("pairs")).where("pairs > 0")
 
 
+def may_hold_paths(text: Column) -> Column:
+    """Whether `user_paths` may find anything in a text; false for most, at the price of a search for two words."""
+    return text.contains("C:\\Users\\") | text.contains("/home/")
+
+
+def may_hold_identities(text: Column) -> Column:
+    """Whether `identity_numbers` may find anything in a text."""
+    return text.contains("-") & text.rlike(HYPHENED)
+
+
 def user_paths(docs: DataFrame) -> DataFrame:
     """doc_id, line, name for each path of a user's folder on a line; placeholder names are left out."""
     names = F.zip_with(F.regexp_extract_all("text", F.lit(USER_PATH), F.lit(1)), F.regexp_extract_all("text", F.lit(USER_PATH), F.lit(2)), lambda x, y: F.concat(F.coalesce(x, F.lit("")), F.coalesce(y, F.lit(""))))
-    return line_rows(docs).select("doc_id", "line", F.explode(names).alias("name")).where(~F.lower("name").isin(PLACEHOLDERS))
+    lines = line_rows(docs.where(may_hold_paths(F.col("text")))).where(may_hold_paths(F.col("text")))
+    return lines.select("doc_id", "line", F.explode(names).alias("name")).where(~F.lower("name").isin(PLACEHOLDERS))
 
 
 def identity_numbers(docs: DataFrame) -> DataFrame:
     """doc_id, line, kind, number: resident numbers and mobile phone numbers on lines, by digest of their digits only; blanks may stand around the hyphens."""
     found = lambda kind, pattern: F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), lambda x: F.struct(F.lit(kind).alias("kind"), F.sha2(F.regexp_replace(x, "[^0-9]", ""), 256).alias("number")))
-    return line_rows(docs).where(F.col("text").contains("-")).select("doc_id", "line", F.explode(F.concat(found("resident", RESIDENT), found("phone", PHONE))).alias("f")).select("doc_id", "line", "f.kind", "f.number")
+    lines = line_rows(docs.where(may_hold_identities(F.col("text")))).where(F.col("text").contains("-"))
+    return lines.select("doc_id", "line", F.explode(F.concat(found("resident", RESIDENT), found("phone", PHONE))).alias("f")).select("doc_id", "line", "f.kind", "f.number")
 
 
 def named_numbers(docs: DataFrame, gap: int = NEAR) -> DataFrame:

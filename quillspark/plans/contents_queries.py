@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import claims, contents, forms, privacy
+from ..operators import contents
 from ..sources.tables import read_table
 from . import documents_queries
 from .fixtures import FORBIDDEN, literal, private, reports, values
@@ -101,15 +101,7 @@ def fill_presence(spark, sf_dir):
 
 def content_audit(spark, sf_dir):
     docs = reports(spark, private(spark, read_table(spark, sf_dir, "documents")))
-    found = {
-        "forbidden": ("HARD", forms.residue(docs, [x for (x,) in FORBIDDEN], '"[^"\n]*"')),
-        "user_paths": ("HARD", privacy.user_paths(docs)),
-        "identity_numbers": ("HARD", privacy.identity_numbers(docs)),
-        "unit_mismatches": ("WARN", claims.unit_mismatches(claims.numeric_claims(docs)).select(F.col("doc_id"))),
-        "unlisted_citations": ("WARN", claims.unlisted_citations(docs)),
-        "phrase_caps": ("WARN", contents.phrase_caps(docs, RULES)),
-    }
-    return contents.audit(docs, found)
+    return contents.content_audit(docs, [x for (x,) in FORBIDDEN], '"[^"\n]*"', RULES)
 
 
 QUERIES = {

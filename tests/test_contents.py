@@ -61,6 +61,31 @@ def test_audit_counts_what_its_parts_find(spark, edge):
     assert {tuple(r) for r in got} == {(1, 2, 1, "a,b", 3), (2, 0, 1, "b", 0), (3, 0, 0, "", 0), (None, 0, 0, "", 0)}
 
 
+def test_audit_counts_findings_of_documents_without_an_id(spark, edge):
+    one = spark.createDataFrame([(None,)], "doc_id long")
+    assert (None, 1, 0, "a", 3) in {tuple(r) for r in contents.audit(edge, {"a": ("HARD", one)}).collect()}
+
+
+AUDITED = [
+    (1, 'see "fill in here" or fill in here, aand thehha'), (2, "C:\\Users\\\x1ckim C:\\Users\\me\\x"), (3, "C:\\Users\\kim\x1dx\x1e/home/lee"), (4, "x\x1d900101-1234567\u2028010 - 1234-5678"), (5, "1900101-1234567 a - b 1-2"),
+    (6, "As Kim (2020) says"), (6, "# references \nKim, A. (2020). T."), (7, "As Kim (2020)\n# Bibliography\nLee, A. (2020). T.\nKim (2021)"), (8, "span = 3 m"), (8, "x\nthe span is 3 kg"), (9, "span = 3 m, of width 4 kg"),
+    (10, "Aaaa"), (11, "aaa"), (11, 'aa "aa"'), (12, None), (13, ""), (None, "hha hha hha"),
+]
+
+
+def test_audited_texts(spark):
+    docs = spark.createDataFrame(AUDITED, "doc_id long, text string")
+    got = contents.content_audit(docs, ["fill in here", "hha", "and the", "aa"], '"[^"\n]*"', [("many", "hha", 2), ("bracket", "[(]", 0)]).collect()
+    want = {1: (4, 0, "forbidden"), 3: (2, 0, "user_paths"), 4: (2, 0, "identity_numbers"), 6: (0, 2, "phrase_caps"), 7: (0, 2, "phrase_caps,unlisted_citations"), 8: (0, 1, "unit_mismatches"), 10: (3, 0, "forbidden"), 11: (3, 0, "forbidden"), None: (3, 1, "forbidden,phrase_caps")}
+    assert {tuple(r) for r in got} == {(i, *want.get(i, (0, 0, "")), 3 if want.get(i, (0,))[0] else 0) for i, _ in AUDITED} and len(got) == 14
+
+
+def test_audit_reads_documents_in_one_pass(spark, sf):
+    plan = contents_queries.QUERIES["content_audit"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    # a checker on all texts would scan them anew; what they hand on has no other columns of the table
+    assert plan.count("n_chars") == 0 and contents_queries.QUERIES["phrase_caps"](spark, sf)._jdf.queryExecution().optimizedPlan().toString().count("n_chars") == 1
+
+
 def test_content_audit(spark, sf):
     got = contents_queries.QUERIES["content_audit"](spark, sf).collect()
     assert len({r.doc_id for r in got}) == len(got)
