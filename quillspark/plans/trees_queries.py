@@ -6,21 +6,22 @@ from pyspark.sql import functions as F
 
 from ..operators import trees
 from ..sources.tables import read_table
+from .shared import dealt, scan_partitions
 
 
 def _orders(spark, sf_dir):
-    line = F.struct(F.col("l_linenumber").alias("n"), F.col("l_returnflag").alias("flag"), F.struct(F.col("l_linestatus").alias("state"), F.floor(F.col("l_quantity") / 10).cast("long").alias("tens")).alias("more"), F.col("l_partkey").alias("part"))
-    lines = F.transform(F.array_sort(F.collect_list(line)), lambda x: x.dropFields("n", "part"))
-    texts = read_table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc")).agg(F.to_json(F.struct(F.lit("order").alias("kind"), lines.alias("lines"))).alias("text"))
-    return trees.tree_nodes(texts)
+    lines = dealt(read_table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS doc", "l_linenumber AS n", "l_returnflag AS flag", "l_linestatus AS state", "CAST(floor(l_quantity / 10) AS long) AS tens", "l_partkey AS part"), "doc")
+    line = F.struct("n", "flag", F.struct("state", "tens").alias("more"), "part")
+    lines = lines.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: x.dropFields("n", "part")).alias("lines"))
+    return lines.select("doc", F.to_json(F.struct(F.lit("order").alias("kind"), "lines")).alias("text"))
 
 
 def aligned_paths(spark, sf_dir):
-    return trees.aligned(_orders(spark, sf_dir))
+    return trees.aligned(trees.tree_nodes(_orders(spark, sf_dir)))
 
 
 def repeated_subtrees(spark, sf_dir):
-    return trees.repeated_subtrees(trees.digests(_orders(spark, sf_dir)))
+    return trees.repeated_in_texts(_orders(spark, sf_dir), partitions=scan_partitions(read_table(spark, sf_dir, "lineitem").select("l_orderkey")))
 
 
 QUERIES = {"aligned_paths": aligned_paths, "repeated_subtrees": repeated_subtrees}

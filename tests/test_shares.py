@@ -75,3 +75,10 @@ def test_content_blocks_read_texts_once_and_deal_them_whole(spark, sf, many_scan
     scan = read_table(spark, sf, "documents").select("doc_id", "text")
     by_key = exchanges(QUERIES["content_blocks"](spark, sf), capsys)
     assert len(by_key) == 1 and by_key[0][1] == scan_partitions(scan) > 2 * task_partitions(scan)
+
+
+def test_repeated_subtrees_shuffle_orders_and_counts_and_write_no_nodes(spark, sf, many_scans, capsys):
+    scan = read_table(spark, sf, "lineitem").select("l_orderkey")
+    by_key = exchanges(QUERIES["repeated_subtrees"](spark, sf), capsys)
+    assert [re.sub(r"#\d+L?", "", keys) for keys, _ in by_key] == ["digest, size", "doc"]
+    assert {n for _, n in by_key} == {scan_partitions(scan)} and scan_partitions(scan) > 2 * task_partitions(scan)

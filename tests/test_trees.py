@@ -63,3 +63,37 @@ def test_alignment_parses_texts_once(spark):
     got = sorted(tuple(r) for r in trees.aligned(trees.tree_nodes(df)).collect())
     assert got == [("$", 3, 0, 2, "value"), ("$.a", 1, 2, 1, "skeleton"), ("$.b", 1, 2, 1, "skeleton"), ("$[0]", 1, 2, 1, "skeleton")]
     assert parsed.value == len(rows)
+
+
+def counted(docs):
+    same = {}
+    for i, value in docs:
+        for _, d, n in walk(value):
+            same.setdefault((d, n), []).append(i)
+    return {(d, n, len(x), len(set(x))) for (d, n), x in same.items() if n > 1 and len(x) > 1}
+
+
+def test_subtrees_are_counted_where_texts_lie(spark):
+    rng = random.Random(7)
+    docs = [(i, {"a": tree(rng), "ß": [tree(rng), "\n\"/", 10**30, 0.5, -0.0]}) for i in range(300)]
+    docs += [(i, docs[i % 9][1]) for i in range(300, 400)]
+    deep = []
+    for _ in range(300):
+        deep = [deep]
+    docs += [(400, deep), (401, [deep]), (402, [[i % 7, {"x": i % 5}] for i in range(90000)])]
+    none = [(900, None), (901, "{broken"), (902, '{"a": {"b": "\\ud800"}}'), (903, '{"a": {"b": "\\ud800"}}'), (None, json.dumps([[1, 2], [1, 2]]))]
+    texts = [(i, json.dumps(x, ensure_ascii=i % 2 == 0)) for i, x in docs]
+    assert len(texts[-1][1]) > trees.BATCH_CHARS
+    df = spark.createDataFrame([*texts, *none], "doc long, text string").repartition(3)
+    got = {tuple(r) for r in trees.repeated_in_texts(df, partitions=5).select("digest", "size", "places", "documents").collect()}
+    assert got == counted(docs)
+    least = {tuple(r) for r in trees.repeated_in_texts(df, least=4).select("digest", "size", "places", "documents").collect()}
+    assert least == {x for x in got if x[1] > 3}
+    assert trees.repeated_in_texts(df.limit(0)).count() == trees.repeated_in_texts(df.where("doc = 901")).count() == trees.repeated_in_texts(df.where("doc = 400"), least=400).count() == 0
+
+
+def test_subtrees_of_elements_are_counted_as_their_digests_are(spark):
+    text = "<a><p>one</p><q> <p>one</p></q><q><p>one</p> </q><p> two <b>x</b></p></a>"
+    df = spark.createDataFrame([(1, text), (2, text), (3, text.replace("two", "2")), (4, "<a>"), (5, None), (None, text)], "doc int, text string")
+    want = sorted(map(tuple, trees.repeated_subtrees(trees.digests(trees.tree_nodes(df, "xml"))).collect()))
+    assert len(want) == 3 and sorted(map(tuple, trees.repeated_in_texts(df, "xml").collect())) == want
