@@ -10,10 +10,12 @@ from .shared import dealt, scan_partitions
 
 
 def _orders(spark, sf_dir):
-    lines = dealt(read_table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS doc", "l_linenumber AS n", "l_returnflag AS flag", "l_linestatus AS state", "CAST(floor(l_quantity / 10) AS long) AS tens", "l_partkey AS part"), "doc")
-    line = F.struct("n", "flag", F.struct("state", "tens").alias("more"), "part")
-    lines = lines.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: x.dropFields("n", "part")).alias("lines"))
-    return lines.select("doc", F.to_json(F.struct(F.lit("order").alias("kind"), "lines")).alias("text"))
+    keys = ["n", "flag", "state", "tens"]  # lines that are equal in these are equal in the text
+    lines = dealt(read_table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS doc", "l_linenumber AS n", "l_returnflag AS flag", "l_linestatus AS state", "CAST(floor(l_quantity / 10) AS long) AS tens"), "doc")
+    line = F.struct(*(x for k in keys for x in (F.col(k).isNull().alias(f"no_{k}"), k)))  # nulls come last
+    shown = lambda x: F.struct(x["flag"].alias("flag"), F.struct(x["state"].alias("state"), x["tens"].alias("tens")).alias("more"))
+    lines = lines.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(line)), shown).alias("lines"))
+    return lines.select("doc", F.to_json(F.struct(F.lit("order").alias("kind"), "lines"), {"ignoreNullFields": "false"}).alias("text"))
 
 
 def aligned_paths(spark, sf_dir):

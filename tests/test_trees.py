@@ -5,7 +5,10 @@ import json
 import random
 import xml.etree.ElementTree as ET
 
+import duckdb
+
 from quillspark.operators import trees
+from quillspark.plans.queries import ORACLE_SQL, QUERIES
 
 
 def tree(rng, depth=0):
@@ -97,3 +100,15 @@ def test_subtrees_of_elements_are_counted_as_their_digests_are(spark):
     df = spark.createDataFrame([(1, text), (2, text), (3, text.replace("two", "2")), (4, "<a>"), (5, None), (None, text)], "doc int, text string")
     want = sorted(map(tuple, trees.repeated_subtrees(trees.digests(trees.tree_nodes(df, "xml"))).collect()))
     assert len(want) == 3 and sorted(map(tuple, trees.repeated_in_texts(df, "xml").collect())) == want
+
+
+def test_fields_without_a_value_stay_in_orders(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(i % 150, rng.choice([1, 1, 2, None]), rng.choice(["A", "R", None]), rng.choice(["F", None]), rng.choice([1.0, 25.0, None]), 7) for i in range(500)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_returnflag string, l_linestatus string, l_quantity double, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    with duckdb.connect() as duck:
+        duck.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+        for name in ("aligned_paths", "repeated_subtrees"):
+            want = duck.execute(ORACLE_SQL[name])
+            columns = [d[0] for d in want.description]
+            assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).select(*columns).collect())) == sorted(want.fetchall())
